@@ -184,40 +184,49 @@ _RANGES = [("key", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("las
 def _trees(window: int):
     """Takes whole prefix groups, a bounded number of words at a time, and gives the windows of later documents."""
 
-    def solve(rows: list[tuple]):
-        words = np.concatenate([r[4] for r in rows])
-        n = np.array([len(r[4]) - window + 1 for r in rows])
-        begin = np.cumsum([0] + [len(r[4]) for r in rows])[:-1]
-        owner = np.repeat(np.arange(len(rows)), n)
-        starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    def solve(stretches: list[np.ndarray], owners: list[tuple]):
+        words = np.concatenate(stretches)
+        length = np.array([len(x) for x in stretches])
+        n = length - window + 1
+        begin, ends = np.cumsum(length) - length, np.cumsum(n)
+        starts = np.repeat(begin - (ends - n), n) + np.arange(ends[-1])
         node = subtree_classes(words, starts, window)
-        key = np.array([r[1] for r in rows], np.int64)[owner]
-        least = np.full(node.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, node, key)
-        later = key > least[node]
+        key = np.array([o[0] for o in owners], np.int64)
+        which = np.array([o[3] for o in owners])
+        least = np.full(len(stretches), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, key)
+        under = np.full(node.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(under, node, np.repeat(least, n))
+        earlier = under[node]
+        lowest = np.minimum.reduceat(earlier, ends - n)
         out = []
-        pos = starts - begin[owner] + np.array([r[3] for r in rows])[owner]
-        ends = np.cumsum(n)
-        for i in np.unique(owner[later]):
-            own = slice(ends[i] - n[i], ends[i])
-            out += [(rows[i][1], rows[i][2], int(a), int(b)) for a, b in zip(*ranges_of(pos[own][later[own]]))]
+        for (k, th, first, i), low in zip(owners, lowest[which].tolist()):
+            if k > low:
+                later = np.flatnonzero(earlier[ends[i] - n[i] : ends[i]] < k) + first
+                out += [(k, th, int(a), int(b)) for a, b in zip(*ranges_of(later))]
         return _emit(out, _RANGES)
 
     def run(batches):
-        rows, size, group = [], 0, None
+        stretches, owners, size, group, seen = [], [], 0, None, {}
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("prefix", "key", "th", "first")]
             lists = batch.column("words")
             flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
             for i, (prefix, key, th, first) in enumerate(zip(*cols)):
-                if prefix != group and size > BATCH_WORDS:
-                    yield solve(rows)
-                    rows, size = [], 0
-                group = prefix
-                rows.append((prefix, key, th, first, flat[bounds[i] : bounds[i + 1]].copy()))
-                size += len(rows[-1][4])
-        if rows:
-            yield solve(rows)
+                if prefix != group:
+                    # Equal stretches of a group are kept once, with all their owners.
+                    group, seen = prefix, {}
+                    if size > BATCH_WORDS or len(owners) > BATCH_WORDS // 10:
+                        yield solve(stretches, owners)
+                        stretches, owners, size = [], [], 0
+                words = flat[bounds[i] : bounds[i + 1]]
+                at = seen.setdefault(words.tobytes(), len(stretches))
+                if at == len(stretches):
+                    stretches.append(words.copy())
+                    size += len(words)
+                owners.append((key, th, first, at))
+        if owners:
+            yield solve(stretches, owners)
 
     return run
 
@@ -232,14 +241,15 @@ def _bitmap(prefixes: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, large_group: int = 500) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 50, large_group: int = 50_000) -> DataFrame:
     """(key, th, ranges): window starts whose words also start a window in a document with a smaller doc_id.
 
     1. Every window has a prefix (see ``prefix_runs``). Counts of prefixes by document leave those in two documents.
     2. Suffixes of these go, as stretches of words, to the group of their prefix; groups are read in batches of bounded
        size, and the nodes of depth ``window`` of each batch's suffix tree give the repeats.
-    3. The suffixes of a prefix with over ``large_group`` stretches take a longer prefix, the whole window. Such a group
-       needs no tree: its node is the prefix. Least doc_ids are combined before the shuffle and joined back.
+    3. The suffixes of a prefix with over ``large_group`` stretches, too many for a task's memory, take a longer prefix:
+       the whole window. Such a group needs no tree: its node is the prefix. Least doc_ids are combined before the
+       shuffle and joined back.
     Which prefixes are repeated or large reaches the tasks as two bit maps of fixed size; a chance hit only sends a
     stretch to a group in which it finds no partner, and both ways are exact for any group.
     """
@@ -251,6 +261,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, large_group: int = 500)
     large = spark.sparkContext.broadcast(_bitmap(counted.where(F.col("runs") > large_group)))
     segments = rows.mapInArrow(_segments(window, repeated, large), "prefix long, key long, th long, first int, words array<long>")
     small = segments.repartition("prefix").sortWithinPartitions("prefix", "key").mapInArrow(_trees(window), "key long, th long, first int, last int")
+    if counted.where(F.col("runs") > large_group).isEmpty():
+        return small.groupBy("key", "th").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     whole = saved(rows.mapInArrow(_long_prefixes(window, large), "whole long, key long, th long, pos int"), "windows")
     least = whole.groupBy("whole").agg(F.min("key").alias("least"))
     hot = whole.join(least, "whole").where("key > least").select("key", "th", F.col("pos").alias("first"), F.col("pos").alias("last"))
@@ -266,7 +278,7 @@ def kept_words(n: int, ranges: list[tuple[int, int]], window: int) -> np.ndarray
     return np.cumsum(change[:-1]) == 0
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, large_group: int = 500) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, large_group: int = 50_000) -> DataFrame:
     """Adds ``n_words``, ``n_removed`` (long) and ``kept`` (string: the remaining words, joined by a space) to each row.
 
     A word goes if a window that covers it also starts in a document with a smaller doc_id; all windows are judged on
