@@ -10,7 +10,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct white-space separated pieces remembered by a worker; beyond it only the first seen, mostly frequent, stay.
-REMEMBERED, KEPT = 1_200_000, 400_000
+REMEMBERED, KEPT = 1_600_000, 600_000
 #: Letters that are one code point in normal form C, and one mark after them: two pre-tokens at most.
 PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([.,;:!?]?)\Z")
 JOINED = 500
