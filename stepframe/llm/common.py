@@ -58,6 +58,11 @@ def key_of_id(name: str = "doc_id"):
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID).cast("long"))
 
 
+def whole_row(docs: DataFrame):
+    """All columns as one struct, so that names an operator adds can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where an installed public tokenizer file lies."""
     import public_tokenizers

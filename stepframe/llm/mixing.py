@@ -80,7 +80,7 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict], rounds: int = 100, toler
             now = np.bincount(code, w, len(values))
             want = np.array([target.get(v, 0.0) for v in values], float)
             want = want / max(want[now > 0].sum(), 1e-300)
-            factor = np.divide(want, now, out=np.zeros_like(now), where=now > 0)
+            factor = np.divide(want, now, out=np.zeros(len(now)), where=now > 0)
             moved = max(moved, float(np.abs(now - np.where(now > 0, want, 0)).max(initial=0)))
             w = w * factor[code]
         if moved < tolerance:

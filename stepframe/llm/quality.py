@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, key_of_id, saved
+from .common import documents, key_of_id, saved, whole_row
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
@@ -146,7 +146,7 @@ def judged(docs: DataFrame, level: float = 0.9999, min_group: int = 100, share:
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The documents that are kept, all columns."""
     good = judged(docs, **options).where("kept").select("_key", "_hash").distinct()
-    return docs.withColumns({"_key": key_of_id(), "_hash": F.xxhash64("text")}).join(good, ["_key", "_hash"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole_row(docs), key_of_id().alias("_key"), F.xxhash64("text").alias("_hash")).join(good, ["_key", "_hash"], "left_semi").select("row.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, key_of_id, saved
+from .common import documents, key_of_id, saved, whole_row
 from .components import components
 
 BITS = 64
@@ -108,8 +108,8 @@ def key_null():
 def keep_one(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
     """The document of least doc_id of each near-duplicate group, all columns; of rows that repeat its doc_id, one."""
     chosen = near_duplicates(docs, radius, words).where("is_first").select(F.coalesce("doc_id", key_null()).alias("_key")).distinct()
-    kept = docs.withColumn("_key", key_of_id()).join(chosen, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.select(whole_row(docs), key_of_id().alias("_key")).join(chosen, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, key_of_id, saved
+from .common import documents, key_of_id, saved, whole_row
 
 GRAM = 8
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -292,19 +292,19 @@ def remove_repeats(docs: DataFrame, window: int = 50, large_group: int = 50_000)
     docs = docs.drop("n_words", "n_removed", "kept")
     names = docs.columns
     found = repeated_windows(docs, window, large_group)
-    rows = docs.withColumns({"_key": key_of_id(), "_th": F.xxhash64("text")})
-    rows = rows.join(found, (rows["_key"] == found["key"]) & (rows["_th"] == found["th"]), "left").select(*[rows[c] for c in names], "ranges")
+    rows = docs.select(whole_row(docs), key_of_id().alias("key"), F.xxhash64("text").alias("th"))
+    rows = rows.join(found, ["key", "th"], "left").select("row.*", F.col("ranges").alias("ranges" if "ranges" not in names else "_".join(["ranges", *names])))
 
     def run(batches):
         for batch in batches:
             total, gone, kept = [], [], []
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column(len(names)).to_pylist()):
                 words = (text or "").encode("utf-8", "replace").split()
                 mask = kept_words(len(words), [(r["first"], r["last"]) for r in ranges or []], window)
                 total.append(len(words))
                 gone.append(int(len(words) - mask.sum()))
                 kept.append(b" ".join(words if not gone[-1] else [w for w, m in zip(words, mask.tolist()) if m]).decode())
-            own = [batch.column(c) for c in names]
+            own = batch.columns[: len(names)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept"])
 
     return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
