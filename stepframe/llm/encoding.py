@@ -155,13 +155,17 @@ def encoder(path: str) -> WordEncoder:
 
 
 def slices(batch, column: str = "text", chars: int = 4_000_000):
-    """Cuts a record batch into runs of rows of about so many bytes of text: (first row, texts)."""
-    texts = batch.column(column).to_pylist()
-    first, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= chars:
-            yield first, texts[first : i + 1]
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]
+    """Cuts a record batch into runs of rows of about so many bytes of text: (first row, texts).
+
+    Only one run's texts are Python strings at a time.
+    """
+    import pyarrow.compute as pc
+
+    texts = batch.column(column)
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    first = 0
+    while first < len(texts):
+        before = size[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(size, before + chars, "right")))
+        yield first, texts.slice(first, end - first).to_pylist()
+        first = end

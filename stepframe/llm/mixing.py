@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,20 +23,29 @@ def _topic_table(topics: int, buckets: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(buckets, topics)).astype(np.float32)
 
 
-def topic_of(words: list[bytes], table: np.ndarray) -> int:
+def word_bucket(word: bytes, buckets: int) -> int:
+    """The bucket of a lower-cased word; words of up to 3 bytes have none (-1)."""
+    return zlib.crc32(word) % buckets if len(word) > 3 else -1
+
+
+def topic_of(counts: np.ndarray, table: np.ndarray) -> int:
     """The strongest of fixed random projections of the text's hashed word counts, square roots taken."""
-    import zlib
+    return int(np.argmax(np.sqrt(counts, dtype=np.float32) @ table)) if counts.any() else 0
+
+
+class _Buckets:
+    """Buckets of the encoder's pieces, kept beside it."""
+
+    def __init__(self):
+        self.index, self.own = None, np.zeros(0, np.int64)
 
-    seen: dict[int, int] = {}
-    for w in words:
-        if len(w) > 3:
-            h = zlib.crc32(w) % len(table)
-            seen[h] = seen.get(h, 0) + 1
-    if not seen:
-        return 0
-    keys = np.fromiter(seen.keys(), np.int64, len(seen))
-    values = np.sqrt(np.fromiter(seen.values(), np.float32, len(seen)))
-    return int(np.argmax(values @ table[keys]))
+    def get(self, enc, buckets: int) -> np.ndarray:
+        if self.index is not enc.index:
+            self.index, self.own = enc.index, np.zeros(0, np.int64)
+        if len(self.index) > len(self.own):
+            new = [word_bucket(w, buckets) for w in islice(self.index, len(self.own), None)]
+            self.own = np.concatenate([self.own, np.array(new, np.int64)])
+        return self.own
 
 
 def measured(docs: DataFrame, tokenizer: str | None = None, topics: int = 4, buckets: int = 4096, seed: int = 5) -> DataFrame:
@@ -46,13 +58,20 @@ def measured(docs: DataFrame, tokenizer: str | None = None, topics: int = 4, buc
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
 
     def run(batches):
-        table, enc = _topic_table(topics, buckets, seed), encoder(path)
+        table, enc, kept = _topic_table(topics, buckets, seed), encoder(path), _Buckets()
         for batch in batches:
             for first, texts in slices(batch):
-                _, bounds = enc.encode(texts)
-                topic = [topic_of(t.encode("utf-8", "replace").lower().split(), table) if t else 0 for t in texts]
+                pieces, counts = enc.pieces(texts, lower=True)
+                bucket = kept.get(enc, buckets)[pieces]
+                lengths = np.concatenate([[0], np.cumsum(enc.lengths[pieces])])
+                ends = np.cumsum(counts)
+                tokens = lengths[ends] - lengths[ends - counts] + 1
+                topic = []
+                for a, b in zip((ends - counts).tolist(), ends.tolist()):
+                    own = bucket[a:b]
+                    topic.append(topic_of(np.bincount(own[own >= 0], minlength=buckets), table))
                 own = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("source"), own.column("lang"), pa.array([f"t{t}" for t in topic]), pa.array(np.diff(bounds) + 1)], names=["doc_id", "source", "lang", "topic", "tokens"])
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("source"), own.column("lang"), pa.array([f"t{t}" for t in topic], pa.string()), pa.array(tokens)], names=["doc_id", "source", "lang", "topic", "tokens"])
 
     out = rows.mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long")
     return out.withColumn("u", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 11) / F.lit(float(1 << 53)))
