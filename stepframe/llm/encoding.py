@@ -154,7 +154,12 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def slices(batch, column: str = "text", chars: int = 4_000_000):
+def forget() -> None:
+    """Give up the worker's encoders, for a stage that needs its memory for other things."""
+    _ENCODERS.clear()
+
+
+def slices(batch, column: str = "text", chars: int = 2_000_000):
     """Cuts a record batch into runs of rows of about so many bytes of text: (first row, texts).
 
     Only one run's texts are Python strings at a time.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, saved, tokenizer_path
-from .encoding import encoder, slices
+from .encoding import encoder, forget, slices
 from .token_files import crc32_of_ids
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, part int, local_id long, offset long, ids array<int>"
@@ -141,8 +141,13 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     return pieces.join(F.broadcast(index), "part").select("doc_id", "start", "length", "doc_tokens", (F.col("first") + F.col("local_id")).alias("sequence_id"), "offset", "ids")
 
 
+def _checksums(batches):
+    forget()
+    yield from crc32_of_ids(batches)
+
+
 def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.mapInArrow(crc32_of_ids, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pieces.mapInArrow(_checksums, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def crc32_of_ids(batches):
     for batch in batches:
         at = batch.schema.get_field_index("ids")
         lists = batch.column(at)
-        flat, bounds = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+        flat, bounds = lists.values.to_numpy(zero_copy_only=False).view("<u4"), lists.offsets.to_numpy()
         crc = [zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
         cols = [c for i, c in enumerate(batch.columns) if i != at] + [pa.array(crc, pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=[*[n for n in batch.schema.names if n != "ids"], "ids_crc32"])
