@@ -180,19 +180,29 @@ def test_scoring_base_and_whole_texts(docs, texts):
 
 def test_attention_brute_and_learns():
     from stepframe.llm import attention as A
+    from stepframe.llm import grams as G
 
     r = np.random.default_rng(0)
     seq = np.tile(np.arange(6), 3000)
     windows = np.stack([seq[i : i + A.WIDTH + 1] for i in r.integers(0, len(seq) - 40, 2000)])
-    cls, inside = A.classes_of(np.bincount(seq, minlength=8))
-    m = A.Attention(8)
-    untrained = A.Scorer(m, cls, inside).score(seq[:50], np.array([0, 50]), 7)[0]
+    cls, share = A.classes_of(np.bincount(seq, minlength=8))
+    place = np.zeros(len(seq), int)
+    place[1::2] = 1
+    g = G.Grams(*G.summed(G.grams_of(seq, place, 8), np.ones(len(seq))), cls, share)
+    m = A.Attention(np.bincount(cls, share), 8)
+    fixed, ratio = g.parts(seq[:75], place[:75])
+    end_fixed, end_ratio = (x[0] for x in g.parts(np.array([7]), np.array([0])))
+    whole = lambda n, end: A.Scorer(m, cls).score(seq[:n], np.array([0, end, n]), 7, ratio[:n], end_ratio)
+    untrained = whole(50, 50)[0]
     m.train(windows, cls)
-    ids = seq[:70]
-    assert A.Scorer(m, cls, inside).score(ids[:50], np.array([0, 50]), 7)[0] > untrained
-    got = A.Scorer(m, cls, inside).score(np.concatenate([ids, ids[:5]]), np.array([0, 70, 75]), 7)
-    for text, value in ((ids, got[0]), (ids[:5], got[1])):
-        full, total = [7, *text, 7], 0.0
+    assert whole(50, 50)[0] > untrained
+    # Mixed probabilities of all ids after any context are 1 in sum.
+    for context in ([8, 8], [8, 2], [2, 3], [5, 7]):
+        q, of_class = g.probabilities(np.array([context[0] << 40 | context[1] << 20 | i for i in range(8)]))
+        assert q.sum() == pytest.approx(1) and all(of_class[cls == c] == pytest.approx(q[cls == c].sum()) for c in set(cls))
+    got = whole(75, 70)
+    for text, value, lo, n in ((seq[:70], got[0], 0, 70), (seq[70:75], got[1], 70, 5)):
+        full, total, own = [7, *text, 7], 0.0, [*ratio[lo : lo + n], end_ratio]
         for t in range(1, len(full)):
             j = 0 if t - 1 < A.WIDTH else -(-(t - A.WIDTH) // A.STRIDE)
             ctx = np.array(full[j * A.STRIDE : t])
@@ -200,8 +210,8 @@ def test_attention_brute_and_learns():
             s = (x[-1] @ m.wq) @ (x @ m.wk).T / A.DIM**0.5
             a = np.exp(s) / np.exp(s).sum()
             z = (x[-1] + a @ (x @ m.wv)) @ m.wo + m.bo
-            total += z[cls[full[t]]] - np.log(np.exp(z).sum()) + inside[full[t]]
-        assert value == pytest.approx(total / np.log(10), rel=1e-3)
+            total += np.log1p(own[t - 1] * np.exp(z[cls[full[t]]]) / np.exp(z).sum())
+        assert value == pytest.approx(total, rel=1e-3)
 
 
 def test_trie_counts_brute(docs, texts):
