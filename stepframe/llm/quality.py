@@ -94,12 +94,13 @@ def _distance() -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0])
 
 
-def grouped(stats: DataFrame, min_group: int) -> DataFrame:
-    """Adds ``grp``: language and source; the language alone where they have under ``min_group`` rows; or one for all."""
-    both = stats.groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
-    sizes = both.join(both.groupBy("_lang").agg(F.sum("_n").alias("_m"), F.sum(F.when(F.col("_n") < min_group, F.col("_n")).otherwise(0)).alias("_small")), "_lang")
+def group_names(stats: DataFrame, min_group: int) -> DataFrame:
+    """(_lang, _source, grp) of ``stats``: language and source; the language alone where they have under ``min_group`` rows that pass
+    the base; or one for all."""
+    both = saved(stats.groupBy("_lang", "_source").agg(F.count_if(~F.col("base_failed")).alias("_n")), "sizes")
+    sizes = both.join(both.groupBy("_lang").agg(F.sum("_n").alias("_m")), "_lang")
     name = F.when(F.col("_n") >= min_group, F.concat_ws("\x1f", F.lit("2"), "_lang", "_source")).when(F.col("_m") >= min_group, F.concat_ws("\x1f", F.lit("1"), "_lang")).otherwise(F.lit("0"))
-    return stats.join(sizes.select("_lang", "_source", name.alias("grp")), ["_lang", "_source"])
+    return saved(sizes.select("_lang", "_source", name.alias("grp")), "names")
 
 
 def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
@@ -108,6 +109,8 @@ def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 3) ->
     Starts from medians and quartile ranges. Each step takes the ``share`` of rows nearest by distance (by an
     approximate percentile, which merges partial sketches, so a hot group costs no large task) and estimates mean and
     covariance from them; the determinant never rises. The covariance is scaled to be consistent for normal data.
+    Tables with a row for each group are written first, so that Spark knows their size: while they are under its broadcast
+    threshold no row of ``rows`` is shuffled, and above it Spark splits the joins' hot groups.
     """
     p = len(FEATURES)
     scale = share / chi2_cdf(chi2_quantile(share, p), p + 2)
@@ -117,7 +120,7 @@ def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 3) ->
     now = saved(_cholesky(start, scale), "mcd")
     for _ in range(steps):
         far = rows.join(now, "grp").select("grp", *FEATURES, _distance().alias("d2"))
-        near = far.groupBy("grp").agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("limit"))
+        near = saved(far.groupBy("grp").agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("limit")), "limits")
         inside = far.join(near, "grp").where("d2 <= limit")
         moments = inside.groupBy("grp").agg(*[F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)], *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
         now = saved(_cholesky(moments, scale), "mcd")
@@ -134,11 +137,9 @@ def judged(docs: DataFrame, level: float = 0.9999, min_group: int = 100, share:
     """
     rows = docs.select(key_of_id().alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"), F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source"), "text")
     stats = saved(features(statistics(rows).drop("text").withColumn("base_failed", base_failed())), "quality")
-    good = grouped(stats.where("not base_failed"), min_group)
-    good = saved(good.select("_key", "_hash", "grp", *FEATURES), "grouped")
-    estimates = minimum_covariance(good, share)
-    verdict = good.join(estimates, "grp").select("_key", "_hash", _distance().alias("distance")).distinct()
-    out = stats.join(verdict, ["_key", "_hash"], "left")
+    named = stats.join(group_names(stats, min_group), ["_lang", "_source"])
+    estimates = minimum_covariance(named.where("not base_failed").select("grp", *FEATURES), share)
+    out = named.join(estimates, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(level, len(FEATURES)))
     return out.select("_key", "_hash", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
