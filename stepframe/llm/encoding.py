@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -14,6 +15,8 @@ REMEMBERED, KEPT = 1_200_000, 400_000
 #: Letters that are one code point in normal form C, and one mark after them: two pre-tokens at most.
 PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([.,;:!?]?)\Z")
 JOINED = 500
+#: Letters given to the tokenizer at once, about; its results take many times their size.
+AT_ONCE = 200_000
 
 
 class _Index(dict):
@@ -44,7 +47,7 @@ class WordEncoder:
         self.ending = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ending[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         # A mark alone is one token.
-        self.marks = {"": -1} | {m: self._batch([m])[0][0] for m in ".,;:!?"}
+        self.marks = {"": -1} | {m: int(self._batch([m])[0][0]) for m in ".,;:!?"}
         self._forget()
 
     def _forget(self) -> None:
@@ -60,18 +63,25 @@ class WordEncoder:
         self.starts, self.lengths = self.starts[:KEPT], self.lengths[:KEPT]
         self.pool = self.pool[: int((self.starts + self.lengths).max(initial=0))]
 
-    def _batch(self, words: list[str]) -> list[list[int]]:
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and how many each text has."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in encode(words, add_special_tokens=False)]
+        flat, counts, first, size = [], [], 0, 0
+        for at, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= AT_ONCE or at == len(texts):
+                ids = [e.ids for e in encode(texts[first:at], add_special_tokens=False)]
+                counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(counts[-1].sum())))
+                first, size = at, 0
+        return (np.concatenate(flat), np.concatenate(counts)) if flat else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and lengths of words that are one pre-token each, many at a time; a word's last id ends it."""
-        joined = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        flat = np.fromiter((i for x in self._batch([" ".join(x) for x in joined]) for i in x), np.int32)
+        flat, _ = self._batch([" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
         ends = np.flatnonzero(self.ending[flat]) + 1
         if len(ends) != len(words):
-            ids = self._batch(words)
-            return np.fromiter((i for x in ids for i in x), np.int32), np.fromiter(map(len, ids), np.int64)
+            return self._batch(words)
         return flat, np.diff(ends, prepend=0)
 
     def _learn(self) -> None:
@@ -94,8 +104,7 @@ class WordEncoder:
         starts, lengths = np.zeros(at, np.int64), np.zeros(at, np.int64)
         starts[:done], lengths[:done] = self.starts, self.lengths
         pool, size = [self.pool], len(self.pool)
-        ids = self._batch([t for _, t in odd])
-        for places, flat, n in ((plain, *self._plain([t for _, t in plain])), (odd, np.fromiter((i for x in ids for i in x), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))):
+        for places, (flat, n) in ((plain, self._plain([t for _, t in plain])), (odd, self._batch([t for _, t in odd]))):
             where = np.array([p for p, _ in places], np.int64)
             starts[where], lengths[where] = size + np.cumsum(n) - n, n
             pool.append(flat)
