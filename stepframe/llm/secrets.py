@@ -152,8 +152,9 @@ def text_findings(text: str) -> list[tuple[np.ndarray, int]]:
     return out + [(window(text, a, b), 0) for a, b in candidates(text, base)]
 
 
-def corpus_findings(docs: DataFrame, sample_docs: int) -> tuple[list[tuple[np.ndarray, int]], list[str]]:
-    """Labelled windows, and a passage, of each of the ``sample_docs`` documents of least id hash (whole texts).
+def corpus_findings(docs: DataFrame, sample_docs: int, per_doc: int = 500) -> tuple[list[tuple[np.ndarray, int]], list[str]]:
+    """Labelled windows, and a passage, of each of the ``sample_docs`` documents of least id hash (whole texts);
+    at most ``per_doc`` windows of a document, base findings first.
 
     Only windows of 112 characters and passages of 200 go to the driver.
     """
@@ -169,7 +170,7 @@ def corpus_findings(docs: DataFrame, sample_docs: int) -> tuple[list[tuple[np.nd
                 text = text or ""
                 at = (doc * 7919) % max(1, len(text) - 200)
                 rows.append((doc, text[at : at + 200], None, None))
-                rows += [(doc, None, x.tobytes(), y) for x, y in text_findings(text)[:500]]
+                rows += [(doc, None, x.tobytes(), y) for x, y in text_findings(text)[:per_doc]]
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary(), pa.int32()))], names=["doc_id", "passage", "window", "label"])
 
@@ -217,9 +218,9 @@ def train(findings: list[tuple[np.ndarray, int]], recall: float = 0.95, seed: in
     return model
 
 
-def trained_on(docs: DataFrame, sample_docs: int = 2000, recall: float = 0.95) -> CharCnn:
-    """A model from labelled findings of at most ``sample_docs`` documents, and made ones."""
-    found, passages = corpus_findings(docs, sample_docs)
+def trained_on(docs: DataFrame, sample_docs: int = 2000, recall: float = 0.95, per_doc: int = 500) -> CharCnn:
+    """A model from labelled findings of at most ``sample_docs`` documents, ``per_doc`` of each, and made ones."""
+    found, passages = corpus_findings(docs, sample_docs, per_doc)
     return train(found + made_findings(passages), recall)
 
 
