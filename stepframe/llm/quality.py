@@ -14,6 +14,7 @@ WINDOW = 8
 #: Least standard deviation of each transformed statistic; keeps estimates of statistics that are mostly zero regular.
 FLOORS = {"f_length": 0.08, "f_symbols": 0.12, "f_lines": 0.15, "f_repeats": 0.15}
 FEATURES = tuple(FLOORS)
+GROUP_FILES = 4
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -94,13 +95,19 @@ def _distance() -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0])
 
 
+def _by_group(table: DataFrame, tag: str) -> DataFrame:
+    """Writes a table of a row for each group to few files: many would each add some kilobytes to what Spark takes for its
+    size when it checks whether it may broadcast it."""
+    return saved(table.repartition(GROUP_FILES), tag)
+
+
 def group_names(stats: DataFrame, min_group: int) -> DataFrame:
     """(_lang, _source, grp) of ``stats``: language and source; the language alone where they have under ``min_group`` rows that pass
     the base; or one for all."""
-    both = saved(stats.groupBy("_lang", "_source").agg(F.count_if(~F.col("base_failed")).alias("_n")), "sizes")
+    both = _by_group(stats.groupBy("_lang", "_source").agg(F.count_if(~F.col("base_failed")).alias("_n")), "sizes")
     sizes = both.join(both.groupBy("_lang").agg(F.sum("_n").alias("_m")), "_lang")
     name = F.when(F.col("_n") >= min_group, F.concat_ws("\x1f", F.lit("2"), "_lang", "_source")).when(F.col("_m") >= min_group, F.concat_ws("\x1f", F.lit("1"), "_lang")).otherwise(F.lit("0"))
-    return saved(sizes.select("_lang", "_source", name.alias("grp")), "names")
+    return _by_group(sizes.select("_lang", "_source", name.alias("grp")), "names")
 
 
 def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
@@ -110,20 +117,21 @@ def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 3) ->
     approximate percentile, which merges partial sketches, so a hot group costs no large task) and estimates mean and
     covariance from them; the determinant never rises. The covariance is scaled to be consistent for normal data.
     Tables with a row for each group are written first, so that Spark knows their size: while they are under its broadcast
-    threshold no row of ``rows`` is shuffled, and above it Spark splits the joins' hot groups.
+    threshold no row of ``rows`` is shuffled. Above it, from tens of thousands of groups, rows meet them by sort-merge joins, which
+    stream a group's rows: nothing is held, but a hot group takes longer.
     """
     p = len(FEATURES)
     scale = share / chi2_cdf(chi2_quantile(share, p), p + 2)
     q = rows.groupBy("grp").agg(*[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(f"q_{i}") for i, f in enumerate(FEATURES)])
     start = q.select("grp", *[F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in range(p)], *[(F.pow((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349, F.lit(2)) / scale if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
     start = start.select("grp", *[f"m_{i}" for i in range(p)], *[(F.col(f"c_{i}_{j}") + F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
-    now = saved(_cholesky(start, scale), "mcd")
+    now = _by_group(_cholesky(start, scale), "mcd")
     for _ in range(steps):
         far = rows.join(now, "grp").select("grp", *FEATURES, _distance().alias("d2"))
-        near = saved(far.groupBy("grp").agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("limit")), "limits")
+        near = _by_group(far.groupBy("grp").agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("limit")), "limits")
         inside = far.join(near, "grp").where("d2 <= limit")
         moments = inside.groupBy("grp").agg(*[F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)], *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
-        now = saved(_cholesky(moments, scale), "mcd")
+        now = _by_group(_cholesky(moments, scale), "mcd")
     return now
 
 
