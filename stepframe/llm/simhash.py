@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by covering locality-sensitive hashing (operator 5)."""
+"""SimHash near-duplicates by covering locality-sensitive hashing (operator 5), and the pipeline's near-duplicates."""
 
 from __future__ import annotations
 
@@ -8,10 +8,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, key_of_id, saved, whole_row
+from .common import discard, documents, key_of_id, saved, whole_row
 from .components import components
 
 BITS = 64
+#: Five-word shingles and exact Jaccard similarity of the pipeline's near-duplicates.
+SHINGLE_WORDS, SIMILARITY = 5, (4, 5)
+#: MinHash bands and hashes of each: a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32, under 5e-8.
+BANDS, BAND_HASHES = 32, 4
+#: Members of a bucket that are compared with all its others in the first round, about; twice as many in each later one.
+PROBES = 4
 
 
 def simhash(text: str | None, words: int = 3) -> int:
@@ -95,8 +101,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
     rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     classes = saved(rooted.join(least, "root").select("fp", "least"), "classes")
-    out = rows.join(classes, "fp").select("doc_id", "key", "fp", "least")
-    return out.select("doc_id", "fp", F.when(F.col("least") != key_null(), F.col("least")).alias("component"), (F.col("key") == F.col("least")).alias("is_first"))
+    return rows.join(classes, "fp").select("doc_id", "fp", F.when(F.col("least") != key_null(), F.col("least")).alias("component"))
 
 
 def key_null():
@@ -105,9 +110,92 @@ def key_null():
     return F.lit(NULL_ID).cast("long")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
-    """The document of least doc_id of each near-duplicate group, all columns; of rows that repeat its doc_id, one."""
-    chosen = near_duplicates(docs, radius, words).where("is_first").select(F.coalesce("doc_id", key_null()).alias("_key")).distinct()
+def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Distinct hashes (XXH64, seed 42), sorted, of the text's word shingles; a shorter text is one, a null text is empty."""
+    parts = text.encode("utf-8", "replace").lower().split() if text else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), 42) for i in range(max(1, len(parts) - words + 1))), np.uint64))
+
+
+def _band_keys(own: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """A key for each band of the set's least hashes."""
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 4096):
+        x = own[at : at + 4096, None] * odd + add
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, x.min(0))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND_HASHES))], np.uint64).view(np.int64)
+
+
+def add_shingles(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(key, fp, n, own, bands): hash of the set of shingles, its size, the set, and its band keys."""
+    r = np.random.default_rng(17)
+    odd = r.integers(0, 2**64, BANDS * BAND_HASHES, np.uint64) | np.uint64(1)
+    add = r.integers(0, 2**64, BANDS * BAND_HASHES, np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingles(t, words) for t in part.column("text").to_pylist()]
+                fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+                n = np.array([len(s) for s in sets], np.int64)
+                own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([_band_keys(s, odd, add) for s in sets])))
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(fp), pa.array(n), own, bands], names=["key", "fp", "n", "own", "bands"])
+
+    return docs.select(key_of_id().alias("key"), "text").mapInArrow(run, "key long, fp long, n long, own array<long>, bands array<long>")
+
+
+def similar_components(sets: DataFrame) -> DataFrame:
+    """(node, root) of the components of all pairs of ``sets`` (fp, distinct; n, own, bands) with similarity 0.8 or more.
+
+    Candidates share a band. In each round some members of a bucket, by a hash, are compared exactly with all its members
+    that aren't yet in their component; twice as many in the next, until every pair that shares a band was compared or lies
+    in one component. So a large group of near copies costs a few rows for each member, and no pair is left out.
+    """
+    num, den = SIMILARITY
+    all_members = sets.select("fp", "n", F.posexplode("bands").alias("band", "bucket"))
+    shared = all_members.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+    odds = F.shiftrightunsigned(F.xxhash64("fp", "band", F.lit(29)), 11) / F.lit(float(1 << 53))
+    members = saved(all_members.join(shared, ["band", "bucket"]).withColumn("turn", odds * F.col("size")), "members")
+    largest = members.agg(F.max("size")).first()[0]
+    candidates = saved(sets.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "own"), "sets")
+    links, roots, probes = None, None, PROBES
+    while largest:
+        now = members.withColumn("root", F.col("fp")) if roots is None else members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        mixed = now.groupBy("band", "bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "bucket")
+        now = saved(now.join(mixed, ["band", "bucket"], "left_semi"), "mixed")
+        low = 0 if probes == PROBES else probes // 2
+        probe = now.where((F.col("turn") >= low) & (F.col("turn") < probes)).select("band", "bucket", F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
+        rest = now.select("band", "bucket", F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
+        near_size = (den * F.least("nu", "nv") >= num * F.greatest("nu", "nv")) & (F.col("ru") != F.col("rv"))
+        pairs = saved(probe.join(rest, ["band", "bucket"]).where(near_size).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv").dropDuplicates(["u", "v"]), "pairs")
+        met = pairs.join(candidates.select(F.col("fp").alias("u"), F.col("own").alias("own_u")), "u").join(candidates.select(F.col("fp").alias("v"), F.col("own").alias("own_v")), "v")
+        common = F.size(F.array_intersect("own_u", "own_v"))
+        new = met.where((num + den) * common >= num * (F.col("nu") + F.col("nv"))).select("u", "v")
+        links = saved(new if links is None else links.union(new), "similar")
+        discard(now)
+        discard(pairs)
+        roots = saved(components(links), "roots")
+        if probes >= largest:
+            break
+        probes *= 2
+    return roots if roots is not None else sets.select(F.col("fp").alias("node"), F.col("fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """The document of least doc_id of each group of near-duplicates, all columns; of rows that repeat its doc_id, one.
+
+    Near-duplicates: word shingles with Jaccard similarity 0.8 or more, through any chain. Equal sets are first reduced
+    to one. Null and empty texts are alike.
+    """
+    rows = saved(add_shingles(docs, words), "shingles")
+    sets = saved(rows.groupBy("fp").agg(F.min("key").alias("first")), "sets")
+    distinct = rows.join(sets, (rows["fp"] == sets["fp"]) & (rows["key"] == sets["first"])).select(rows["fp"], "n", "own", "bands").dropDuplicates(["fp"])
+    found = similar_components(saved(distinct, "distinct"))
+    rooted = sets.join(found, sets["fp"] == found["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("_key")).select("_key").distinct()
     kept = docs.select(whole_row(docs), key_of_id().alias("_key")).join(chosen, "_key", "left_semi")
     return kept.dropDuplicates(["_key"]).select("row.*")
 
@@ -117,4 +205,4 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-__all__ = ["add_simhash", "covering_masks", "keep_one", "near_duplicates", "near_links", "op5_simhash", "simhash"]
+__all__ = ["add_simhash", "covering_masks", "keep_one", "near_duplicates", "near_links", "op5_simhash", "shingles", "simhash"]

@@ -165,6 +165,36 @@ def test_covering_links(spark):
     assert all(any(m & (1 << i | 1 << j) == 0 for m in masks) for i in range(64) for j in range(i))
 
 
+def test_pipeline_near_copies_brute(spark):
+    """What the stage keeps is what brute-force Jaccard of five-word shingles keeps."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    fresh = lambda: f"w{r.randint(0, 10**6)}"
+    texts = ["", "a b", "A  b", "a c"]
+    for _ in range(12):
+        base = [fresh() for _ in range(r.choice([30, 80, 300]))]
+        texts.append(" ".join(base))
+        for share in (0.01, 0.02, 0.03, 0.05, 0.1):
+            texts.append(" ".join(fresh() if r.random() < share else w for w in base))
+    chain = [fresh() for _ in range(200)]
+    for i in range(40):
+        texts.append(" ".join(chain))
+        chain[(i * 37) % 200] = fresh()
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    up = list(range(len(sets)))
+    find = lambda i: i if up[i] == i else find(up[i])
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    want = {find(i) for i in range(len(sets))}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in corpus_pipeline.simhash_near_dedup(spark, rows, "").collect()} == want
+    assert len(want) < 60
+
+
 def test_scoring_base_and_whole_texts(docs, texts):
     rows = {r.doc_id: r for r in scoring.scores(docs).collect()}
     held = {i: zlib.crc32(str(3 * i).encode()) % 7 == 2 for i in range(len(texts))}
