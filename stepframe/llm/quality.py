@@ -102,12 +102,17 @@ def _by_group(table: DataFrame, tag: str) -> DataFrame:
 
 
 def group_names(stats: DataFrame, min_group: int) -> DataFrame:
-    """(_lang, _source, grp) of ``stats``: language and source; the language alone where they have under ``min_group`` rows that pass
-    the base; or one for all."""
+    """(_lang, _source, grp, feeds) of ``stats``: grp, whose estimates judge the rows, is language and source; the language alone
+    where they have under ``min_group`` rows that pass the base; or one for all. feeds: the groups whose estimates the rows
+    enter, so that those of a language, or of all, come from all of its rows, whatever group judges them."""
     both = _by_group(stats.groupBy("_lang", "_source").agg(F.count_if(~F.col("base_failed")).alias("_n")), "sizes")
     sizes = both.join(both.groupBy("_lang").agg(F.sum("_n").alias("_m")), "_lang")
-    name = F.when(F.col("_n") >= min_group, F.concat_ws("\x1f", F.lit("2"), "_lang", "_source")).when(F.col("_m") >= min_group, F.concat_ws("\x1f", F.lit("1"), "_lang")).otherwise(F.lit("0"))
-    return _by_group(sizes.select("_lang", "_source", name.alias("grp")), "names")
+    by_lang = F.concat_ws("\x1f", F.lit("1"), "_lang")
+    name = F.when(F.col("_n") >= min_group, F.concat_ws("\x1f", F.lit("2"), "_lang", "_source")).when(F.col("_m") >= min_group, by_lang).otherwise(F.lit("0"))
+    names = _by_group(sizes.select("_lang", "_source", name.alias("grp")), "names")
+    used = names.join(names.groupBy("_lang").agg(F.max(F.col("grp") == by_lang).alias("_by_lang")), "_lang").crossJoin(F.broadcast(names.agg(F.max(F.col("grp") == "0").alias("_by_all"))))
+    feeds = F.array_distinct(F.array_compact(F.array("grp", F.when(F.col("_by_lang"), by_lang), F.when(F.col("_by_all"), F.lit("0")))))
+    return _by_group(used.select("_lang", "_source", "grp", feeds.alias("feeds")), "feeds")
 
 
 def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
@@ -140,13 +145,13 @@ def judged(docs: DataFrame, level: float = 0.9999, min_group: int = 100, share:
 
     A row that passes the base is rejected if its squared Mahalanobis distance from its group's robust centre passes the
     chi-squared quantile of ``level``. Null texts are empty and fail the base; null lang and source are the empty string;
-    a group that is too small uses its language's or the overall estimates; repeated rows each get a row; an empty table
+    a group that is too small uses the estimates of all its language's rows, or of all rows; repeated rows each get a row; an empty table
     gives no rows. Texts are read once; what follows works on a table of numbers in the shared folder.
     """
     rows = docs.select(key_of_id().alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"), F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source"), "text")
     stats = saved(features(statistics(rows).drop("text").withColumn("base_failed", base_failed())), "quality")
     named = stats.join(group_names(stats, min_group), ["_lang", "_source"])
-    estimates = minimum_covariance(named.where("not base_failed").select("grp", *FEATURES), share)
+    estimates = minimum_covariance(named.where("not base_failed").select(F.explode("feeds").alias("grp"), *FEATURES), share)
     out = named.join(estimates, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(level, len(FEATURES)))
     return out.select("_key", "_hash", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -300,6 +300,19 @@ def test_quality_rejects_outliers(spark):
     assert not any(got[1000 + i] for i in range(5)) and sum(got[i] for i in range(300)) >= 298
 
 
+def test_quality_small_groups_use_all_rows_of_their_level(spark):
+    """Rows of a small source are judged by all rows of their language, those of a small language by all rows."""
+    r = random.Random(2)
+    clean = lambda: " ".join("abcdefgh"[: r.randint(3, 8)] + str(r.randint(0, 999)) for _ in range(60))
+    junk = " ".join("word###" + str(j) for j in range(60))
+    rows = [(i, clean(), "en", "hot") for i in range(300)]
+    rows += [(1000 + i, clean(), "en", f"rare{i % 3}") for i in range(6)] + [(1100, clean(), "xx", "s")]
+    rows += [(2000 + i, junk + str(i), "en", "bad") for i in range(3)] + [(2100 + i, junk + str(i), "yy", "s") for i in range(3)]
+    got = {x.doc_id: x for x in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(x.base_failed for x in got.values()) and not any(x.kept for i, x in got.items() if i >= 2000)
+    assert all(got[1000 + i].kept for i in range(6)) and got[1100].kept
+
+
 @pytest.mark.parametrize("large", [2, 50_000])
 def test_substrings_brute(docs, texts, large):
     words = [t.encode().split() for t in texts]
