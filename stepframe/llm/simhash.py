@@ -128,7 +128,7 @@ def _band_keys(own: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def add_shingles(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(key, fp, n, own, bands): hash of the set of shingles, its size, the set, and its band keys."""
+    """(key, hash, fp, n, own, bands): hash of the text, hash of the set of shingles, its size, the set, and its band keys."""
     r = np.random.default_rng(17)
     odd = r.integers(0, 2**64, BANDS * BAND_HASHES, np.uint64) | np.uint64(1)
     add = r.integers(0, 2**64, BANDS * BAND_HASHES, np.uint64)
@@ -142,9 +142,9 @@ def add_shingles(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([_band_keys(s, odd, add) for s in sets])))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(fp), pa.array(n), own, bands], names=["key", "fp", "n", "own", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("hash"), pa.array(fp), pa.array(n), own, bands], names=["key", "hash", "fp", "n", "own", "bands"])
 
-    return docs.select(key_of_id().alias("key"), "text").mapInArrow(run, "key long, fp long, n long, own array<long>, bands array<long>")
+    return docs.select(key_of_id().alias("key"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "key long, hash long, fp long, n long, own array<long>, bands array<long>")
 
 
 def similar_components(sets: DataFrame) -> DataFrame:
@@ -185,19 +185,20 @@ def similar_components(sets: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """The document of least doc_id of each group of near-duplicates, all columns; of rows that repeat its doc_id, one.
+    """One document of each group of near-duplicates, all columns: that of least doc_id, of these the one of least text hash.
 
     Near-duplicates: word shingles with Jaccard similarity 0.8 or more, through any chain. Equal sets are first reduced
-    to one. Null and empty texts are alike.
+    to one. Null and empty texts are alike. A null doc_id counts as the least id; rows of null or equal doc_id with texts
+    of other groups stay.
     """
     rows = saved(add_shingles(docs, words), "shingles")
-    sets = saved(rows.groupBy("fp").agg(F.min("key").alias("first")), "sets")
-    distinct = rows.join(sets, (rows["fp"] == sets["fp"]) & (rows["key"] == sets["first"])).select(rows["fp"], "n", "own", "bands").dropDuplicates(["fp"])
+    sets = saved(rows.groupBy("fp").agg(F.min(F.struct("key", "hash")).alias("first")), "sets")
+    distinct = rows.join(sets, (rows["fp"] == sets["fp"]) & (F.struct(rows["key"], rows["hash"]) == sets["first"])).select(rows["fp"], "n", "own", "bands").dropDuplicates(["fp"])
     found = similar_components(saved(distinct, "distinct"))
     rooted = sets.join(found, sets["fp"] == found["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("_key")).select("_key").distinct()
-    kept = docs.select(whole_row(docs), key_of_id().alias("_key")).join(chosen, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select("row.*")
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"), F.col("first.hash").alias("_hash"))
+    kept = docs.select(whole_row(docs), key_of_id().alias("_key"), F.xxhash64("text").alias("_hash")).join(chosen, ["_key", "_hash"], "left_semi")
+    return kept.dropDuplicates(["_key", "_hash"]).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,10 @@ def test_defined_results(odd):
     cut = {r.doc_id: r for r in substrings.remove_repeats(odd.where("doc_id in (3, 9)")).collect()}
     assert cut[3].n_removed == 0 and cut[9].n_removed == 20_000 and cut[9].kept == "tail"
     assert quality.judged(odd).where(F.col("kept") & (F.col("n_words") < 20)).count() == 0
+
+
+def test_near_dedup_keeps_unrelated_rows_of_one_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[0]), (5, texts[2]), (6, texts[1] + " x")], "doc_id long, text string")
+    got = simhash.keep_one(rows).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, texts[0]), (0, texts[1]), (5, texts[2])]
