@@ -17,6 +17,8 @@ from .encoding import encoder, slices
 MARGINS = ("source", "lang", "topic")
 #: Cells up to which raking runs on the driver (a row of about 100 bytes each); beyond it, as DataFrame joins.
 DRIVER_CELLS = 100_000
+#: Raking, on the driver or not, ends after so many rounds, or when no marginal share was off by as much as the tolerance.
+ROUNDS, TOLERANCE = 100, 1e-9
 
 
 def _topic_table(topics: int, buckets: int, seed: int) -> np.ndarray:
@@ -83,7 +85,7 @@ def tempered(shares: dict, power: float) -> dict:
     return {k: v / sum(raised.values()) for k, v in raised.items()}
 
 
-def rake(cells: pd.DataFrame, targets: dict[str, dict], rounds: int = 100, tolerance: float = 1e-9) -> np.ndarray:
+def rake(cells: pd.DataFrame, targets: dict[str, dict], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Weights of ``cells`` (margin columns, tokens) that sum to 1 and have the target marginals as nearly as they can.
 
     Each pass scales the weights of a margin's values to its targets. Values without a target get weight 0; targets
@@ -107,17 +109,26 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict], rounds: int = 100, toler
     return w / max(w.sum(), 1e-300)
 
 
-def rake_table(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30) -> DataFrame:
-    """The same on a table of any size: adds ``weight``. ``targets``: for each margin, a table (margin, share)."""
-    now = saved(cells.withColumn("weight", F.col("tokens").cast("double")), "raked")
+def rake_table(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same on a table of any size, with the same end: adds ``weight``. ``targets``: for each margin, a table (margin, share)."""
+    total = F.greatest(F.col("_all"), F.lit(1e-300))
+    first = cells.crossJoin(F.broadcast(cells.agg(F.sum("tokens").cast("double").alias("_all"))))
+    now = saved(first.select(*cells.columns, (F.col("tokens") / total).alias("weight"), F.lit(0.0).alias("_moved")), "raked")
     for _ in range(rounds):
-        out = now
+        out, used = now.withColumn("_moved", F.lit(0.0)), [now]
         for m, target in targets.items():
-            sums = out.groupBy(m).agg(F.sum("weight").alias("_now"))
-            out = out.join(sums, m).join(target, m, "left").withColumn("weight", F.when(F.col("_now") > 0, F.col("weight") * F.coalesce("share", F.lit(0.0)) / F.col("_now")).otherwise(0.0)).select(*cells.columns, "weight")
-        before, now = now, saved(out, "raked")
-        discard(before)
-    return now
+            # Written, so that the next margin doesn't compute the ones before it again.
+            sums = saved(out.groupBy(m).agg(F.sum("weight").alias("_now")).join(target, m, "left").select(m, "_now", F.when(F.col("_now") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0).alias("_want")), "sums")
+            used.append(sums)
+            wanted = sums.crossJoin(F.broadcast(sums.agg(F.sum("_want").alias("_all")))).select(m, "_now", (F.col("_want") / total).alias("_want"))
+            factor = F.when(F.col("_now") > 0, F.col("_want") / F.col("_now")).otherwise(0.0)
+            out = out.join(wanted, m).select(*cells.columns, (F.col("weight") * factor).alias("weight"), F.greatest("_moved", F.abs(F.col("_now") - F.col("_want"))).alias("_moved"))
+        now = saved(out, "raked")
+        for table in used:
+            discard(table)
+        if (now.agg(F.max("_moved")).first()[0] or 0.0) < tolerance:
+            break
+    return now.drop("_moved")
 
 
 def inclusion(cells: DataFrame, targets: dict[str, dict] | None, power: float, driver_cells: int = DRIVER_CELLS) -> DataFrame:

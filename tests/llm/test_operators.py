@@ -279,6 +279,14 @@ def test_raking_margins(docs):
     assert both.weight_x.tolist() == pytest.approx(both.weight_y.tolist(), abs=1e-6)
 
 
+def test_raking_ends_alike_on_both_paths(spark):
+    """Margins so correlated that 30 rounds are far from enough."""
+    cells = spark.createDataFrame([("a", "x", "t0", 100_000), ("a", "y", "t0", 400), ("b", "x", "t0", 400), ("b", "y", "t0", 100_000), ("c", "z", "t0", 50)], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.3, "b": 0.7, "gone": 0.2}, "lang": {"x": 0.45, "y": 0.55}}
+    small, wide = ({(r.source, r.lang): r.weight for r in mixing.inclusion(cells, targets, 0.9, n).collect()} for n in (100, 0))
+    assert wide == pytest.approx(small, abs=1e-9) and wide["c", "z"] == 0
+
+
 def test_quality_statistics_brute(docs, texts):
     rows = {r.doc_id: r for r in quality.judged(docs, min_group=5).collect()}
     for i, t in enumerate(texts):
