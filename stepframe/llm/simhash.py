@@ -128,39 +128,54 @@ def _band_keys(own: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def add_shingles(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(key, hash, fp, n, own, bands): hash of the text, hash of the set of shingles, its size, the set, and its band keys."""
+    """(key, hash, fp, n, bands): hash of the text, hash of its set of shingles, the set's size and band keys."""
     r = np.random.default_rng(17)
     odd = r.integers(0, 2**64, BANDS * BAND_HASHES, np.uint64) | np.uint64(1)
     add = r.integers(0, 2**64, BANDS * BAND_HASHES, np.uint64)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            fp, n, bands = [], [], []
+            for text in batch.column("text"):
+                own = shingles(text.as_py(), words)
+                fp.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                n.append(len(own))
+                bands.append(_band_keys(own, odd, add))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("hash"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), keys], names=["key", "hash", "fp", "n", "bands"])
+
+    return docs.select(key_of_id().alias("key"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "key long, hash long, fp long, n long, bands array<long>")
+
+
+def shingle_sets(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(fp, own) of (fp, text): the set of shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
                 sets = [shingles(t, words) for t in part.column("text").to_pylist()]
-                fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-                n = np.array([len(s) for s in sets], np.int64)
-                own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([_band_keys(s, odd, add) for s in sets])))
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("hash"), pa.array(fp), pa.array(n), own, bands], names=["key", "hash", "fp", "n", "own", "bands"])
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("fp"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["fp", "own"])
 
-    return docs.select(key_of_id().alias("key"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "key long, hash long, fp long, n long, own array<long>, bands array<long>")
+    return texts.select("fp", "text").mapInArrow(run, "fp long, own array<long>")
 
 
-def similar_components(sets: DataFrame) -> DataFrame:
-    """(node, root) of the components of all pairs of ``sets`` (fp, distinct; n, own, bands) with similarity 0.8 or more.
+def similar_components(prints: DataFrame, sets_of) -> DataFrame:
+    """(node, root) of the components of all pairs of ``prints`` (fp, distinct; n, bands) with similarity 0.8 or more.
+    ``sets_of`` gives (fp, own), the sets of a table of fp.
 
     Candidates share a band. In each round some members of a bucket, by a hash, are compared exactly with all its members
     that aren't yet in their component; twice as many in the next, until every pair that shares a band was compared or lies
     in one component. So a large group of near copies costs a few rows for each member, and no pair is left out.
     """
     num, den = SIMILARITY
-    all_members = sets.select("fp", "n", F.posexplode("bands").alias("band", "bucket"))
+    all_members = prints.select("fp", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = all_members.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     odds = F.shiftrightunsigned(F.xxhash64("fp", "band", F.lit(29)), 11) / F.lit(float(1 << 53))
     members = saved(all_members.join(shared, ["band", "bucket"]).withColumn("turn", odds * F.col("size")), "members")
     largest = members.agg(F.max("size")).first()[0]
-    candidates = saved(sets.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "own"), "sets")
+    candidates = saved(sets_of(saved(members.select("fp").distinct(), "candidates")), "sets")
     links, roots, probes = None, None, PROBES
     while largest:
         now = members.withColumn("root", F.col("fp")) if roots is None else members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -181,7 +196,7 @@ def similar_components(sets: DataFrame) -> DataFrame:
         if probes >= largest:
             break
         probes *= 2
-    return roots if roots is not None else sets.select(F.col("fp").alias("node"), F.col("fp").alias("root"))
+    return roots if roots is not None else prints.select(F.col("fp").alias("node"), F.col("fp").alias("root"))
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -191,11 +206,16 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     to one. Null and empty texts are alike. A null doc_id counts as the least id; rows of null or equal doc_id with texts
     of other groups stay.
     """
-    rows = saved(add_shingles(docs, words), "shingles")
-    sets = saved(rows.groupBy("fp").agg(F.min(F.struct("key", "hash")).alias("first")), "sets")
-    distinct = rows.join(sets, (rows["fp"] == sets["fp"]) & (F.struct(rows["key"], rows["hash"]) == sets["first"])).select(rows["fp"], "n", "own", "bands").dropDuplicates(["fp"])
-    found = similar_components(saved(distinct, "distinct"))
-    rooted = sets.join(found, sets["fp"] == found["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    prints = saved(add_shingles(docs, words).groupBy("fp").agg(F.min(F.struct("key", "hash")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "prints")
+
+    def sets_of(fps):
+        # Texts are read again: sets of all documents would take more room than the texts.
+        wanted = saved(prints.join(fps, "fp", "left_semi").select("fp", F.col("first.key").alias("key"), F.col("first.hash").alias("hash")).repartition(4), "wanted")
+        texts = docs.select(key_of_id().alias("key"), F.xxhash64("text").alias("hash"), "text").join(wanted, ["key", "hash"])
+        return shingle_sets(texts.groupBy("fp").agg(F.first("text").alias("text")), words)
+
+    found = similar_components(prints.select("fp", "n", "bands"), sets_of)
+    rooted = prints.join(found, prints["fp"] == found["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"), F.col("first.hash").alias("_hash"))
     kept = docs.select(whole_row(docs), key_of_id().alias("_key"), F.xxhash64("text").alias("_hash")).join(chosen, ["_key", "_hash"], "left_semi")
     return kept.dropDuplicates(["_key", "_hash"]).select("row.*")
