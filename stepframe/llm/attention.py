@@ -53,10 +53,14 @@ class Attention:
             at += p.size
         return self
 
-    def train(self, windows: np.ndarray, cls: np.ndarray, rate: float = 0.08, batch: int = 64) -> np.ndarray:
-        """One pass over windows of WIDTH+1 ids (-1: none) by Adagrad; gives how often each id was an input."""
+    def fresh(self) -> list[np.ndarray]:
+        return [np.full(p.shape, 0.02, np.float32) for p in self.parts()]
+
+    def train(self, windows: np.ndarray, cls: np.ndarray, rate: float = 0.08, batch: int = 64, state: list | None = None) -> np.ndarray:
+        """One pass over windows of WIDTH+1 ids (-1: none) by Adagrad; gives how often each id was an input. ``state``, from
+        ``fresh``, carries Adagrad's sums from one call to the next."""
         seen = np.bincount(windows[:, :-1][windows[:, :-1] >= 0], minlength=len(self.embed))
-        state = [np.full(p.shape, 0.02, np.float32) for p in self.parts()]
+        state = self.fresh() if state is None else state
         for at in range(0, len(windows), batch):
             w = windows[at : at + batch]
             ids, goal = np.maximum(w[:, :-1], 0), w[:, 1:]

@@ -18,8 +18,6 @@ from .grams import Grams, PieceParts, grams_of, grams_of_pieces, summed
 HEAVY_SHARE = 1 / 2_000_000
 #: Grams of ids counted more often than this part of all grams go to the tasks; there are at most as many as its inverse.
 GRAM_SHARE = 1 / 4_000_000
-#: One training window for so many ids of a training text, one at least.
-WINDOW_EVERY = 512
 #: Rows that hold sums of model parameters on their way to the driver.
 MERGED = 8
 
@@ -57,7 +55,7 @@ def _hashes_of(enc) -> _WordHashes:
 _BATCH = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("window", pa.list_(pa.int32()))])
 
 
-def _gather(path: str, end_id: int, every: int):
+def _gather(path: str, end_id: int):
     """Of training texts, summed within each task: word counts (kind 0), id counts (1), training windows (2), the number
     of texts (3), counts of grams of ids within words (4)."""
 
@@ -96,13 +94,10 @@ def _gather(path: str, end_id: int, every: int):
                 ids, bounds = enc.ids(pieces, counts)
                 tokens += np.bincount(ids, minlength=len(tokens))
                 length = np.diff(bounds) + 1
-                take = 1 + length // every
+                # Windows follow one another, so each id of a text, and its end, is a target once.
+                take = -(-length // WIDTH)
                 text = np.repeat(np.arange(len(texts)), take)
-                j = np.arange(len(text)) - np.repeat(np.cumsum(take) - take, take)
-                # Spread over the whole text; the place within its part follows from the text's length and the window's number.
-                low = j * every
-                span = np.maximum(np.minimum(every, length[text] - low) - WIDTH, 0) + 1
-                start = np.minimum(low, np.maximum(length[text] - 1, 0)) + (length[text] * 7919 + j * 104_729) % span
+                start = (np.arange(len(text)) - np.repeat(np.cumsum(take) - take, take)) * WIDTH
                 seq = np.insert(ids, bounds, end_id)
                 at = start[:, None] + np.arange(WIDTH + 1)
                 live = at <= length[text][:, None]
@@ -123,21 +118,20 @@ def _gather(path: str, end_id: int, every: int):
 _MODEL = "part int, weights binary, seen binary, rows long"
 
 
-def _fit(sent, cls, vocabulary: int, parity: int):
+def _fit(sent, cls, vocabulary: int):
     def run(batches):
-        rows = []
+        model, seen, n = Attention(np.ones(0), vocabulary).load(sent.value), np.zeros(vocabulary, np.int64), 0
+        state = model.fresh()
         for batch in batches:
-            lists = batch.column("window")
-            rows.append(lists.values.to_numpy().reshape(-1, WIDTH + 1)[parity::2])
-        windows = np.concatenate(rows) if rows else np.zeros((0, WIDTH + 1), np.int32)
-        if len(windows):
-            model = Attention(np.ones(0), vocabulary).load(sent.value)
+            windows = batch.column("window").flatten().to_numpy().reshape(-1, WIDTH + 1)
             order = np.random.default_rng(len(windows)).permutation(len(windows))
-            seen = model.train(windows[order], cls.value)
+            seen += model.train(windows[order], cls.value, state=state)
+            n += len(windows)
+        if n:
             flat = np.frombuffer(model.to_bytes(), np.float32).astype(np.float64)
             size = model.embed.size
-            weights = np.concatenate([flat[:size] * np.repeat(seen, size // vocabulary), flat[size:] * len(windows)])
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % MERGED], pa.int32()), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([seen.astype(np.int64).tobytes()], pa.binary()), pa.array([len(windows)], pa.int64())], names=["part", "weights", "seen", "rows"])
+            weights = np.concatenate([flat[:size] * np.repeat(seen, size // vocabulary), flat[size:] * n])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % MERGED], pa.int32()), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["part", "weights", "seen", "rows"])
 
     return run
 
@@ -153,16 +147,16 @@ def _add(batches):
 
 
 def fit_attention(windows: DataFrame, counts: np.ndarray, rounds: int = 2) -> tuple[Attention, np.ndarray, np.ndarray]:
-    """(model, class of each id, share of each id). Train on all windows, in parallel: in each round every task trains on its share from the same parameters, and the
+    """(model, class of each id, share of each id). Train on all windows, in parallel: in each round every task trains on all of its own, batch by batch, from the same parameters, and the
     parameters are averaged, embeddings weighted by how often a task saw the id. Sums meet in ``MERGED`` rows, the only
     thing that reaches the driver (about 4 MB each, whatever the input)."""
     spark = windows.sparkSession
     cls, share = classes_of(counts)
     model = Attention(np.bincount(cls, share), len(counts))
     sent_cls = spark.sparkContext.broadcast(cls)
-    for r in range(rounds):
+    for _ in range(rounds):
         sent = spark.sparkContext.broadcast(np.frombuffer(model.to_bytes(), np.float32))
-        sums = windows.mapInArrow(_fit(sent, sent_cls, len(counts), r % 2), _MODEL).repartition(MERGED, "part").mapInArrow(_add, _MODEL).collect()
+        sums = windows.mapInArrow(_fit(sent, sent_cls, len(counts)), _MODEL).repartition(MERGED, "part").mapInArrow(_add, _MODEL).collect()
         if not sums:
             continue
         weights = sum(np.frombuffer(bytes(x.weights), np.float32).astype(np.float64) for x in sums)
@@ -234,7 +228,7 @@ def scores(docs: DataFrame, tokenizer: str | None = None, end_id: int = 49407) -
     window, mixed with the class by counts of ids within words; its probability within the class from these counts, of
     up to three ids, in Witten-Bell steps. Words are counted by 64-bit hashes.
 
-    All training texts are counted, and give windows in proportion to their length. Counts are summed in the tasks
+    All training texts are counted, and each of their ids is a target of one window. Counts are summed in the tasks
     before the shuffle. Words over ``HEAVY_SHARE`` of all tokens, at most its inverse in number, go to the tasks as a
     table, as do grams over ``GRAM_SHARE``; only the others of a document are shuffled to meet their counts, so no word has many rows. Null texts are
     empty: one end. Rows that repeat a doc_id each get a row. Without training texts all words are unknown. An empty
@@ -243,7 +237,7 @@ def scores(docs: DataFrame, tokenizer: str | None = None, end_id: int = 49407) -
     path = tokenizer or tokenizer_path()
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_held_out().alias("held"))
-    got = saved(rows.where("not held").select("text").mapInArrow(_gather(path, end_id, WINDOW_EVERY), "kind int, key long, n long, window array<int>"), "gathered")
+    got = saved(rows.where("not held").select("text").mapInArrow(_gather(path, end_id), "kind int, key long, n long, window array<int>"), "gathered")
     counts = saved(got.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")), "words")
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = got.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

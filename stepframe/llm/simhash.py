@@ -181,6 +181,8 @@ def similar_components(prints: DataFrame, sets_of) -> DataFrame:
         now = members.withColumn("root", F.col("fp")) if roots is None else members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         mixed = now.groupBy("band", "bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "bucket")
         now = saved(now.join(mixed, ["band", "bucket"], "left_semi"), "mixed")
+        if now.isEmpty():
+            break
         low = 0 if probes == PROBES else probes // 2
         probe = now.where((F.col("turn") >= low) & (F.col("turn") < probes)).select("band", "bucket", F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
         rest = now.select("band", "bucket", F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))

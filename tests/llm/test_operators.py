@@ -208,6 +208,24 @@ def test_scoring_base_and_whole_texts(docs, texts):
         assert r.base_score == pytest.approx(base) and r.score < 0
 
 
+def test_training_windows_cover_every_id(spark, docs, texts):
+    from stepframe.llm.encoding import encoder
+
+    path, end = tokenizer_path(), 49407
+    rows = docs.coalesce(1).select("text").mapInArrow(scoring._gather(path, end), "kind int, key long, n long, window array<int>").where("kind = 2").collect()
+    targets = Counter(i for x in rows for i in x.window[1:] if i >= 0)
+    ids, _ = encoder(path).encode([t.encode().lower().decode() for t in texts])
+    assert targets == Counter(ids.tolist()) + Counter({end: len(texts)})
+    windows = spark.createDataFrame([(x.window,) for x in rows], "window array<int>")
+    sc = spark.sparkContext
+    from stepframe.llm.attention import Attention, classes_of
+
+    cls, share = classes_of(np.bincount(ids, minlength=49408))
+    sent = sc.broadcast(np.frombuffer(Attention(np.bincount(cls, share), 49408).to_bytes(), np.float32))
+    fitted = windows.mapInArrow(scoring._fit(sent, sc.broadcast(cls), 49408), scoring._MODEL).select("rows").collect()
+    assert sum(x.rows for x in fitted) == len(rows)
+
+
 def test_attention_brute_and_learns():
     from stepframe.llm import attention as A
     from stepframe.llm import grams as G
