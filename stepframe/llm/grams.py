@@ -99,11 +99,24 @@ class Grams:
         return np.log(q * (1 - weight))[at], (weight / (1 - weight) / of_class).astype(np.float32)[at]
 
 
+def piece_ends(closed: np.ndarray, counts: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities that a piece ends, and that it goes on, after each id that can end one (0 after the others).
+
+    ``closed``: how often each id is a piece's last, of its ``counts``; one more occurrence has the share of all ids.
+    """
+    n, own = counts[ending], closed[ending]
+    share = (own.sum() + 1) / (n.sum() + 2)
+    ends, on = np.zeros(len(counts)), np.zeros(len(counts))
+    ends[ending], on[ending] = np.log((own + share) / (n + 1)), np.log((n - own + 1 - share) / (n + 1))
+    return ends, on
+
+
 class PieceParts:
-    """Sums of ``fixed`` by piece and ``ratio`` by id for the encoder's pieces, made once for each piece."""
+    """Sums of ``fixed`` by piece and ``ratio`` by id for the encoder's pieces, made once for each piece; ``fixed`` holds
+    whether the piece ends or goes on after each id, by ``piece_ends``."""
 
-    def __init__(self, enc, grams: Grams):
-        self.enc, self.grams, self.index = enc, grams, None
+    def __init__(self, enc, grams: Grams, ends: np.ndarray, on: np.ndarray):
+        self.enc, self.grams, self.ends, self.on, self.index = enc, grams, ends, on, None
 
     def update(self) -> None:
         enc = self.enc
@@ -118,7 +131,9 @@ class PieceParts:
         for at in range(done, end, PIECES):
             n = enc.lengths[at : at + PIECES]
             where, place = laid_out(enc.starts[at : at + PIECES], n)
-            own, ratio[where] = self.grams.parts(enc.pool[where], place)
+            ids = enc.pool[where]
+            own, ratio[where] = self.grams.parts(ids, place)
+            own = own + np.where(place + 1 == np.repeat(n, n), self.ends[ids], self.on[ids])
             fixed[at : at + len(n)] = np.bincount(np.repeat(np.arange(len(n)), n), own, len(n))
         self.fixed, self.ratio = fixed, ratio
 

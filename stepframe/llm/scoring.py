@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .attention import WIDTH, Attention, Scorer, classes_of
 from .common import documents, saved, tokenizer_path
 from .encoding import encoder, give_back, slices
-from .grams import Grams, PieceParts, grams_of, grams_of_pieces, summed
+from .grams import Grams, PieceParts, grams_of, grams_of_pieces, piece_ends, summed
 
 #: Words counted more often than this part of all tokens go to the tasks; there are at most as many as its inverse.
 HEAVY_SHARE = 1 / 2_000_000
@@ -57,7 +57,7 @@ _BATCH = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())
 
 def _gather(path: str, end_id: int):
     """Of training texts, summed within each task: word counts (kind 0), id counts (1), training windows (2), the number
-    of texts (3), counts of grams of ids within words (4)."""
+    of texts (3), counts of grams of ids within words (4), how often each id is the last of a piece (5)."""
 
     def run(batches):
         enc = encoder(path)
@@ -74,6 +74,8 @@ def _gather(path: str, end_id: int):
             # Of the pieces counted so far, as the encoder may have numbered them anew since.
             used = np.flatnonzero(totals)
             yield rows(0, hashes.hashes[used], totals[used])
+            full = used[enc_lengths[used] > 0]
+            yield rows(5, *summed(enc_pool[enc_starts[full] + enc_lengths[full] - 1].astype(np.int64), totals[full]))
             yield rows(4, *grams_of_pieces(enc_pool, enc_starts[used], enc_lengths[used], totals[used], len(tokens)))
 
         hashes = _hashes_of(enc)
@@ -179,8 +181,8 @@ _SCORERS: dict[int, tuple] = {}
 def _scorer_of(enc, sent) -> tuple[Scorer, PieceParts]:
     """The worker's scorer, and parts by piece, for a model that was sent; kept from task to task."""
     if _SCORERS.get(id(enc), [None])[0] is not sent:
-        model, cls, share, keys, counts = sent
-        _SCORERS[id(enc)] = sent, Scorer(model, cls), PieceParts(enc, Grams(keys, counts, cls, share))
+        model, cls, share, keys, counts, ends, on = sent
+        _SCORERS[id(enc)] = sent, Scorer(model, cls), PieceParts(enc, Grams(keys, counts, cls, share), ends, on)
     return _SCORERS[id(enc)][1:]
 
 
@@ -226,7 +228,8 @@ def scores(docs: DataFrame, tokenizer: str | None = None, end_id: int = 49407) -
     Base: add-one unigram probabilities of lower-cased words and an end, from all training texts. Score: probability of
     the text's subword ids and an end. An id's class comes from the attention model, given the ids before it in its
     window, mixed with the class by counts of ids within words; its probability within the class from these counts, of
-    up to three ids, in Witten-Bell steps. Words are counted by 64-bit hashes.
+    up to three ids, in Witten-Bell steps. After each id that can end a piece between white space, whether it does is
+    charged too, by training counts of that id. Words are counted by 64-bit hashes.
 
     All training texts are counted, and each of their ids is a target of one window. Counts are summed in the tasks
     before the shuffle. Words over ``HEAVY_SHARE`` of all tokens, at most its inverse in number, go to the tasks as a
@@ -245,13 +248,16 @@ def scores(docs: DataFrame, tokenizer: str | None = None, end_id: int = 49407) -
     tokens = got.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary at most
     ids = np.zeros(encoder(path).tokenizer.get_vocab_size(), np.int64)
     ids[tokens["key"].to_numpy(int)] = tokens["n"].to_numpy(int)
+    last = got.where("kind = 5").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # likewise
+    closed = np.zeros(len(ids), np.int64)
+    closed[last["key"].to_numpy(int)] = last["n"].to_numpy(int)
     grams = saved(got.where("kind = 4").groupBy("key").agg(F.sum("n").alias("n")), "grams")
     all_grams = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = grams.where(F.col("n") > all_grams * GRAM_SHARE).toPandas()
     # An end stands where a word could begin.
     ending = grams_of(np.array([end_id]), np.array([0]), len(ids))
     keys = np.concatenate([frequent["key"].to_numpy(np.int64), ending])
-    model = spark.sparkContext.broadcast((*fit_attention(got.where("kind = 2").select("window"), ids), *summed(keys, np.append(frequent["n"].to_numpy(np.int64), ends))))
+    model = spark.sparkContext.broadcast((*fit_attention(got.where("kind = 2").select("window"), ids), *summed(keys, np.append(frequent["n"].to_numpy(np.int64), ends)), *piece_ends(closed, ids, encoder(path).ending)))
     top = counts.where(F.col("c") > total * HEAVY_SHARE).toPandas().sort_values("key")
     heavy = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), np.log10(top["c"].to_numpy(float) + 1)))
     parts = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held", "text").mapInArrow(_score(path, end_id, model, heavy), _SCORED)

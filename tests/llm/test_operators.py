@@ -226,6 +226,33 @@ def test_training_windows_cover_every_id(spark, docs, texts):
     assert sum(x.rows for x in fitted) == len(rows)
 
 
+def test_scores_charge_where_pieces_end(docs, texts):
+    from stepframe.llm import grams as G
+    from stepframe.llm.attention import classes_of
+    from stepframe.llm.encoding import WordEncoder
+
+    path, end = tokenizer_path(), 49407
+    enc = WordEncoder(path)
+    rows = docs.select("text").mapInArrow(scoring._gather(path, end), "kind int, key long, n long, window array<int>").where("kind = 5").collect()
+    closed = Counter()
+    for x in rows:
+        closed[x.key] += x.n
+    words = [enc.tokenizer.encode(w.decode(), add_special_tokens=False).ids for t in texts for w in t.encode().lower().split()]
+    assert closed == Counter(w[-1] for w in words if w)
+    counts = np.bincount([i for w in words for i in w], minlength=49408)
+    ends, on = G.piece_ends(np.array([closed[i] for i in range(49408)]), counts, enc.ending)
+    assert np.allclose((np.exp(ends) + np.exp(on))[enc.ending], 1) and not ends[~enc.ending].any() and not on[~enc.ending].any()
+    cls, share = classes_of(counts)
+    grams = G.Grams(*G.summed(G.grams_of(np.array([5, 6]), np.array([0, 1]), 49408), np.ones(2)), cls, share)
+    pieces, _ = enc.pieces(["the. the ."])
+    parts = G.PieceParts(enc, grams, ends, on)
+    parts.update()
+    for piece, own in zip(pieces, (["the", "."], ["the"], ["."])):
+        ids = np.array([enc.tokenizer.encode(w, add_special_tokens=False).ids[0] for w in own])
+        fixed, _ = grams.parts(ids, np.arange(len(ids)))
+        assert parts.fixed[piece] == pytest.approx(fixed.sum() + on[ids[:-1]].sum() + ends[ids[-1]], rel=1e-5)
+
+
 def test_attention_brute_and_learns():
     from stepframe.llm import attention as A
     from stepframe.llm import grams as G
