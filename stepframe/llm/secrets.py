@@ -146,15 +146,13 @@ class CharCnn:
 
 
 def text_findings(text: str) -> list[tuple[np.ndarray, int]]:
-    """Labelled windows of a text: values of base findings (1) and all other candidates (0)."""
-    base = base_spans(text)
-    out = [(window(text, a + (ASSIGN.match(text, a).start(2) - a if kind == "assign" else 0), b), 1) for kind, a, b in base]
-    return out + [(window(text, a, b), 0) for a, b in candidates(text, base)]
+    """Labelled windows of a text: values of base findings (1). Other candidates have no label, as they may be secrets."""
+    return [(window(text, a + (ASSIGN.match(text, a).start(2) - a if kind == "assign" else 0), b), 1) for kind, a, b in base_spans(text)]
 
 
 def corpus_findings(docs: DataFrame, sample_docs: int, per_doc: int = 500) -> tuple[list[tuple[np.ndarray, int]], list[str]]:
     """Labelled windows, and a passage, of each of the ``sample_docs`` documents of least id hash (whole texts);
-    at most ``per_doc`` windows of a document, base findings first.
+    at most ``per_doc`` windows of a document.
 
     Only windows of 112 characters and passages of 200 go to the driver.
     """
@@ -185,6 +183,11 @@ def made_findings(passages: list[str], count: int = 3000, seed: int = 7) -> list
     Positive: keys, bearer tokens, prefixed tokens, encoded secrets, most after words that announce one. Negative:
     numbered words, time stamps, UUIDs, paths, long identifiers.
     """
+    return [(x, y) for x, y, _ in _made(passages, count, seed)]
+
+
+def _made(passages: list[str], count: int = 3000, seed: int = 7) -> list[tuple[np.ndarray, int, bool]]:
+    """Made findings, and whether base patterns find them anyway."""
     r, out = np.random.default_rng(seed), []
     words = [w.strip(".,") for t in passages for w in t.split()] or ["some", "text"]
     low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -197,7 +200,9 @@ def made_findings(passages: list[str], count: int = 3000, seed: int = 7) -> list
 
     def emit(before, value, label):
         text = f"{some(6)} {before}"
-        out.append((window(f"{text}{value} {some(4)}", len(text), len(text) + len(value)), label))
+        whole = f"{text}{value} {some(4)}"
+        start, end = len(text), len(text) + len(value)
+        out.append((window(whole, start, end), label, any(a < end and start < b for _, a, b in base_spans(whole))))
 
     secret = (lambda: chars(low + up + digit, int(r.integers(20, 48))), lambda: chars(low + digit, int(r.integers(20, 48))), lambda: "ghp_" + chars(low + up + digit, 36), lambda: "sk-" + chars(low + up + digit, 40), lambda: chars(low + up + digit + "+/", 40) + "==")
     lead = ("key = ", "auth: ", "credential=", "Authorization: Bearer ", "private_key: ", "access_token=", "pwd: ", "client_secret: ", "--token ", "https://user:")
@@ -208,12 +213,14 @@ def made_findings(passages: list[str], count: int = 3000, seed: int = 7) -> list
     return out
 
 
-def train(findings: list[tuple[np.ndarray, int]], recall: float = 0.95, seed: int = 0) -> CharCnn:
-    """Fit on two thirds of labelled findings, calibrate and set the threshold on the rest."""
+def train(findings: list[tuple[np.ndarray, int]], recall: float = 0.95, seed: int = 0, base: list[tuple[np.ndarray, int]] | None = None) -> CharCnn:
+    """Fit on two thirds of labelled findings, calibrate and set the threshold on the rest. Findings of ``base``, which
+    stay whatever their score, are only fitted."""
     x, y = np.stack([f[0] for f in findings]), np.array([f[1] for f in findings])
     held = np.random.default_rng(3).random(len(x)) < 1 / 3
     model = CharCnn(seed)
-    model.fit(x[~held], y[~held])
+    more = [f[0] for f in base or []], [f[1] for f in base or []]
+    model.fit(np.stack([*x[~held], *more[0]]), np.concatenate([y[~held], np.array(more[1], y.dtype)]))
     model.calibrate(x[held], y[held], recall)
     return model
 
@@ -221,7 +228,8 @@ def train(findings: list[tuple[np.ndarray, int]], recall: float = 0.95, seed: in
 def trained_on(docs: DataFrame, sample_docs: int = 2000, recall: float = 0.95, per_doc: int = 500) -> CharCnn:
     """A model from labelled findings of at most ``sample_docs`` documents, ``per_doc`` of each, and made ones."""
     found, passages = corpus_findings(docs, sample_docs, per_doc)
-    return train(found + made_findings(passages), recall)
+    made = _made(passages)
+    return train([(x, y) for x, y, known in made if not known], recall, base=found + [(x, y) for x, y, known in made if known])
 
 
 def scan_text(text: str, model: CharCnn) -> list[tuple[str, int, int, float]]:

@@ -99,6 +99,21 @@ def test_secret_network_held_out(texts):
     assert p[y].mean() > 0.9 and p[~y].mean() < 0.1
 
 
+def test_secret_threshold_is_of_kinds_the_network_decides(spark, monkeypatch):
+    key = "ghp_a8Fk2Lq9Zx7Cv5Bn3Mw1Qe4Rt6Yu8Io0Pas2D"
+    assert secrets.text_findings(f"see {key} there") == []
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 20 + f"password=hunter{i}x {key}") for i in range(300)], "doc_id long, text string")
+    seen = []
+    calibrate = secrets.CharCnn.calibrate
+    monkeypatch.setattr(secrets.CharCnn, "calibrate", lambda self, x, y, recall: (seen.append((x, y)), calibrate(self, x, y, recall))[1])
+    model = secrets.trained_on(docs)
+    (x, y), = seen
+    passages = secrets.corpus_findings(docs, 2000)[1]
+    decided = {w.tobytes() for w, _, known in secrets._made(passages) if not known}
+    assert len(x) and all(w.tobytes() in decided for w in x)
+    assert (model.probability(x[y == 1]) >= model.threshold).mean() >= 0.95
+
+
 def test_winnowing_brute(texts):
     for t in texts[:12] + ["", "ab", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]:
         h = winnowing.gram_hashes(t, 5).tolist() if t else []
