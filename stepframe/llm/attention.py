@@ -1,151 +1,259 @@
-"""A causal self-attention language model in numpy: the class of each next subword id."""
+"""A causal self-attention language model in numpy over subword symbols (part of operator 6).
+
+Embeddings and places, one masked attention with a residual path, one hidden layer with another, and a softmax in two
+steps: the class of the next symbol, then the symbol within its class, both from the same state.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-WIDTH, STRIDE = 24, 20
-DIM, CLASSES = 16, 48
-_SCALE = 1 / DIM**0.5
-_MASK = np.triu(np.full((WIDTH, WIDTH), -1e4, np.float32), 1)
-#: Greatest value of each attention weight's logarithm.
-_CAP = np.where(_MASK < 0, _MASK, np.float32(30))
+WIDTH, STRIDE = 16, 12
+DIM, HIDDEN = 16, 16
+#: Windows scored together.
+SCORED = 512
+#: Logarithms of unnormalised probabilities stay within these bounds, in training and in scoring.
+CAP = np.float32(40)
+_LOW = np.tril(np.ones((WIDTH, WIDTH), np.float32))
+_ONES = np.ones(WIDTH, np.float32)
 
 
-def classes_of(counts: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each id, share of each id), from smoothed counts.
+class Symbols:
+    """Ranks of symbols by falling count, and classes of neighbouring ranks.
 
-    Ids by falling count fill the classes in order, each with the same sum of square roots, so frequent ids have classes
-    of few ids.
+    Classes have about the same sum of square roots of counts, and there are about half as many as the root of the
+    number of symbols, so both steps of the softmax are short. Symbols that training lacks share the last rank and a class of
+    their own, with equal parts.
     """
-    c = counts.astype(np.float64) + 0.5
-    order = np.lexsort((np.arange(len(c)), -c))
-    mass = np.cumsum(np.sqrt(c[order]))
-    cls = np.zeros(len(c), np.int64)
-    cls[order] = np.minimum((mass - mass[0]) / mass[-1] * classes, classes - 1).astype(np.int64)
-    return cls, c / c.sum()
 
+    def __init__(self, counts: np.ndarray):
+        order = np.lexsort((np.arange(len(counts)), -counts))
+        self.used = int((counts > 0).sum())
+        self.unseen = max(len(counts) - self.used, 1)
+        self.rank = np.full(len(counts), self.used, np.int32)
+        self.rank[order[: self.used]] = np.arange(self.used)
+        c = counts[order[: self.used]].astype(np.float64)
+        mass = np.cumsum(np.sqrt(c))
+        wanted = max(1, round(self.used**0.5 / 2))
+        cls = np.minimum((mass - np.sqrt(c) / 2) / max(mass[-1] if len(c) else 1.0, 1e-300) * wanted, wanted - 1).astype(np.int64)
+        cls = np.unique(cls, return_inverse=True)[1]
+        self.classes = int(cls.max()) + 1 if len(cls) else 0
+        self.cls = np.append(cls, self.classes)
+        self.low = np.searchsorted(self.cls, np.arange(self.classes + 2))
+        self.share = np.append(c, 0.5) / (c.sum() + 0.5)
+        #: Of the symbols without a rank of their own, each one's part of their probability.
+        self.rest = -float(np.log(self.unseen))
 
-class Attention:
-    """One causal self-attention layer with learned positions and a residual path, and a softmax over classes."""
 
-    NAMES = ("embed", "place", "wq", "wk", "wv", "wo", "bo")
+class Attention:
+    """The model's parameters, and Adagrad's sums beside them, as one flat vector for sending and averaging."""
 
-    def __init__(self, class_share: np.ndarray, vocabulary: int, seed: int = 0):
-        """Before any training, classes have about the probabilities ``class_share``."""
+    def __init__(self, symbols: Symbols, seed: int = 0):
+        """Before any training each symbol has about its share of the counts."""
+        self.symbols = symbols
         r = np.random.default_rng(seed)
-        small = lambda *s: r.normal(0, 0.3, s).astype(np.float32)
-        self.embed, self.place = small(vocabulary, DIM), 0.3 * small(WIDTH, DIM)
-        self.wq, self.wk, self.wv = small(DIM, DIM), small(DIM, DIM), small(DIM, DIM)
-        self.wo, self.bo = 0.5 * small(DIM, CLASSES), np.zeros(CLASSES, np.float32)
-        self.bo[: len(class_share)] = np.log(np.maximum(class_share, 1e-9))
 
-    def parts(self) -> list[np.ndarray]:
-        return [getattr(self, n) for n in self.NAMES]
+        def small(scale, *shape):
+            return r.normal(0, scale, shape).astype(np.float32)
+
+        share = np.bincount(symbols.cls, symbols.share, symbols.classes + 1)
+        n = symbols.used + 1
+        self.embed, self.place = small(0.3, n, DIM), small(0.1, WIDTH, DIM)
+        # Queries, keys and values side by side.
+        self.qkv = np.concatenate([small(0.25 * DIM**-0.5, DIM, DIM), small(DIM**-0.5, DIM, 2 * DIM)], 1)
+        self.up, self.bias, self.down = small(DIM**-0.5, DIM, HIDDEN), np.zeros(HIDDEN, np.float32), small(0.1, HIDDEN, DIM)
+        # The last row of the outputs is their constant part.
+        self.top = np.concatenate([small(0.1, DIM, len(share)), np.log(share)[None].astype(np.float32)])
+        self.leaf = np.concatenate([small(0.1, n, DIM), np.log(symbols.share / share[symbols.cls])[:, None].astype(np.float32)], 1)
+        self.sums = {k: np.full_like(getattr(self, k), 1e-3) for k in self.NAMES}
+
+    NAMES = ("embed", "leaf", "place", "qkv", "up", "bias", "down", "top")
 
-    def to_bytes(self) -> bytes:
-        return np.concatenate([p.ravel() for p in self.parts()]).tobytes()
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for k in self.NAMES for x in (getattr(self, k), self.sums[k])])
 
     def load(self, flat: np.ndarray) -> "Attention":
         at = 0
-        for n, p in zip(self.NAMES, self.parts()):
-            setattr(self, n, flat[at : at + p.size].reshape(p.shape).astype(np.float32))
-            at += p.size
+        for k in self.NAMES:
+            own = getattr(self, k)
+            for put in (lambda x, k=k: setattr(self, k, x), lambda x, k=k: self.sums.__setitem__(k, x)):
+                put(flat[at : at + own.size].reshape(own.shape).astype(np.float32))
+                at += own.size
         return self
 
-    def fresh(self) -> list[np.ndarray]:
-        return [np.full(p.shape, 0.02, np.float32) for p in self.parts()]
-
-    def train(self, windows: np.ndarray, cls: np.ndarray, rate: float = 0.08, batch: int = 64, state: list | None = None) -> np.ndarray:
-        """One pass over windows of WIDTH+1 ids (-1: none) by Adagrad; gives how often each id was an input. ``state``, from
-        ``fresh``, carries Adagrad's sums from one call to the next."""
-        seen = np.bincount(windows[:, :-1][windows[:, :-1] >= 0], minlength=len(self.embed))
-        state = self.fresh() if state is None else state
-        for at in range(0, len(windows), batch):
-            w = windows[at : at + batch]
-            ids, goal = np.maximum(w[:, :-1], 0), w[:, 1:]
-            live = (goal >= 0).astype(np.float32)
-            x = self.embed[ids] + self.place
-            q, k, v = x @ self.wq, x @ self.wk, x @ self.wv
-            s = q @ k.transpose(0, 2, 1) * _SCALE + _MASK
-            a = np.exp(np.minimum(s, 30))
-            a /= a.sum(2, keepdims=True)
-            h = x + a @ v
-            z = h @ self.wo + self.bo
-            z -= z.max(2, keepdims=True)
-            d = np.exp(z)
-            d /= d.sum(2, keepdims=True)
-            rows = np.arange(len(w))[:, None], np.arange(WIDTH)[None]
-            d[rows[0], rows[1], cls[np.maximum(goal, 0)]] -= 1
-            d *= live[:, :, None] / max(live.sum(), 1)
-            dh = d @ self.wo.T
-            da = dh @ v.transpose(0, 2, 1)
-            ds = a * (da - (da * a).sum(2, keepdims=True)) * _SCALE
-            dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-            dx = dh + dq @ self.wq.T + dk @ self.wk.T + dv @ self.wv.T
-            fx = x.reshape(-1, DIM)
-            gate = lambda g: fx.T @ g.reshape(-1, g.shape[2])
-            own, inverse = np.unique(ids, return_inverse=True)
-            ge = np.zeros((len(own), DIM), np.float32)
-            np.add.at(ge, inverse.ravel(), dx.reshape(-1, DIM))
-            state[0][own] += (ge * 30) ** 2
-            self.embed[own] -= rate * 30 * ge / np.sqrt(state[0][own])
-            dense = (dx.sum(0), gate(dq), gate(dk), gate(dv), h.reshape(-1, DIM).T @ d.reshape(-1, CLASSES), d.sum((0, 1)))
-            for p, g, m in zip(self.parts()[1:], dense, state[1:]):
-                m += (g * 3) ** 2
-                p -= rate * 3 * g / np.sqrt(m)
-        return seen
-
-
-class Scorer:
-    """Scores texts: each id once, in the first of the overlapping windows that has enough before it.
-
-    Without a layer before the attention, queries, keys and values are sums of a row for the id and one for the place;
-    the rows are made once, and stand beside the id's embedding.
-    """
+    def rows_of(self) -> np.ndarray:
+        """For each place of the flat vector, the rank whose row it belongs to; -1 for what all windows use."""
+        out = []
+        for k in self.NAMES:
+            own = getattr(self, k)
+            of = np.repeat(np.arange(len(own)), own.shape[1]) if k in ("embed", "leaf") else np.full(own.size, -1)
+            out += [of, of]
+        return np.concatenate(out)
+
+    def _states(self, inputs: np.ndarray):
+        """inputs: ranks, (windows, WIDTH)."""
+        shape = (len(inputs), WIDTH, DIM)
+        x = np.take(self.embed, inputs, axis=0)
+        x += self.place
+        flat = x.reshape(-1, DIM)
+        q, k, v = ((flat @ np.ascontiguousarray(self.qkv[:, i : i + DIM])).reshape(shape) for i in range(0, 3 * DIM, DIM))
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        np.clip(a, -CAP, CAP, out=a)
+        np.exp(a, out=a)
+        a *= _LOW
+        a /= (a.reshape(-1, WIDTH) @ _ONES).reshape(len(inputs), WIDTH, 1)
+        h = np.matmul(a, v)
+        h += x
+        h = h.reshape(-1, DIM)
+        u = h @ self.up
+        u += self.bias
+        np.maximum(u, 0, out=u)
+        state = np.empty((len(h), DIM + 1), np.float32)
+        state[:, DIM] = 1
+        np.add(u @ self.down, h, out=state[:, :DIM])
+        return flat, q, k, v, a, h, u, state
+
+    def _leaves(self, state: np.ndarray, goals: np.ndarray, cls: np.ndarray):
+        """Unnormalised probabilities of each class's symbols for goals sorted by rank: (all values in one row after
+        another, width of each row, where rows start, where the goals lie, parts: (class, first row, last row, first value,
+        last value))."""
+        s = self.symbols
+        width = (s.low[1:] - s.low[:-1])[cls]
+        starts = np.cumsum(width) - width
+        y = np.empty(int(width.sum()), np.float32)
+        bounds = np.searchsorted(cls, np.arange(s.classes + 2))
+        parts = []
+        for c in np.flatnonzero(bounds[1:] > bounds[:-1]):
+            a, b = bounds[c], bounds[c + 1]
+            first = starts[a]
+            last = first + (b - a) * width[a]
+            parts.append((c, a, b, first, last))
+            np.matmul(state[a:b], self.leaf[s.low[c] : s.low[c + 1]].T, out=y[first:last].reshape(b - a, -1))
+        np.clip(y, -CAP, CAP, out=y)
+        np.exp(y, out=y)
+        return y, width, starts, starts + goals - s.low[cls], parts
+
+    def _order(self, ranks: np.ndarray) -> np.ndarray:
+        """Numbers of 16 bits are sorted by digits."""
+        return np.argsort(ranks.astype(np.uint16) if self.symbols.used < 1 << 16 else ranks, kind="stable")
+
+    def _adapt(self, name: str, gradient: np.ndarray, rate: np.float32) -> None:
+        total, own = self.sums[name], getattr(self, name)
+        total += gradient * gradient
+        gradient /= np.sqrt(total)
+        gradient *= rate
+        own -= gradient
+
+    def step(self, windows: np.ndarray, rate: float) -> None:
+        """One step of Adagrad over windows of WIDTH + 1 ranks, -1 where a text has ended."""
+        s, rate = self.symbols, np.float32(rate)
+        inputs, goals = np.maximum(windows[:, :-1], 0), windows[:, 1:].ravel()
+        flat, q, k, v, a, h, u, state = self._states(inputs)
+        live = np.flatnonzero(goals >= 0)
+        live = live[self._order(goals[live])]
+        goals = goals[live]
+        cls = s.cls[goals]
+        own = np.take(state, live, axis=0)
+        # Losses are summed and divided by the root of their number: larger batches have a better gradient.
+        n, scale = len(live), np.float32(len(live) ** -0.5)
+        rows = np.arange(n)
+        z = own @ self.top
+        np.clip(z, -CAP, CAP, out=z)
+        np.exp(z, out=z)
+        z *= (scale / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+        z[rows, cls] -= scale
+        back = z @ self.top.T
+        y, width, starts, at, parts = self._leaves(own, goals, cls)
+        y *= np.repeat(scale / np.add.reduceat(y, starts), width)
+        y[at] -= scale
+        leaf = np.zeros_like(self.leaf)
+        for c, i, j, first, last in parts:
+            part, where = y[first:last].reshape(j - i, -1), slice(s.low[c], s.low[c + 1])
+            back[i:j] += part @ self.leaf[where]
+            np.matmul(part.T, own[i:j], out=leaf[where])
+        d = np.zeros((len(state), DIM), np.float32)
+        d[live] = back[:, :DIM]
+        du = d @ self.down.T
+        du *= u > 0
+        dh = du @ self.up.T
+        dh += d
+        dense = {"down": u.T @ d, "up": h.T @ du, "bias": du.sum(0), "top": own.T @ z, "leaf": leaf}
+        wide = dh.reshape(-1, WIDTH, DIM)
+        da = np.matmul(wide, v.transpose(0, 2, 1))
+        da *= a
+        da -= a * (da.reshape(-1, WIDTH) @ _ONES).reshape(len(a), WIDTH, 1)
+        g = np.concatenate([x.reshape(-1, DIM) for x in (np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), wide))], 1)
+        dense["qkv"] = flat.T @ g
+        dx = g @ self.qkv.T
+        dx += dh
+        dense["place"] = dx.reshape(-1, WIDTH, DIM).sum(0)
+        for name, g in dense.items():
+            self._adapt(name, g, rate)
+        ranks = inputs.ravel()
+        order = self._order(ranks)
+        ranks = ranks[order]
+        first = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
+        ranks, g = ranks[first], np.add.reduceat(np.take(dx, order, axis=0), first, axis=0)
+        total = np.take(self.sums["embed"], ranks, axis=0)
+        total += g * g
+        self.sums["embed"][ranks] = total
+        g /= np.sqrt(total)
+        g *= rate
+        self.embed[ranks] -= g
+
+    def logs(self, windows: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Log probabilities of each window's goals, (windows, WIDTH); 0 for the first ``skip`` of a window and where its text has
+        ended."""
+        s = self.symbols
+        goals = windows[:, 1:]
+        live = np.flatnonzero(((goals >= 0) & (np.arange(WIDTH) >= skip[:, None])).ravel())
+        out = np.zeros(goals.size)
+        if not len(live):
+            return out.reshape(goals.shape)
+        state = self._states(np.maximum(windows[:, :-1], 0))[-1]
+        goals = goals.ravel()
+        live = live[self._order(goals[live])]
+        goals = goals[live]
+        cls = s.cls[goals]
+        own = np.take(state, live, axis=0)
+        z = own @ self.top
+        np.clip(z, -CAP, CAP, out=z)
+        np.exp(z, out=z)
+        picked = z[np.arange(len(z)), cls] / (z @ np.ones(z.shape[1], np.float32))
+        y, _, starts, at, _ = self._leaves(own, goals, cls)
+        picked *= y[at] / np.add.reduceat(y, starts)
+        out[live] = np.log(picked.astype(np.float64)) + np.where(goals == s.used, s.rest, 0.0)
+        return out.reshape(windows.shape[0], WIDTH)
+
+
+class Windows:
+    """Windows of WIDTH inputs and their next ranks over texts that each stand between two ends; they begin every ``stride``
+    places of a text and are made only as they are taken."""
+
+    def __init__(self, ranks: np.ndarray, bounds: np.ndarray, end: int, stride: int):
+        self.seq, self.stride = np.insert(ranks, bounds, end), stride
+        self.first, self.goals = bounds[:-1] + np.arange(len(bounds) - 1), np.diff(bounds) + 1
+        self.ends = np.cumsum(1 + np.maximum(0, -(-(self.goals - WIDTH) // stride)))
+
+    def __len__(self) -> int:
+        return int(self.ends[-1]) if len(self.ends) else 0
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, ranks, skip) of windows by number: -1 where a text has ended; ``skip`` first goals of a window are those of
+        the one before it."""
+        text = np.searchsorted(self.ends, which, "right")
+        start = (which - np.concatenate([[0], self.ends])[text]) * self.stride
+        at = start[:, None] + np.arange(WIDTH + 1)
+        where = np.minimum(self.first[text][:, None] + at, len(self.seq) - 1)
+        return text, np.where(at <= self.goals[text][:, None], self.seq[where], -1), np.where(start == 0, 0, WIDTH - self.stride)
+
 
-    def __init__(self, model: Attention, cls: np.ndarray):
-        made = lambda x: np.concatenate([x @ model.wq * np.float32(_SCALE), x @ model.wk, x @ model.wv, x], 1).astype(np.float32)
-        self.rows, self.places = made(model.embed), made(model.place)
-        self.wo, self.bo, self.cls = model.wo, model.bo, cls
-        self.ones = np.ones(CLASSES, np.float32)
-
-    def score(self, ids: np.ndarray, bounds: np.ndarray, end_id: int, ratio: np.ndarray, end_ratio: float) -> np.ndarray:
-        """Sum of log(1 + ratio * a) over each text's ids and an end, a: the probability of the id's class given the ids
-        before it; ``ids`` of text i are ids[bounds[i]:bounds[i+1]]."""
-        n = len(bounds) - 1
-        # Every text as end, ids, end: inputs are all but the last, goals all but the first.
-        # What follows a text in its last window is masked from its ids by being later.
-        seq, ratio = np.insert(ids, bounds, end_id), np.insert(ratio, bounds, np.float32(end_ratio))
-        seq = np.concatenate([seq, np.full(WIDTH, end_id, seq.dtype)])
-        cls = self.cls[seq]
-        first = bounds[:-1] + np.arange(n)
-        length = np.diff(bounds) + 1
-        count = 1 + np.maximum(0, -(-(length - WIDTH) // STRIDE))
-        text = np.repeat(np.arange(n), count)
-        start = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
-        begin, left, low = first[text] + start, length[text] - start, np.where(start == 0, 0, WIDTH - STRIDE)
-        total = np.zeros(n)
-        offsets = np.arange(WIDTH)
-        for at in range(0, len(text), 128):
-            part = slice(at, at + 128)
-            t = text[part]
-            where = begin[part, None] + offsets
-            x = seq[where]
-            own = np.take(self.rows, x, axis=0)
-            own += self.places
-            a = np.matmul(own[..., :DIM], own[..., DIM : 2 * DIM].transpose(0, 2, 1))
-            np.exp(np.minimum(a, _CAP, out=a), out=a)
-            o = np.matmul(a, own[..., 2 * DIM : 3 * DIM])
-            o /= (a.reshape(-1, WIDTH) @ self.ones[:WIDTH]).reshape(len(t), WIDTH, 1)
-            o += own[..., 3 * DIM :]
-            scored = np.flatnonzero((offsets < left[part, None]) & (offsets >= low[part, None]))
-            goal = where.ravel()[scored] + 1
-            z = np.take(o.reshape(-1, DIM), scored, axis=0) @ self.wo
-            z += self.bo
-            np.minimum(z, 60, out=z)
-            np.exp(z, out=z)
-            picked = z.ravel()[np.arange(0, z.size, CLASSES) + cls[goal]]
-            gain = np.log(1 + ratio[goal] * (picked / (z @ self.ones)))
-            total += np.bincount(t[scored // WIDTH], gain, n)
-        return total
+def score_texts(model: Attention, ranks: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
+    """Log probability of each text's symbols and its end. Windows overlap, so that each symbol after a text's first ones has
+    at least WIDTH - STRIDE before it; each is scored once."""
+    n = len(bounds) - 1
+    out, windows = np.zeros(n), Windows(ranks, bounds, end, STRIDE)
+    for at in range(0, len(windows), SCORED):
+        text, own, skip = windows.take(np.arange(at, min(at + SCORED, len(windows))))
+        out += np.bincount(text, model.logs(own, skip).sum(1), n)
+    return out

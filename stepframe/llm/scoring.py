@@ -1,25 +1,33 @@
-"""Language-model scores of whole texts, beside a word unigram base (operator 6)."""
+"""Language-model scores of whole texts by a causal attention model, beside a word unigram base (operator 6)."""
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .attention import WIDTH, Attention, Scorer, classes_of
-from .common import documents, saved, tokenizer_path
+from .attention import WIDTH, Attention, Symbols, Windows, score_texts
+from .common import discard, documents, key_of_id, saved, tokenizer_path
 from .encoding import encoder, give_back, slices
-from .grams import Grams, PieceParts, grams_of, grams_of_pieces, piece_ends, summed
 
 #: Words counted more often than this part of all tokens go to the tasks; there are at most as many as its inverse.
 HEAVY_SHARE = 1 / 2_000_000
-#: Grams of ids counted more often than this part of all grams go to the tasks; there are at most as many as its inverse.
-GRAM_SHARE = 1 / 4_000_000
-#: Rows that hold sums of model parameters on their way to the driver.
-MERGED = 8
+#: Training ids of a shard, about.
+SHARD_IDS = 4_000_000
+#: Of each 16 windows of a shard, those that train between two averagings.
+ROUNDS = ((0, 1), (1, 4), (4, 16))
+#: Adagrad's first rate; it falls to a tenth. Windows of a step: least, most, and those seen before for each one more.
+RATE, LEAST, MOST, SEEN = 0.15, 64, 512, 256
+#: Windows cut together, ranks read together, and windows of a shard that train as one.
+BLOCK, AT_ONCE, LARGEST = 32_768, 1_000_000, 2_000_000
+#: Words between white space that a worker remembers.
+REMEMBERED = 400_000
+#: Parts of the parameters that are summed apart from each other, and their fixed point.
+PARTS, POINT = 16, 1 << 20
 
 
 def is_held_out() -> Column:
@@ -37,8 +45,6 @@ class _WordHashes:
         if self.index is not self.enc.index:
             self.index, self.hashes = self.enc.index, np.zeros(0, np.int64)
         if len(self.index) > len(self.hashes):
-            from itertools import islice
-
             new = [xxhash.xxh64_intdigest(w, 0) for w in islice(self.index, len(self.hashes), None)]
             self.hashes = np.concatenate([self.hashes, np.array(new, np.uint64).view(np.int64)])
         return self.hashes
@@ -52,218 +58,328 @@ def _hashes_of(enc) -> _WordHashes:
     return _HASHES.setdefault(id(enc), _WordHashes(enc))
 
 
-_BATCH = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("window", pa.list_(pa.int32()))])
+def _binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * flat.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a column of binaries in one array, and each row's offsets in it."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(data, kind, (offsets[-1] - offsets[0]) // size, offsets[0]) if data is not None and len(column) else np.zeros(0, kind)
+    return flat, (offsets - offsets[0]) // size
+
+
+_GATHERED = "kind int, key long, n long, th long, held boolean, ids binary, goes_on binary"
 
 
-def _gather(path: str, end_id: int):
-    """Of training texts, summed within each task: word counts (kind 0), id counts (1), training windows (2), the number
-    of texts (3), counts of grams of ids within words (4), how often each id is the last of a piece (5)."""
+def _gather(path: str):
+    """Summed within each task, of training texts: word counts (kind 0), counts of symbols (1), the number of texts (3); and
+    each text's ids, and whether each one's piece goes on after it though it could end there (2)."""
 
     def run(batches):
         enc = encoder(path)
-        tokens = np.zeros(enc.tokenizer.get_vocab_size(), np.int64)
-        texts_seen = 0
-        index, totals = enc.index, np.zeros(0, np.int64)
-        enc_starts, enc_lengths, enc_pool = enc.starts, enc.lengths, enc.pool
+        hashes = _hashes_of(enc)
+        symbols = np.zeros(2 * enc.tokenizer.get_vocab_size(), np.int64)
+        texts_seen, index, totals = 0, enc.index, np.zeros(0, np.int64)
 
         def rows(kind, keys, counts):
             n = len(keys)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(keys), pa.array(counts), pa.nulls(n, pa.list_(pa.int32()))], schema=_BATCH)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(keys), pa.array(counts), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["kind", "key", "n", "th", "held", "ids", "goes_on"])
 
         def flush():
-            # Of the pieces counted so far, as the encoder may have numbered them anew since.
             used = np.flatnonzero(totals)
-            yield rows(0, hashes.hashes[used], totals[used])
-            full = used[enc_lengths[used] > 0]
-            yield rows(5, *summed(enc_pool[enc_starts[full] + enc_lengths[full] - 1].astype(np.int64), totals[full]))
-            yield rows(4, *grams_of_pieces(enc_pool, enc_starts[used], enc_lengths[used], totals[used], len(tokens)))
+            return rows(0, hashes.hashes[used], totals[used])
 
-        hashes = _hashes_of(enc)
         for batch in batches:
             give_back()
-            for _, texts in slices(batch):
+            for first, texts in slices(batch):
+                n = len(texts)
+                own = batch.slice(first, n)
                 pieces, counts = enc.pieces(texts, lower=True)
                 if enc.index is not index:
                     # The encoder has numbered its pieces anew; the hashes are still those of the old numbers.
-                    yield from flush()
+                    yield flush()
                     index, totals = enc.index, np.zeros(0, np.int64)
-                texts_seen += len(texts)
                 hashes.get()
-                enc_starts, enc_lengths, enc_pool = enc.starts, enc.lengths, enc.pool
-                counted = np.bincount(pieces, minlength=len(index))
+                train = ~own.column("held").to_numpy(zero_copy_only=False)
+                texts_seen += int(train.sum())
+                counted = np.bincount(pieces[np.repeat(train, counts)], minlength=len(index))
                 counted[: len(totals)] += totals
                 totals = counted
                 ids, bounds = enc.ids(pieces, counts)
-                tokens += np.bincount(ids, minlength=len(tokens))
-                length = np.diff(bounds) + 1
-                # Windows follow one another, so each id of a text, and its end, is a target once.
-                take = -(-length // WIDTH)
-                text = np.repeat(np.arange(len(texts)), take)
-                start = (np.arange(len(text)) - np.repeat(np.cumsum(take) - take, take)) * WIDTH
-                seq = np.insert(ids, bounds, end_id)
-                at = start[:, None] + np.arange(WIDTH + 1)
-                live = at <= length[text][:, None]
-                first = (bounds[:-1] + np.arange(len(texts)))[text][:, None]
-                w = np.where(live, seq[np.minimum(first + at, len(seq) - 1)], -1).astype(np.int32)
-                n = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.array(np.arange(n)), pa.array(np.ones(n, np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (WIDTH + 1)), pa.array(w.ravel()))], schema=_BATCH)
-        yield from flush()
-        tokens[end_id] += texts_seen
-        used = np.flatnonzero(tokens)
-        yield rows(1, used, tokens[used])
+                length = enc.lengths[pieces]
+                goes_on = enc.ending[ids]
+                goes_on[np.cumsum(length)[length > 0] - 1] = False
+                known = np.repeat(train, np.diff(bounds))
+                symbols += np.bincount((ids + goes_on * np.int64(len(symbols) // 2))[known], minlength=len(symbols))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), own.column("key"), pa.array(np.diff(bounds)), own.column("th"), own.column("held"), _binary(ids.astype(_id_type(len(symbols) // 2)), bounds), _binary(goes_on.view(np.uint8), bounds)], names=["kind", "key", "n", "th", "held", "ids", "goes_on"])
+        yield flush()
+        used = np.flatnonzero(symbols)
+        yield rows(1, used, symbols[used])
         yield rows(3, np.zeros(1, np.int64), np.array([texts_seen]))
         give_back()
 
     return run
 
 
-_MODEL = "part int, weights binary, seen binary, rows long"
+def _id_type(vocabulary: int):
+    return np.uint16 if vocabulary <= 1 << 16 else np.uint32
+
+
+def _ranks(batch, symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    vocabulary = len(symbols.rank) // 2
+    ids, bounds = _flat(batch.column("ids"), _id_type(vocabulary))
+    goes_on, _ = _flat(batch.column("goes_on"), np.uint8)
+    return symbols.rank[ids.astype(np.int64) + goes_on.astype(np.int64) * vocabulary], bounds
+
+
+def _runs(batch, symbols: Symbols):
+    """(first row, last row, ranks, bounds) for runs of a batch's rows with a bounded number of ranks, a longer text alone."""
+    size = np.cumsum(batch.column("n").to_numpy())
+    first = 0
+    while first < len(size):
+        end = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + AT_ONCE, "right")))
+        yield first, end, *_ranks(batch.slice(first, end - first), symbols)
+        first = end
+
+
+def _cut(sent, end_id: int):
+    """Cuts texts, sorted by shard, into windows: for each shard and round a row with all of its windows."""
+
+    def run(batches):
+        symbols = sent.value
+        end, kind = int(symbols.rank[end_id]), _id_type(symbols.used + 2)
+        none, now, number = np.iinfo(kind).max, None, 0
+        held: list[list[np.ndarray]] = [[] for _ in ROUNDS]
+
+        def rows(rounds):
+            full = [k for k in rounds if held[k]]
+            out = pa.RecordBatch.from_arrays([pa.array([now] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([np.concatenate(held[k]).tobytes() for k in full], pa.binary())], names=["shard", "round", "windows"])
+            for k in full:
+                held[k] = []
+            return out
+
+        for batch in batches:
+            own = batch.column("shard").to_numpy()
+            for first, last in _spans(own):
+                if now != own[first]:
+                    if now is not None:
+                        yield rows(range(len(ROUNDS)))
+                    now, number = int(own[first]), 0
+                for _, _, ranks, bounds in _runs(batch.slice(first, last - first), symbols):
+                    windows = Windows(ranks, bounds, end, WIDTH)
+                    for a in range(0, len(windows), BLOCK):
+                        which = np.arange(a, min(a + BLOCK, len(windows)))
+                        for k, (low, high) in enumerate(ROUNDS):
+                            turn = (number + which) % 16
+                            mine = windows.take(which[(turn >= low) & (turn < high)])[1]
+                            held[k].append(np.where(mine < 0, none, mine).astype(kind))
+                            if len(held[k]) * BLOCK > LARGEST:
+                                yield rows([k])
+                    number += len(windows)
+        if now is not None:
+            yield rows(range(len(ROUNDS)))
+
+    return run
+
+
+_SUMS = "part int, sums binary"
+
 
+def _train(sent, part: tuple[int, int], expected: float):
+    """Trains on each row's windows, from the parameters that were sent, and adds up the results."""
 
-def _fit(sent, cls, vocabulary: int):
     def run(batches):
-        model, seen, n = Attention(np.ones(0), vocabulary).load(sent.value), np.zeros(vocabulary, np.int64), 0
-        state = model.fresh()
+        symbols, flat = sent.value
+        kind = _id_type(symbols.used + 2)
+        model, before = Attention(symbols), expected * part[0] / 16
+        rows_of = model.rows_of()
+        totals, trained = np.zeros(len(flat), np.int64), np.zeros(symbols.used + 2, np.int64)
         for batch in batches:
-            windows = batch.column("window").flatten().to_numpy().reshape(-1, WIDTH + 1)
-            order = np.random.default_rng(len(windows)).permutation(len(windows))
-            seen += model.train(windows[order], cls.value, state=state)
-            n += len(windows)
-        if n:
-            flat = np.frombuffer(model.to_bytes(), np.float32).astype(np.float64)
-            size = model.embed.size
-            weights = np.concatenate([flat[:size] * np.repeat(seen, size // vocabulary), flat[size:] * n])
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % MERGED], pa.int32()), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["part", "weights", "seen", "rows"])
+            for shard, windows in zip(batch.column("shard").to_pylist(), batch.column("windows")):
+                own = np.frombuffer(windows.as_buffer(), kind).reshape(-1, WIDTH + 1).astype(np.int32)
+                own[own == np.iinfo(kind).max] = -1
+                own = own[np.random.default_rng(shard).permutation(len(own))]
+                model.load(flat)
+                first = 0
+                while first < len(own):
+                    done = before + first
+                    size = int(min(max(done // SEEN, LEAST), MOST))
+                    model.step(own[first : first + size], RATE * (1 - 0.9 * min(done / max(expected, 1), 1)))
+                    first += size
+                seen = np.zeros(symbols.used + 1, bool)
+                seen[np.maximum(own.ravel(), 0)] = True
+                totals += np.where((rows_of < 0) | seen[rows_of], np.rint(model.flat().astype(np.float64) * POINT).astype(np.int64), 0)
+                trained[:-1] += seen
+                trained[-1] += 1
+        if trained[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS + 1), pa.int32()), pa.array([x.tobytes() for x in (*np.array_split(totals, PARTS), trained)], pa.binary())], names=["part", "sums"])
 
     return run
 
 
+def _spans(values: np.ndarray):
+    """First and last of each run of equal values."""
+    cut = np.flatnonzero(np.diff(values)) + 1
+    return zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(values)]]).tolist()) if len(values) else ()
+
+
 def _add(batches):
-    total = None
+    totals: dict = {}
     for batch in batches:
-        for part, weights, seen, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            own = [np.frombuffer(weights, np.float32).astype(np.float64), np.frombuffer(seen, np.int64), n]
-            total = own if total is None else [a + b for a, b in zip(total, own)]
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total[0].astype(np.float32).tobytes()], pa.binary()), pa.array([total[1].astype(np.int64).tobytes()], pa.binary()), pa.array([total[2]], pa.int64())], names=["part", "weights", "seen", "rows"])
-
-
-def fit_attention(windows: DataFrame, counts: np.ndarray, rounds: int = 2) -> tuple[Attention, np.ndarray, np.ndarray]:
-    """(model, class of each id, share of each id). Train on all windows, in parallel: in each round every task trains on all of its own, batch by batch, from the same parameters, and the
-    parameters are averaged, embeddings weighted by how often a task saw the id. Sums meet in ``MERGED`` rows, the only
-    thing that reaches the driver (about 4 MB each, whatever the input)."""
-    spark = windows.sparkSession
-    cls, share = classes_of(counts)
-    model = Attention(np.bincount(cls, share), len(counts))
-    sent_cls = spark.sparkContext.broadcast(cls)
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(np.frombuffer(model.to_bytes(), np.float32))
-        sums = windows.mapInArrow(_fit(sent, sent_cls, len(counts)), _MODEL).repartition(MERGED, "part").mapInArrow(_add, _MODEL).collect()
-        if not sums:
-            continue
-        weights = sum(np.frombuffer(bytes(x.weights), np.float32).astype(np.float64) for x in sums)
-        seen = sum(np.frombuffer(bytes(x.seen), np.int64) for x in sums)
-        n = sum(x.rows for x in sums)
-        size = model.embed.size
-        by = np.repeat(seen, size // len(counts))
-        old = np.frombuffer(model.to_bytes(), np.float32)
-        model.load(np.concatenate([np.where(by > 0, weights[:size] / np.maximum(by, 1), old[:size]), weights[size:] / n]))
-    return model, cls, share
-
-
-_SCORED = "rid long, key long, n long, doc_id long, held_out boolean, n_tokens long, n_known long, heavy double, score double"
-_DOC = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "heavy": pa.float64(), "score": pa.float64()}
-
-
-_SCORERS: dict[int, tuple] = {}
-
-
-def _scorer_of(enc, sent) -> tuple[Scorer, PieceParts]:
-    """The worker's scorer, and parts by piece, for a model that was sent; kept from task to task."""
-    if _SCORERS.get(id(enc), [None])[0] is not sent:
-        model, cls, share, keys, counts, ends, on = sent
-        _SCORERS[id(enc)] = sent, Scorer(model, cls), PieceParts(enc, Grams(keys, counts, cls, share), ends, on)
-    return _SCORERS[id(enc)][1:]
-
-
-def _score(path: str, end_id: int, model, heavy):
+        for i, part in enumerate(batch.column("part").to_pylist()):
+            own = np.frombuffer(batch.column("sums")[i].as_buffer(), np.int64)
+            totals[part] = totals[part] + own if part in totals else own.copy()
+    if totals:
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["part", "sums"])
+
+
+def fit(texts: DataFrame, symbols: Symbols, end_id: int) -> Attention:
+    """The model after one pass over all windows of ``texts`` (key, n, th, ids, goes_on).
+
+    Texts are dealt to shards of about ``SHARD_IDS`` ids by a hash of id and text and stand there in the order of another,
+    so shards don't depend on partitions. In each round every shard trains on its part of its windows from the same
+    parameters, and these are averaged: rows of a symbol over the shards that saw it, the rest over all. Sums are of whole
+    numbers in fixed point, the same in any order; each task adds up its shards, and each of ``PARTS`` parts meets in one
+    row. The driver gets those rows, a few megabytes whatever the input. A shard with over ``LARGEST`` windows in a
+    round, which takes a huge text, trains as several.
+    """
+    spark = texts.sparkSession
+    model = Attention(symbols)
+    total = texts.agg(F.sum("n")).first()[0]
+    if total is None:
+        return model
+    count = int(max(1, -(-total // SHARD_IDS)))
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("key", "th", F.lit(71)), F.lit(count)).cast("int")).withColumn("turn", F.xxhash64("key", "th", F.lit(5)))
+    own = dealt.repartition(count, "shard").sortWithinPartitions("shard", "turn", "key", "th").select("shard", "n", "ids", "goes_on")
+    shards = saved(own.mapInArrow(_cut(spark.sparkContext.broadcast(symbols), end_id), "shard int, round int, windows binary"), "shards", compression="zstd")
+    for k, part in enumerate(ROUNDS):
+        flat = model.flat()
+        sums = shards.where(F.col("round") == k).mapInArrow(_train(spark.sparkContext.broadcast((symbols, flat)), part, total / WIDTH / count), _SUMS)
+        got = {r.part: np.frombuffer(bytes(r.sums), np.int64) for r in sums.repartition(PARTS + 1, "part").mapInArrow(_add, _SUMS).collect()}
+        if got:
+            trained, rows_of = got[PARTS], model.rows_of()
+            n = np.where(rows_of < 0, trained[-1], trained[:-1][rows_of])
+            model.load(np.where(n > 0, np.concatenate([got[i] for i in range(PARTS)]) / POINT / np.maximum(n, 1), flat).astype(np.float32))
+    discard(shards)
+    return model
+
+
+def _score(sent, end_id: int):
     def run(batches):
-        enc = encoder(path)
-        hashes = _hashes_of(enc)
-        scorer, parts = _scorer_of(enc, model.value)
-        end_fixed, end_ratio = (x[0] for x in parts.grams.parts(np.array([end_id]), np.array([0])))
-        heavy_keys, heavy_logs = heavy.value
-        known_of = logs_of = None
+        symbols, flat = sent.value
+        model, end = Attention(symbols).load(flat), int(symbols.rank[end_id])
         for batch in batches:
-            give_back()
-            rid, doc, held = (batch.column(c).to_numpy(zero_copy_only=False) if c != "doc_id" else batch.column(c) for c in ("rid", "doc_id", "held"))
-            for first, texts in slices(batch, chars=2_000_000):
-                m = len(texts)
-                pieces, counts = enc.pieces(texts, lower=True)
-                h = hashes.get()
-                if known_of is None or len(known_of) != len(h):
-                    at = np.minimum(np.searchsorted(heavy_keys, h), max(len(heavy_keys) - 1, 0))
-                    known_of = heavy_keys[at] == h if len(heavy_keys) else np.zeros(len(h), bool)
-                    logs_of = np.where(known_of, heavy_logs[at], 0.0) if len(heavy_keys) else np.zeros(len(h))
-                text = np.repeat(np.arange(m), counts)
-                known = known_of[pieces]
-                sums = np.bincount(text, logs_of[pieces], m)
-                n_known = np.bincount(text, known, m).astype(np.int64)
-                pair, n = np.unique((text * np.int64(len(h)) + pieces)[~known], return_counts=True)
-                ids, bounds = enc.ids(pieces, counts)
-                parts.update()
-                score = (np.bincount(text, parts.fixed[pieces], m) + end_fixed + scorer.score(ids, bounds, end_id, parts.ratios(pieces), end_ratio)) / np.log(10)
-                own = slice(first, first + m)
-                docs = [doc.slice(first, m), pa.array(held[own]), pa.array(counts + 1), pa.array(n_known), pa.array(sums), pa.array(score)]
-                yield pa.RecordBatch.from_arrays([pa.array(rid[own]), pa.array(rid[own] * 2_654_435_761 + 97), pa.array(np.zeros(m, np.int64)), *docs], names=["rid", "key", "n", *_DOC])
-                at = pair // len(h) if len(h) else pair
-                yield pa.RecordBatch.from_arrays([pa.array(rid[own][at]), pa.array(h[pair % len(h)] if len(h) else pair), pa.array(n), *[pa.nulls(len(pair), t) for t in _DOC.values()]], names=["rid", "key", "n", *_DOC])
+            for first, last, ranks, bounds in _runs(batch, symbols):
+                own = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([own.column("key"), own.column("th"), pa.array(score_texts(model, ranks, bounds, end) / np.log(10))], names=["key", "th", "score"])
+
+    return run
+
+
+class _Words(dict):
+    """Numbers words between white space and keeps log10 of each one's count and 1; NaN for words that aren't in the table."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        super().__init__()
+        self.keys, self.table, self.fresh = keys, logs, []
+        self.hashes, self.logs = np.zeros(0, np.int64), np.zeros(0)
+
+    def __missing__(self, word):
+        self[word] = at = len(self)
+        self.fresh.append(xxhash.xxh64_intdigest(word, 0))
+        return at
+
+    def numbers(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' words in one array, and how many each text has; valid until the next call."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.hashes, self.logs = np.zeros(0, np.int64), np.zeros(0)
+        look, parts = self.__getitem__, []
+        for text in texts:
+            words = text.encode("utf-8", "replace").lower().split() if text else []
+            parts.append(np.fromiter(map(look, words), np.int64, len(words)))
+        if self.fresh:
+            new, self.fresh = np.array(self.fresh, np.uint64).view(np.int64), []
+            at = np.minimum(np.searchsorted(self.keys, new), max(len(self.keys) - 1, 0))
+            self.hashes = np.concatenate([self.hashes, new])
+            self.logs = np.concatenate([self.logs, np.where(self.keys[at] == new, self.table[at], np.nan) if len(self.keys) else np.full(len(new), np.nan)])
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+_WORDS: dict = {}
+_PARTS = "rid long, word long, n long, doc_id long, key long, th long, held_out boolean, n_tokens long, n_known long, heavy double"
+_DOC = {"doc_id": pa.int64(), "key": pa.int64(), "th": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "heavy": pa.float64()}
+
+
+def _base(heavy):
+    """For each text a row with what frequent words give, and one for each other word in it, with its hash and count."""
+
+    def run(batches):
+        if heavy.value is not _WORDS.get("sent"):
+            _WORDS.update(sent=heavy.value, words=_Words(*heavy.value))
+        table = _WORDS["words"]
+        for batch in batches:
+            for first, texts in slices(batch):
+                m, own = len(texts), batch.slice(first, len(texts))
+                numbers, counts = table.numbers(texts)
+                text, logs = np.repeat(np.arange(m), counts), table.logs[numbers]
+                known = ~np.isnan(logs)
+                rid = own.column("rid").to_numpy()
+                docs = [own.column("doc_id"), own.column("key"), own.column("th"), own.column("held"), pa.array(counts + 1), pa.array(np.bincount(text, known, m).astype(np.int64)), pa.array(np.bincount(text[known], logs[known], m))]
+                yield pa.RecordBatch.from_arrays([own.column("rid"), pa.array(rid * 2_654_435_761 + 97), pa.array(np.zeros(m, np.int64)), *docs], names=["rid", "word", "n", *_DOC])
+                size = max(len(table.hashes), 1)
+                pair, n = np.unique((text * np.int64(size) + numbers)[~known], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[pair // size]), pa.array(table.hashes[pair % size] if len(pair) else pair), pa.array(n), *[pa.nulls(len(pair), t) for t in _DOC.values()]], names=["rid", "word", "n", *_DOC])
 
     return run
 
 
+def _by_id(rows: DataFrame, size: int) -> np.ndarray:
+    """Sums of n by key, a row for each symbol of the vocabulary at most."""
+    out = np.zeros(size, np.int64)
+    table = rows.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    out[table["key"].to_numpy(int)] = table["n"].to_numpy(int)
+    return out
+
+
 def scores(docs: DataFrame, tokenizer: str | None = None, end_id: int = 49407) -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text).
 
-    Base: add-one unigram probabilities of lower-cased words and an end, from all training texts. Score: probability of
-    the text's subword ids and an end. An id's class comes from the attention model, given the ids before it in its
-    window, mixed with the class by counts of ids within words; its probability within the class from these counts, of
-    up to three ids, in Witten-Bell steps. After each id that can end a piece between white space, whether it does is
-    charged too, by training counts of that id. Words are counted by 64-bit hashes.
-
-    All training texts are counted, and each of their ids is a target of one window. Counts are summed in the tasks
-    before the shuffle. Words over ``HEAVY_SHARE`` of all tokens, at most its inverse in number, go to the tasks as a
-    table, as do grams over ``GRAM_SHARE``; only the others of a document are shuffled to meet their counts, so no word has many rows. Null texts are
-    empty: one end. Rows that repeat a doc_id each get a row. Without training texts all words are unknown. An empty
-    table gives no rows; other columns are ignored.
+    Base: add-one unigram probabilities of lower-cased words and an end, from all training texts. Score: probability, by the
+    attention model, of the text's subword ids and an end; after an id that can end a piece between white space, whether
+    the piece goes on is part of the symbol that the model predicts. So the score, like the base, is that of the text up to the kind of its
+    white space. Words are counted by 64-bit hashes.
+
+    All training texts are counted, and each of their ids is a target of one window. Texts are encoded once; ids stand in
+    the shared folder. Counts are summed in the tasks before the shuffle. Words over ``HEAVY_SHARE`` of all tokens, at
+    most its inverse in number, go to the tasks as a table; only the others of a document are shuffled to meet their
+    counts, so no word has many rows. Null texts are empty: one end. Rows that repeat a doc_id each get a row. Without
+    training texts all words are unknown and the model is as it starts. An empty table gives no rows; other columns are ignored.
     """
     path = tokenizer or tokenizer_path()
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_held_out().alias("held"))
-    got = saved(rows.where("not held").select("text").mapInArrow(_gather(path, end_id), "kind int, key long, n long, window array<int>"), "gathered")
-    counts = saved(got.where("kind = 0").groupBy("key").agg(F.sum("n").alias("c")), "words")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of_id().alias("key"), F.xxhash64("text").alias("th"), is_held_out().alias("held"), "text")
+    got = saved(rows.select("key", "th", "held", "text").mapInArrow(_gather(path), _GATHERED), "gathered", compression="zstd")
+    counts = saved(got.where("kind = 0").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")), "words")
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = got.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, kinds = words + ends, distinct + (ends > 0)
-    tokens = got.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary at most
-    ids = np.zeros(encoder(path).tokenizer.get_vocab_size(), np.int64)
-    ids[tokens["key"].to_numpy(int)] = tokens["n"].to_numpy(int)
-    last = got.where("kind = 5").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # likewise
-    closed = np.zeros(len(ids), np.int64)
-    closed[last["key"].to_numpy(int)] = last["n"].to_numpy(int)
-    grams = saved(got.where("kind = 4").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    all_grams = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = grams.where(F.col("n") > all_grams * GRAM_SHARE).toPandas()
-    # An end stands where a word could begin.
-    ending = grams_of(np.array([end_id]), np.array([0]), len(ids))
-    keys = np.concatenate([frequent["key"].to_numpy(np.int64), ending])
-    model = spark.sparkContext.broadcast((*fit_attention(got.where("kind = 2").select("window"), ids), *summed(keys, np.append(frequent["n"].to_numpy(np.int64), ends)), *piece_ends(closed, ids, encoder(path).ending)))
-    top = counts.where(F.col("c") > total * HEAVY_SHARE).toPandas().sort_values("key")
-    heavy = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), np.log10(top["c"].to_numpy(float) + 1)))
-    parts = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held", "text").mapInArrow(_score(path, end_id, model, heavy), _SCORED)
-    met = parts.join(counts, "key", "left").groupBy("rid").agg(*[F.max(c).alias(c) for c in _DOC], F.sum(F.when(F.col("c").isNotNull(), F.col("n") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("rest"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_rest"))
+    seen = _by_id(got.where("kind = 1"), 2 * encoder(path).tokenizer.get_vocab_size())
+    seen[end_id] += ends
+    symbols, texts = Symbols(seen), got.where("kind = 2")
+    model = fit(texts.where("not held").select("key", "n", "th", "ids", "goes_on"), symbols, end_id)
+    sent = spark.sparkContext.broadcast((symbols, model.flat()))
+    # Equal texts of equal ids have equal scores.
+    scored = texts.select("key", "th", "n", "ids", "goes_on").mapInArrow(_score(sent, end_id), "key long, th long, score double").dropDuplicates(["key", "th"])
+    top = counts.where(F.col("c") > total * HEAVY_SHARE).toPandas().sort_values("word")
+    heavy = spark.sparkContext.broadcast((top["word"].to_numpy(np.int64), np.log10(top["c"].to_numpy(float) + 1)))
+    parts = rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_base(heavy), _PARTS)
+    met = parts.join(counts, "word", "left").groupBy("rid").agg(*[F.max(c).alias(c) for c in _DOC], F.sum(F.when(F.col("c").isNotNull(), F.col("n") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("rest"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_rest"))
     base = F.col("heavy") + F.col("rest") + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))
-    return met.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("n_rest") + F.lit(int(ends > 0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return met.join(scored, ["key", "th"]).select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("n_rest") + F.lit(int(ends > 0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
