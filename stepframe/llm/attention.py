@@ -1,7 +1,7 @@
 """A causal self-attention language model in numpy over subword symbols (part of operator 6).
 
-Embeddings and places, one masked attention with a residual path, one hidden layer with another, and a softmax in two
-steps: the class of the next symbol, then the symbol within its class, both from the same state.
+Embeddings and places, one masked attention with a residual path, and a softmax in two steps: the class of the next symbol,
+then the symbol within its class, both from the same state.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 WIDTH, STRIDE = 16, 12
-DIM, HIDDEN = 16, 16
+DIM = 16
 #: Windows scored together.
 SCORED = 512
 #: Logarithms of unnormalised probabilities stay within these bounds, in training and in scoring.
@@ -61,13 +61,12 @@ class Attention:
         self.embed, self.place = small(0.3, n, DIM), small(0.1, WIDTH, DIM)
         # Queries, keys and values side by side.
         self.qkv = np.concatenate([small(0.25 * DIM**-0.5, DIM, DIM), small(DIM**-0.5, DIM, 2 * DIM)], 1)
-        self.up, self.bias, self.down = small(DIM**-0.5, DIM, HIDDEN), np.zeros(HIDDEN, np.float32), small(0.1, HIDDEN, DIM)
         # The last row of the outputs is their constant part.
         self.top = np.concatenate([small(0.1, DIM, len(share)), np.log(share)[None].astype(np.float32)])
         self.leaf = np.concatenate([small(0.1, n, DIM), np.log(symbols.share / share[symbols.cls])[:, None].astype(np.float32)], 1)
         self.sums = {k: np.full_like(getattr(self, k), 1e-3) for k in self.NAMES}
 
-    NAMES = ("embed", "leaf", "place", "qkv", "up", "bias", "down", "top")
+    NAMES = ("embed", "leaf", "place", "qkv", "top")
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for k in self.NAMES for x in (getattr(self, k), self.sums[k])])
@@ -102,16 +101,10 @@ class Attention:
         np.exp(a, out=a)
         a *= _LOW
         a /= (a.reshape(-1, WIDTH) @ _ONES).reshape(len(inputs), WIDTH, 1)
-        h = np.matmul(a, v)
-        h += x
-        h = h.reshape(-1, DIM)
-        u = h @ self.up
-        u += self.bias
-        np.maximum(u, 0, out=u)
-        state = np.empty((len(h), DIM + 1), np.float32)
+        state = np.empty((len(flat), DIM + 1), np.float32)
         state[:, DIM] = 1
-        np.add(u @ self.down, h, out=state[:, :DIM])
-        return flat, q, k, v, a, h, u, state
+        np.add(np.matmul(a, v).reshape(-1, DIM), flat, out=state[:, :DIM])
+        return flat, q, k, v, a, state
 
     def _leaves(self, state: np.ndarray, goals: np.ndarray, cls: np.ndarray):
         """Unnormalised probabilities of each class's symbols for goals sorted by rank: (all values in one row after
@@ -148,7 +141,7 @@ class Attention:
         """One step of Adagrad over windows of WIDTH + 1 ranks, -1 where a text has ended."""
         s, rate = self.symbols, np.float32(rate)
         inputs, goals = np.maximum(windows[:, :-1], 0), windows[:, 1:].ravel()
-        flat, q, k, v, a, h, u, state = self._states(inputs)
+        flat, q, k, v, a, state = self._states(inputs)
         live = np.flatnonzero(goals >= 0)
         live = live[self._order(goals[live])]
         goals = goals[live]
@@ -173,19 +166,15 @@ class Attention:
             np.matmul(part.T, own[i:j], out=leaf[where])
         d = np.zeros((len(state), DIM), np.float32)
         d[live] = back[:, :DIM]
-        du = d @ self.down.T
-        du *= u > 0
-        dh = du @ self.up.T
-        dh += d
-        dense = {"down": u.T @ d, "up": h.T @ du, "bias": du.sum(0), "top": own.T @ z, "leaf": leaf}
-        wide = dh.reshape(-1, WIDTH, DIM)
+        dense = {"top": own.T @ z, "leaf": leaf}
+        wide = d.reshape(-1, WIDTH, DIM)
         da = np.matmul(wide, v.transpose(0, 2, 1))
         da *= a
         da -= a * (da.reshape(-1, WIDTH) @ _ONES).reshape(len(a), WIDTH, 1)
         g = np.concatenate([x.reshape(-1, DIM) for x in (np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), wide))], 1)
         dense["qkv"] = flat.T @ g
         dx = g @ self.qkv.T
-        dx += dh
+        dx += d
         dense["place"] = dx.reshape(-1, WIDTH, DIM).sum(0)
         for name, g in dense.items():
             self._adapt(name, g, rate)
