@@ -8,15 +8,18 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions.stats import brown, forecast_rows, forecast_states, ols
 from ..operators import procs
-from ..operators.lineage import split_statements, strip_comments
-from ..operators.steps import by_group, first_of_key, sort
+from ..operators.steps import first_of_key, sort
 from ..sources.library import Libraries
+from .lexer import Statement, Token, closing, name_at, statements, tokens
+
+#: Values that INTO may bring to the driver: settings and lists of names.
+INTO_MOST = 10_000
 
 
 class Unsupported(Exception):
@@ -60,6 +63,39 @@ class Macros:
         text = re.sub(r"%(scan)\(((?:[^()]|%str\([^()]*\))*)\)", call, text)
         return re.sub(r"%sysfunc\((countw)\(((?:[^()]|%str\([^()]*\))*)\)\)", call, text)
 
+    def holds(self, condition: str, local: dict[str, str]) -> bool:
+        """A comparison of two texts, as numbers where both are; a single text holds if it is a number other than 0."""
+        m = re.match(r"(.*?)\s*(<=|>=|\^=|~=|<>|=|<|>|\b(?:eq|ne|lt|le|gt|ge)\b)\s*(.*)$", self.substitute(condition, local), re.I)
+        if not m:
+            return (self.substitute(condition, local).strip() or "0") != "0"
+        a, b = m[1].strip(), m[3].strip()
+        number = r"-?\d+(?:\.\d+)?"
+        if re.fullmatch(number, a) and re.fullmatch(number, b):
+            a, b = float(a), float(b)
+        op = E.SYMBOLS.get(m[2], m[2].lower())
+        return {"eq": a == b, "ne": a != b, "lt": a < b, "le": a <= b, "gt": a > b, "ge": a >= b}[op]
+
+    def branch(self, statements: list[str], i: int, local, true: bool, first: str) -> int:
+        """Runs the side of an %if that holds; gives the place after both."""
+
+        def side(i: int, text: str) -> tuple[list[str], int]:
+            if text.lower() != "%do":
+                return [text], i + 1
+            depth, end = 1, i + 1
+            while depth:
+                if end >= len(statements):
+                    raise Unsupported("condition without end", statements[i])
+                depth += bool(re.search(r"%do\b", statements[end], re.I)) - bool(re.match(r"%end\b", statements[end], re.I))
+                end += 1
+            return statements[i + 1 : end - 1], end
+
+        then, after = side(i, first)
+        other: list[str] = []
+        if after < len(statements) and (m := re.match(r"%else\s+(.+)$", statements[after], re.I)):
+            other, after = side(after, m[1])
+        self.run(then if true else other, local)
+        return after
+
     def run(self, statements: list[str], local: dict[str, str] | None = None):
         """Feeds expanded statements to the session, in order, so that values read at run time are known in time."""
         local, i = local or {}, 0
@@ -79,7 +115,7 @@ class Macros:
             elif m := re.match(r"%let\s+(\w+)\s*=\s*(.*)$", s, re.I):
                 (local if local else self.values)[m[1].lower()] = self.substitute(m[2], local)
             elif m := re.match(r"%include\s+[\"']([^\"']+)[\"']$", s, re.I):
-                self.run(split_statements(strip_comments(self.session.include(m[1]))), local)
+                self.run([x.text for x in statements(self.session.include(m[1]))], local)
             elif m := re.match(r"%do\s+(\w+)\s*=\s*(.+?)\s+%to\s+(.+)$", s, re.I):
                 depth, end = 1, i + 1
                 while depth:
@@ -93,6 +129,9 @@ class Macros:
                     self.run(statements[i + 1 : end - 1], local)
                 i = end
                 continue
+            elif m := re.match(r"%if\s+(.+?)\s+%then\s+(.+)$", s, re.I):
+                i = self.branch(statements, i, local, self.holds(m[1], local), m[2])
+                continue
             elif (m := re.match(r"%(\w+)\s*(?:\((.*)\))?$", s)) and m[1].lower() in self.bodies:
                 params, body = self.bodies[m[1].lower()]
                 own = dict(params)
@@ -112,32 +151,52 @@ class Macros:
 
 # ---------------------------------------------------------------- expressions
 
-_TOKEN = re.compile(r"\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<str>'[^']*'|\"[^\"]*\")|(?P<name>[A-Za-z_]\w*(?:\.\w+)?)|(?P<op><=|>=|\^=|~=|<>|\|\||\*\*|[-+*/()=<>,.]))")
 _WORDS = {"lt", "le", "gt", "ge", "eq", "ne"}
+_AGGREGATES = {"sum": F.sum, "avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "n": F.count, "std": F.stddev, "nmiss": lambda c: F.count_if(c.isNull())}
+_SIMPLE = {"strip": F.trim, "trim": F.rtrim, "upcase": F.upper, "lowcase": F.lower, "missing": E.is_missing, "length": E.byte_length, "abs": F.abs, "year": F.year, "month": F.month, "sqrt": F.sqrt, "log": F.log, "countw": E.count_words}
 
 
 class Expression:
-    """A recursive-descent parser from expression text to a Column; comparisons are missing-aware and give 1 or 0."""
-
-    def __init__(self, text: str, formats: dict[str, E.RangeFormat]):
-        self.text, self.formats, self.items, at = text, formats, [], 0
-        while at < len(text.rstrip()):
-            m = _TOKEN.match(text, at)
-            if not m:
-                raise Unsupported("expression", text)
-            self.items.append((m.lastgroup, m[m.lastgroup]))
-            at = m.end()
-        self.at = 0
-
-    def peek(self):
-        return self.items[self.at] if self.at < len(self.items) else (None, "")
-
-    def take(self, value: str | None = None):
-        kind, v = self.peek()
-        if kind is None or value is not None and v.lower() != value:
+    """A recursive-descent parser from tokens to a Column; comparisons are missing-aware and give 1 or 0.
+
+    ``names`` gives the column of a name; without it, names are columns. ``query`` turns the tokens of a sub-query into a column.
+    With ``aggregate``, calls of one argument by an aggregate's name are aggregates, and ``aggregated`` says if there was one.
+    With ``plain_equality`` the equality of two names is SQL's, so that a join on it stays an equi-join.
+    """
+
+    def __init__(self, items, formats: dict[str, E.RangeFormat], names=None, query=None, aggregate: bool = False, plain_equality: bool = False):
+        self.items = tuple(tokens(items)) if isinstance(items, str) else tuple(items)
+        self.formats, self.names, self.query, self.aggregate, self.plain_equality = formats, names or (lambda parts: self._column(parts)), query, aggregate, plain_equality
+        self.at, self.aggregated = 0, False
+
+    @staticmethod
+    def _column(parts: list[str]) -> Column:
+        if len(parts) == 2 and parts[0] in ("first", "last"):
+            return F.col(f"_{parts[0]}_{parts[1]}")
+        if len(parts) > 1:
+            raise Unsupported("name", ".".join(parts))
+        return F.col(f"`{parts[0]}`")
+
+    @property
+    def text(self) -> str:
+        return " ".join(t.text for t in self.items)
+
+    def peek(self, ahead: int = 0) -> Token:
+        return self.items[self.at + ahead] if self.at + ahead < len(self.items) else Token("end", "", 0, 0)
+
+    def take(self, value: str | None = None) -> Token:
+        t = self.peek()
+        if t.kind == "end" or value is not None and t.low != value:
             raise Unsupported("expression", self.text)
         self.at += 1
-        return kind, v
+        return t
+
+    def word(self, *values: str) -> bool:
+        """Takes the next words if they are these."""
+        if all(self.peek(i).low == v and self.peek(i).kind != "str" for i, v in enumerate(values)):
+            self.at += len(values)
+            return True
+        return False
 
     def value(self) -> Column:
         out, boolean = self.either()
@@ -156,137 +215,666 @@ class Expression:
 
     def either(self):
         left = self.both()
-        while self.peek()[1].lower() == "or":
-            self.take()
+        while self.word("or") or self.word("|"):
             left = (self._bool(left) | self._bool(self.both()), True)
         return left
 
     def both(self):
         left = self.negated()
-        while self.peek()[1].lower() == "and":
-            self.take()
+        while self.word("and") or self.word("&"):
             left = (self._bool(left) & self._bool(self.negated()), True)
         return left
 
     def negated(self):
-        if self.peek()[1].lower() == "not":
-            self.take()
+        if self.word("not") or self.word("^") or self.word("~"):
             return ~self._bool(self.negated()), True
+        first = self.at
         left = self.sum()
-        op = self.peek()[1].lower()
-        if op in E.SYMBOLS or op in _WORDS:
+        op = self.peek().low
+        if self.peek().kind != "str" and (op in E.SYMBOLS or op in _WORDS):
             self.take()
-            return E.compare(self._num(left), op, self._num(self.sum())), True
-        return left
+            second = self.at
+            a, b = self._num(left), self._num(self.sum())
+            if self.plain_equality and E.SYMBOLS.get(op, op) == "eq" and all(t.kind == "name" or t.text == "." for t in (*self.items[first : second - 1], *self.items[second : self.at])):
+                return a == b, True
+            return E.compare(a, op, b), True
+        inverted = self.word("not")
+        test = None
+        if self.word("in"):
+            self.take("(")
+            test = F.lit(False)
+            while not self.word(")"):
+                test = test | self._num(left).eqNullSafe(self._num(self.sum()))
+                self.word(",")
+        elif self.word("between"):
+            low = self._num(self.sum())
+            self.take("and")
+            test = E.compare(self._num(left), "ge", low) & E.compare(self._num(left), "le", self._num(self.sum()))
+        elif self.word("is", "not", "null") or self.word("is", "not", "missing"):
+            test = self._num(left).isNotNull()
+        elif self.word("is", "null") or self.word("is", "missing"):
+            test = self._num(left).isNull()
+        if test is None:
+            if inverted:
+                raise Unsupported("expression", self.text)
+            return left
+        return (~test if inverted else test), True
 
     def _num(self, x):
         return E.flag(x[0]) if x[1] else x[0]
 
     def sum(self):
         left = self.product()
-        while self.peek()[1] in ("+", "-", "||"):
-            op = self.take()[1]
+        while self.peek().text in ("+", "-", "||"):
+            op = self.take().text
             a, b = self._num(left), self._num(self.product())
             left = ({"+": lambda: a + b, "-": lambda: a - b, "||": lambda: F.concat(a, b)}[op](), False)
         return left
 
     def product(self):
         left = self.unary()
-        while self.peek()[1] in ("*", "/", "**"):
-            op = self.take()[1]
+        while self.peek().text in ("*", "/", "**"):
+            op = self.take().text
             a, b = self._num(left), self._num(self.unary())
             left = ({"*": lambda: a * b, "/": lambda: F.try_divide(a, b), "**": lambda: F.pow(a, b)}[op](), False)
         return left
 
     def unary(self):
-        if self.peek()[1] == "-":
+        if self.peek().text == "-":
             self.take()
             return -self._num(self.unary()), False
-        kind, v = self.take()
-        if kind == "num":
-            return F.lit(float(v) if "." in v or "e" in v.lower() else int(v)), False
-        if kind == "str":
-            return F.lit(v[1:-1]), False
-        if v == "(":
+        t = self.take()
+        if t.kind == "num":
+            return F.lit(float(t.text) if "." in t.text or "e" in t.low else int(t.text)), False
+        if t.kind == "str":
+            if self.peek().low == "d" and self.peek().start == t.end:
+                self.take()
+                return F.to_date(F.lit(t.value), "ddMMMyyyy"), False
+            return F.lit(t.value), False
+        if t.text == "(":
+            if self.peek().low == "select" and self.query:
+                end = closing(self.items, self.at - 1)
+                inside, self.at = self.items[self.at : end], end + 1
+                return self.query(inside), False
             inside = self.either()
             self.take(")")
             return inside
-        if v == ".":
+        if t.text == ".":
             return F.lit(None).cast("double"), False
-        if kind != "name":
+        if t.kind != "name":
             raise Unsupported("expression", self.text)
-        if self.peek()[1] == "(":
-            return self.call(v.lower()), False
-        low = v.lower()
-        if "." in low:
-            part = low.split(".")[0]
-            if part not in ("first", "last"):
-                raise Unsupported("name", v)
-            return F.col(f"_{part}"), False
-        return F.col(low), False
+        if t.low == "case":
+            return self.case(), False
+        if self.peek().text == "(":
+            return self.call(t.low), False
+        parts = [t.low]
+        while self.peek().text == "." and self.peek(1).kind == "name" and self.peek().start == t.end:
+            self.take()
+            t = self.take()
+            parts.append(t.low)
+        if parts == ["calculated"] and self.peek().kind == "name":
+            parts = ["calculated", self.take().low]
+        return self.names(parts), False
+
+    def case(self) -> Column:
+        out = None
+        while self.word("when"):
+            test = self._bool(self.either())
+            self.take("then")
+            value = self._num(self.either())
+            out = F.when(test, value) if out is None else out.when(test, value)
+        if out is None:
+            raise Unsupported("expression", self.text)
+        if self.word("else"):
+            out = out.otherwise(self._num(self.either()))
+        self.take("end")
+        return out
 
     def call(self, name: str) -> Column:
         self.take("(")
         if name == "put":
             x = self._num(self.either())
             self.take(",")
-            fmt = self.take()[1].rstrip(".").lower()
-            if self.peek()[1] == ".":
+            fmt = self.take().low.rstrip(".")
+            while not self.word(")"):
                 self.take()
-            self.take(")")
             if fmt in ("yymmn6", "yymmn"):
                 return E.year_month(x)
             if fmt not in self.formats:
                 raise Unsupported("format", fmt)
             return self.formats[fmt].apply(x)
+        if self.aggregate and name == "count":
+            distinct = self.word("distinct")
+            if self.word("*", ")"):
+                self.aggregated = True
+                return F.count(F.lit(1))
+            x = self._num(self.either())
+            self.take(")")
+            self.aggregated = True
+            return F.countDistinct(x) if distinct else F.count(x)
+        if name == "intnx":
+            if self.take().value.lower() != "month":
+                raise Unsupported("interval", self.text)
+            self.take(",")
+            day = self._num(self.either())
+            self.take(",")
+            shift = self._num(self.either())
+            if self.word(",") and self.take().value.lower() not in ("b", "beginning"):
+                raise Unsupported("alignment", self.text)
+            self.take(")")
+            return F.add_months(E.month_start(day), shift.cast("int"))
         args = []
-        while self.peek()[1] != ")":
+        while not self.word(")"):
             args.append(self._num(self.either()))
-            if self.peek()[1] == ",":
-                self.take()
-        self.take(")")
-        simple = {"strip": F.trim, "trim": F.rtrim, "upcase": F.upper, "lowcase": F.lower, "missing": E.is_missing, "length": E.byte_length, "abs": F.abs, "year": F.year, "month": F.month, "sqrt": F.sqrt, "log": F.log, "countw": E.count_words}
-        if name in simple and len(args) == 1:
-            return simple[name](*args)
-        if name == "max" and len(args) > 1:
-            return F.greatest(*args)
-        if name == "min" and len(args) > 1:
-            return F.least(*args)
+            self.word(",")
+        if self.aggregate and len(args) == 1 and name in _AGGREGATES:
+            self.aggregated = True
+            return _AGGREGATES[name](args[0])
+        if name in _SIMPLE and len(args) == 1:
+            return _SIMPLE[name](*args)
+        if name in ("max", "min") and len(args) > 1:
+            return (F.greatest if name == "max" else F.least)(*args)
         if name == "sum":
             return sum((F.coalesce(a, F.lit(0)) for a in args[1:]), F.coalesce(args[0], F.lit(0)))
         if name == "round" and len(args) <= 2:
             return F.round(args[0]) if len(args) == 1 else F.round(args[0] / args[1]) * args[1]
+        if name == "coalesce" and args:
+            return F.coalesce(*args)
         raise Unsupported("function", name)
 
 
 # ---------------------------------------------------------------- steps
 
 
-def _options(text: str) -> tuple[str, dict[str, str]]:
-    """A table name and its data set options."""
-    m = re.match(r"([\w.]+)\s*(?:\((.*)\))?\s*$", text.strip(), re.S)
-    if not m:
-        raise Unsupported("table", text)
-    found = re.findall(r"(\w+)\s*=\s*((?:[\w.]+\s*)+?)(?=\w+\s*=|$)", m[2] or "")
-    return m[1].lower(), {k.lower(): v.strip().lower() for k, v in found}
+@dataclass
+class Table:
+    """A table of a statement, with its data set options."""
+
+    name: str
+    keep: list[str] = field(default_factory=list)
+    drop: list[str] = field(default_factory=list)
+    rename: dict[str, str] = field(default_factory=dict)
+    where: tuple = ()
+
+    def shape(self, df: DataFrame, session: "Session") -> DataFrame:
+        """Columns are kept or dropped, then renamed, then rows are filtered."""
+        df = df.select(*self.keep) if self.keep else df
+        df = df.drop(*self.drop).withColumnsRenamed(self.rename)
+        return df.where(session.expression(self.where).condition()) if self.where else df
+
+
+def _pairs(items) -> dict[str, str]:
+    words = [t.low for t in items if t.text not in ("(", ")")]
+    if len(words) % 3 or any(words[i + 1] != "=" for i in range(0, len(words), 3)):
+        raise Unsupported("rename", " ".join(words))
+    return {words[i]: words[i + 2] for i in range(0, len(words), 3)}
+
+
+def _table_at(items, at: int) -> tuple[Table, int]:
+    name, after = name_at(items, at)
+    if not name:
+        raise Unsupported("table", " ".join(t.text for t in items))
+    out = Table(name)
+    if after < len(items) and items[after].text == "(":
+        end, at = closing(items, after), after + 1
+        while at < end:
+            key = items[at].low
+            if at + 1 >= end or items[at + 1].text != "=":
+                raise Unsupported("data set option", items[at].text)
+            stop = at + 2
+            if items[stop].text == "(":
+                stop = closing(items, stop) + 1
+            else:
+                while stop < end and not (stop + 1 < end and items[stop + 1].text == "="):
+                    stop += 1
+            value = items[at + 2 : stop]
+            if key == "keep":
+                out.keep = [t.low for t in value]
+            elif key == "drop":
+                out.drop = [t.low for t in value]
+            elif key == "rename":
+                out.rename = _pairs(value)
+            elif key == "where":
+                out.where = value
+            else:
+                raise Unsupported("data set option", key)
+            at = stop
+        after = end + 1
+    return out, after
+
+
+def _tables(items, at: int) -> list[Table]:
+    out = []
+    while at < len(items):
+        table, at = _table_at(items, at)
+        out.append(table)
+    return out
 
 
-def _shape(df: DataFrame, options: dict[str, str]) -> DataFrame:
-    for k, v in options.items():
-        if k == "keep":
-            df = df.select(*v.split())
-        elif k == "drop":
-            df = df.drop(*v.split())
-        elif k == "rename":
-            raise Unsupported("data set option", k)
-        elif k != "where":
-            raise Unsupported("data set option", k)
-    return df
+def _option(s: Statement, name: str) -> Table | None:
+    """The table that an option of a procedure names."""
+    for i in range(len(s.tokens) - 2):
+        if s.tokens[i].low == name and s.tokens[i + 1].text == "=":
+            return _table_at(s.tokens, i + 2)[0]
+    return None
 
 
-def _option(statement: str, name: str) -> str | None:
-    m = re.search(rf"\b{name}\s*=\s*([\w.]+(?:\s*\([^)]*\))?)", statement, re.I)
-    return m[1] if m else None
+def _number(s: Statement, name: str, otherwise: float) -> float:
+    found = _option(s, name) if any(t.low == name for t in s.tokens) else None
+    return float(found.name) if found else otherwise
+
+
+class _DataStep:
+    """Runs the statements of a DATA step in their order on a plan: each sees the values and rows that those before it left.
+
+    ``first.k`` and ``last.k`` are columns made before any filter but WHERE. Sums and retained maxima are windows over the
+    rows that reach their statement. A condition becomes a column before what it governs runs.
+    """
+
+    IGNORED = ("length", "format", "label", "informat", "attrib")
+
+    def __init__(self, session: "Session", block: list[Statement]):
+        self.session, self.block, self.made, self.hidden = session, block, 0, []
+        self.targets = _tables(block[0].tokens, 1)
+        self.by, self.retained, self.keep, self.drop, self.rename = [], {}, [], [], {}
+        self.starts: dict[str, tuple[int, object]] = {}
+        self.done: set[str] = set()
+        self.emitted: dict[str, list[DataFrame]] = {}
+        self.filtered = False
+        source, wheres, body = None, [], []
+        for s in block[1:]:
+            words = [t.low for t in s.tokens]
+            if words[1:2] == ["="] or words[1:2] == ["+"]:
+                body.append(s)
+            elif s.head == "set":
+                tables = _tables(s.tokens, 1)
+                if source or len(tables) != 1:
+                    raise Unsupported("SET of several tables", s.text)
+                source = tables[0]
+            elif s.head in self.IGNORED:
+                continue
+            elif s.head == "by":
+                self.by = words[1:]
+                if "descending" in self.by:
+                    raise Unsupported("BY DESCENDING", s.text)
+            elif s.head == "retain":
+                self._retain(s)
+            elif s.head in ("keep", "drop"):
+                getattr(self, s.head).extend(words[1:])
+            elif s.head == "rename":
+                self.rename |= _pairs(s.tokens[1:])
+            elif s.head == "where":
+                wheres.append(s)
+            elif s.head in ("merge", "array", "call", "infile", "input", "link", "goto", "update", "modify", "select", "put", "file", "declare", "dcl"):
+                raise Unsupported(s.head.upper(), s.text)
+            else:
+                body.append(s)
+        if source is None:
+            raise Unsupported("DATA step without SET", block[0].text)
+        self.sums = {w[0].low for s in body for w in self._sum_tokens(s)}
+        self.name = source.name if "." in source.name else f"work.{source.name}"
+        self.df = source.shape(session.read(source.name), session)
+        for s in wheres:
+            self.df = self.df.where(session.expression(s.tokens[1:]).condition())
+        if self.by:
+            self._mark_groups()
+        self.always = any(t.low == "output" for s in body for t in s.tokens)
+        self.execute(body, None)
+        for t in self.targets:
+            rows = self.emitted.get(t.name, []) if self.always else [self._row(self.df)]
+            if not rows:
+                rows = [self._row(self.df).limit(0)]
+            out = rows[0]
+            for x in rows[1:]:
+                out = out.unionByName(x, allowMissingColumns=True)
+            session.write(t.name, t.shape(out, session), session.sorted_by.get(self.name))
+
+    def _sum_tokens(self, s: Statement):
+        """Sum statements anywhere in a statement: name + expression."""
+        for start in [0, *[i + 1 for i, t in enumerate(s.tokens) if t.low in ("then", "else")]]:
+            part = s.tokens[start:]
+            if len(part) > 2 and part[0].kind == "name" and part[1].text == "+" and part[0].low not in ("if", "else"):
+                yield part
+
+    def _retain(self, s: Statement) -> None:
+        names: list[str] = []
+        for t in s.tokens[1:]:
+            if t.kind == "name":
+                names.append(t.low)
+                self.retained[t.low] = None
+            elif t.kind == "num":
+                for n in names:
+                    self.retained[n] = float(t.text) if "." in t.text else int(t.text)
+                names = []
+            else:
+                raise Unsupported("RETAIN of another form", s.text)
+
+    def _row(self, df: DataFrame) -> DataFrame:
+        rows = df.drop(*self.hidden)
+        return (rows.select(*self.keep) if self.keep else rows.drop(*self.drop)).withColumnsRenamed(self.rename)
+
+    def _window(self, keys: list[str]):
+        known = self.session.sorted_by.get(self.name, [])
+        order = [c for c in [*self.by, *known, *self.session.row_order.get(self.name, [])] if c not in keys]
+        if not (known or order):
+            raise Unsupported("BY group without a known order", self.name)
+        return Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in dict.fromkeys(order or keys)])
+
+    def _mark_groups(self) -> None:
+        marks = {}
+        for i, k in enumerate(self.by):
+            w = self._window(self.by[: i + 1])
+            marks[f"_first_{k}"] = (F.row_number().over(w) == 1).cast("int")
+            marks[f"_last_{k}"] = F.lead(F.lit(0), 1, 1).over(w)
+        self.df = self.df.withColumns(marks)
+        self.hidden += marks
+
+    def _condition(self, items) -> str:
+        """A column for a condition, as its value is now."""
+        self.made += 1
+        name = f"_if_{self.made}"
+        self.df = self.df.withColumn(name, self.session.expression(items).condition())
+        self.hidden.append(name)
+        return name
+
+    def _mask(self, *parts: Column | None) -> str | None:
+        live = [p for p in parts if p is not None]
+        if not live:
+            return None
+        self.made += 1
+        name = f"_if_{self.made}"
+        test = live[0]
+        for p in live[1:]:
+            test = test & p
+        self.df = self.df.withColumn(name, test)
+        self.hidden.append(name)
+        return name
+
+    def execute(self, body: list[Statement], mask: str | None, first: str | None = None) -> None:
+        """``first``: the BY variable whose first row is the mask, if it is."""
+        i = 0
+        while i < len(body):
+            s = body[i]
+            if s.head == "if" and any(t.low == "then" and t.kind == "name" for t in s.tokens):
+                i = self._chain(body, i, mask)
+            elif s.head == "do" and len(s.tokens) == 1:
+                inner, i = self._group(body, i)
+                self.execute(inner, mask, first)
+            else:
+                self.one(s, s.tokens, mask, first)
+                i += 1
+
+    @staticmethod
+    def _group(body, i: int) -> tuple[list[Statement], int]:
+        """The statements between DO and its END, and the place after it."""
+        depth, at = 1, i + 1
+        while depth:
+            if at >= len(body):
+                raise Unsupported("DO without END", body[i].text)
+            last = body[at].tokens[-1].low
+            depth += (last == "do") - (body[at].head == "end" and len(body[at].tokens) == 1)
+            at += 1
+        return body[i + 1 : at - 1], at
+
+    def _chain(self, body, i: int, mask: str | None) -> int:
+        """IF THEN and the ELSE statements after it: the first true branch runs."""
+        before: list[str] = []
+        while i < len(body):
+            items = body[i].tokens
+            if before:
+                if items[0].low != "else":
+                    break
+                items = items[1:]
+            first = None
+            outer = [F.col(mask)] if mask else []
+            if items and items[0].low == "if" and any(t.low == "then" for t in items):
+                then = next(k for k, t in enumerate(items) if t.low == "then" and t.kind == "name")
+                test = self._condition(items[1:then])
+                own = self._mask(*outer, *[~F.col(b) for b in before], F.col(test))
+                if [t.low for t in items[1:then]][:2] == ["first", "."] and then == 4 and not before and not mask:
+                    first = items[3].low
+                before.append(test)
+                items = items[then + 1 :]
+                last = False
+            elif before:
+                own = self._mask(*outer, *[~F.col(b) for b in before])
+                last = True
+            else:
+                raise Unsupported("IF", body[i].text)
+            if [t.low for t in items] == ["do"]:
+                inner, i = self._group(body, i)
+                self.execute(inner, own, first)
+            else:
+                self.one(body[i], items, own, first)
+                i += 1
+            if last:
+                break
+        return i
+
+    def one(self, s: Statement, items, mask: str | None, first: str | None) -> None:
+        words = [t.low for t in items]
+        if words[:1] == ["output"]:
+            self._output(words, items, mask)
+        elif words == ["delete"]:
+            self.df = self.df.where(~F.col(mask)) if mask else self.df.limit(0)
+            self.filtered = True
+        elif words[:1] == ["if"]:
+            test = self.session.expression(items[1:]).condition()
+            self.df = self.df.where(~F.col(mask) | test if mask else test)
+            self.filtered = True
+        elif len(words) > 2 and words[1] == "+" and items[0].kind == "name":
+            self._sum(s, words[0], items[2:], mask)
+        elif len(words) > 2 and words[1] == "=" and items[0].kind == "name":
+            self._assign(s, words[0], items[2:], mask, first)
+        else:
+            raise Unsupported(words[0].upper() if words and words[0] in ("do", "end", "else", "return", "stop", "abort") else "statement", s.text)
+
+    def _output(self, words, items, mask) -> None:
+        names = [t.name for t in _tables(items, 1)] if len(words) > 1 else [t.name for t in self.targets]
+        rows = self._row(self.df.where(F.col(mask)) if mask else self.df)
+        for n in names:
+            if n not in [t.name for t in self.targets]:
+                raise Unsupported("OUTPUT to another table", n)
+            self.emitted.setdefault(n, []).append(rows)
+
+    def _running(self, s: Statement, name: str) -> tuple:
+        """The window over which an accumulator runs, and its start."""
+        if name in self.done:
+            raise Unsupported("accumulator changed twice", s.text)
+        self.done.add(name)
+        if name not in self.starts:
+            raise Unsupported("sum without a start at FIRST.", s.text)
+        level, start = self.starts[name]
+        return self._window(self.by[:level]).rowsBetween(Window.unboundedPreceding, 0), start
+
+    def _sum(self, s, name, items, mask) -> None:
+        window, start = self._running(s, name)
+        self._unread(items, s)
+        value = F.coalesce(self.session.expression(items).value(), F.lit(0))
+        self.df = self.df.withColumn(name, F.lit(start) + F.sum(F.when(F.col(mask), value).otherwise(F.lit(0)) if mask else value).over(window))
+
+    def _unread(self, items, s) -> None:
+        for t in items:
+            if (t.low in self.sums or t.low in self.retained) and t.low not in self.done:
+                raise Unsupported("accumulator read before its statement", s.text)
+
+    def _assign(self, s, name, items, mask, first) -> None:
+        accumulator = name in self.sums or name in self.retained
+        words = [t.low for t in items]
+        if accumulator and first and all(t.kind == "num" or t.text == "-" for t in items):
+            if self.filtered:
+                raise Unsupported("start at FIRST. after rows were left out", s.text)
+            if first not in self.by:
+                raise Unsupported("FIRST. without BY", s.text)
+            text = "".join(words)
+            self.starts[name] = (self.by.index(first) + 1, float(text) if "." in text else int(text))
+            return
+        if accumulator:
+            if name in self.sums or words[:3] != ["max", "(", name] or words[3:4] != [","] or words[-1] != ")" or mask:
+                raise Unsupported("RETAIN of another form", s.text)
+            window, start = self._running(s, name)
+            value = self.session.expression(items[4:-1]).value()
+            self.df = self.df.withColumn(name, F.greatest(F.max(value).over(window), F.lit(start)))
+            return
+        self._unread(items, s)
+        value = self.session.expression(items).value()
+        if mask:
+            value = F.when(F.col(mask), value).otherwise(F.col(f"`{name}`") if name in self.df.columns else F.lit(None))
+        self.df = self.df.withColumn(name, value)
+
+
+class _Select:
+    """A SELECT as operators on plans; WHERE, HAVING and CASE have missing-aware comparisons. A join's equality of two columns
+    follows SQL, so missing keys don't meet."""
+
+    CLAUSES = ("from", "where", "group", "having", "order", "into")
+
+    def __init__(self, session: "Session", items):
+        self.session, self.named, self.into = session, {}, None
+        parts = self._clauses(items)
+        if "from" not in parts:
+            raise Unsupported("SELECT without FROM", " ".join(t.text for t in items))
+        self.into = parts.get("into")
+        df = self._from(parts["from"])
+        if "where" in parts:
+            self._name_items(parts["select"], df)
+            df = df.where(self._expression(parts["where"]).condition())
+        self.result = self._project(df, parts)
+
+    def _clauses(self, items) -> dict[str, tuple]:
+        out, depth, now, start = {}, 0, "select", 1
+        for i, t in enumerate(items):
+            depth += (t.text == "(") - (t.text == ")")
+            if not depth and i and t.kind == "name" and t.low in self.CLAUSES:
+                out[now] = items[start:i]
+                now, start = t.low, i + 2 if t.low in ("group", "order") else i + 1
+        out[now] = items[start:]
+        return out
+
+    def _expression(self, items, **more) -> Expression:
+        return Expression(items, self.session.formats, names=self._name, query=self._scalar, **more)
+
+    def _name(self, parts: list[str]) -> Column:
+        if parts[0] == "calculated":
+            if parts[1] not in self.named:
+                raise Unsupported("CALCULATED", parts[1])
+            return self.named[parts[1]]
+        return F.col(".".join(f"`{p}`" for p in parts))
+
+    def _scalar(self, items) -> Column:
+        return _Select(self.session, items).result.scalar()
+
+    def _source(self, items, at: int) -> tuple[DataFrame, int]:
+        if items[at].text == "(":
+            end = closing(items, at)
+            df, at, alias = _Select(self.session, items[at + 1 : end]).result, end + 1, None
+        else:
+            table, at = _table_at(items, at)
+            df, alias = table.shape(self.session.read(table.name), self.session), table.name.split(".")[-1]
+        at += at < len(items) and items[at].low == "as"
+        if at < len(items) and items[at].kind == "name" and items[at].low not in ("inner", "left", "right", "full", "join", "on", "cross"):
+            alias, at = items[at].low, at + 1
+        return (df.alias(alias) if alias else df), at
+
+    def _from(self, items) -> DataFrame:
+        df, at = self._source(items, 0)
+        while at < len(items):
+            kind = "inner"
+            if items[at].low in ("inner", "left", "right", "full"):
+                kind, at = items[at].low, at + 1
+                at += items[at].low == "outer"
+            if items[at].low != "join":
+                raise Unsupported("FROM", " ".join(t.text for t in items))
+            other, at = self._source(items, at + 1)
+            if at >= len(items) or items[at].low != "on":
+                raise Unsupported("JOIN without ON", " ".join(t.text for t in items))
+            end, depth = at + 1, 0
+            while end < len(items) and (depth or items[end].low not in ("inner", "left", "right", "full", "join") or items[end + 1].text == "."):
+                depth += (items[end].text == "(") - (items[end].text == ")")
+                end += 1
+            df = df.join(other, self._expression(items[at + 1 : end], plain_equality=True).condition(), kind)
+            at = end
+        return df
+
+    @staticmethod
+    def _split(items) -> list[tuple]:
+        out, depth, start = [], 0, 0
+        for i, t in enumerate(items):
+            depth += (t.text == "(") - (t.text == ")")
+            if t.text == "," and not depth:
+                out.append(items[start:i])
+                start = i + 1
+        return [*out, items[start:]]
+
+    def _name_items(self, items, df: DataFrame) -> list[tuple[str | None, Column, bool, str]]:
+        """(name, column, whether it aggregates, text) of each selected item; a star has no name."""
+        out = []
+        items = items[1:] if items and items[0].low == "distinct" else items
+        for n, part in enumerate(self._split(items)):
+            words = [t.low for t in part]
+            if words == ["*"] or len(words) == 3 and words[1:] == [".", "*"]:
+                out.append((None, F.col("*") if len(words) == 1 else F.col(f"{words[0]}.*"), False, ""))
+                continue
+            end = next((i for i, w in enumerate(words) if w in ("format", "label", "length", "informat") and words[i + 1 : i + 2] == ["="]), len(part))
+            part, words = part[:end], words[:end]
+            name = words[-1] if len(words) > 2 and words[-2] == "as" else None
+            part = part[:-2] if name else part
+            name = name or (words[-1] if all(t.kind == "name" or t.text == "." for t in part) else f"_c{n}")
+            made = self._expression(part, aggregate=True)
+            column = made.value()
+            self.named[name] = column
+            out.append((name, column, made.aggregated, " ".join(t.low for t in part)))
+        return out
+
+    def _project(self, df: DataFrame, parts) -> DataFrame:
+        chosen = self._name_items(parts["select"], df)
+        keys = []
+        for part in self._split(parts["group"]) if "group" in parts else ():
+            text = " ".join(t.low for t in part)
+            bare = text.removeprefix("calculated ")
+            found = next((c for c in chosen if c[0] == bare or c[3] == text), None)
+            if len(part) == 1 and part[0].kind == "num":
+                found = chosen[int(part[0].text) - 1]
+            keys.append((found[1] if found else self._expression(part).value(), found))
+        if keys or any(c[2] for c in chosen) or "having" in parts:
+            df, after = self._grouped(df, chosen, keys, parts.get("having"))
+        else:
+            after = [c[1].alias(c[0]) if c[0] else c[1] for c in chosen]
+        order = self._order(parts["order"], chosen) if "order" in parts else None
+        distinct = parts["select"][:1] and parts["select"][0].low == "distinct"
+        if distinct:
+            df = df.select(*after).distinct()
+            return df.orderBy(*order) if order else df
+        return df.select(*after).orderBy(*order) if order else df.select(*after)
+
+    def _grouped(self, df, chosen, keys, having):
+        places = [next((k for k, (_, f) in enumerate(keys) if f is c), None) for c in chosen]
+        for c, k in zip(chosen, places):
+            if not c[2] and k is None:
+                raise Unsupported("column that is neither grouped nor aggregated", c[3] or "*")
+        sums = [c[1].alias(f"_a{i}") for i, c in enumerate(chosen) if c[2]]
+        if having is not None:
+            sums.append(self._expression(having, aggregate=True).condition().alias("_having"))
+        grouped = df.groupBy(*[k.alias(f"_k{i}") for i, (k, _) in enumerate(keys)])
+        out = grouped.agg(*sums) if sums else df.select(*[k.alias(f"_k{i}") for i, (k, _) in enumerate(keys)]).distinct()
+        out = out.where("_having") if having is not None else out
+        return out, [F.col(f"_a{i}" if c[2] else f"_k{k}").alias(c[0]) for i, (c, k) in enumerate(zip(chosen, places))]
+
+    def _order(self, items, chosen) -> list[Column]:
+        out = []
+        for part in self._split(items):
+            down = part[-1].low in ("desc", "descending")
+            part = part[:-1] if down or part[-1].low in ("asc", "ascending") else part
+            text = " ".join(t.low for t in part).removeprefix("calculated ")
+            found = next((c[0] for c in chosen if c[0] == text or c[3] == text), None)
+            if len(part) == 1 and part[0].kind == "num":
+                found = chosen[int(part[0].text) - 1][0]
+            if found is None and any(c[0] is None for c in chosen):
+                found = part[-1].low
+            if found is None:
+                raise Unsupported("ORDER BY", text)
+            out.append(F.col(f"`{found}`").desc_nulls_last() if down else F.col(f"`{found}`").asc_nulls_first())
+        return out
 
 
 class Session:
@@ -300,9 +888,10 @@ class Session:
         self.libraries, self.includes, self.row_order, self.saving = libraries, includes or {}, row_order or {}, save
         self.tables: dict[str, DataFrame] = {}
         self.sorted_by: dict[str, list[str]] = {}
+        self.order: dict[str, tuple] = {}
         self.formats: dict[str, E.RangeFormat] = {}
         self.macros = Macros(self)
-        self.block: list[str] = []
+        self.block: list[Statement] = []
 
     def include(self, path: str) -> str:
         name = path.rsplit("/", 1)[-1]
@@ -317,258 +906,208 @@ class Session:
     def write(self, name: str, df: DataFrame, order: list[str] | None = None) -> None:
         name = name.lower() if "." in name else f"work.{name.lower()}"
         self.tables[name] = self.libraries.save(name, df) if self.saving and not name.startswith("work.") else df
+        self.order.pop(name, None)
         self.sorted_by[name] = order or []
 
     def run(self, program: str) -> dict[str, DataFrame]:
+        """The tables that a program makes; sorted ones are sorted here, as nothing before needs their rows in order."""
         before = set(self.tables)
-        self.macros.run(split_statements(strip_comments(program)))
+        self.macros.run([s.text for s in statements(program)])
         if self.block:
             self.finish()
-        return {k: v for k, v in self.tables.items() if k not in before}
-
-    def statement(self, s: str) -> None:
-        low = s.lower()
-        starts = bool(re.match(r"(proc|data)\b", low))
-        if starts and self.block and not low.startswith("data=") :
+        return {k: sort(v, *self.order[k]) if k in self.order else v for k, v in self.tables.items() if k not in before}
+
+    def statement(self, text: str) -> None:
+        found = statements(text)
+        if not found:
+            return
+        s = found[0]
+        words = [t.low for t in s.tokens]
+        starts = s.head in ("proc", "data") and words[1:2] != ["="]
+        if starts and self.block:
             self.finish()
-        if low in ("run", "quit"):
-            if self.block and not (low == "run" and self.block[0].lower().startswith("proc sql")):
+        if words in (["run"], ["quit"]):
+            if self.block and not (words == ["run"] and [t.low for t in self.block[0].tokens[:2]] == ["proc", "sql"]):
                 self.finish()
+        elif self.block and [t.low for t in self.block[0].tokens[:2]] == ["proc", "sql"]:
+            # Each statement runs at once, as the next may use what it reads.
+            self.proc_sql([self.block[0], s])
         elif starts or self.block:
             self.block.append(s)
-        elif not re.match(r"(libname|filename|options|title|footnote|ods)\b", low):
-            raise Unsupported("statement", s)
+        elif s.head not in ("libname", "filename", "options", "title", "footnote", "ods"):
+            raise Unsupported("statement", s.text)
 
     def finish(self) -> None:
         block, self.block = self.block, []
-        low = block[0].lower()
-        if low.startswith("data"):
-            return self.data(block)
-        kind = low.split()[1]
+        if block[0].head == "data":
+            _DataStep(self, block)
+            return None
+        kind = block[0].tokens[1].low
         step = getattr(self, f"proc_{kind}", None)
         if step is None:
             raise Unsupported("procedure", kind)
         return step(block)
 
-    def expression(self, text: str) -> Expression:
-        return Expression(text, self.formats)
+    def expression(self, items) -> Expression:
+        return Expression(items, self.formats)
+
+    def source(self, s: Statement) -> tuple[Table, DataFrame]:
+        """The table that a procedure reads."""
+        table = _option(s, "data")
+        if table is None:
+            raise Unsupported("procedure without DATA=", s.text)
+        return table, table.shape(self.read(table.name), self)
+
+    def target(self, s: Statement, option: str, df: DataFrame, keys: list[str] | None = None) -> None:
+        table = _option(s, option)
+        if table is None:
+            raise Unsupported(f"{option.upper()}= is missing", s.text)
+        self.write(table.name, table.shape(df, self), keys)
 
-    # -- DATA
+    @staticmethod
+    def words(block: list[Statement], head: str) -> list[str] | None:
+        return next(([t.low for t in s.tokens[1:]] for s in block[1:] if s.head == head), None)
 
-    def data(self, block: list[str]) -> None:
-        head = block[0][4:].strip()
-        targets = [_options(t) for t in re.findall(r"[\w.]+(?:\s*\([^)]*\))?", head)]
-        source, by, retained, keep, drop = None, [], set(), None, []
-        sums: dict[str, str] = {}
-        maxima: dict[str, tuple[str, float]] = {}
-        body: list[str] = []
-        emits: dict[str, Column] = {}
-        starts: dict[str, float] = {}
+    def filtered(self, df: DataFrame, block: list[Statement]) -> DataFrame:
         for s in block[1:]:
-            low = s.lower()
-            word = re.match(r"\w*", low)[0]
-            if word == "set":
-                if source or len(re.sub(r"\([^)]*\)", "", s).split()) != 2:
-                    raise Unsupported("SET of several tables", s)
-                source = s[4:]
-            elif word in ("length", "format", "label", "informat", "attrib"):
-                continue
-            elif word == "by":
-                by = low.split()[1:]
-            elif word == "retain":
-                names = low.split()[1:]
-                retained.update(n for n in names if not re.fullmatch(r"-?[\d.]+", n))
-            elif word == "keep":
-                keep = low.split()[1:]
-            elif word == "drop":
-                drop += low.split()[1:]
-            elif word in ("merge", "array", "call", "infile", "input", "link", "goto", "do", "output") and word not in ("output", "do"):
-                raise Unsupported(word.upper(), s)
-            else:
-                body.append(s)
-        if source is None:
-            raise Unsupported("DATA step without SET", block[0])
-        name, opts = _options(source)
-        df = _shape(self.read(name), opts)
-        i, chain_to = 0, None
-        current: dict[str, list] = {}
-        while i < len(body):
-            s, low = body[i], body[i].lower()
-            if m := re.match(r"if\s+first\.(\w+)\s+then\s+do$", low):
-                i += 1
-                while body[i].lower() != "end":
-                    a = re.match(r"(\w+)\s*=\s*(-?[\d.]+)$", body[i].lower())
-                    if not a:
-                        raise Unsupported("statement under FIRST.", body[i])
-                    starts[a[1]] = float(a[2]) if "." in a[2] else int(a[2])
-                    i += 1
-            elif m := re.fullmatch(r"(\w+)\s*\+\s*(\w+)", low):
-                if m[1] not in starts:
-                    raise Unsupported("sum without a start at FIRST.", s)
-                sums[m[1]] = m[2]
-            elif (m := re.fullmatch(r"(\w+)\s*=\s*max\(\s*(\w+)\s*,\s*(\w+)\s*\)", low)) and m[1] == m[2] and m[1] in retained:
-                maxima[m[1]] = (m[3], starts.get(m[1], 0))
-            elif any(re.match(rf"{r}\s*=", low) for r in retained):
-                raise Unsupported("RETAIN of another form", s)
-            elif m := re.match(r"where\s+(.*)$", s, re.I):
-                df = df.where(self.expression(m[1]).condition())
-            elif m := re.match(r"(?:(if)\s+(.*?)\s+then\s+)?output(?:\s+([\w.]+))?$", s, re.I):
-                test = self.expression(m[2]).condition() if m[1] else F.lit(True)
-                for t in [m[3].lower()] if m[3] else [t for t, _ in targets]:
-                    emits[t] = emits[t] | test if t in emits else test
-            elif m := re.match(r"(else\s+)?(?:if\s+(.*?)\s+then\s+)?(\w+)\s*=\s*(.*)$", s, re.I | re.S):
-                target = m[3].lower()
-                if m[1] and target != chain_to:
-                    raise Unsupported("ELSE with another target", s)
-                if (sums or maxima) and "_first" not in df.columns:
-                    df = self._grouped(df, by, name, sums, maxima)
-                value = self.expression(m[4]).value()
-                if m[1]:
-                    current[target].append((self.expression(m[2]).condition() if m[2] else F.lit(True), value))
-                elif m[2]:
-                    current[target] = [(self.expression(m[2]).condition(), value)]
-                    chain_to = target
-                else:
-                    df, chain_to = df.withColumn(target, value), None
-                following = body[i + 1].lower() if i + 1 < len(body) else ""
-                if chain_to and not following.startswith("else"):
-                    df = df.withColumn(chain_to, E.chain(current.pop(chain_to), F.col(chain_to) if chain_to in df.columns else None))
-                    chain_to = None
-            elif m := re.match(r"if\s+(.*)$", s, re.I):
-                if " then " in low:
-                    raise Unsupported("IF", s)
-                df = df.where(self.expression(m[1]).condition())
-            elif low == "delete" or low.startswith(("do", "end", "select")):
-                raise Unsupported(low.split()[0].upper(), s)
-            else:
-                raise Unsupported("statement", s)
-            i += 1
-        if (sums or maxima or by) and "_first" not in df.columns:
-            df = self._grouped(df, by, name, sums, maxima)
-        for t, opts in targets:
-            rows = df.where(emits[t]) if emits and t in emits else df.limit(0) if emits else df
-            rows = rows.drop("_first", "_last")
-            rows = rows.select(*keep) if keep else rows.drop(*drop)
-            self.write(t, _shape(rows, opts), self.sorted_by.get(name if "." in name else f"work.{name}"))
-
-    def _grouped(self, df, by, name, sums, maxima):
-        name = name if "." in name else f"work.{name}"
-        order = [c for c in self.sorted_by.get(name, []) + self.row_order.get(name, []) if c not in by]
-        if not by or not (order or self.sorted_by.get(name)):
-            raise Unsupported("BY group without a known order", name)
-        return by_group(df, by, order or by, sums, maxima)
+            if s.head == "where":
+                df = df.where(self.expression(s.tokens[1:]).condition())
+        return df
 
     # -- PROC
 
     def proc_sort(self, block):
-        source, target = _options(_option(block[0], "data")), _options(_option(block[0], "out") or _option(block[0], "data"))
-        words = next((s.lower().split()[1:] for s in block[1:] if s.lower().startswith("by ")), None)
+        """Keeps the order in mind; rows are sorted only where a table leaves the session."""
+        s = block[0]
+        table, df = self.source(s)
+        target = _option(s, "out") or Table(table.name)
+        words = self.words(block, "by")
         if not words:
-            raise Unsupported("SORT without BY", block[0])
+            raise Unsupported("SORT without BY", s.text)
         down = tuple(b for a, b in zip(words, words[1:]) if a == "descending")
         keys = [w for w in words if w != "descending"]
-        df = _shape(self.read(source[0]), source[1])
-        if re.search(r"\bnodupkey\b", block[0], re.I):
-            full = source[0] if "." in source[0] else f"work.{source[0]}"
+        df = self.filtered(df, block)
+        flags = {t.low for t in s.tokens}
+        if flags & {"nodup", "noduprecs", "dupout"}:
+            raise Unsupported("SORT option", s.text)
+        if "nodupkey" in flags:
+            full = table.name if "." in table.name else f"work.{table.name}"
             order = self.row_order.get(full)
             if order is None:
                 raise Unsupported("NODUPKEY without a known input order", full)
             df = first_of_key(df, keys, order)
-        self.write(target[0], _shape(sort(df, keys, down), target[1]), keys)
+        self.write(target.name, target.shape(df, self), [] if down else keys)
+        self.order[target.name if "." in target.name else f"work.{target.name}"] = (keys, down)
 
     def proc_means(self, block):
-        if not re.search(r"\bnway\b", block[0], re.I) and any(s.lower().startswith("class") for s in block):
-            call = procs.means_all
-        else:
-            call = procs.means
-        find = lambda w: next((s for s in block[1:] if s.lower().startswith(w)), None)
-        classes = (find("class ") or "class").lower().split()[1:]
-        var, output = find("var "), find("output ")
-        if not var or not output or len(var.split()) != 2:
-            raise Unsupported("MEANS without one VAR and OUTPUT", block[0])
-        target, opts = _options(_option(output, "out"))
-        rest = re.sub(r"\bout\s*=\s*[\w.]+\s*(\([^)]*\))?", "", output, flags=re.I)
-        stats = {v.lower(): k.lower() for k, v in re.findall(r"(\w+)\s*=\s*(\w+)", rest)}
+        s = block[0]
+        classes, var = self.words(block, "class") or [], self.words(block, "var")
+        output = next((x for x in block[1:] if x.head == "output"), None)
+        for x in block[1:]:
+            if x.head not in ("class", "var", "output", "where"):
+                raise Unsupported(f"MEANS with {x.head.upper()}", x.text)
+        if not var or not output or len(var) != 1:
+            raise Unsupported("MEANS without one VAR and OUTPUT", s.text)
+        target, at, stats = None, 1, {}
+        while at < len(output.tokens):
+            if at + 2 >= len(output.tokens) or output.tokens[at + 1].text != "=":
+                raise Unsupported("OUTPUT", output.text)
+            if output.tokens[at].low == "out":
+                target, at = _table_at(output.tokens, at + 2)
+            else:
+                stats[output.tokens[at + 2].low] = output.tokens[at].low
+                at += 3
         if bad := set(stats.values()) - set(procs.STATISTICS):
             raise Unsupported("statistic", ", ".join(sorted(bad)))
-        source, sopts = _options(_option(block[0], "data"))
-        self.write(target, _shape(call(_shape(self.read(source), sopts), classes, var.split()[1].lower(), stats), opts), classes)
+        if target is None:
+            raise Unsupported("OUTPUT without OUT=", output.text)
+        call = procs.means if any(t.low == "nway" for t in s.tokens) or not classes else procs.means_all
+        df = self.filtered(self.source(s)[1], block)
+        self.write(target.name, target.shape(call(df, classes, var[0], stats), self), classes)
 
     proc_summary = proc_means
 
     def proc_freq(self, block):
-        s = next((s for s in block[1:] if s.lower().startswith("tables ")), None)
-        m = re.match(r"tables\s+([\w*\s]+?)\s*/\s*(.*)$", s or "", re.I)
-        if not m or not _option(m[2], "out"):
-            raise Unsupported("FREQ", s or block[0])
-        columns = [c.strip().lower() for c in m[1].split("*")]
-        self.write(_option(m[2], "out"), procs.freq(self.read(_options(_option(block[0], "data"))[0]), columns), columns)
+        s = next((x for x in block[1:] if x.head in ("tables", "table")), None)
+        cut = next((i for i, t in enumerate(s.tokens) if t.text == "/"), None) if s else None
+        if cut is None or not _option(s, "out"):
+            raise Unsupported("FREQ", s.text if s else block[0].text)
+        names = s.tokens[1:cut]
+        if any((t.text == "*") != bool(i % 2) for i, t in enumerate(names)):
+            raise Unsupported("FREQ of several tables", s.text)
+        columns = [t.low for t in names[::2]]
+        self.target(s, "out", procs.freq(self.filtered(self.source(block[0])[1], block), columns), columns)
 
     def proc_format(self, block):
         for s in block[1:]:
-            m = re.match(r"value\s+(\w+)\s+(.*)$", s, re.I | re.S)
-            if not m:
-                raise Unsupported("FORMAT", s)
-            intervals, other = [], None
-            for left, label in re.findall(r"([^=]+?)\s*=\s*(?:'([^']*)'|\"[^\"]*\")", m[2]):
-                low = left.strip().lower()
-                if low == "other":
+            if s.head != "value" or len(s.tokens) < 2 or s.tokens[1].kind != "name":
+                raise Unsupported("FORMAT", s.text)
+            intervals, other, at = [], None, 2
+            while at < len(s.tokens):
+                equal = next((i for i in range(at, len(s.tokens)) if s.tokens[i].text == "="), None)
+                if equal is None or equal + 1 >= len(s.tokens) or s.tokens[equal + 1].kind != "str":
+                    raise Unsupported("range", s.text)
+                label, bounds = s.tokens[equal + 1].value, "".join(t.low for t in s.tokens[at:equal])
+                at = equal + 2
+                if bounds == "other":
                     other = label
                     continue
-                r = re.fullmatch(r"(low|-?[\d.]+)\s*(<)?\s*(?:-\s*(<)?\s*(high|-?[\d.]+))?", low)
-                if not r:
-                    raise Unsupported("range", left)
-                a, b = r[1], r[4] or r[1]
-                intervals.append(E.Interval(None if a == "low" else float(a), None if b == "high" else float(b), label, bool(r[2]), bool(r[3])))
-            self.formats[m[1].lower()] = E.RangeFormat(tuple(intervals), other)
+                m = re.fullmatch(r"(low|-?[\d.]+)(<)?(?:-(<)?(high|-?[\d.]+))?", bounds)
+                if not m:
+                    raise Unsupported("range", bounds)
+                low, high = m[1], m[4] or m[1]
+                intervals.append(E.Interval(None if low == "low" else float(low), None if high == "high" else float(high), label, bool(m[2]), bool(m[3])))
+            self.formats[s.tokens[1].low] = E.RangeFormat(tuple(intervals), other)
 
     def proc_sql(self, block):
         for s in block[1:]:
-            spark = self.libraries.spark
-            into = re.search(r"\binto\s*:\s*(\w+)\s*(trimmed|separated\s+by\s+'([^']*)')?", s, re.I)
-            create = re.match(r"create\s+table\s+([\w.]+)\s+as\s+(.*)$", s, re.I | re.S)
-            if not into and not create:
-                raise Unsupported("SQL", s)
-            query = re.sub(re.escape(into[0]), "", s) if into else create[2]
-            for table in sorted(set(re.findall(r"\b(?:from|join)\s+([A-Za-z_]\w*(?:\.\w+)?)", query, re.I)), key=len, reverse=True):
-                view = table.lower().replace(".", "__")
-                self.read(table).createOrReplaceTempView(view)
-                query = re.sub(rf"\b(from|join)\s+{re.escape(table)}\b", rf"\1 {view}", query, flags=re.I)
-            query = self._sql(query)
-            if into:
-                rows = [str(r[0]) for r in spark.sql(query).collect()]  # a setting or a list of names
-                self.macros.values[into[1].lower()] = (into[3] or " ").join(rows) if (into[2] or "").lower().startswith("sep") else (rows[0].strip() if rows else "")
+            words = [t.low for t in s.tokens]
+            if words[:2] == ["create", "table"]:
+                table, at = _table_at(s.tokens, 2)
+                if words[at : at + 2] != ["as", "select"]:
+                    raise Unsupported("SQL", s.text)
+                self.write(table.name, table.shape(_Select(self, s.tokens[at + 1 :]).result, self))
+            elif words[:1] == ["select"]:
+                made = _Select(self, s.tokens)
+                if not made.into:
+                    raise Unsupported("SELECT without a table", s.text)
+                self._into(made, s)
             else:
-                self.write(create[1], spark.sql(query))
-
-    def _sql(self, query: str) -> str:
-        """Outside quotes: CALCULATED goes, INTNX month starts become trunc, FORMAT= goes, sums of conditions count."""
-        out = []
-        for p in re.split(r"('[^']*'|\"[^\"]*\")", query):
-            if not p.startswith(("'", '"')):
-                p = re.sub(r"\bcalculated\s+", "", p, flags=re.I)
-                p = re.sub(r"\bformat\s*=\s*[\w.]+", "", p, flags=re.I)
-                p = re.sub(r"\bsum\(\s*(\w+(?:\.\w+)?)\s*(=|<>|>=|<=|>|<)\s*([\w.]+)\s*\)", r"sum(case when \1 \2 \3 then 1 else 0 end)", p, flags=re.I)
-            elif p.startswith('"'):
-                p = "'" + p[1:-1].replace("'", "''") + "'"
-            out.append(p)
-        return re.sub(r"\bintnx\(\s*'month'\s*,\s*([\w.]+)\s*,\s*0\s*,\s*'b'\s*\)", r"trunc(\1, 'MM')", "".join(out), flags=re.I)
+                raise Unsupported("SQL", s.text)
+
+    def _into(self, made: _Select, s: Statement) -> None:
+        """Macro variables from the first row, or all rows with a separator: settings and lists of names."""
+        wanted = []
+        for part in _Select._split(made.into):
+            if len(part) < 2 or part[0].text != ":":
+                raise Unsupported("INTO", s.text)
+            words = [t.low for t in part[2:]]
+            if words not in ([], ["trimmed"], ["notrim"]) and words[:2] != ["separated", "by"]:
+                raise Unsupported("INTO", s.text)
+            wanted.append((part[1].low, part[4].value if words[:2] == ["separated", "by"] else None))
+        listed = any(sep is not None for _, sep in wanted)
+        rows = made.result.limit(INTO_MOST + 1 if listed else 1).collect()
+        if len(rows) > INTO_MOST:
+            raise Unsupported("INTO of over 10,000 values", s.text)
+        for i, (name, sep) in enumerate(wanted):
+            own = ["" if r[i] is None else str(r[i]).strip() for r in rows]
+            self.macros.values[name] = sep.join(own) if sep is not None else (own[0] if own else "")
 
     def proc_reg(self, block):
-        m = next((x for s in block[1:] if (x := re.match(r"model\s+(\w+)\s*=\s*([\w\s]+)$", s, re.I))), None)
-        if not m:
-            raise Unsupported("REG", block[0])
-        self.write(_option(block[0], "outest"), ols(self.read(_option(block[0], "data")), m[1].lower(), m[2].lower().split()))
+        s = next((x for x in block[1:] if x.head == "model"), None)
+        if s is None or len(s.tokens) < 4 or s.tokens[2].text != "=" or any(t.kind != "name" for t in s.tokens[3:]):
+            raise Unsupported("REG", block[0].text)
+        self.target(block[0], "outest", ols(self.filtered(self.source(block[0])[1], block), s.tokens[1].low, [t.low for t in s.tokens[3:]]))
 
     def proc_forecast(self, block):
-        find = lambda w: next((s.lower().split()[1] for s in block[1:] if s.lower().startswith(w)), None)
-        opt = lambda k, d: float(_option(block[0], k) or d)
-        if (_option(block[0], "method") or "").lower() != "expo" or opt("trend", 2) != 2:
-            raise Unsupported("FORECAST method", block[0])
-        time, var = find("id "), find("var ")
-        weight = re.search(r"\bweight\s*=\s*([\d.]+)", block[0], re.I)
-        fitted = brown(self.read(_option(block[0], "data")), time, var, weight=float(weight[1]) if weight else 0.2, nstart=int(opt("nstart", 12)), lead=int(opt("lead", 12)))
-        rows = forecast_rows(fitted).withColumnsRenamed({"month": time, "y": var})
-        self.write(_option(block[0], "out"), rows)
-        if _option(block[0], "outest"):
-            self.write(_option(block[0], "outest"), forecast_states(fitted))
+        s = block[0]
+        method = _option(s, "method")
+        if method is None or method.name != "expo" or _number(s, "trend", 2) != 2:
+            raise Unsupported("FORECAST method", s.text)
+        time, var = (self.words(block, w) for w in ("id", "var"))
+        if not time or not var:
+            raise Unsupported("FORECAST without ID and VAR", s.text)
+        fitted = brown(self.source(s)[1], time[0], var[0], weight=_number(s, "weight", 0.2), nstart=int(_number(s, "nstart", 12)), lead=int(_number(s, "lead", 12)))
+        self.target(s, "out", forecast_rows(fitted).withColumnsRenamed({"month": time[0], "y": var[0]}))
+        if _option(s, "outest"):
+            self.target(s, "outest", forecast_states(fitted))

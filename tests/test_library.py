@@ -90,14 +90,29 @@ def test_reconcile_catches_mutations(spark):
 
 def test_lineage(spark):
     code = {"a": 'data stg.x; infile "raw.csv"; input k; run;', "b": "%macro m(ds=, out=); data &out; set &ds; run; %mend; /* set no.thing; */ %m(ds=stg.x, out=out.y); proc sql; create table out.z as select * from out.y join stg.x on 1=1; quit;"}
-    facts = [lineage.program_facts(k, v) for k, v in code.items()]
-    edges = lineage.edges_of(spark, facts)
+    facts = lineage.facts(spark, code)
+    edges = lineage.edges(facts)
     up = {(r.target_id, r.upstream_id): r.depth for r in lineage.upstream(lineage.data_edges(edges), spark.createDataFrame([("out.z",)], "target_id string")).collect()}
-    assert up["out.z", "b"] == 1 and up["out.z", "stg.x"] == 2 and up["out.z", "raw.csv"] == 3
-    assert facts[1].joins == 1 and lineage.macro_depth({"p": {"q"}, "q": {"p"}}, "p") == 2
+    assert up["out.z", "b"] == 1 and up["out.z", "stg.x"] == 2 and up["out.z", "raw.csv"] == 3 and ("out.z", "no.thing") not in up
+    assert {(r.source_id, r.target_id): r.confidence for r in edges.where("evidence like 'argument%'").collect()} == {("b", "out.y"): "MEDIUM"}
+    m = {r.program: r for r in lineage.measures(facts).collect()}
+    assert (m["b"].joins, m["b"].macro_depth, m["b"].macros, m["a"].macro_depth) == (1, 1, 1, 0)
+    assert lineage.macro_depths([("p", "q"), ("q", "p"), ("r", "p")], {"p", "q", "r"}) == {"p": 2, "q": 2, "r": 3}
     levels = {r.program: r.level for r in lineage.migration_levels(spark.createDataFrame([("a", "b", 1)], "writer string, reader string, tables int"), spark.createDataFrame([("a",), ("b",)], "program string")).collect()}
     assert levels == {"a": 0, "b": 1}
-    assert lineage.static_checks("x = df.rdd") and not lineage.static_checks("x = 1")
+    cycle = lineage.migration_levels(spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("c", "d", 1), ("d", "e", 1), ("c", "e", 1)], "writer string, reader string, tables int"), spark.createDataFrame([(x,) for x in "abcde"], "program string"))
+    assert {r.program: r.level for r in cycle.collect()} == {"a": None, "b": None, "c": 0, "d": 1, "e": 2}
+    assert lineage.static_checks("x = df.rdd") == ["uses an RDD"] and not lineage.static_checks("x = 1")
+    assert lineage.static_checks("p = '/data/x'", ["out.t"]) == ["names an absolute path", "does not name out.t"] and not lineage.static_checks("save('out.t')", ["out.t"])
+
+
+def test_program_facts():
+    code = """* set no.one; data _null_; set ctrl.par; call symputx('LIMIT', v); call execute('run;'); run;
+    data out.x; array a[3] p q r; declare hash h(dataset: 'stg.k'); set stg.y(where=(k = 1)); by k; retain top; file 'log.txt'; run;
+    proc sql; connect to db as d; create table out.s as select k, sum(v) as v from connection to d (select 1) group by k; select max(v) into :top from out.x, stg.z; quit;"""
+    found = {(f, s) for _, _, f, s, _ in lineage.fact_rows("p", code)}
+    assert {("SYMPUT", "LIMIT"), ("EXECUTE", ""), ("ARRAY", "a"), ("HASH", "h"), ("RETAIN", "top"), ("FILE_OUT", "log.txt"), ("PASS_THROUGH", "db"), ("PASS_THROUGH", "d"), ("GROUP_BY", ""), ("INTO", "top"), ("READ", "stg.z"), ("READ", "stg.y"), ("WRITE", "out.s")} <= found
+    assert ("READ", "no.one") not in found and ("WRITE", "_null_") not in found
 
 
 def test_classification(spark):
@@ -141,6 +156,44 @@ def test_translator(spark):
         assert e.value.construct == construct
 
 
+def _steps(spark, code, rows=((1, 5.0, 1.0), (1, 1.0, 1.0), (1, 7.0, 1.0), (2, 2.0, None)), schema="k int, v double, o double"):
+    t = Session(Libraries(spark, {}), row_order={"stg.a": ["n"]})
+    t.tables["stg.a"] = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema + ", n int")
+    return {k: [r.asDict() for r in v.orderBy("n").collect()] if "n" in v.columns else [r.asDict() for r in v.collect()] for k, v in t.run(code).items()}
+
+
+def test_translator_statement_order(spark):
+    start = "data b; set stg.a; by k; if first.k then do; cum = 0; tot = 0; end; "
+    assert [r["cum"] for r in _steps(spark, start + "cum + v; if v > 4; run;")["work.b"]] == [5.0, 13.0]
+    assert [r["cum"] for r in _steps(spark, start + "if v > 4 then cum + v; run;")["work.b"]] == [5.0, 5.0, 12.0, 0.0]
+    both = _steps(spark, start + "cum + v; z = 1; tot + o; run;")["work.b"]
+    assert [(r["cum"], r["tot"], r["z"]) for r in both] == [(5.0, 1.0, 1), (6.0, 2.0, 1), (13.0, 3.0, 1), (2.0, 0.0, 1)]
+    assert [r["v"] for r in _steps(spark, start + "cum + v; if last.k; run;")["work.b"]] == [7.0, 2.0]
+    with pytest.raises(Unsupported):
+        _steps(spark, "data b; set stg.a; by k; if v > 1; if first.k then cum = 0; cum + v; run;")
+    out = _steps(spark, "data b c(keep=n w); set stg.a; w = 0; if v < 2 then do; w = 1; output c; end; else if v < 6 then delete; output b; run;")
+    assert [(r["n"], r["w"]) for r in out["work.c"]] == [(1, 1)] and [r["n"] for r in out["work.b"]] == [1, 2]
+
+
+def test_translator_options(spark):
+    assert [r["n"] for r in _steps(spark, "data b; set stg.a(where=(k=1 and v in (1, 7))); run;")["work.b"]] == [1, 2]
+    assert set(_steps(spark, "data b(drop=o rename=(v=w)); set stg.a(rename=(k=key)); rename n=m; run;")["work.b"][0]) == {"key", "w", "m"}
+    with pytest.raises(Unsupported):
+        _steps(spark, "data b; set stg.a(obs=5); run;")
+
+
+def test_translator_sql(spark):
+    rows = ((1, None, 1.0), (1, 9.0, 1.0), (2, 3.0, None))
+    low = _steps(spark, "proc sql; create table b as select * from stg.a where v < 5; quit;", rows)["work.b"]
+    assert [r["n"] for r in low] == [0, 2]
+    out = _steps(spark, "proc sql; create table b as select a.k as key format=8., sum(v > 4) as big, count(distinct o) as kinds, max(v) as top from stg.a as a left join stg.a c on a.n = c.n and c.k = 1 group by calculated key having count(*) > 1 order by key; quit;".replace("sum(v > 4)", "sum(a.v > 4)").replace("distinct o", "distinct a.o").replace("max(v)", "max(a.v)"), rows)["work.b"]
+    assert out == [{"key": 1, "big": 1, "kinds": 1, "top": 9.0}]
+    best = _steps(spark, "proc sql noprint; select max(v), min(k) into :top trimmed, :low from stg.a; create table b as select n from stg.a where v = (select max(v) from stg.a) and k = &low; quit; %macro m; %if &top > 5 %then %do; data c; set b; x = &top; run; %end; %else %do; data d; set b; run; %end; %mend; %m;", rows)
+    assert best["work.b"] == [{"n": 1}] and best["work.c"] == [{"n": 1, "x": 9.0}] and "work.d" not in best
+    with pytest.raises(Unsupported):
+        _steps(spark, "proc sql; create table b as select k, v, sum(o) as s from stg.a group by k; quit;", rows)
+
+
 def _with(s, code):
     t = Session(s.libraries)
     t.tables["stg.a"] = s.tables["stg.a"]
