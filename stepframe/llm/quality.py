@@ -14,7 +14,10 @@ WINDOW = 8
 #: Least standard deviation of each transformed statistic; keeps estimates of statistics that are mostly zero regular.
 FLOORS = {"f_length": 0.08, "f_symbols": 0.12, "f_lines": 0.15, "f_repeats": 0.15}
 FEATURES = tuple(FLOORS)
+PARAMETERS = (*[f"m_{i}" for i in range(len(FEATURES))], *[f"l_{i}_{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
 GROUP_FILES = 4
+#: Concentration ends where half the determinant's logarithm falls by less than this, or after so many steps.
+SETTLED, STEPS = 1e-6, 50
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -70,8 +73,9 @@ def chi2_quantile(p: float, dof: int) -> float:
     return high
 
 
-def _cholesky(moments: DataFrame, scale: float) -> DataFrame:
-    """(grp, m_i, l_i_j): means and the Cholesky factor of the scaled covariance plus floors, from grouped moments."""
+def _cholesky(moments: DataFrame, scale: float, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, m_i, l_i_j, log_det): means and the Cholesky factor of the scaled covariance plus floors, from grouped moments, and half
+    the logarithm of its determinant."""
     p = len(FEATURES)
     for i in range(p):
         for j in range(i + 1):
@@ -81,7 +85,8 @@ def _cholesky(moments: DataFrame, scale: float) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             moments = moments.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l_{j}_{j}"))
-    return moments.select("grp", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    log_det = sum((F.log(f"l_{i}_{i}") for i in range(1, p)), F.log("l_0_0"))
+    return moments.select(*keys, *PARAMETERS, log_det.alias("log_det"))
 
 
 def _distance() -> Column:
@@ -115,29 +120,59 @@ def group_names(stats: DataFrame, min_group: int) -> DataFrame:
     return _by_group(used.select("_lang", "_source", "grp", feeds.alias("feeds")), "feeds")
 
 
-def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each ``grp``, by concentration steps.
+def _moments(rows: DataFrame, keys: tuple[str, ...], values: list[Column]) -> DataFrame:
+    p = len(values)
+    return rows.groupBy(*keys).agg(*[F.avg(v).alias(f"m_{i}") for i, v in enumerate(values)], *[F.avg(values[i] * values[j]).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
 
-    Starts from medians and quartile ranges. Each step takes the ``share`` of rows nearest by distance (by an
-    approximate percentile, which merges partial sketches, so a hot group costs no large task) and estimates mean and
-    covariance from them; the determinant never rises. The covariance is scaled to be consistent for normal data.
-    Tables with a row for each group are written first, so that Spark knows their size: while they are under its broadcast
-    threshold no row of ``rows`` is shuffled. Above it, from tens of thousands of groups, rows meet them by sort-merge joins, which
-    stream a group's rows: nothing is held, but a hot group takes longer.
-    """
+
+def _starts(rows: DataFrame, scale: float) -> DataFrame:
+    """Three first estimates of each group: medians and quartile ranges; means and covariances of all rows; medians and
+    covariances of the hyperbolic tangents of standardised values, which bound what a far row adds."""
     p = len(FEATURES)
-    scale = share / chi2_cdf(chi2_quantile(share, p), p + 2)
-    q = rows.groupBy("grp").agg(*[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(f"q_{i}") for i, f in enumerate(FEATURES)])
-    start = q.select("grp", *[F.get(f"q_{i}", F.lit(1)).alias(f"m_{i}") for i in range(p)], *[(F.pow((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349, F.lit(2)) / scale if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)])
-    start = start.select("grp", *[f"m_{i}" for i in range(p)], *[(F.col(f"c_{i}_{j}") + F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
-    now = _by_group(_cholesky(start, scale), "mcd")
-    for _ in range(steps):
-        far = rows.join(now, "grp").select("grp", *FEATURES, _distance().alias("d2"))
-        near = _by_group(far.groupBy("grp").agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("limit")), "limits")
-        inside = far.join(near, "grp").where("d2 <= limit")
-        moments = inside.groupBy("grp").agg(*[F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)], *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
-        now = _by_group(_cholesky(moments, scale), "mcd")
-    return now
+    quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(f"q_{i}") for i, f in enumerate(FEATURES)])
+    centre = _by_group(quartiles.select("grp", *[F.get(f"q_{i}", F.lit(1)).alias(f"c_{i}") for i in range(p)], *[F.greatest((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349, F.lit(FLOORS[f])).alias(f"w_{i}") for i, f in enumerate(FEATURES)]), "centres")
+
+    def around(table: DataFrame, start: int, covariance) -> DataFrame:
+        # Moments that give this covariance about the medians once scaled.
+        means = [F.col(f"c_{i}").alias(f"m_{i}") for i in range(p)]
+        return table.select("grp", F.lit(start).alias("start"), *means, *[(covariance(i, j) / scale + F.col(f"c_{i}") * F.col(f"c_{j}")).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
+
+    bounded = _moments(rows.join(centre, "grp"), ("grp",), [F.tanh((F.col(f) - F.col(f"c_{i}")) / F.col(f"w_{i}")) for i, f in enumerate(FEATURES)]).join(centre, "grp")
+    spread = around(centre, 0, lambda i, j: F.col(f"w_{i}") * F.col(f"w_{i}") if i == j else F.lit(0.0))
+    whole = _moments(rows, ("grp",), [F.col(f) for f in FEATURES]).withColumn("start", F.lit(1))
+    tangents = around(bounded, 2, lambda i, j: (F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * F.col(f"w_{i}") * F.col(f"w_{j}"))
+    return spread.unionByName(whole).unionByName(tangents)
+
+
+def minimum_covariance(rows: DataFrame, share: float = 0.75) -> DataFrame:
+    """Minimum-covariance-determinant estimates of each ``grp``, by concentration from three starts.
+
+    Each step takes the ``share`` of rows nearest by distance (by an approximate percentile, which merges partial sketches,
+    so a hot group costs no large task; exact for groups of under 2,000 rows) and estimates mean and covariance from them, the
+    covariance scaled to be consistent for normal data and with ``FLOORS`` on its diagonal. A start is left once its
+    determinant no longer falls; of all estimates on the way, a group takes that of least determinant.
+    Tables with a row for each group and start are written first, so that Spark knows their size: while they are under its
+    broadcast threshold no row of ``rows`` is shuffled. Above it, from thousands of groups, rows meet them by sort-merge
+    joins, whose skewed keys Spark splits.
+    """
+    keys = ("grp", "start")
+    scale = share / chi2_cdf(chi2_quantile(share, len(FEATURES)), len(FEATURES) + 2)
+    # The first determinant isn't of a subset, so it is never the least.
+    now = _by_group(_cholesky(_starts(rows, scale), scale, keys).withColumn("log_det", F.lit(float("inf"))), "mcd")
+    tried = None
+    for _ in range(STEPS):
+        far = rows.join(now.drop("log_det"), "grp").select(*keys, *FEATURES, _distance().alias("d2"))
+        near = _by_group(far.groupBy(*keys).agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("limit")), "limits")
+        inside = far.join(near, list(keys)).where("d2 <= limit")
+        found = _cholesky(_moments(inside, keys, [F.col(f) for f in FEATURES]), scale, keys)
+        step = _by_group(found.join(now.select(*keys, F.col("log_det").alias("_before")), list(keys)), "mcd")
+        tried = step.drop("_before") if tried is None else tried.unionByName(step.drop("_before"))
+        now = step.where(F.col("log_det") < F.col("_before") - SETTLED).drop("_before")
+        if now.isEmpty():
+            break
+    # Equal determinants of two starts: the first.
+    best = tried.groupBy("grp").agg(F.min_by(F.struct(*PARAMETERS), F.struct(F.round("log_det", 9), "start")).alias("best"))
+    return _by_group(best.select("grp", "best.*"), "best")
 
 
 def judged(docs: DataFrame, level: float = 0.9999, min_group: int = 100, share: float = 0.75) -> DataFrame:
@@ -154,14 +189,20 @@ def judged(docs: DataFrame, level: float = 0.9999, min_group: int = 100, share:
     estimates = minimum_covariance(named.where("not base_failed").select(F.explode("feeds").alias("grp"), *FEATURES), share)
     out = named.join(estimates, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(level, len(FEATURES)))
-    return out.select("_key", "_hash", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    return out.select("_key", "_hash", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", "_lang", "_source")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, all columns."""
-    good = judged(docs, **options).where("kept").select("_key", "_hash").distinct()
-    return docs.select(whole_row(docs), key_of_id().alias("_key"), F.xxhash64("text").alias("_hash")).join(good, ["_key", "_hash"], "left_semi").select("row.*")
+    """The documents that are kept, all columns.
+
+    Rows of equal id, text, language and source share a verdict. Null and empty texts fail the base and go; null lang and
+    source are the empty string; repeated rows stay or go together; an empty table gives no rows.
+    """
+    same = ["_key", "_hash", "_lang", "_source"]
+    good = judged(docs, **options).where("kept").select(*same).distinct()
+    rows = docs.select(whole_row(docs), key_of_id().alias("_key"), F.xxhash64("text").alias("_hash"), F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source"))
+    return rows.join(good, same, "left_semi").select("row.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(documents(spark, sf_dir)).drop("_key", "_hash")
+    return judged(documents(spark, sf_dir)).drop("_key", "_hash", "_lang", "_source")
