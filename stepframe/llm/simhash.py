@@ -59,33 +59,40 @@ def covering_masks(radius: int) -> list[int]:
     size = (1 << (radius + 1)) - 1
     vectors = [1 + i % size for i in range(BITS)]
     masks = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, size + 1)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [_signed(m) for m in masks]
 
 
-def _balls(radius: int) -> list[int]:
-    """Bit patterns of weight up to half the radius, rounded up, as signed longs."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _moves(mask: int, radius: int) -> list[int]:
+    """Bit patterns outside a mask of weight up to half the radius, as signed longs."""
     from itertools import combinations
 
-    out = [sum(1 << i for i in c) for k in range((radius + 1) // 2 + 1) for c in combinations(range(BITS), k)]
-    return [m - (1 << 64) if m >> 63 else m for m in out]
+    free = [1 << i for i in range(BITS) if not mask >> i & 1]
+    return [_signed(sum(c)) for k in range(radius // 2 + 1) for c in combinations(free, k)]
 
 
 def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of ``prints`` (fp, distinct) at ``radius`` or fewer bits.
 
-    Candidates are fingerprints that share a masked value with another in some table of the covering code: no pair
-    within the radius is missed, and no bucket is listed, only counted. For an even radius two candidates are within it
-    exactly if their balls of half the radius meet, so each candidate is joined to the least candidate around each
-    point of its ball. A point has at most as many candidates as its ball has points, so no group is large and no pairs
-    are made; the links at a point connect only fingerprints within the radius of each other.
+    Links come from collisions in the tables of the covering code: a pair within the radius agrees on some table's mask, and
+    differs only outside it. A bucket's members are verified there without making its pairs: for an even radius two of them
+    are within it exactly if, among the bits outside the mask, what each reaches by half the radius meets. So each
+    member goes to the values that it reaches in its bucket, some 28 for a radius of 2, and is linked to the least one there. A
+    value is reached by at most as many members as it reaches itself, so no group is large. Buckets of one are left out first.
     """
     if radius % 2:
         raise ValueError("the radius must be even")
-    tables = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in covering_masks(radius)])).alias("t", "bucket"))
+    masks = covering_masks(radius)
+    tables = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("t", "bucket"))
     shared = tables.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("t", "bucket")
-    near = tables.join(shared, ["t", "bucket"], "left_semi").select("fp").distinct()
-    points = near.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m).cast("long")) for m in _balls(radius)])).alias("point"))
-    return points.groupBy("point").agg(F.collect_list("fp").alias("all")).where("size(all) > 1").select(F.explode("all").alias("u"), F.array_min("all").alias("v")).where("u <> v").distinct()
+    colliding = tables.join(shared, ["t", "bucket"], "left_semi")
+    moves = F.array(*[F.array(*[F.lit(x).cast("long") for x in _moves(m, radius)]) for m in masks])
+    reached = colliding.select("t", "fp", F.explode(F.transform(F.get(moves, F.col("t")), lambda x: x.bitwiseXOR(F.col("fp")))).alias("value"))
+    met = reached.groupBy("t", "value").agg(F.collect_list("fp").alias("all")).where("size(all) > 1")
+    return met.select(F.explode("all").alias("u"), F.array_min("all").alias("v")).where("u <> v").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
