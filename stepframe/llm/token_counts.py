@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, tokenizer_path
+from .encoding import slices
 
-#: Distinct pre-tokens whose counts a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Nodes of the trie that a worker keeps; beyond it the trie starts anew.
+NODES = 1_500_000
 SPACE = "▁"
 
 
@@ -35,97 +37,95 @@ class UnigramVocabulary:
         self.byte = -math.log(len(pieces) + 2.7) - norm - 10.0
 
 
-class PrefixCounter:
-    """Forward scores of the best segmentation, computed once for each prefix that pre-tokens share.
+class PrefixTrie:
+    """Forward scores of the best segmentation on a trie of distinct pre-tokens, computed once for each prefix they share.
 
-    Sorted pre-tokens visit the trie's nodes depth first, so the path to the last pre-token holds all states that a next
-    one can share. The state of a node is (best log score, fewest tokens at that score) of its prefix; a pre-token's
-    terminal count is its last node's. Ties of score take the fewest tokens.
+    A node is a prefix; it holds the best log score of its segmentations and the fewest tokens at that score. Nodes stay from
+    batch to batch, so a prefix is scored once as long as the trie is kept; beyond ``NODES`` nodes it starts anew. The count at a
+    pre-token's last node is its token count.
     """
 
     def __init__(self, vocabulary: UnigramVocabulary):
         self.vocabulary = vocabulary
-        self.counts: dict[str, int] = {}
-        self.nodes = 0
+        self.made = 0
+        self._clear()
 
-    def learn(self, fresh: list[str]) -> None:
-        """Insert distinct pre-tokens (without the leading space mark) and store their counts."""
+    def _clear(self) -> None:
+        #: Child of a node by the node's number and a character, in one key; the root is 0.
+        self.children: dict[int, int] = {}
+        self.scores, self.tokens = array("d", [0.0]), array("q", [0])
+        self.terminal: dict[bytes, int] = {}
+
+    def insert(self, word: str) -> int:
+        """The terminal count of a pre-token (without the leading space mark)."""
         score, longest, byte = self.vocabulary.score, self.vocabulary.longest, self.vocabulary.byte
-        states, path = [(0.0, 0)], ""
-        for word in sorted(fresh):
-            marked = SPACE + word
-            shared = 0
-            for a, b in zip(path, marked):
-                if a != b:
-                    break
-                shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(marked) + 1):
+        children, scores, tokens = self.children, self.scores, self.tokens
+        marked = SPACE + word
+        node, path = 0, [0]
+        for end, c in enumerate(marked, 1):
+            key = node << 21 | ord(c)
+            node = children.get(key, -1)
+            if node < 0:
                 best, fewest = -math.inf, 0
                 for start in range(max(0, end - longest), end):
-                    piece = marked[start:end]
-                    gain = score.get(piece)
-                    n = 1
+                    gain, n = score.get(marked[start:end]), 1
                     if gain is None:
                         if start != end - 1:
                             continue
-                        n = len(piece.encode("utf-8", "replace"))
+                        n = len(c.encode("utf-8", "replace"))
                         gain = n * byte
-                    total, tokens = states[start][0] + gain, states[start][1] + n
-                    if total > best or total == best and tokens < fewest:
-                        best, fewest = total, tokens
-                states.append((best, fewest))
-                self.nodes += 1
-            path = marked
-            self.counts[word] = states[len(marked)][1]
-
-    def count(self, texts: list) -> np.ndarray:
-        """Tokens of each text: the sum of its pre-tokens' terminal counts. None is empty."""
-        if len(self.counts) > REMEMBERED:
-            self.counts = {}
-        words = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        known = self.counts
-        fresh = {w for ws in words for w in ws} - known.keys()
-        if fresh:
-            text_of = {w: w.decode() for w in fresh}
-            own = PrefixCounter(self.vocabulary)
-            own.learn(list(text_of.values()))
-            self.nodes += own.nodes
-            known.update((w, own.counts[t]) for w, t in text_of.items())
-        look = known.__getitem__
-        return np.array([sum(map(look, ws)) for ws in words], np.int64)
-
-
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
-def counter(path: str) -> PrefixCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(UnigramVocabulary(path))
-    return _COUNTERS[path]
+                    total, count = scores[path[start]] + gain, tokens[path[start]] + n
+                    if total > best or total == best and count < fewest:
+                        best, fewest = total, count
+                node = children[key] = len(scores)
+                scores.append(best)
+                tokens.append(fewest)
+                self.made += 1
+            path.append(node)
+        return tokens[node]
+
+    def count(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Pre-tokens and tokens of each text: the tokens are the sum of its pre-tokens' terminal counts. None is empty."""
+        if len(self.scores) > NODES:
+            self._clear()
+        known = self.terminal
+        n_words, n_tokens = [], []
+        for text in texts:
+            words = text.encode("utf-8", "replace").split() if text else []
+            for w in set(words).difference(known):
+                known[w] = self.insert(w.decode())
+            n_words.append(len(words))
+            n_tokens.append(sum(map(known.__getitem__, words)))
+        return np.array(n_words, np.int64), np.array(n_tokens, np.int64)
+
+
+_TRIES: dict[str, PrefixTrie] = {}
+
+
+def trie_of(path: str) -> PrefixTrie:
+    """The worker's trie for a vocabulary."""
+    if path not in _TRIES:
+        _TRIES[path] = PrefixTrie(UnigramVocabulary(path))
+    return _TRIES[path]
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Adds ``n_words`` and ``n_tokens`` (long) to each row: pre-tokens are runs between ASCII white space.
 
-    Row by row, no shuffle; a worker keeps at most ``REMEMBERED`` counts between batches. Null and empty texts have 0;
-    existing columns of these names are replaced; other columns pass through; an empty table gives no rows.
+    Row by row, no shuffle; a worker keeps a trie of about ``NODES`` nodes between batches. Null and empty texts have 0;
+    repeated rows each get their counts; existing columns of these names are replaced; other columns pass through; an empty
+    table gives no rows.
     """
     path = vocabulary or tokenizer_path("piece_bpe_32k.model")
     docs = docs.drop("n_words", "n_tokens")
     names = docs.columns
 
     def run(batches):
-        own = counter(path)
+        own = trie_of(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            words, tokens, at = [], [], 0
-            while at < len(texts):
-                part = texts[at : at + 500]
-                words += [len(t.encode("utf-8", "replace").split()) if t else 0 for t in part]
-                tokens.append(own.count(part))
-                at += 500
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.int64()), pa.array(np.concatenate(tokens) if tokens else [], pa.int64())], names=[*names, "n_words", "n_tokens"])
+            for first, texts in slices(batch):
+                words, tokens = own.count(texts)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, pa.array(words), pa.array(tokens)], names=[*names, "n_words", "n_tokens"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())]))
 
