@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, documents, saved, tokenizer_path
+from .common import discard, documents, key_of_id, saved, tokenizer_path, whole_row
 from .encoding import encoder, slices
 
 MARGINS = ("source", "lang", "topic")
@@ -51,13 +51,13 @@ class _Buckets:
 
 
 def measured(docs: DataFrame, tokenizer: str | None = None, topics: int = 4, buckets: int = 4096, seed: int = 5) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, u): token counts with an end id, a hashed topic, a hash in [0, 1).
+    """(doc_id, th, source, lang, topic, tokens, u): hash of the text, token counts with an end id, a hashed topic, a hash in [0, 1).
 
     Row by row. u depends on the doc_id only, so a document is drawn alike in any order and partitioning. Null source or
     lang is the empty string; null texts have one token and topic 0; a null doc_id has the hash of null.
     """
     path = tokenizer or tokenizer_path()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
 
     def run(batches):
         table, enc, kept = _topic_table(topics, buckets, seed), encoder(path), _Buckets()
@@ -73,9 +73,9 @@ def measured(docs: DataFrame, tokenizer: str | None = None, topics: int = 4, buc
                     own = bucket[a:b]
                     topic.append(topic_of(np.bincount(own[own >= 0], minlength=buckets), table))
                 own = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("source"), own.column("lang"), pa.array([f"t{t}" for t in topic], pa.string()), pa.array(tokens)], names=["doc_id", "source", "lang", "topic", "tokens"])
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("th"), own.column("source"), own.column("lang"), pa.array([f"t{t}" for t in topic], pa.string()), pa.array(tokens)], names=["doc_id", "th", "source", "lang", "topic", "tokens"])
 
-    out = rows.mapInArrow(run, "doc_id long, source string, lang string, topic string, tokens long")
+    out = rows.mapInArrow(run, "doc_id long, th long, source string, lang string, topic string, tokens long")
     return out.withColumn("u", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 11) / F.lit(float(1 << 53)))
 
 
@@ -168,16 +168,26 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, power: float =
     that gives probabilities back to documents is by cell; Spark broadcasts the cells if its threshold allows and else
     splits hot cells. An empty table gives no rows; repeated rows are drawn alike.
     """
+    return _mixed(docs, targets, power, tokenizer, driver_cells).drop("th")
+
+
+def _mixed(docs: DataFrame, targets: dict[str, dict] | None, power: float, tokenizer: str | None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     rows = saved(measured(docs, tokenizer), "measured")
     cells = rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
     odds = inclusion(cells, targets, power, driver_cells).select(*MARGINS, "weight", "probability")
-    return rows.join(odds, list(MARGINS)).select("doc_id", *MARGINS, "tokens", "weight", "probability", (F.col("u") < F.col("probability")).alias("drawn"))
+    return rows.join(odds, list(MARGINS)).select("doc_id", "th", *MARGINS, "tokens", "weight", "probability", (F.col("u") < F.col("probability")).alias("drawn"))
 
 
 def draw(docs: DataFrame, targets: dict[str, dict] | None = None, power: float = 0.9, tokenizer: str | None = None) -> DataFrame:
-    """The drawn documents, all columns."""
-    chosen = mix(docs, targets, power, tokenizer).where("drawn").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["_id"]), "left_semi")
+    """The drawn documents, all columns.
+
+    Each row is drawn by its own cell; rows that repeat an id, text, source and language are drawn or left together. Null texts have
+    one token, null source and lang are the empty string, rows of null doc_id share a hash. An empty table gives no rows.
+    """
+    same = ["_key", "_th", "_source", "_lang"]
+    chosen = _mixed(docs, targets, power, tokenizer).where("drawn").select(key_of_id().alias("_key"), F.col("th").alias("_th"), F.col("source").alias("_source"), F.col("lang").alias("_lang")).distinct()
+    rows = docs.select(whole_row(docs), key_of_id().alias("_key"), F.xxhash64("text").alias("_th"), F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"))
+    return rows.join(chosen, same, "left_semi").select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
