@@ -15,8 +15,8 @@ from .common import documents, key_of_id, saved, whole_row
 GRAM = 8
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x9E3779B97F4A7C15
-#: Bits of each of the two filters sent to executors, 8 MB each whatever the input.
-FILTER_BITS = 1 << 26
+#: Bits for each prefix in the filters sent to executors, and the least and most bits of a filter (128 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 #: Words of the suffix groups a task takes at a time.
 BATCH_WORDS = 1_500_000
 
@@ -232,16 +232,21 @@ def _trees(window: int):
 
 
 def _bitmap(prefixes: DataFrame) -> np.ndarray:
-    """A bit for each prefix, at its low bits: OR-ed in 64-bit words before the shuffle, at most FILTER_BITS / 64 rows."""
-    at = F.col("prefix").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    """A bit for each prefix, at its low bits: OR-ed in 64-bit words before the shuffle. Its size follows from the number of
+    prefixes and is bounded; a fuller filter only sends more stretches that meet no partner."""
+    size = LEAST_BITS
+    wanted = min(prefixes.count() * BITS_EACH, MOST_BITS)
+    while size < wanted:
+        size *= 2
+    at = F.col("prefix").bitwiseAND(F.lit(size - 1).cast("long"))
     rows = prefixes.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(prefix & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits = np.zeros(size // 64, np.int64)
     table = rows.toArrow()
     bits[table.column("w").to_numpy()] = table.column("b").to_numpy()
     return bits.view(np.uint8)
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, large_group: int = 50_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 50, large_group: int = 2_000) -> DataFrame:
     """(key, th, ranges): window starts whose words also start a window in a document with a smaller doc_id.
 
     1. Every window has a prefix (see ``prefix_runs``). Counts of prefixes by document leave those in two documents.
@@ -250,7 +255,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, large_group: int = 50_00
     3. The suffixes of a prefix with over ``large_group`` stretches, too many for a task's memory, take a longer prefix:
        the whole window. Such a group needs no tree: its node is the prefix. Least doc_ids are combined before the
        shuffle and joined back.
-    Which prefixes are repeated or large reaches the tasks as two bit maps of fixed size; a chance hit only sends a
+    Which prefixes are repeated or large reaches the tasks as two bit maps of bounded size; a chance hit only sends a
     stretch to a group in which it finds no partner, and both ways are exact for any group.
     """
     spark = docs.sparkSession
@@ -278,7 +283,7 @@ def kept_words(n: int, ranges: list[tuple[int, int]], window: int) -> np.ndarray
     return np.cumsum(change[:-1]) == 0
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, large_group: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, large_group: int = 2_000) -> DataFrame:
     """Adds ``n_words``, ``n_removed`` (long) and ``kept`` (string: the remaining words, joined by a space) to each row.
 
     A word goes if a window that covers it also starts in a document with a smaller doc_id; all windows are judged on
