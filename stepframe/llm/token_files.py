@@ -50,12 +50,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     """Write the ids of every whole text, each document followed by ``end_id``, in ascending doc_id order.
 
     One range shuffle of the texts; encoding follows it, so the sampling of ranges doesn't encode. Null texts are empty
-    (only the end id); a null doc_id comes first; rows of equal doc_id are ordered by text; repeated rows all stay; an
+    (only the end id); a null doc_id comes first; rows of equal doc_id are ordered by
+    the hash of their text, as the ranges are; repeated rows all stay; an
     empty table gives empty files; columns other than ``metadata`` are ignored and may have any name.
     """
     tokenizer = tokenizer or tokenizer_path()
     keep = ["doc_id", *[c for c in metadata if c in docs.columns]]
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("local_start", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     rows.mapInArrow(_encode(tokenizer, end_id, keep), schema).write.options(**writer_options(row_group_mb, page_kb)).mode("overwrite").parquet(path)
     spark = docs.sparkSession
