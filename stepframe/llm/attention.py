@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH, STRIDE = 16, 12
+WIDTH, STRIDE = 16, 14
 DIM = 16
 #: Windows scored together.
 SCORED = 512

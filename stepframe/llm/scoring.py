@@ -26,6 +26,8 @@ RATE, LEAST, MOST, SEEN = 0.15, 64, 512, 128
 BLOCK, AT_ONCE, LARGEST = 32_768, 1_000_000, 2_000_000
 #: Parts of the parameters that are summed apart from each other, and their fixed point.
 PARTS, POINT = 16, 1 << 20
+#: How ids and windows are written.
+ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 #: Word counts travel in so many parts by hash; distinct words that are added up at a time.
 WORD_PARTS, WORDS_HELD = 256, 2_000_000
 
@@ -293,7 +295,7 @@ def fit(texts: DataFrame, symbols: Symbols, end_id: int) -> Attention:
     count = int(max(1, -(-total // SHARD_IDS)))
     dealt = texts.withColumn("shard", F.pmod(F.xxhash64("key", "th", F.lit(71)), F.lit(count)).cast("int")).withColumn("turn", F.xxhash64("key", "th", F.lit(5)))
     own = dealt.repartition(count, "shard").sortWithinPartitions("shard", "turn", "key", "th").select("shard", "n", "ids", "goes_on")
-    shards = saved(own.mapInArrow(_cut(spark.sparkContext.broadcast(symbols), end_id), "shard int, round int, windows binary"), "shards", compression="zstd")
+    shards = saved(own.mapInArrow(_cut(spark.sparkContext.broadcast(symbols), end_id), "shard int, round int, windows binary"), "shards", **ZSTD)
     for k, part in enumerate(ROUNDS):
         flat = model.flat()
         sums = shards.where(F.col("round") == k).mapInArrow(_train(spark.sparkContext.broadcast((symbols, flat)), part, total / WIDTH / count), _SUMS)
@@ -364,7 +366,7 @@ def scores(docs: DataFrame, tokenizer: str | None = None, end_id: int = 49407) -
     path = tokenizer or tokenizer_path()
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of_id().alias("key"), F.xxhash64("text").alias("th"), is_held_out().alias("held"), "text")
-    got = saved(rows.mapInArrow(_gather(path), _GATHERED), "gathered", compression="zstd")
+    got = saved(rows.mapInArrow(_gather(path), _GATHERED), "gathered", **ZSTD)
     dealt = got.where("kind = 0").select("what", "words", "times").repartition("what").mapInArrow(_word_counts, "word long, c long")
     counts = saved(dealt.groupBy("word").agg(F.sum("c").alias("c")), "words")
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
