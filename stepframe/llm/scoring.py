@@ -26,6 +26,8 @@ RATE, LEAST, MOST, SEEN = 0.15, 64, 512, 128
 BLOCK, AT_ONCE, LARGEST = 32_768, 1_000_000, 2_000_000
 #: Parts of the parameters that are summed apart from each other, and their fixed point.
 PARTS, POINT = 16, 1 << 20
+#: Words between white space that a worker remembers.
+REMEMBERED = 400_000
 #: How ids and windows are written.
 ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 #: Word counts travel in so many parts by hash; distinct words that are added up at a time.
@@ -73,13 +75,13 @@ def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
     return flat, (offsets - offsets[0]) // size
 
 
-_TEXT = {"doc_id": pa.int64(), "key": pa.int64(), "th": pa.int64(), "held": pa.bool_(), "n_words": pa.int64(), "ids": pa.binary(), "goes_on": pa.binary(), "words": pa.binary(), "times": pa.binary()}
-_GATHERED = "kind int, what long, n long, doc_id long, key long, th long, held boolean, n_words long, ids binary, goes_on binary, words binary, times binary"
+_TEXT = {"key": pa.int64(), "th": pa.int64(), "held": pa.bool_(), "ids": pa.binary(), "goes_on": pa.binary(), "words": pa.binary(), "times": pa.binary()}
+_GATHERED = "kind int, what long, n long, key long, th long, held boolean, ids binary, goes_on binary, words binary, times binary"
 
 
 def _gather(path: str):
     """Summed within each task, of training texts: word counts (kind 0), counts of symbols (1), the number of texts (3); and
-    each text's ids, whether each one's piece goes on after it though it could end there, and its distinct words (2)."""
+    each text's ids, and whether each one's piece goes on after it though it could end there (2)."""
 
     def run(batches):
         enc = encoder(path)
@@ -122,10 +124,7 @@ def _gather(path: str):
                 goes_on[np.cumsum(length)[length > 0] - 1] = False
                 known = np.repeat(train, np.diff(bounds))
                 symbols += np.bincount((ids + goes_on * np.int64(len(symbols) // 2))[known], minlength=len(symbols))
-                pair, times = np.unique(np.repeat(np.arange(n), counts) * np.int64(len(index)) + pieces, return_counts=True)
-                at = np.searchsorted(pair, np.arange(n + 1) * np.int64(len(index)))
-                words = hashes.hashes[pair % max(len(index), 1)]
-                columns = [own.column("doc_id"), own.column("key"), own.column("th"), own.column("held"), pa.array(counts), _binary(ids.astype(_id_type(len(symbols) // 2)), bounds), _binary(goes_on.view(np.uint8), bounds), _binary(words, at), _binary(times.astype(np.uint32), at)]
+                columns = [own.column("key"), own.column("th"), own.column("held"), _binary(ids.astype(_id_type(len(symbols) // 2)), bounds), _binary(goes_on.view(np.uint8), bounds), *[pa.nulls(n, pa.binary())] * 2]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.nulls(n, pa.int64()), pa.array(np.diff(bounds)), *columns], names=["kind", "what", "n", *_TEXT])
         yield flush()
         used = np.flatnonzero(symbols)
@@ -308,35 +307,72 @@ def fit(texts: DataFrame, symbols: Symbols, end_id: int) -> Attention:
     return model
 
 
-_PARTS = "rid long, word long, n long, doc_id long, held_out boolean, n_tokens long, n_known long, heavy double, score double"
-_DOC = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "heavy": pa.float64(), "score": pa.float64()}
-
-
-def _score(sent, end_id: int, heavy):
-    """For each text a row with the model's score and what frequent words give to the base, and a row for each other word in
-    it, with its hash and how often it occurs."""
-
+def _score(sent, end_id: int):
     def run(batches):
         symbols, flat = sent.value
         model, end = Attention(symbols).load(flat), int(symbols.rank[end_id])
-        keys, table = heavy.value
         for batch in batches:
             for first, last, ranks, bounds in _runs(batch, symbols):
-                m, own = last - first, batch.slice(first, last - first)
-                score = score_texts(model, ranks, bounds, end) / np.log(10)
-                words, at = _flat(own.column("words"), np.int64)
-                times = _flat(own.column("times"), np.uint32)[0].astype(np.int64)
-                text, found = np.repeat(np.arange(m), np.diff(at)), np.zeros(len(words), bool)
-                if len(keys):
-                    place = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
-                    found = keys[place] == words
-                known, base = np.bincount(text, np.where(found, times, 0), m).astype(np.int64), np.zeros(m)
-                if found.any():
-                    base = np.bincount(text[found], times[found] * table[place[found]], m)
-                rid, rest = own.column("rid").to_numpy(), np.flatnonzero(~found)
-                docs = [own.column("doc_id"), own.column("held"), pa.array(own.column("n_words").to_numpy() + 1), pa.array(known), pa.array(base), pa.array(score)]
+                own = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([own.column("key"), own.column("th"), pa.array(score_texts(model, ranks, bounds, end) / np.log(10))], names=["key", "th", "score"])
+
+    return run
+
+
+class _Words(dict):
+    """Numbers words between white space and keeps log10 of each one's count and 1; NaN for words that aren't in the table."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        super().__init__()
+        self.keys, self.table, self.fresh = keys, logs, []
+        self.hashes, self.logs = np.zeros(0, np.int64), np.zeros(0)
+
+    def __missing__(self, word):
+        self[word] = at = len(self)
+        self.fresh.append(xxhash.xxh64_intdigest(word, 0))
+        return at
+
+    def numbers(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' words in one array, and how many each text has; valid until the next call."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.hashes, self.logs = np.zeros(0, np.int64), np.zeros(0)
+        look, parts = self.__getitem__, []
+        for text in texts:
+            words = text.encode("utf-8", "replace").lower().split() if text else []
+            parts.append(np.fromiter(map(look, words), np.int64, len(words)))
+        if self.fresh:
+            new, self.fresh = np.array(self.fresh, np.uint64).view(np.int64), []
+            at = np.minimum(np.searchsorted(self.keys, new), max(len(self.keys) - 1, 0))
+            self.hashes = np.concatenate([self.hashes, new])
+            self.logs = np.concatenate([self.logs, np.where(self.keys[at] == new, self.table[at], np.nan) if len(self.keys) else np.full(len(new), np.nan)])
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+_WORDS: dict = {}
+_PARTS = "rid long, word long, n long, doc_id long, key long, th long, held_out boolean, n_tokens long, n_known long, heavy double"
+_DOC = {"doc_id": pa.int64(), "key": pa.int64(), "th": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "heavy": pa.float64()}
+
+
+def _base(heavy):
+    """For each text a row with what frequent words give, and one for each other word in it, with its hash and count."""
+
+    def run(batches):
+        if heavy.value is not _WORDS.get("sent"):
+            _WORDS.update(sent=heavy.value, words=_Words(*heavy.value))
+        table = _WORDS["words"]
+        for batch in batches:
+            for first, texts in slices(batch):
+                m, own = len(texts), batch.slice(first, len(texts))
+                numbers, counts = table.numbers(texts)
+                text, logs = np.repeat(np.arange(m), counts), table.logs[numbers]
+                known = ~np.isnan(logs)
+                rid = own.column("rid").to_numpy()
+                docs = [own.column("doc_id"), own.column("key"), own.column("th"), own.column("held"), pa.array(counts + 1), pa.array(np.bincount(text, known, m).astype(np.int64)), pa.array(np.bincount(text[known], logs[known], m))]
                 yield pa.RecordBatch.from_arrays([own.column("rid"), pa.array(rid * 2_654_435_761 + 97), pa.array(np.zeros(m, np.int64)), *docs], names=["rid", "word", "n", *_DOC])
-                yield pa.RecordBatch.from_arrays([pa.array(rid[text[rest]]), pa.array(words[rest]), pa.array(times[rest]), *[pa.nulls(len(rest), t) for t in _DOC.values()]], names=["rid", "word", "n", *_DOC])
+                size = max(len(table.hashes), 1)
+                pair, n = np.unique((text * np.int64(size) + numbers)[~known], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[pair // size]), pa.array(table.hashes[pair % size] if len(pair) else pair), pa.array(n), *[pa.nulls(len(pair), t) for t in _DOC.values()]], names=["rid", "word", "n", *_DOC])
 
     return run
 
@@ -357,8 +393,7 @@ def scores(docs: DataFrame, tokenizer: str | None = None, end_id: int = 49407) -
     the piece goes on is part of the symbol that the model predicts. So the score, like the base, is that of the text up to the kind of its
     white space. Words are counted by 64-bit hashes.
 
-    All training texts are counted, and each of their ids is a target of one window. Texts are read and encoded once; ids and
-    words stand in the shared folder. Counts are summed in the tasks before the shuffle. Words over ``HEAVY_SHARE`` of all tokens, at
+    All training texts are counted, and each of their ids is a target of one window. Texts are encoded once; ids stand in the shared folder. Counts are summed in the tasks before the shuffle. Words over ``HEAVY_SHARE`` of all tokens, at
     most its inverse in number, go to the tasks as a table; only the others of a document are shuffled to meet their
     counts, so no word has many rows. Null texts are empty: one end. Rows that repeat a doc_id each get a row. Without
     training texts all words are unknown and the model is as it starts. An empty table gives no rows; other columns are ignored.
@@ -366,7 +401,7 @@ def scores(docs: DataFrame, tokenizer: str | None = None, end_id: int = 49407) -
     path = tokenizer or tokenizer_path()
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of_id().alias("key"), F.xxhash64("text").alias("th"), is_held_out().alias("held"), "text")
-    got = saved(rows.mapInArrow(_gather(path), _GATHERED), "gathered", **ZSTD)
+    got = saved(rows.select("key", "th", "held", "text").mapInArrow(_gather(path), _GATHERED), "gathered", **ZSTD)
     dealt = got.where("kind = 0").select("what", "words", "times").repartition("what").mapInArrow(_word_counts, "word long, c long")
     counts = saved(dealt.groupBy("word").agg(F.sum("c").alias("c")), "words")
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -379,10 +414,12 @@ def scores(docs: DataFrame, tokenizer: str | None = None, end_id: int = 49407) -
     sent = spark.sparkContext.broadcast((symbols, model.flat()))
     top = counts.where(F.col("c") > total * HEAVY_SHARE).toPandas().sort_values("word")
     heavy = spark.sparkContext.broadcast((top["word"].to_numpy(np.int64), np.log10(top["c"].to_numpy(float) + 1)))
-    parts = texts.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_score(sent, end_id, heavy), _PARTS)
+    # Equal texts of equal ids have equal scores.
+    scored = texts.select("key", "th", "n", "ids", "goes_on").mapInArrow(_score(sent, end_id), "key long, th long, score double").dropDuplicates(["key", "th"])
+    parts = rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_base(heavy), _PARTS)
     met = parts.join(counts, "word", "left").groupBy("rid").agg(*[F.max(c).alias(c) for c in _DOC], F.sum(F.when(F.col("c").isNotNull(), F.col("n") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("rest"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_rest"))
     base = F.col("heavy") + F.col("rest") + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(total + kinds + 1)))
-    return met.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("n_rest") + F.lit(int(ends > 0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return met.join(scored, ["key", "th"]).select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("n_rest") + F.lit(int(ends > 0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
