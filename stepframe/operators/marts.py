@@ -53,5 +53,5 @@ def filtered_rate(df: DataFrame, by: list[str], part, whole=None, whole_over_all
     test = whole if whole is not None else F.lit(True)
     g = df.groupBy(*by).agg(F.count_if(part & test).alias("part"), F.count_if(test).alias("whole"))
     if whole_over_all:
-        g = g.drop("whole").crossJoin(F.broadcast(df.agg(F.count_if(test).alias("whole"))))
+        g = g.drop("whole").crossJoin(F.broadcast(g.agg(F.sum("whole").alias("whole"))))
     return g.withColumn("rate", rate(F.col("part"), F.col("whole")))

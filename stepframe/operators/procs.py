@@ -29,10 +29,11 @@ def means_all(df: DataFrame, classes: list[str], var: str, stats: dict[str, str]
 
 
 def freq(df: DataFrame, columns: list[str], missing: bool = False) -> DataFrame:
-    """count and percent of all counted rows for each combination. The total is taken over the few grouped rows."""
+    """count and percent of all counted rows for each combination. The total is taken over the grouped rows, whose shuffle both
+    uses share."""
     rows = df if missing else df.dropna(subset=columns)
     counted = rows.groupBy(*columns).agg(F.count("*").alias("count"))
-    total = rows.agg(F.count("*").alias("_all"))
+    total = counted.agg(F.sum("count").alias("_all"))
     return counted.crossJoin(F.broadcast(total)).select(*columns, "count", (100 * F.col("count") / F.col("_all")).alias("percent"))
 
 

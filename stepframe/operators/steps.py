@@ -86,10 +86,12 @@ def merge(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return out.drop("_in_right", *[f"_r_{c}" for c in shared])
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: list[str], max_rows: int = 1_000_000) -> DataFrame:
-    """Keyed lookup: a left join that broadcasts the table if it has at most ``max_rows`` rows, and shuffles else."""
-    small = table.limit(max_rows + 1).count() <= max_rows
-    return df.join(F.broadcast(table) if small else table, keys, "left")
+def lookup(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Keyed lookup: a left join with one row of the table for each key, the least by its other columns. Spark broadcasts the
+    table if its size in bytes allows."""
+    other = [c for c in table.columns if c not in keys]
+    one = table.groupBy(*keys).agg(F.min(F.struct(*other)).alias("_own")).select(*keys, "_own.*")
+    return df.join(one, keys, "left")
 
 
 def replace_subset(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

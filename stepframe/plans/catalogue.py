@@ -249,15 +249,28 @@ def reconcile_checks(spark, d):
     return profile.with_expectation(profile.reconcile("customer", a, a.where("c_custkey % 500 <> 0").withColumn("c_name", F.when(F.col("c_custkey") == 7, "x").otherwise(F.col("c_name")))), False)
 
 
-@query()
+@query("""SELECT doc_id, left(text, k) || CASE WHEN strlen(left(text, k)) < least(12, strlen(text)) THEN '�' ELSE '' END AS cut, CAST(strlen(text) > 12 AS INT) AS was_cut, CAST(strlen(left(text, k)) < least(12, strlen(text)) OR contains(left(text, k), '�') AS INT) AS broken
+FROM (SELECT doc_id, text, list_max(list_filter(range(0, 13), lambda i: strlen(left(text, i)) <= 12)) AS k FROM documents)""")
 def byte_truncate_evidence(spark, d):
     cut = _t(spark, d, "documents").select("doc_id", "text", E.cut_bytes(F.col("text"), 12).alias("cut"))
     return cut.select("doc_id", "cut", E.flag(F.octet_length("text") > 12).alias("was_cut"), E.flag(F.contains("cut", F.lit("�"))).alias("broken"))
 
 
-@query()
+_AREAS = {"metal": ["steel", "brass", "copper", "nickel"], "colour": ["red", "blue", "green"], "finish": ["polished", "plated", "brushed"]}
+_WEIGHTS = {"p_name": 3.0, "p_type": 0.25}
+
+
+def _hits_sql(area: str) -> str:
+    one = "len(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda w: {t}))"
+    tests = {k: f"starts_with(w, '{k}')" if len(k) >= 5 else f"w IN ('{k}', '{k}s')" for k in _AREAS[area]}
+    return " + ".join(f"{w} * {one.format(c=c, t=t)}" for c, w in _WEIGHTS.items() for t in tests.values())
+
+
+@query(f"""WITH s AS (SELECT p_partkey, list_sort([{', '.join(f"{{'s': -({_hits_sql(a)}), 'a': '{a}'}}" for a in _AREAS)}]) AS r FROM part)
+SELECT p_partkey, r[1].a AS best, CAST(-r[1].s AS DOUBLE) AS top, CAST(-r[2].s AS DOUBLE) AS runner_up, CASE WHEN -r[1].s < 0.25 OR r[1].s = r[2].s THEN 'Other' ELSE r[1].a END AS label,
+CASE WHEN -r[1].s < 0.25 OR r[1].s = r[2].s THEN 'LOW' WHEN -r[1].s >= -2 * r[2].s THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM s""")
 def keyword_classify(spark, d):
-    return classify.keyword_area(_t(spark, d, "part"), "p_partkey", {"p_name": 3.0, "p_type": 0.25}, {"metal": ["steel", "brass", "copper", "nickel"], "colour": ["red", "blue", "green"], "finish": ["polished", "plated", "brushed"]}, 0.25)
+    return classify.keyword_area(_t(spark, d, "part"), "p_partkey", _WEIGHTS, _AREAS, 0.25)
 
 
 @query("""WITH l AS (SELECT doc_id, quality AS a, CAST(n_chars > 500 AS INT) AS b FROM labels JOIN documents USING (doc_id)), t AS (SELECT count(*) AS n, avg(CAST(a = b AS INT)) AS po, avg(a) AS pa, avg(b) AS pb FROM l)
@@ -418,3 +431,130 @@ def translated_program_macro(spark, d):
         rows = made[name].select(F.lit(name[-1].upper()).alias("o_orderstatus"), "o_orderpriority", "n")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+_PROGRAM_ORDER = """
+data out.late(rename=(l_orderkey=order_no) where=(cum > 60)) work.small(keep=l_orderkey l_linenumber);
+  set stg.lineitem(keep=l_orderkey l_linenumber l_quantity l_discount where=(l_discount ge 0.02));
+  by l_orderkey;
+  if first.l_orderkey then do; cum = 0; n = 0; end;
+  cum + l_quantity;
+  if l_quantity < 10 then do; n + 1; output work.small; end;
+  if last.l_orderkey;
+  output out.late;
+run;
+"""
+
+
+def _ordered(spark, d) -> Session:
+    return Session(Libraries(spark, {"stg": d}, files=("stg",)), row_order={"stg.lineitem": ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]})
+
+
+@query("SELECT l_orderkey AS order_no, CAST(sum(l_quantity) AS DOUBLE) AS cum, CAST(count(*) FILTER (l_quantity < 10) AS INT) AS n FROM lineitem WHERE l_discount >= 0.02 GROUP BY 1 HAVING sum(l_quantity) > 60")
+def translated_program_order(spark, d):
+    made = _ordered(spark, d).run(_PROGRAM_ORDER)["out.late"]
+    return made.select("order_no", F.col("cum").cast("double").alias("cum"), F.col("n").cast("int").alias("n"))
+
+
+_PROGRAM_SQL = """
+data work.bal; set stg.customer; if c_custkey > 900 then bal = .; else bal = c_acctbal; run;
+proc sql noprint;
+  select max(n_nationkey) into :top trimmed from stg.nation;
+  create table out.low as
+    select n.n_name as nation, count(*) as n, sum(b.bal < 0) as below, count(distinct b.c_mktsegment) as kinds
+    from work.bal as b inner join stg.nation as n on b.c_nationkey = n.n_nationkey
+    where b.bal < 1000 and n.n_nationkey < &top and b.c_custkey > (select min(c_custkey) from stg.customer)
+    group by calculated nation having count(*) > 1 order by n desc, nation;
+quit;
+"""
+
+
+@query("SELECT n_name AS nation, count(*) AS n, CAST(sum(CAST(bal IS NULL OR bal < 0 AS INT)) AS BIGINT) AS below, count(DISTINCT c_mktsegment) AS kinds FROM (SELECT *, CASE WHEN c_custkey <= 900 THEN c_acctbal END AS bal FROM customer) JOIN nation ON c_nationkey = n_nationkey WHERE (bal IS NULL OR bal < 1000) AND n_nationkey < (SELECT max(n_nationkey) FROM nation) AND c_custkey > (SELECT min(c_custkey) FROM customer) GROUP BY 1 HAVING count(*) > 1")
+def translated_program_sql(spark, d):
+    return _session(spark, d).run(_PROGRAM_SQL)["out.low"]
+
+
+_PROGRAM_TABLES = """
+proc format; value size low-<10='SMALL' 10-<30='MIDDLE' 30-high='LARGE' other='NA'; run;
+data work.sized; set stg.part; if p_size ne 7 then s = p_size; band = put(s, size.); run;
+proc freq data=work.sized noprint; tables band*p_brand / out=out.bands; run;
+"""
+
+
+@query("WITH s AS (SELECT p_brand, CASE WHEN p_size = 7 THEN 'NA' WHEN p_size < 10 THEN 'SMALL' WHEN p_size < 30 THEN 'MIDDLE' ELSE 'LARGE' END AS band FROM part) SELECT band, p_brand, count(*) AS count, round(100 * count(*) / (SELECT count(*) FROM s), 9) AS percent FROM s GROUP BY ALL")
+def translated_program_tables(spark, d):
+    return _session(spark, d).run(_PROGRAM_TABLES)["out.bands"].withColumn("percent", F.round("percent", 9))
+
+
+@query(ORACLE_SQL["ols_payment_model"])
+def translated_program_reg(spark, d):
+    out = _session(spark, d).run("proc reg data=stg.lineitem outest=out.model noprint; model l_extendedprice = l_quantity l_discount; run; quit;")["out.model"]
+    return out.select(*[F.round(c, 3).alias(c) for c in out.columns])
+
+
+@query(ORACLE_SQL["brown_forecast"])
+def translated_program_forecast(spark, d):
+    s = _session(spark, d)
+    s.tables["work.monthly"] = _monthly(spark, d)
+    out = s.run("proc forecast data=work.monthly method=expo trend=2 lead=12 out=out.fc outest=out.est; id month; var total; run;")["out.fc"]
+    return out.withColumnRenamed("total", "y").withColumn("y", F.round("y", 3))
+
+
+_PROGRAMS = {
+    "p01": "data stg.raw; infile 'in/raw.csv' dsd; input k v; run;",
+    "p02": "%macro pick(ds=, out=); %if &ds ne %then %do; data &out; set &ds; by k; retain top; if first.k then n = 0; n + 1; run; %end; %mend; %pick(ds=stg.raw, out=out.one);",
+    "p03": "%include 'lib/p02.sas'; %macro all; %do i = 1 %to 3; %pick(ds=stg.raw, out=out.part_&i); %end; %mend; %all; proc sql; select max(v) into :m from out.one; create table out.sum as select a.k, sum(b.v) as v from out.one a left join stg.raw b on a.k = b.k group by a.k; quit; proc means data=out.sum nway; class k; var v; output out=out.stats mean=m; run;",
+}
+
+
+@query("SELECT * FROM (VALUES ('p01', 1, 0, 1, 1, 0, 0, 0, 0, 'Load'), ('p02', 1, 1, 1, 0, 0, 1, 0, 1, 'Macro'), ('p03', 1, 3, 2, 0, 1, 2, 1, 2, 'Join')) t(program, lines, reads, writes, files, joins, macro_calls, values_read, macro_depth, kind)")
+def program_facts(spark, d):
+    """Facts of programs as rows, measured by program, and the label of the first rule that holds."""
+    m = lineage.measures(lineage.facts(spark, _PROGRAMS))
+    rules = [(classify.Test("joins", "gt", 0), "Join"), (classify.Test("macros", "gt", 0), "Macro"), (classify.Test("files", "gt", 0), "Load")]
+    return m.select("program", "lines", "reads", "writes", "files", "joins", F.col("calls").alias("macro_calls"), "values_read", "macro_depth", classify.first_rule(rules, "Other").alias("kind"))
+
+
+@query("SELECT source_id, target_id, relationship, confidence FROM (VALUES ('raw.csv', 'p01', 'READS', 'HIGH'), ('raw.csv', 'stg.raw', 'LOADS', 'HIGH'), ('p01', 'stg.raw', 'WRITES', 'HIGH'), ('p02', 'pick', 'DEFINES', 'HIGH'), ('p03', 'all', 'DEFINES', 'HIGH'), ('pick', 'p02', 'CALLS', 'HIGH'), ('pick', 'all', 'CALLS', 'HIGH'), ('all', 'p03', 'CALLS', 'HIGH'), ('p02', 'p03', 'INCLUDES', 'HIGH'), ('stg.raw', 'p02', 'READS', 'MEDIUM'), ('p02', 'out.one', 'WRITES', 'MEDIUM'), ('stg.raw', 'p03', 'READS', 'HIGH'), ('p03', 'out.part_&i', 'WRITES', 'LOW'), ('out.one', 'p03', 'READS', 'HIGH'), ('p03', 'out.sum', 'WRITES', 'HIGH'), ('out.sum', 'p03', 'READS', 'HIGH'), ('p03', 'out.stats', 'WRITES', 'HIGH')) t(source_id, target_id, relationship, confidence)")
+def program_edges(spark, d):
+    return lineage.edges(lineage.facts(spark, _PROGRAMS)).select("source_id", "target_id", "relationship", "confidence")
+
+
+@query("SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM (SELECT o_orderkey, o_custkey FROM orders) LEFT JOIN (SELECT c_custkey AS o_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 = 0) USING (o_custkey)")
+def keyed_lookup(spark, d):
+    table = _t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    return steps.lookup(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), table, ["o_custkey"]).select("o_orderkey", "o_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT s_suppkey, s_acctbal, 'old' AS run FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT s_suppkey, s_acctbal + 1, 'new' FROM supplier WHERE s_suppkey % 4 = 0")
+def subset_replacement(spark, d):
+    s = _t(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.lit("old").alias("run"))
+    return steps.replace_subset(s, s.where("s_suppkey % 4 = 0").withColumns({"s_acctbal": F.col("s_acctbal") + 1, "run": F.lit("new")}), ["s_suppkey"])
+
+
+@query("SELECT l_orderkey, arg_min(l_returnflag, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) AS best FROM lineitem GROUP BY 1")
+def best_by_rank(spark, d):
+    return steps.best_of(_t(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber"), ["l_orderkey"], "l_returnflag", ["R", "N", "A"], ["l_linenumber"]).select("l_orderkey", F.col("l_returnflag").alias("best"))
+
+
+@query("SELECT o_orderkey, CAST(date_trunc('month', CAST(o_orderdate AS DATE)) + INTERVAL 3 MONTH AS DATE) AS due, round(o_totalprice * 0.01 / (1 - pow(1.01, -24)), 2) AS payment FROM (SELECT o_orderkey, o_orderdate, round(CAST(o_totalprice AS DOUBLE) / 100) * 100 AS o_totalprice FROM orders)")
+def instalments(spark, d):
+    rows = _t(spark, d, "orders").withColumn("p", F.round(F.col("o_totalprice").cast("double") / 100) * 100)
+    return rows.select("o_orderkey", E.month_start(F.col("o_orderdate"), 3).alias("due"), F.round(E.annuity(F.col("p"), F.lit(0.01), F.lit(24)), 2).alias("payment"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'VALIDATED'), ('b', 'FAILED'), ('m1', 'VALIDATED'), ('m2', 'MANUAL_REVIEW'), ('m3', 'MANUAL_REVIEW')) t(program_id, status)")
+def library_rollup(spark, d):
+    status = spark.createDataFrame([("a", "VALIDATED"), ("b", "FAILED"), ("m1", None), ("m2", None), ("m3", None)], "program_id string, status string")
+    return profile.library_status(status, spark.createDataFrame([("a", "m1"), ("a", "m2"), ("b", "m2")], "program_id string, included string"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(['steel', 'plated'], lambda r: (r = 'steel' AND regexp_matches(p_type, '(?i)steel')) OR (r = 'plated' AND regexp_matches(p_type, '(?i)\\bplated\\b'))), ',') AS rules FROM part")
+def rule_triggers(spark, d):
+    return classify.triggered(_t(spark, d, "part").select("p_partkey", "p_type"), "p_type", {"steel": "steel", "plated": r"\\bplated\\b"}).select("p_partkey", F.array_join("rules", ",").alias("rules"))
+
+
+@query("SELECT id, n, CAST(n > 1 AS DOUBLE) AS flag, DATE '2024-01-01' + CAST(n AS INT) AS day FROM (SELECT r_regionkey AS id, CAST(r_regionkey AS DOUBLE) AS n FROM region)")
+def typed_restore(spark, d):
+    text = _t(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_regionkey").cast("string").alias("n"), (F.col("r_regionkey") > 1).cast("string").alias("flag"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("r_regionkey").cast("int")).cast("string").alias("day"))
+    return E.apply_types(text, {"n": "double", "flag": "boolean", "day": "date"})

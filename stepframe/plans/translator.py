@@ -396,9 +396,9 @@ class Table:
     rename: dict[str, str] = field(default_factory=dict)
     where: tuple = ()
 
-    def shape(self, df: DataFrame, session: "Session") -> DataFrame:
-        """Columns are kept or dropped, then renamed, then rows are filtered."""
-        df = df.select(*self.keep) if self.keep else df
+    def shape(self, df: DataFrame, session: "Session", also: tuple[str, ...] = ()) -> DataFrame:
+        """Columns are kept or dropped, then renamed, then rows are filtered. ``also`` stay in any case."""
+        df = df.select(*self.keep, *also) if self.keep else df
         df = df.drop(*self.drop).withColumnsRenamed(self.rename)
         return df.where(session.expression(self.where).condition()) if self.where else df
 
@@ -513,7 +513,11 @@ class _DataStep:
             raise Unsupported("DATA step without SET", block[0].text)
         self.sums = {w[0].low for s in body for w in self._sum_tokens(s)}
         self.name = source.name if "." in source.name else f"work.{source.name}"
-        self.df = source.shape(session.read(source.name), session)
+        # What gives rows their order stays, whatever columns are kept.
+        order = list(dict.fromkeys([*session.sorted_by.get(self.name, []), *session.row_order.get(self.name, [])])) if self.by else []
+        self.order = {c: f"_order_{i}" for i, c in enumerate(order)}
+        self.hidden += self.order.values()
+        self.df = source.shape(session.read(source.name).withColumns({h: F.col(c) for c, h in self.order.items()}), session, tuple(self.hidden))
         for s in wheres:
             self.df = self.df.where(session.expression(s.tokens[1:]).condition())
         if self.by:
@@ -554,11 +558,10 @@ class _DataStep:
         return (rows.select(*self.keep) if self.keep else rows.drop(*self.drop)).withColumnsRenamed(self.rename)
 
     def _window(self, keys: list[str]):
-        known = self.session.sorted_by.get(self.name, [])
-        order = [c for c in [*self.by, *known, *self.session.row_order.get(self.name, [])] if c not in keys]
-        if not (known or order):
+        if not self.order:
             raise Unsupported("BY group without a known order", self.name)
-        return Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in dict.fromkeys(order or keys)])
+        order = [*[c for c in self.by if c not in keys], *self.order.values()]
+        return Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
 
     def _mark_groups(self) -> None:
         marks = {}
