@@ -16,8 +16,11 @@ BITS = 64
 SHINGLE_WORDS, SIMILARITY = 5, (4, 5)
 #: MinHash bands and hashes of each: a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32, under 5e-8.
 BANDS, BAND_HASHES = 32, 4
-#: Members of a bucket that are compared with all its others in the first round, about; twice as many in each later one.
-PROBES = 4
+#: Members of a bucket that are compared with all its others in the first round, about; in each later one, times as many.
+PROBES, MORE = 4, 8
+#: Bits kept of each MinHash. A pair at similarity 0.8 differs in 25.6 of 256 bits on average, with a deviation of 5.8, and
+#: in more than 60 with a probability of about 1e-8; pairs with more are not compared. At 0.5 the average is 64.
+KEPT_BITS, MOST_DIFFERING = 2, 60
 
 
 def simhash(text: str | None, words: int = 3) -> int:
@@ -123,35 +126,52 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[i : i + words]), 42) for i in range(max(1, len(parts) - words + 1))), np.uint64))
 
 
-def _band_keys(own: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """A key for each band of the set's least hashes."""
+def _least_hashes(own: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """The set's MinHashes."""
     least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), 4096):
         x = own[at : at + 4096, None] * odd + add
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x9E3779B97F4A7C15)
         least = np.minimum(least, x.min(0))
+    return least
+
+
+def _band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's MinHashes."""
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND_HASHES))], np.uint64).view(np.int64)
 
 
+def _sketch(least: np.ndarray) -> np.ndarray:
+    """Some bits of each MinHash, in longs."""
+    bits = (least[:, None] >> np.arange(20, 20 + KEPT_BITS, dtype=np.uint64)) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").view(np.int64)
+
+
 def add_shingles(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(key, hash, fp, n, bands): hash of the text, hash of its set of shingles, the set's size and band keys."""
+    """(key, hash, fp, n, bands, sketch): hash of the text, hash of its set of shingles, the set's size, band keys and MinHash bits."""
     r = np.random.default_rng(17)
     odd = r.integers(0, 2**64, BANDS * BAND_HASHES, np.uint64) | np.uint64(1)
     add = r.integers(0, 2**64, BANDS * BAND_HASHES, np.uint64)
 
+    def lists(rows, width):
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * width
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
     def run(batches):
         for batch in batches:
-            fp, n, bands = [], [], []
+            fp, n, bands, bits = [], [], [], []
             for text in batch.column("text"):
                 own = shingles(text.as_py(), words)
+                least = _least_hashes(own, odd, add)
                 fp.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                 n.append(len(own))
-                bands.append(_band_keys(own, odd, add))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("hash"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), keys], names=["key", "hash", "fp", "n", "bands"])
+                bands.append(_band_keys(least))
+                bits.append(_sketch(least))
+            columns = [batch.column("key"), batch.column("hash"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists(bands, BANDS), lists(bits, BANDS * BAND_HASHES * KEPT_BITS // 64)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "hash", "fp", "n", "bands", "sketch"])
 
-    return docs.select(key_of_id().alias("key"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "key long, hash long, fp long, n long, bands array<long>")
+    return docs.select(key_of_id().alias("key"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "key long, hash long, fp long, n long, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -169,43 +189,64 @@ def shingle_sets(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def similar_components(prints: DataFrame, sets_of) -> DataFrame:
-    """(node, root) of the components of all pairs of ``prints`` (fp, distinct; n, bands) with similarity 0.8 or more.
+    """(node, root) of the components of all pairs of ``prints`` (fp, distinct; n, bands, sketch) with similarity 0.8 or more.
     ``sets_of`` gives (fp, own), the sets of a table of fp.
 
-    Candidates share a band. In each round some members of a bucket, by a hash, are compared exactly with all its members
-    that aren't yet in their component; twice as many in the next, until every pair that shares a band was compared or lies
-    in one component. So a large group of near copies costs a few rows for each member, and no pair is left out.
+    Candidates share a band. In each round some members of a bucket, by a hash, meet all its members that aren't yet in
+    their component, and are compared exactly unless sizes or sketches rule them out; ``MORE`` times as many in the next,
+    until every pair that shares a band has met or lies in one component. So a large group of near copies costs a few rows
+    for each member, and no pair is left out. Only the components found before are linked by a round's new links.
     """
     num, den = SIMILARITY
-    all_members = prints.select("fp", "n", F.posexplode("bands").alias("band", "bucket"))
+    all_members = prints.select("fp", F.posexplode("bands").alias("band", "bucket"))
     shared = all_members.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
-    odds = F.shiftrightunsigned(F.xxhash64("fp", "band", F.lit(29)), 11) / F.lit(float(1 << 53))
-    members = saved(all_members.join(shared, ["band", "bucket"]).withColumn("turn", odds * F.col("size")), "members")
-    largest = members.agg(F.max("size")).first()[0]
-    candidates = saved(sets_of(saved(members.select("fp").distinct(), "candidates")), "sets")
-    links, roots, probes = None, None, PROBES
+    # A set has the same place in all its buckets, so that buckets of the same members repeat their pairs.
+    odds = F.shiftrightunsigned(F.xxhash64("fp", F.lit(29)), 11) / F.lit(float(1 << 53))
+    now = saved(all_members.join(shared, ["band", "bucket"]).withColumn("turn", odds * F.col("size")), "members")
+    largest = now.agg(F.max("size")).first()[0]
+    facts = prints.select("fp", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(BANDS * BAND_HASHES * KEPT_BITS // 64)])
+    facts = saved(facts.join(now.select("fp").distinct(), "fp", "left_semi"), "facts")
+    candidates = saved(sets_of(facts.select("fp")), "sets")
+    sketch = [c for c in facts.columns if c not in ("fp", "n")]
+    roots = saved(facts.select(F.col("fp").alias("node"), F.col("fp").alias("root")), "roots")
+    probes, before = PROBES, 0
     while largest:
-        now = members.withColumn("root", F.col("fp")) if roots is None else members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        mixed = now.groupBy("band", "bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "bucket")
-        now = saved(now.join(mixed, ["band", "bucket"], "left_semi"), "mixed")
+        # Buckets within one component are done with.
+        rooted = now.select("band", "bucket", "fp", "size", "turn").join(roots.withColumnRenamed("node", "fp"), "fp")
+        mixed = rooted.groupBy("band", "bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band", "bucket")
+        left = saved(rooted.join(mixed, ["band", "bucket"], "left_semi"), "mixed")
+        discard(now)
+        now = left
         if now.isEmpty():
             break
-        low = 0 if probes == PROBES else probes // 2
-        probe = now.where((F.col("turn") >= low) & (F.col("turn") < probes)).select("band", "bucket", F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-        rest = now.select("band", "bucket", F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-        near_size = (den * F.least("nu", "nv") >= num * F.greatest("nu", "nv")) & (F.col("ru") != F.col("rv"))
-        pairs = saved(probe.join(rest, ["band", "bucket"]).where(near_size).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "nu", "nv").dropDuplicates(["u", "v"]), "pairs")
-        met = pairs.join(candidates.select(F.col("fp").alias("u"), F.col("own").alias("own_u")), "u").join(candidates.select(F.col("fp").alias("v"), F.col("own").alias("own_v")), "v")
+        known = now.join(facts, "fp")
+        probe = known.where((F.col("turn") >= before) & (F.col("turn") < probes))
+        probe = probe.select("band", "bucket", *[F.col(c).alias(f"u_{c}") for c in ("fp", "n", "root", *sketch)])
+        rest = known.select("band", "bucket", *[F.col(c).alias(f"v_{c}") for c in ("fp", "n", "root", *sketch)])
+        differing = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in sketch), F.lit(0))
+        near_size = den * F.least("u_n", "v_n") >= num * F.greatest("u_n", "v_n")
+        meets = [F.col(f"probe.{c}") == F.col(f"rest.{c}") for c in ("band", "bucket")]
+        pairs = probe.alias("probe").join(rest.alias("rest"), [*meets, F.col("u_root") != F.col("v_root"), near_size, differing <= MOST_DIFFERING])
+        least = F.col("u_fp") < F.col("v_fp")
+        sides = [F.when(least, F.col(f"u_{c}")).otherwise(F.col(f"v_{c}")).alias(f"u_{c}") for c in ("fp", "n", "root")]
+        sides += [F.when(least, F.col(f"v_{c}")).otherwise(F.col(f"u_{c}")).alias(f"v_{c}") for c in ("fp", "n", "root")]
+        pairs = saved(pairs.select(*sides).distinct(), "pairs")
+        met = pairs.join(candidates.select(F.col("fp").alias("u_fp"), F.col("own").alias("own_u")), "u_fp")
+        met = met.join(candidates.select(F.col("fp").alias("v_fp"), F.col("own").alias("own_v")), "v_fp")
         common = F.size(F.array_intersect("own_u", "own_v"))
-        new = met.where((num + den) * common >= num * (F.col("nu") + F.col("nv"))).select("u", "v")
-        links = saved(new if links is None else links.union(new), "similar")
-        discard(now)
+        new = met.where((num + den) * common >= num * (F.col("u_n") + F.col("v_n"))).select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
+        new = saved(new.distinct(), "similar")
         discard(pairs)
-        roots = saved(components(links), "roots")
+        if not new.isEmpty():
+            merged = components(new).select(F.col("node").alias("root"), F.col("root").alias("least"))
+            joined = saved(roots.join(merged, "root", "left").select("node", F.coalesce("least", "root").alias("root")), "roots")
+            discard(roots)
+            roots = joined
+        discard(new)
         if probes >= largest:
             break
-        probes *= 2
-    return roots if roots is not None else prints.select(F.col("fp").alias("node"), F.col("fp").alias("root"))
+        before, probes = probes, probes * MORE
+    return roots
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -215,7 +256,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     to one. Null and empty texts are alike. A null doc_id counts as the least id; rows of null or equal doc_id with texts
     of other groups stay.
     """
-    prints = saved(add_shingles(docs, words).groupBy("fp").agg(F.min(F.struct("key", "hash")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "prints")
+    prints = saved(add_shingles(docs, words).groupBy("fp").agg(F.min(F.struct("key", "hash")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "prints")
 
     def sets_of(fps):
         # Texts are read again: sets of all documents would take more room than the texts.
@@ -223,7 +264,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
         texts = docs.select(key_of_id().alias("key"), F.xxhash64("text").alias("hash"), "text").join(wanted, ["key", "hash"])
         return shingle_sets(texts.groupBy("fp").agg(F.first("text").alias("text")), words)
 
-    found = similar_components(prints.select("fp", "n", "bands"), sets_of)
+    found = similar_components(prints.select("fp", "n", "bands", "sketch"), sets_of)
     rooted = prints.join(found, prints["fp"] == found["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"), F.col("first.hash").alias("_hash"))
     kept = docs.select(whole_row(docs), key_of_id().alias("_key"), F.xxhash64("text").alias("_hash")).join(chosen, ["_key", "_hash"], "left_semi")
