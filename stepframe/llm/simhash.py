@@ -21,6 +21,8 @@ PROBES, MORE = 4, 8
 #: Bits kept of each MinHash. A pair at similarity 0.8 differs in 25.6 of 256 bits on average, with a deviation of 5.8, and
 #: in more than 60 with a probability of about 1e-8; pairs with more are not compared. At 0.5 the average is 64.
 KEPT_BITS, MOST_DIFFERING = 2, 60
+#: Longs of the bit map that holds a set's shingles, by hash, for a bound on what two sets share.
+MAP_LONGS = 16
 
 
 def simhash(text: str | None, words: int = 3) -> int:
@@ -188,14 +190,34 @@ def shingle_sets(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return texts.select("fp", "text").mapInArrow(run, "fp long, own array<long>")
 
 
+def set_bounds(sets: DataFrame) -> DataFrame:
+    """(fp, alone, m0, m1, ...) of (fp, own): how many of a set's shingles no other set has, and a bit map of the others."""
+    each = sets.select("fp", F.explode("own").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
+    single = each.where("n = 1").groupBy("fp").agg(F.collect_list("shingle").alias("single"))
+    names = [f"m{i}" for i in range(MAP_LONGS)]
+
+    def run(batches):
+        for batch in batches:
+            count, maps = [], np.zeros((len(batch), MAP_LONGS), np.uint64)
+            for row, own, single in zip(maps, batch.column("own"), batch.column("single")):
+                single = single.values.to_numpy() if single.is_valid else np.zeros(0, np.int64)
+                at = np.setdiff1d(own.values.to_numpy(), single, assume_unique=True).view(np.uint64) % np.uint64(64 * MAP_LONGS)
+                np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+                count.append(len(single))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(count, pa.int64()), *map(pa.array, np.ascontiguousarray(maps.T).view(np.int64))], names=["fp", "alone", *names])
+
+    return sets.join(single, "fp", "left").select("fp", "own", "single").mapInArrow(run, "fp long, alone long, " + ", ".join(f"{c} long" for c in names))
+
+
 def similar_components(prints: DataFrame, sets_of) -> DataFrame:
     """(node, root) of the components of all pairs of ``prints`` (fp, distinct; n, bands, sketch) with similarity 0.8 or more.
     ``sets_of`` gives (fp, own), the sets of a table of fp.
 
     Candidates share a band. In each round some members of a bucket, by a hash, meet all its members that aren't yet in
-    their component, and are compared exactly unless sizes or sketches rule them out; ``MORE`` times as many in the next,
-    until every pair that shares a band has met or lies in one component. So a large group of near copies costs a few rows
-    for each member, and no pair is left out. Only the components found before are linked by a round's new links.
+    their component, and are compared exactly unless sizes, sketches or bounds on what they share rule them out; ``MORE``
+    times as many in the next, until every pair that shares a band has met or lies in one component. So a large group of
+    near copies costs a few rows for each member, and no pair is left out. A set of which over a fifth of the shingles are
+    in no other candidate has no links, and leaves at once. A round's new links join the components found before.
     """
     num, den = SIMILARITY
     all_members = prints.select("fp", F.posexplode("bands").alias("band", "bucket"))
@@ -205,9 +227,15 @@ def similar_components(prints: DataFrame, sets_of) -> DataFrame:
     now = saved(all_members.join(shared, ["band", "bucket"]).withColumn("turn", odds * F.col("size")), "members")
     largest = now.agg(F.max("size")).first()[0]
     facts = prints.select("fp", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(BANDS * BAND_HASHES * KEPT_BITS // 64)])
-    facts = saved(facts.join(now.select("fp").distinct(), "fp", "left_semi"), "facts")
-    candidates = saved(sets_of(facts.select("fp")), "sets")
     sketch = [c for c in facts.columns if c not in ("fp", "n")]
+    facts = facts.join(now.select("fp").distinct(), "fp", "left_semi")
+    candidates = saved(sets_of(facts.select("fp")), "sets")
+    # A pair shares at most what either has besides shingles that are in no other set, or whose bit the other lacks.
+    facts = saved(facts.join(set_bounds(candidates), "fp").where(den * (F.col("n") - F.col("alone")) >= num * F.col("n")), "facts")
+    bits = [f"m{i}" for i in range(MAP_LONGS)]
+    lacking = lambda a, b: sum((F.bit_count(F.col(f"{a}_{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{c}")))) for c in bits), F.col(f"{a}_alone"))
+    at_most = F.least(F.col("u_n") - lacking("u", "v"), F.col("v_n") - lacking("v", "u"))
+    may_share = (num + den) * at_most >= num * (F.col("u_n") + F.col("v_n"))
     roots = saved(facts.select(F.col("fp").alias("node"), F.col("fp").alias("root")), "roots")
     probes, before = PROBES, 0
     while largest:
@@ -221,12 +249,12 @@ def similar_components(prints: DataFrame, sets_of) -> DataFrame:
             break
         known = now.join(facts, "fp")
         probe = known.where((F.col("turn") >= before) & (F.col("turn") < probes))
-        probe = probe.select("band", "bucket", *[F.col(c).alias(f"u_{c}") for c in ("fp", "n", "root", *sketch)])
-        rest = known.select("band", "bucket", *[F.col(c).alias(f"v_{c}") for c in ("fp", "n", "root", *sketch)])
+        probe = probe.select("band", "bucket", *[F.col(c).alias(f"u_{c}") for c in ("fp", "root", *facts.columns[1:])])
+        rest = known.select("band", "bucket", *[F.col(c).alias(f"v_{c}") for c in ("fp", "root", *facts.columns[1:])])
         differing = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in sketch), F.lit(0))
         near_size = den * F.least("u_n", "v_n") >= num * F.greatest("u_n", "v_n")
         meets = [F.col(f"probe.{c}") == F.col(f"rest.{c}") for c in ("band", "bucket")]
-        pairs = probe.alias("probe").join(rest.alias("rest"), [*meets, F.col("u_root") != F.col("v_root"), near_size, differing <= MOST_DIFFERING])
+        pairs = probe.alias("probe").join(rest.alias("rest"), [*meets, F.col("u_root") != F.col("v_root"), near_size, differing <= MOST_DIFFERING, may_share])
         least = F.col("u_fp") < F.col("v_fp")
         sides = [F.when(least, F.col(f"u_{c}")).otherwise(F.col(f"v_{c}")).alias(f"u_{c}") for c in ("fp", "n", "root")]
         sides += [F.when(least, F.col(f"v_{c}")).otherwise(F.col(f"u_{c}")).alias(f"v_{c}") for c in ("fp", "n", "root")]
