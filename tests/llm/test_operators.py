@@ -516,3 +516,29 @@ def test_pipeline_stages(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out[0].asDict())
+
+
+def test_near_dedup_of_one_large_group(spark):
+    """Copies with few to many edits, some under the similarity: bounds rule out no link."""
+    from stepframe.llm import simhash
+
+    r = random.Random(31)
+    base = [f"w{r.randint(0, 400)}" for _ in range(150)]
+    texts = []
+    for _ in range(160):
+        share = r.choice([0.005, 0.02, 0.03, 0.05])
+        texts.append(" ".join(f"w{r.randint(0, 400)}" if r.random() < share else w for w in base))
+    sets = [set(simhash.shingles(t).tolist()) for t in texts]
+    up = list(range(len(sets)))
+    find = lambda i: i if up[i] == i else find(up[i])
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    want = {find(i) for i in range(len(sets))}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in simhash.keep_one(rows).collect()} == want and 5 < len(want) < 150
+
+    alone = {x.fp: x.alone for x in simhash.set_bounds(spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 9, 11]), (3, [3])], "fp long, own array<long>")).collect()}
+    assert alone == {1: 1, 2: 2, 3: 0}
