@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op12_byte_bpe
 from .mixing import op8_mixing
 from .packing import op2_packing
 from .quality import op9_quality
@@ -13,5 +14,5 @@ from .token_counts import op7_token_counts
 from .token_files import op1_token_files
 from .winnowing import op4_fingerprints
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_secret_scans, op4_fingerprints, op5_simhash, op6_lm_scoring, op7_token_counts, op8_mixing, op9_quality, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_secret_scans, op4_fingerprints, op5_simhash, op6_lm_scoring, op7_token_counts, op8_mixing, op9_quality, op10_substrings, op12_byte_bpe)}
 ORACLE_SQL = {"op10_substrings": OP10_SQL}
