@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, tokenizer_path
-from .encoding import slices
+from .encoding import _Index, slices
 
 #: Distinct stretches of text that a worker remembers; beyond it only the first seen, mostly frequent, stay.
 REMEMBERED, KEPT = 600_000, 200_000
 #: Ids that are spelled out at once.
 BLOCK = 1 << 18
 NEVER = np.int64(1) << 40
+NO_RANK = 1 << 40
+#: Bytes of a word that is merged by looking through all its pairs each time.
+SHORT = 48
 #: White space as the file's pattern means it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space that doesn't stand alone before a word: two or more, or any at the end.
@@ -146,6 +150,22 @@ class ByteBpe:
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word by merging: least rank first, leftmost of equals."""
         ids = [self.byte_ids[b] for b in word]
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        size, rank_of, made = self.size, self.ranks.get, self.made
+        ranks = [rank_of(x * size + y, NO_RANK) for x, y in pairwise(ids)]
+        while ranks and (r := min(ranks)) < NO_RANK:
+            i = ranks.index(r)
+            ids[i] = x = made[r]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank_of(x * size + ids[i + 1], NO_RANK)
+            if i:
+                ranks[i - 1] = rank_of(ids[i - 1] * size + x, NO_RANK)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """As ``merge``, with the pairs in a heap: time doesn't grow with the square of a word's length."""
         n, size, ranks, made = len(ids), self.size, self.ranks, self.made
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get(ids[i] * size + ids[i + 1])) is not None]
@@ -238,11 +258,13 @@ class ByteBpe:
     # -- texts
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _shrink(self) -> None:
-        self.index = {k: i for k, i in self.index.items() if i < KEPT}
+        keep = _Index()
+        keep.update((k, i) for k, i in self.index.items() if i < KEPT)
+        self.index = keep
         self.starts, self.lengths = self.starts[:KEPT], self.lengths[:KEPT]
         self.pool = self.pool[: int((self.starts + self.lengths).max(initial=0))].copy()
 
@@ -305,12 +327,11 @@ class ByteBpe:
         self.pool = np.concatenate([self.pool, ids])
 
     def _numbers(self, stretches: list[str]) -> np.ndarray:
-        index = self.index
-        fresh = [s for s in dict.fromkeys(stretches) if s not in index]
-        if fresh:
-            index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
+        out = np.fromiter(map(self.index.__getitem__, stretches), np.int64, len(stretches))
+        if self.index.fresh:
+            fresh, self.index.fresh = self.index.fresh, []
             self._learn(fresh)
-        return np.fromiter(map(index.__getitem__, stretches), np.int64, len(stretches))
+        return out
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > REMEMBERED:
