@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import join_same, placed
+
 
 def ols(df: DataFrame, target: str, regressors: list[str]) -> DataFrame:
     """One row: intercept, a coefficient for each regressor, _rmse_ = sqrt(SSE / (n - k - 1)).
@@ -30,49 +34,105 @@ def ols(df: DataFrame, target: str, regressors: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(float(intercept), *map(float, slope), float((sse / (r.n - k - 1)) ** 0.5))], schema)
 
 
-def brown(df: DataFrame, time: str, value: str, by: list[str] | None = None, weight: float = 0.2, nstart: int = 12, lead: int = 12) -> DataFrame:
-    """Brown's double-exponential smoothing of each series: one row of ``by``, actual, fitted and future arrays, states.
+@dataclass(frozen=True)
+class Forecast:
+    """``rows``: by, t, y and the one-step forecast ``fitted``; ``states``: by, the last t, s1, s2, constant, linear; months ahead."""
+
+    rows: DataFrame
+    states: DataFrame
+    lead: int
+
+
+#: Steps of a series that are gone through in one expression.
+FAN = 256
+
 
-    Start values come from a regression on the first ``nstart`` points. The recurrence runs over each series' sorted
-    values inside one expression; series run in parallel.
+def _scan(items: DataFrame, by: list[str], start: DataFrame, longest: int, weight: float) -> DataFrame:
+    """Adds s1 and s2, the state before each item, to items (by, i, n, v1, v2, data): i from 0 without gaps in each series.
+
+    An item stands for n steps: from state s it makes A^n s + v, where A is the matrix of one step. Items of a stretch of FAN
+    combine to one such item, since the composition of affine maps is one; stretches are scanned in the same way until one stretch is left, then
+    each is gone through from the state that it starts with. So a series of any length is spread over tasks, in time linear in its rows.
     """
-    by = by or []
     w, b = weight, 1 - weight
-    series = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("y")))).alias("s"))
-    first = F.slice("s", 1, nstart)
-    n = F.size(first).cast("double")
-    st, sy = n * (n + 1) / 2, F.aggregate(first, F.lit(0.0), lambda a, x: a + x["y"])
-    numbered = F.transform(first, lambda x, i: (i + 1) * x["y"])
-    sty = F.aggregate(numbered, F.lit(0.0), lambda a, x: a + x)
-    slope = (n * sty - st * sy) / (n * (n * (n + 1) * (2 * n + 1) / 6) - st * st)
-    series = series.withColumn("slope", slope).withColumn("level0", sy / n - F.col("slope") * (st / n))
-    start = F.struct((F.col("level0") - b / w * F.col("slope")).alias("s1"), (F.col("level0") - 2 * b / w * F.col("slope")).alias("s2"), F.array().cast("array<double>").alias("fitted"))
-
-    def step(a, x):
-        s1 = w * x["y"] + b * a["s1"]
-        return F.struct(s1.alias("s1"), (w * s1 + b * a["s2"]).alias("s2"), F.array_append(a["fitted"], 2 * a["s1"] - a["s2"] + w / b * (a["s1"] - a["s2"])).alias("fitted"))
-
-    out = series.withColumn("e", F.aggregate("s", start, step))
-    level, trend = 2 * F.col("e.s1") - F.col("e.s2"), w / b * (F.col("e.s1") - F.col("e.s2"))
-    out = out.select(*by, "s", F.col("e.fitted").alias("fitted"), F.col("e.s1").alias("s1"), F.col("e.s2").alias("s2"), level.alias("constant"), trend.alias("linear"))
-    return out.withColumn("future", F.transform(F.sequence(F.lit(1), F.lit(lead)), lambda k: F.col("constant") + F.col("linear") * k))
-
-
-def forecast_rows(fitted: DataFrame, by: list[str] | None = None) -> DataFrame:
+
+    def step(s1, s2, x):
+        p = F.pow(F.lit(b), x["n"])
+        return p * s1 + x["v1"], p * s2 + x["n"] * w * p * s1 + x["v2"]
+
+    item = F.struct("i", "n", "v1", "v2", "data")
+    if longest <= FAN:
+        stretches = join_same(items.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("x")), start, by) if by else items.agg(F.sort_array(F.collect_list(item)).alias("x")).crossJoin(F.broadcast(start))
+    else:
+        stretches = items.groupBy(*by, F.floor(F.col("i") / FAN).alias("k")).agg(F.sort_array(F.collect_list(item)).alias("x"))
+
+        def add(a, x):
+            v1, v2 = step(a["v1"], a["v2"], x)
+            return F.struct((a["n"] + x["n"]).alias("n"), v1.alias("v1"), v2.alias("v2"))
+
+        whole = F.aggregate("x", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("v1"), F.lit(0.0).alias("v2")), add)
+        above = stretches.select(*by, F.col("k").alias("i"), whole.alias("m")).select(*by, "i", "m.n", "m.v1", "m.v2", F.lit(None).cast("int").alias("data"))
+        states = _scan(above, by, start, -(-longest // FAN), weight).select(*by, F.col("i").alias("k"), "s1", "s2")
+        stretches = join_same(stretches, states, [*by, "k"])
+
+    def go(a, x):
+        s1, s2 = step(a["s1"], a["s2"], x)
+        seen = F.array_append(a["seen"], F.struct(x["i"].alias("i"), x["n"].alias("n"), x["v1"].alias("v1"), x["v2"].alias("v2"), x["data"].alias("data"), a["s1"].alias("s1"), a["s2"].alias("s2")))
+        return F.struct(s1.alias("s1"), s2.alias("s2"), seen.alias("seen"))
+
+    kind = items.schema["data"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<i:bigint,n:bigint,v1:double,v2:double,data:{kind},s1:double,s2:double>>")
+    return stretches.select(*by, F.explode(F.aggregate("x", F.struct("s1", "s2", none.alias("seen")), go)["seen"]).alias("x")).select(*by, "x.*")
+
+
+def brown(df: DataFrame, time: str, value: str, by: list[str] | None = None, weight: float = 0.2, nstart: int = 12, lead: int = 12) -> Forecast:
+    """Brown's double-exponential smoothing of each series in order of time.
+
+    Start values come from a regression on the first ``nstart`` points (a single point has slope 0). Points of equal time follow
+    their value; a missing value is left out, as is its time. One series may have any number of points, see ``_scan``.
+    """
+    if not 0 < weight < 1:
+        raise ValueError("weight must lie between 0 and 1")
+    # Names of the keys can't clash with those of the work.
+    named, by = by or [], [f"_by{n}" for n, _ in enumerate(by or [])]
+    w, b = weight, 1 - weight
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(named, by, strict=True)], F.col(time).alias("t"), F.col(value).cast("double").alias("y")).where("y is not null")
+    rows = placed(rows, by, ["t", "y"], "i")
+    i = F.col("i") + 1
+    first = rows.where(F.col("i") < nstart).groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("sy"), F.sum(i * F.col("y")).alias("sty"), F.sum(i).cast("double").alias("st"), F.sum(i * i).cast("double").alias("stt"))
+    slope = F.coalesce(F.try_divide(F.col("n") * F.col("sty") - F.col("st") * F.col("sy"), F.col("n") * F.col("stt") - F.col("st") * F.col("st")), F.lit(0.0))
+    level = F.col("sy") / F.col("n") - F.col("slope") * (F.col("st") / F.col("n"))
+    start = first.withColumn("slope", slope).withColumn("level", level).where("n > 0").select(*by, (F.col("level") - b / w * F.col("slope")).alias("s1"), (F.col("level") - 2 * b / w * F.col("slope")).alias("s2"))
+    items = rows.select(*by, "i", F.lit(1).cast("long").alias("n"), (w * F.col("y")).alias("v1"), (w * w * F.col("y")).alias("v2"), F.struct("t", "y").alias("data"))
+    longest = rows.agg(F.max("i")).first()[0]
+    seen = _scan(items, by, start, (longest or 0) + 1, weight)
+    trend = w / b * (F.col("s1") - F.col("s2"))
+    after1 = w * F.col("data.y") + b * F.col("s1")
+    back = [F.col(k).alias(c) for c, k in zip(named, by, strict=True)]
+    fitted = seen.select(*back, F.col("data.t").alias("t"), F.col("data.y").alias("y"), (2 * F.col("s1") - F.col("s2") + trend).alias("fitted"))
+    last = seen.groupBy(*by).agg(F.max(F.struct("i", F.col("data.t").alias("last"), after1.alias("s1"), (w * after1 + b * F.col("s2")).alias("s2"))).alias("e")).where("e is not null")
+    states = last.select(*back, "e.last", "e.s1", "e.s2").withColumns({"constant": 2 * F.col("s1") - F.col("s2"), "linear": trend})
+    return Forecast(fitted, states, lead)
+
+
+def forecast_rows(fitted: Forecast, by: list[str] | None = None) -> DataFrame:
     """(month, _type_, _lead_, y): ACTUAL and one-step FORECAST rows of the history, and the months after its last."""
     by = by or []
-    past = fitted.select(*by, "fitted", F.posexplode("s").alias("i", "p"))
-    actual = past.select(*by, F.col("p.t").alias("month"), F.lit("ACTUAL").alias("_type_"), F.lit(0).alias("_lead_"), F.col("p.y").alias("y"))
-    one = past.select(*by, F.col("p.t").alias("month"), F.lit("FORECAST").alias("_type_"), F.lit(1).alias("_lead_"), F.get("fitted", F.col("i")).alias("y"))
-    ahead = fitted.select(*by, F.element_at("s", -1)["t"].alias("last"), F.posexplode("future").alias("i", "y"))
-    ahead = ahead.select(*by, F.add_months(F.col("last"), F.col("i") + 1).alias("month"), F.lit("FORECAST").alias("_type_"), (F.col("i") + 1).alias("_lead_"), "y")
-    return actual.unionByName(one).unionByName(ahead)
+
+    def row(month, kind, ahead, y):
+        return F.struct(month.alias("month"), F.lit(kind).alias("_type_"), ahead.cast("int").alias("_lead_"), y.alias("y"))
+
+    both = F.array(row(F.col("t"), "ACTUAL", F.lit(0), F.col("y")), row(F.col("t"), "FORECAST", F.lit(1), F.col("fitted")))
+    past = fitted.rows.select(*by, F.explode(both).alias("x")).select(*by, "x.*")
+    ahead = fitted.states.select(*by, "last", "constant", "linear", F.explode(F.sequence(F.lit(1), F.lit(fitted.lead))).alias("k"))
+    ahead = ahead.select(*by, F.add_months(F.col("last"), F.col("k")).alias("month"), F.lit("FORECAST").alias("_type_"), F.col("k").cast("int").alias("_lead_"), (F.col("constant") + F.col("linear") * F.col("k")).alias("y"))
+    return past.unionByName(ahead)
 
 
-def forecast_states(fitted: DataFrame, by: list[str] | None = None) -> DataFrame:
+def forecast_states(fitted: Forecast, by: list[str] | None = None) -> DataFrame:
     """(_type_, value): S1, S2, CONSTANT, LINEAR."""
     by = by or []
-    return fitted.select(*by, F.expr("stack(4, 'S1', s1, 'S2', s2, 'CONSTANT', constant, 'LINEAR', linear) as (_type_, value)"))
+    return fitted.states.select(*by, F.expr("stack(4, 'S1', s1, 'S2', s2, 'CONSTANT', constant, 'LINEAR', linear) as (_type_, value)"))
 
 
 def kappa(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,14 +13,20 @@ from ..functions.expr import compare, keyword_hits, tokens
 
 @dataclass(frozen=True)
 class Test:
-    """A typed predicate on a column: fact, comparison (or "matches"), value."""
+    """A typed predicate on a column: fact, comparison (or "matches", "holds" for a fact alone, "has one of" for an array), value."""
 
     fact: str
     op: str
     value: object
 
     def column(self) -> Column:
-        return F.coalesce(F.col(self.fact).rlike(self.value), F.lit(False)) if self.op == "matches" else compare(F.col(self.fact), self.op, F.lit(self.value))
+        if self.op == "matches":
+            return F.coalesce(F.col(self.fact).rlike(self.value), F.lit(False))
+        if self.op == "holds":
+            return F.coalesce(F.col(self.fact).cast("double") != 0, F.lit(False))
+        if self.op == "has one of":
+            return F.coalesce(F.arrays_overlap(F.col(self.fact), F.array(*map(F.lit, self.value))), F.lit(False))
+        return compare(F.col(self.fact), self.op, F.lit(self.value))
 
 
 @dataclass(frozen=True)
@@ -44,6 +51,94 @@ class AllOf:
         return out
 
 
+@dataclass(frozen=True)
+class Not:
+    test: object
+
+    def column(self) -> Column:
+        return ~self.test.column()
+
+
+@dataclass(frozen=True)
+class Always:
+    holds: bool = True
+
+    def column(self) -> Column:
+        return F.lit(self.holds)
+
+
+def parse_rule(text: str, groups: dict[str, list[str]] | None = None, uses: str = "procs", name: str = "program"):
+    """A condition of a rule file as typed tests, without evaluating it as code.
+
+    ``fact >= 1``, a fact alone (it is there and not 0), ``and``, ``or``, ``not``, brackets, True and False, ``uses('group')`` (the array
+    ``uses`` has one of the group's words) and ``name_matches(r'pattern')`` (on column ``name``, in any case). Anything
+    else is refused with its place.
+    """
+    found = [(m.lastgroup, m[0], m.start()) for m in _RULE.finditer(text) if m.lastgroup != "space"] + [("end", "", len(text))]
+    at = 0
+
+    def peek():
+        return found[at][1]
+
+    def take(*kinds: str) -> str:
+        nonlocal at
+        kind, value, place = found[at]
+        if kind not in kinds and value not in kinds:
+            raise ValueError(f"rule {text!r}: {value or 'end'!r} at {place}")
+        at += 1
+        return value
+
+    def either():
+        tests = [both()]
+        while peek() == "or":
+            take("or")
+            tests.append(both())
+        return tests[0] if len(tests) == 1 else AnyOf(tuple(tests))
+
+    def both():
+        tests = [single()]
+        while peek() == "and":
+            take("and")
+            tests.append(single())
+        return tests[0] if len(tests) == 1 else AllOf(tuple(tests))
+
+    def single():
+        if peek() == "not":
+            take("not")
+            return Not(single())
+        if peek() == "(":
+            take("(")
+            test = either()
+            take(")")
+            return test
+        word = take("name")
+        if word in ("True", "False"):
+            return Always(word == "True")
+        if word in ("uses", "name_matches") and peek() == "(":
+            take("(")
+            value = take("text").removeprefix("r")[1:-1]
+            take(")")
+            if word == "name_matches":
+                return Test(name, "matches", f"(?i){value}")
+            if value not in (groups or {}):
+                raise ValueError(f"rule {text!r}: no group {value!r}")
+            return Test(uses, "has one of", tuple(groups[value]))
+        if found[at][0] != "op":
+            return Test(word, "holds", None)
+        op = take("op")
+        value = take("number", "text")
+        kind = float(value) if "." in value else int(value) if value[0] in "-0123456789" else value.removeprefix("r")[1:-1]
+        return Test(word, _COMPARISONS[op], kind)
+
+    out = either()
+    take("end")
+    return out
+
+
+_COMPARISONS = {"==": "eq", "!=": "ne", "<=": "le", ">=": "ge", "<": "lt", ">": "gt"}
+_RULE = re.compile(r"(?P<space>\s+)|(?P<number>-?\d+(?:\.\d+)?)|(?P<text>r?'[^']*'|r?\"[^\"]*\")|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|<|>)|(?P<other>.)")
+
+
 def first_rule(rules: list[tuple[object, str]], otherwise: str) -> Column:
     """The label of the first rule that holds; one CASE expression, no evaluation of text."""
     out = F.lit(otherwise)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import join_same, placed
+
 
 def with_input_order(df: DataFrame, name: str = "_row") -> DataFrame:
     """The physical place of a scanned row, (file path, row in file), independent of partitioning."""
@@ -22,9 +24,12 @@ def first_of_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def last_of_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() if isinstance(c, str) else c for c in order])
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def first_rows(df: DataFrame, n: int, keys: list[str], order: list, place: str = "_n") -> DataFrame:
+    """The first n rows of each key (of the table, without keys), with their place from 1."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    if not keys:
+        return df.orderBy(*order).limit(n).withColumn(place, F.row_number().over(w))
+    return df.withColumn(place, F.row_number().over(w)).where(F.col(place) <= n)
 
 
 def by_group(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str] | None = None, maxima: dict[str, tuple[str, float]] | None = None, carried: dict[str, str] | None = None) -> DataFrame:
@@ -77,13 +82,34 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return d.select(F.when(F.col("d") > 0, "left").otherwise("right").alias("side"), *cols, F.abs("d").alias("n"))
 
 
-def merge(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Full outer match-merge of one-to-one or one-to-many keys; the right table's value wins where both have a column."""
-    shared = [c for c in right.columns if c in left.columns and c not in keys]
-    b = right.withColumnsRenamed({c: f"_r_{c}" for c in shared}).withColumn("_in_right", F.lit(True))
-    out = left.join(b, keys, "full_outer")
-    out = out.withColumns({c: F.when(F.col("_in_right"), F.col(f"_r_{c}")).otherwise(F.col(c)) for c in shared})
-    return out.drop("_in_right", *[f"_r_{c}" for c in shared])
+def merge(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str] | None = None, right_order: list[str] | None = None, in_left: str | None = None, in_right: str | None = None) -> DataFrame:
+    """Match-merge: the rows of a key are put side by side by their place in each table's order.
+
+    Where one table has fewer rows of a key, its last row is carried on; where it has none, its columns are missing. A column of both
+    is what the last table that still has a row of its own at that place says, the right one first. A missing key is a
+    key. Without an order, rows of a key follow their other columns. ``in_left``, ``in_right``: columns of 1 or 0, whether
+    that table has the key at all. Places are counted in a distributed order, so a key may have any number of rows.
+    """
+    sides = {}
+    for name, df, order in (("l", left, left_order), ("r", right, right_order)):
+        others = [c for c in df.columns if c not in keys]
+        rows = placed(df, keys, order or others, "__at")
+        one = rows.select(*[f"`{k}`" for k in keys], "__at", F.struct(F.lit(1).alias("__in"), *[F.col(f"`{c}`") for c in others]).alias(f"__{name}"))
+        last = one.groupBy(*keys).agg(F.max_by(f"__{name}", "__at").alias(f"__last_{name}"))
+        sides[name] = (others, one, last)
+    out = join_same(sides["l"][1], sides["r"][1], [*keys, "__at"], "full_outer")
+    out = join_same(join_same(out, sides["l"][2], keys, "left"), sides["r"][2], keys, "left")
+
+    def value(c: str):
+        own = [n for n in ("r", "l") if c in sides[n][0]]
+        picked = F.when(F.col(f"__{own[0]}").isNotNull(), F.col(f"__{own[0]}").getField(c))
+        for n in own[1:]:
+            picked = picked.when(F.col(f"__{n}").isNotNull(), F.col(f"__{n}").getField(c))
+        return picked.otherwise(F.col(f"__last_{own[0]}").getField(c)).alias(c)
+
+    columns = [*sides["l"][0], *[c for c in sides["r"][0] if c not in sides["l"][0]]]
+    flags = [F.col(f"__last_{n}").isNotNull().cast("int").alias(c) for n, c in (("l", in_left), ("r", in_right)) if c]
+    return out.select(*[f"`{k}`" for k in keys], *map(value, columns), *flags)
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:

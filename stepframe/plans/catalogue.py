@@ -7,28 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions.stats import brown, forecast_rows, forecast_states, kappa, ols
-from ..operators import classify, lineage, marts, procs, profile, steps
+from ..operators import classify, marts, procs, profile, steps
 from ..sources.library import Libraries, parameter
+from .registry import ORACLE_SQL, query
+from .registry import table as _t
 from .translator import Session
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 #: Balances with missing values made from ids, since the tables have none.
 _BAL = "CASE WHEN c_custkey % 33 = 0 THEN NULL ELSE c_acctbal END"
 
@@ -243,12 +227,6 @@ def multiset_diff(spark, d):
     return steps.multiset_difference(a, a.where("s_suppkey % 7 <> 0").withColumn("s_acctbal", F.expr(_MUTATED)))
 
 
-@query()
-def reconcile_checks(spark, d):
-    a = _t(spark, d, "customer")
-    return profile.with_expectation(profile.reconcile("customer", a, a.where("c_custkey % 500 <> 0").withColumn("c_name", F.when(F.col("c_custkey") == 7, "x").otherwise(F.col("c_name")))), False)
-
-
 @query("""SELECT doc_id, left(text, k) || CASE WHEN strlen(left(text, k)) < least(12, strlen(text)) THEN '�' ELSE '' END AS cut, CAST(strlen(text) > 12 AS INT) AS was_cut, CAST(strlen(left(text, k)) < least(12, strlen(text)) OR contains(left(text, k), '�') AS INT) AS broken
 FROM (SELECT doc_id, text, list_max(list_filter(range(0, 13), lambda i: strlen(left(text, i)) <= 12)) AS k FROM documents)""")
 def byte_truncate_evidence(spark, d):
@@ -286,38 +264,11 @@ def pivot_grid(spark, d):
     return marts.grid(counted, "o_orderpriority", "o_orderstatus", "n", ["F", "O", "P"])
 
 
-_EDGES = [("raw.csv", "stg.pay", "LOADS"), ("stg.pay", "p04", "READS"), ("ctrl.par", "p04", "READS"), ("p04", "out.delq", "WRITES"), ("out.delq", "p08", "READS"), ("p06", "p08", "INCLUDES"), ("p08", "out.sum", "WRITES"), ("out.sum", "p08", "READS"), ("stg.pay", "p10", "READS"), ("p10", "out.fc", "WRITES"), ("lib", "p04", "USES_LIBRARY")]
-
-
-def _edges(spark):
-    return spark.createDataFrame([(*e, "HIGH", "text") for e in _EDGES], lineage.EDGE)
-
-
-_EDGE_SQL = "e(s, t, r) AS (VALUES " + ", ".join(str(e) for e in _EDGES if e[2] != "USES_LIBRARY" and e != ("out.sum", "p08", "READS")) + ")"
-
-
-@query(f"WITH RECURSIVE {_EDGE_SQL}, u AS (SELECT t AS target_id, s AS upstream_id, 1 AS depth FROM e WHERE t LIKE 'out.%' UNION SELECT target_id, e.s, depth + 1 FROM u JOIN e ON e.t = u.upstream_id WHERE depth < 10) SELECT target_id, upstream_id, CAST(min(depth) AS INT) AS depth FROM u WHERE upstream_id <> target_id GROUP BY ALL")
-def lineage_closure(spark, d):
-    edges = lineage.data_edges(_edges(spark))
-    targets = edges.where("target_id like 'out.%'").select("target_id").distinct()
-    return lineage.upstream(edges, targets).select("target_id", "upstream_id", "depth")
-
-
-@query(f"WITH {_EDGE_SQL} SELECT w.s AS writer, r.t AS reader, count(DISTINCT w.t) AS tables FROM e w JOIN e r ON w.t = r.s WHERE w.r = 'WRITES' AND r.r = 'READS' AND w.s <> r.t GROUP BY ALL")
-def program_order(spark, d):
-    return lineage.program_order(lineage.data_edges(_edges(spark)))
-
-
 @query("SELECT l_returnflag, count(*) FILTER (l_discount > 0.05) AS part, (SELECT count(*) FROM lineitem) AS whole, round(count(*) FILTER (l_discount > 0.05) / (SELECT count(*) FROM lineitem), 9) AS rate FROM lineitem GROUP BY 1")
 def measures_rates(spark, d):
     return marts.filtered_rate(_t(spark, d, "lineitem"), ["l_returnflag"], F.col("l_discount") > 0.05, whole_over_all=True).withColumn("rate", F.round("rate", 9))
 
 
-@query("SELECT CAST(d AS DATE) AS date, CAST(year(d) AS INT) AS year, CAST(month(d) AS INT) AS month, CAST(date_trunc('month', d) AS DATE) AS month_start, strftime(d, '%Y-%m') AS label FROM generate_series(TIMESTAMP '2022-01-01', TIMESTAMP '2026-12-31', INTERVAL 1 DAY) g(d)")
-def calendar_dim(spark, d):
-    return marts.calendar(spark, "2022-01-01", "2026-12-31")
-
-
 @query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'Large' WHEN p_retailprice > 1500 OR p_size = 7 THEN 'Special' ELSE 'Plain' END AS label FROM part")
 def rule_first_match(spark, d):
     rules = [(classify.Test("p_size", "gt", 40), "Large"), (classify.AnyOf((classify.Test("p_retailprice", "gt", 1500.0), classify.Test("p_size", "eq", 7))), "Special")]
@@ -500,26 +451,6 @@ def translated_program_forecast(spark, d):
     return out.withColumnRenamed("total", "y").withColumn("y", F.round("y", 3))
 
 
-_PROGRAMS = {
-    "p01": "data stg.raw; infile 'in/raw.csv' dsd; input k v; run;",
-    "p02": "%macro pick(ds=, out=); %if &ds ne %then %do; data &out; set &ds; by k; retain top; if first.k then n = 0; n + 1; run; %end; %mend; %pick(ds=stg.raw, out=out.one);",
-    "p03": "%include 'lib/p02.sas'; %macro all; %do i = 1 %to 3; %pick(ds=stg.raw, out=out.part_&i); %end; %mend; %all; proc sql; select max(v) into :m from out.one; create table out.sum as select a.k, sum(b.v) as v from out.one a left join stg.raw b on a.k = b.k group by a.k; quit; proc means data=out.sum nway; class k; var v; output out=out.stats mean=m; run;",
-}
-
-
-@query("SELECT * FROM (VALUES ('p01', 1, 0, 1, 1, 0, 0, 0, 0, 'Load'), ('p02', 1, 1, 1, 0, 0, 1, 0, 1, 'Macro'), ('p03', 1, 3, 2, 0, 1, 2, 1, 2, 'Join')) t(program, lines, reads, writes, files, joins, macro_calls, values_read, macro_depth, kind)")
-def program_facts(spark, d):
-    """Facts of programs as rows, measured by program, and the label of the first rule that holds."""
-    m = lineage.measures(lineage.facts(spark, _PROGRAMS))
-    rules = [(classify.Test("joins", "gt", 0), "Join"), (classify.Test("macros", "gt", 0), "Macro"), (classify.Test("files", "gt", 0), "Load")]
-    return m.select("program", "lines", "reads", "writes", "files", "joins", F.col("calls").alias("macro_calls"), "values_read", "macro_depth", classify.first_rule(rules, "Other").alias("kind"))
-
-
-@query("SELECT source_id, target_id, relationship, confidence FROM (VALUES ('raw.csv', 'p01', 'READS', 'HIGH'), ('raw.csv', 'stg.raw', 'LOADS', 'HIGH'), ('p01', 'stg.raw', 'WRITES', 'HIGH'), ('p02', 'pick', 'DEFINES', 'HIGH'), ('p03', 'all', 'DEFINES', 'HIGH'), ('pick', 'p02', 'CALLS', 'HIGH'), ('pick', 'all', 'CALLS', 'HIGH'), ('all', 'p03', 'CALLS', 'HIGH'), ('p02', 'p03', 'INCLUDES', 'HIGH'), ('stg.raw', 'p02', 'READS', 'MEDIUM'), ('p02', 'out.one', 'WRITES', 'MEDIUM'), ('stg.raw', 'p03', 'READS', 'HIGH'), ('p03', 'out.part_&i', 'WRITES', 'LOW'), ('out.one', 'p03', 'READS', 'HIGH'), ('p03', 'out.sum', 'WRITES', 'HIGH'), ('out.sum', 'p03', 'READS', 'HIGH'), ('p03', 'out.stats', 'WRITES', 'HIGH')) t(source_id, target_id, relationship, confidence)")
-def program_edges(spark, d):
-    return lineage.edges(lineage.facts(spark, _PROGRAMS)).select("source_id", "target_id", "relationship", "confidence")
-
-
 @query("SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM (SELECT o_orderkey, o_custkey FROM orders) LEFT JOIN (SELECT c_custkey AS o_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 = 0) USING (o_custkey)")
 def keyed_lookup(spark, d):
     table = _t(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
@@ -543,12 +474,6 @@ def instalments(spark, d):
     return rows.select("o_orderkey", E.month_start(F.col("o_orderdate"), 3).alias("due"), F.round(E.annuity(F.col("p"), F.lit(0.01), F.lit(24)), 2).alias("payment"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'VALIDATED'), ('b', 'FAILED'), ('m1', 'VALIDATED'), ('m2', 'MANUAL_REVIEW'), ('m3', 'MANUAL_REVIEW')) t(program_id, status)")
-def library_rollup(spark, d):
-    status = spark.createDataFrame([("a", "VALIDATED"), ("b", "FAILED"), ("m1", None), ("m2", None), ("m3", None)], "program_id string, status string")
-    return profile.library_status(status, spark.createDataFrame([("a", "m1"), ("a", "m2"), ("b", "m2")], "program_id string, included string"))
-
-
 @query("SELECT p_partkey, array_to_string(list_filter(['steel', 'plated'], lambda r: (r = 'steel' AND regexp_matches(p_type, '(?i)steel')) OR (r = 'plated' AND regexp_matches(p_type, '(?i)\\bplated\\b'))), ',') AS rules FROM part")
 def rule_triggers(spark, d):
     return classify.triggered(_t(spark, d, "part").select("p_partkey", "p_type"), "p_type", {"steel": "steel", "plated": r"\\bplated\\b"}).select("p_partkey", F.array_join("rules", ",").alias("rules"))

@@ -66,18 +66,6 @@ def read_delimited(spark: SparkSession, path: str, schema: str, delimiter: str =
     return df.withColumns({c: clean_text(x) for c, x in texts.items()}) if texts else df
 
 
-def decode(c: Column, encoding: str, byte_safe: bool = False) -> Column:
-    """Bytes to text; ``byte_safe`` takes UTF-8 with U+FFFD for what isn't valid."""
-    return F.make_valid_utf8(c.cast("string")) if byte_safe else F.decode(c, encoding)
-
-
-def with_metadata(df: DataFrame, labels: dict[str, dict]) -> DataFrame:
-    """Labels, formats and widths as column metadata, which Parquet keeps."""
-    for name, data in labels.items():
-        df = df.withMetadata(name, data)
-    return df
-
-
 def write_delimited(df: DataFrame, path: str) -> None:
     """UTF-8 with a header; line breaks in texts become a space."""
     texts = {c: F.regexp_replace(c, "[\\r\\n]+", " ") for c, t in df.dtypes if t == "string"}
@@ -98,9 +86,12 @@ def parameter(control: DataFrame, name: str, kind: str = "double") -> Column:
     return value.select(F.when(F.col("v").isNotNull() & F.col("v").try_cast(kind).isNull(), F.raise_error(F.lit(f"{name} is not a {kind}"))).otherwise(F.col("v").try_cast(kind)).alias("v")).scalar()
 
 
-def listed(df: DataFrame, column: str, order: str | None = None) -> list:
-    """An ordered list of a control table's values, for table names only known at run time."""
-    return [r[0] for r in df.select(column).orderBy(order or column).collect()]
+def listed(df: DataFrame, column: str, order: str | None = None, most: int = 10_000) -> list:
+    """An ordered list of a control table's values, for table names only known at run time; more than ``most`` are refused."""
+    rows = df.select(column).orderBy(order or column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} values of {column}")
+    return [r[0] for r in rows]
 
 
 def make_loans(spark: SparkSession, customers: int = 50, months: int = 24, seed: int = 42) -> dict[str, DataFrame]:

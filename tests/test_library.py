@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepframe.functions import expr as E
-from stepframe.functions.stats import brown, forecast_rows, kappa, ols
+from stepframe.functions import stats
+from stepframe.functions.stats import brown, forecast_rows, forecast_states, kappa, ols
 from stepframe.operators import classify, lineage, marts, procs, profile, steps
+from stepframe.operators.order import placed
 from stepframe.plans.translator import Session, Unsupported
 from stepframe.sources.library import Libraries, listed, make_loans, parameter, read_delimited, read_runs, write_delimited
 
@@ -69,9 +71,50 @@ def test_published_forecasts(spark):
     text = (Path(__file__).resolve().parents[1] / "FIXTURES.md").read_text()
     y = [float(v) for year in re.findall(r"(?m)^20\d\d: (.*)$", text) for v in year.split()]
     df = spark.createDataFrame(list(enumerate(y)), "i int, y double").select(F.expr("add_months(date'2022-01-01', i)").alias("m"), "y")
-    f = brown(df, "m", "y").first()
-    assert f.fitted[0] == pytest.approx(22595.778846153764, abs=1e-6) and f.future[-1] == pytest.approx(1080279.6855142922, abs=1e-6)
-    assert f.s1 == pytest.approx(869698.699653, abs=1e-4) and f.linear == pytest.approx(13161.311616, abs=1e-4)
+    f = brown(df, "m", "y")
+    rows = forecast_rows(f).where("_type_ = 'FORECAST'").orderBy("month").collect()
+    assert rows[0].y == pytest.approx(22595.778846153764, abs=1e-6) and rows[-1].y == pytest.approx(1080279.6855142922, abs=1e-6)
+    states = {r["_type_"]: r.value for r in forecast_states(f).collect()}
+    assert states["S1"] == pytest.approx(869698.699653, abs=1e-4) and states["LINEAR"] == pytest.approx(13161.311616, abs=1e-4)
+
+
+def plain_brown(y, w=0.2, nstart=12):
+    x = np.arange(1, min(len(y), nstart) + 1)
+    slope, level = np.polyfit(x, y[: len(x)], 1) if len(x) > 1 else (0.0, y[0])
+    s1, s2 = level - (1 - w) / w * slope, level - 2 * (1 - w) / w * slope
+    fitted = []
+    for v in y:
+        fitted.append(2 * s1 - s2 + w / (1 - w) * (s1 - s2))
+        s1 = w * v + (1 - w) * s1
+        s2 = w * s1 + (1 - w) * s2
+    return fitted, s1, s2
+
+
+def test_forecast_of_long_and_short_series(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FAN", 4)
+    r = np.random.default_rng(2)
+    series = {None: r.normal(size=150).cumsum(), "b": r.normal(size=17), "c": [5.0], "d": r.normal(size=4)}
+    rows = [(k, float(i), float(v)) for k, ys in series.items() for i, v in enumerate(ys)] + [("b", 99.0, None), ("e", 1.0, None)]
+    f = brown(spark.createDataFrame(rows, "t string, m double, y double").repartition(3), "m", "y", ["t"], weight=0.3)
+    fitted = {(x[0], x[1]): x[3] for x in f.rows.collect()}
+    states = {x[0]: x for x in f.states.collect()}
+    assert set(states) == set(series)
+    for k, ys in series.items():
+        want, s1, s2 = plain_brown(ys, 0.3)
+        assert [fitted[k, float(i)] for i in range(len(ys))] == pytest.approx(want, abs=1e-9)
+        assert (states[k].s1, states[k].s2) == pytest.approx((s1, s2), abs=1e-9)
+
+
+def test_places_in_groups(spark):
+    r = np.random.default_rng(3)
+    rows = [(None if k == 3 else int(k), None if v == 5 else int(v), "x") for k, v in zip(r.integers(0, 4, 500), r.integers(0, 50, 500))]
+    df = spark.createDataFrame(rows, "k int, v int, __n string").repartition(5)
+    got = placed(df, ["k"], ["v"]).collect()
+    for key in (None, 0, 1, 2):
+        own = sorted([(x["_at"], x.v) for x in got if x.k == key])
+        values = [v for _, v in own]
+        assert [at for at, _ in own] == list(range(len(own))) and values == sorted(values, key=lambda v: (v is not None, v))
+    assert sorted(x["_at"] for x in placed(df, [], ["v"]).collect()) == list(range(500)) and placed(df.limit(0), ["k"], ["v"]).collect() == []
 
 
 def test_kappa(spark):
@@ -97,15 +140,25 @@ def test_lineage(spark):
     assert {(r.source_id, r.target_id): r.confidence for r in edges.where("evidence like 'argument%'").collect()} == {("b", "out.y"): "MEDIUM"}
     m = {r.program: r for r in lineage.measures(facts).collect()}
     assert (m["b"].joins, m["b"].macro_depth, m["b"].macros, m["a"].macro_depth) == (1, 1, 1, 0)
-    assert lineage.macro_depths([("p", "q"), ("q", "p"), ("r", "p")], {"p", "q", "r"}) == {"p": 2, "q": 2, "r": 3}
+    nested = lineage.facts(spark, {"x": "%macro p; %q; %mend; %macro q; %p; %mend; %macro r; %p; %mend;", "y": "%q;", "z": "%none;"})
+    assert {r.program: r.macro_depth for r in lineage.nesting(nested).collect()} == {"x": 3, "y": 2, "z": 0}
     levels = {r.program: r.level for r in lineage.migration_levels(spark.createDataFrame([("a", "b", 1)], "writer string, reader string, tables int"), spark.createDataFrame([("a",), ("b",)], "program string")).collect()}
     assert levels == {"a": 0, "b": 1}
     cycle = lineage.migration_levels(spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("c", "d", 1), ("d", "e", 1), ("c", "e", 1)], "writer string, reader string, tables int"), spark.createDataFrame([(x,) for x in "abcde"], "program string"))
-    assert {r.program: r.level for r in cycle.collect()} == {"a": None, "b": None, "c": 0, "d": 1, "e": 2}
+    assert {r.program: r.level for r in cycle.collect()} == {"a": 0, "b": 0, "c": 0, "d": 1, "e": 2} and cycle.where("in_cycle").count() == 2
     assert lineage.static_checks("x = df.rdd") == ["uses an RDD"] and not lineage.static_checks("x = 1")
     assert lineage.static_checks("p = '/data/x'", ["out.t"]) == ["names an absolute path", "does not name out.t"] and not lineage.static_checks("save('out.t')", ["out.t"])
 
 
+def test_trees_and_diagrams(spark):
+    rows = [("raw", "a", "LOADS"), ("a", "p", "READS"), ("b", "p", "READS"), ("p", "out", "WRITES"), ("a", "b", "WRITES"), ("out", "a", "READS")]
+    edges = spark.createDataFrame([(*r, "HIGH", "text") for r in rows], lineage.EDGE)
+    lines = [r.line for r in lineage.tree(edges, spark.createDataFrame([("out",)], "target_id string")).orderBy("place").collect()]
+    assert lines == ["WRITES p", "  READS a", "    LOADS raw", "    READS out (see above)", "  READS b", "    WRITES a (see above)"]
+    chart = [r.line for r in lineage.mermaid(edges).orderBy("place").collect()]
+    assert chart[:3] == ["flowchart LR", '  n0["a"]', '  n1["b"]'] and "  n4 -->|LOADS| n0" in chart and len(chart) == 12
+
+
 def test_program_facts():
     code = """* set no.one; data _null_; set ctrl.par; call symputx('LIMIT', v); call execute('run;'); run;
     data out.x; array a[3] p q r; declare hash h(dataset: 'stg.k'); set stg.y(where=(k = 1)); by k; retain top; file 'log.txt'; run;
