@@ -112,8 +112,10 @@ def year_month(d: Column) -> Column:
     return F.date_format(d, "yyyyMM")
 
 
-def nth_word(c: Column, n: int, separators: str = " ") -> Column:
-    return F.get(F.filter(F.split(c, f"[{separators}]+"), lambda w: w != ""), F.lit(n - 1))
+def nth_word(c: Column, n: Column | int, separators: str = " ") -> Column:
+    """The n-th word, from the end if n is negative; missing if there is none. ``separators`` stand inside a character class."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.when(n != 0, F.try_element_at(F.filter(F.split(c, f"[{separators}]+"), lambda w: w != ""), n))
 
 
 def count_words(c: Column, separators: str = " ") -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 STATISTICS = {"n": F.count, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp}
 
 
-def _aggregates(var: str, stats: dict[str, str]):
-    return [STATISTICS[s](F.col(var)).alias(name) for name, s in stats.items()]
+def _aggregates(var: str, stats: dict):
+    """A statistic is of ``var``, or, as (statistic, variable), of another."""
+    return [STATISTICS[s](F.col(v)).alias(name) for name, (s, v) in ((n, (x, var) if isinstance(x, str) else x) for n, x in stats.items())]
 
 
 def means(df: DataFrame, classes: list[str], var: str, stats: dict[str, str], missing: bool = False, types: bool = True) -> DataFrame:
@@ -46,8 +47,3 @@ def flag_high(df: DataFrame, var: str, threshold) -> DataFrame:
     from ..functions.expr import flag
 
     return df.withColumn("high_flag", flag(F.col(var) > threshold))
-
-
-def dictionary(df: DataFrame) -> DataFrame:
-    """name, type and place of each column, from the schema."""
-    return df.sparkSession.createDataFrame([(i + 1, n, t) for i, (n, t) in enumerate(df.dtypes)], "position int, name string, type string")

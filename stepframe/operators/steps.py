@@ -82,13 +82,13 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return d.select(F.when(F.col("d") > 0, "left").otherwise("right").alias("side"), *cols, F.abs("d").alias("n"))
 
 
-def merge(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str] | None = None, right_order: list[str] | None = None, in_left: str | None = None, in_right: str | None = None) -> DataFrame:
+def merge(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str] | None = None, right_order: list[str] | None = None, in_left: str | None = None, in_right: str | None = None, place: str | None = None) -> DataFrame:
     """Match-merge: the rows of a key are put side by side by their place in each table's order.
 
     Where one table has fewer rows of a key, its last row is carried on; where it has none, its columns are missing. A column of both
     is what the last table that still has a row of its own at that place says, the right one first. A missing key is a
     key. Without an order, rows of a key follow their other columns. ``in_left``, ``in_right``: columns of 1 or 0, whether
-    that table has the key at all. Places are counted in a distributed order, so a key may have any number of rows.
+    that table has the key at all; ``place``: a column of the place in the key, from 0. Places are counted in a distributed order, so a key may have any number of rows.
     """
     sides = {}
     for name, df, order in (("l", left, left_order), ("r", right, right_order)):
@@ -109,7 +109,8 @@ def merge(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[s
 
     columns = [*sides["l"][0], *[c for c in sides["r"][0] if c not in sides["l"][0]]]
     flags = [F.col(f"__last_{n}").isNotNull().cast("int").alias(c) for n, c in (("l", in_left), ("r", in_right)) if c]
-    return out.select(*[f"`{k}`" for k in keys], *map(value, columns), *flags)
+    at = [F.col("__at").alias(place)] if place else []
+    return out.select(*[f"`{k}`" for k in keys], *map(value, columns), *flags, *at)
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,10 +11,12 @@ from ..operators.differences import differences
 from ..operators.intervals import band_lookup
 from ..operators.keywords import keyword_hits
 from ..operators.order import placed
+from ..sources.library import Libraries
 from ..sources.records import Field, read_records, write_records
 from ..sources.shared import new_folder
-from .registry import query
+from .registry import ORACLE_SQL, query
 from .registry import table as _t
+from .translator import Session
 
 # ---------------------------------------------------------------- programs, one for each customer
 
@@ -305,3 +307,87 @@ def rule_texts(spark, d):
 def first_failed(spark, d):
     """The fifteen largest failed orders of each priority, in order."""
     return steps.first_rows(_t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderpriority", "o_orderkey", "o_totalprice"), 15, ["o_orderpriority"], [F.desc("o_totalprice"), "o_orderkey"], "n")
+
+
+# ---------------------------------------------------------------- programs whose rows depend on the row before, files and merges
+
+_BY_LINE = ["l_linenumber", "l_shipdate", "l_partkey", "l_suppkey"]
+_PLACE = f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_BY_LINE)})"
+
+
+def _by_line(spark: SparkSession, d: str) -> Session:
+    return Session(Libraries(spark, {"stg": d}, files=("stg",)), row_order={"stg.lineitem": _BY_LINE})
+
+
+_DECAY = """
+data out.decay(keep=l_orderkey level n);
+  set stg.lineitem; by l_orderkey; retain level;
+  if first.l_orderkey then do; level = l_quantity; n = 1; end;
+  else do; level = level * 0.5 + l_quantity; n + 1; end;
+  if last.l_orderkey;
+run;
+"""
+
+
+@query(f"WITH RECURSIVE s AS (SELECT l_orderkey, l_quantity, {_PLACE} AS t, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), r AS (SELECT l_orderkey, t, n, l_quantity AS level FROM s WHERE t = 1 UNION ALL SELECT s.l_orderkey, s.t, s.n, r.level * 0.5 + s.l_quantity FROM r JOIN s ON s.l_orderkey = r.l_orderkey AND s.t = r.t + 1) SELECT l_orderkey, level, CAST(n AS DOUBLE) AS n FROM r WHERE t = n")
+def translated_program_decay(spark, d):
+    """A level that decays from row to row."""
+    return _by_line(spark, d).run(_DECAY)["out.decay"].select("l_orderkey", "level", "n")
+
+
+_ARRAYS = """
+data out.recent(keep=l_orderkey l_linenumber l_partkey l_suppkey l_shipdate high low change);
+  set stg.lineitem; by l_orderkey;
+  array h[3] h1 h2 h3; retain h1 h2 h3;
+  if first.l_orderkey then do i = 1 to 3; h[i] = .; end;
+  do i = 3 to 2 by -1; h[i] = h[i - 1]; end;
+  h[1] = l_quantity;
+  high = max(h1, h2, h3); low = h1;
+  do i = 1 to dim(h); if h[i] < low and not missing(h[i]) then low = h[i]; end;
+  change = dif(l_quantity); if first.l_orderkey then change = 0;
+run;
+"""
+
+
+@query(f"WITH s AS (SELECT *, {_PLACE} AS t FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, max(l_quantity) OVER (w ROWS 2 PRECEDING) AS high, min(l_quantity) OVER (w ROWS 2 PRECEDING) AS low, coalesce(l_quantity - lag(l_quantity) OVER (w), 0) AS change FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY t)")
+def translated_program_arrays(spark, d):
+    """The last three quantities of each order in an array, with loops over it."""
+    return _by_line(spark, d).run(_ARRAYS)["out.recent"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "high", "low", "change")
+
+
+_INFILE = """
+filename f_cus "PATH" encoding="utf-8";
+data stg.customers;
+  infile f_cus dsd firstobs=2 truncover;
+  length c_custkey 8 name $60 segment $4 bal 8 since 8;
+  informat since yymmdd10.; format since yymmdd10.;
+  input c_custkey name $ segment $ bal since;
+  if bal < 0 then debt = 1; else debt = 0;
+run;
+"""
+
+
+@query(ORACLE_SQL["read_back_records"].replace("AS since FROM customer", f"AS since, CAST(coalesce(({_BALANCE}) < 0, true) AS INT) AS debt FROM customer"))
+def translated_program_infile(spark, d):
+    """Customers written as delimited text and loaded by a program."""
+    return Session(Libraries(spark, {})).run(_INFILE.replace("PATH", _written(spark, d)))["stg.customers"]
+
+
+_MERGE = """
+data out.both;
+  merge work.a(in=ina) work.b(in=inb); by nation;
+  if ina and inb;
+run;
+"""
+
+
+@query("""WITH a AS (SELECT c_nationkey AS k, c_custkey, c_acctbal AS bal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS p, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_nationkey % 5 <> 1),
+b AS (SELECT s_nationkey AS k, s_suppkey, s_acctbal AS bal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS p, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier WHERE s_nationkey % 5 <> 2),
+s AS (SELECT x.k, na, nb, unnest(range(1, greatest(na, nb) + 1)) AS p FROM (SELECT k, max(n) AS na FROM a GROUP BY 1) x JOIN (SELECT k, max(n) AS nb FROM b GROUP BY 1) y USING (k))
+SELECT s.k AS nation, a.c_custkey, b.s_suppkey, CASE WHEN s.p <= nb THEN b.bal ELSE a.bal END AS bal FROM s JOIN a ON a.k = s.k AND a.p = least(s.p, na) JOIN b ON b.k = s.k AND b.p = least(s.p, nb)""")
+def translated_program_merge(spark, d):
+    """Customers and suppliers merged by nation in a program."""
+    s = Session(Libraries(spark, {}), row_order={"work.a": ["c_custkey"], "work.b": ["s_suppkey"]})
+    s.tables["work.a"] = _t(spark, d, "customer").where("c_nationkey % 5 <> 1").selectExpr("c_nationkey as nation", "c_custkey", "c_acctbal as bal")
+    s.tables["work.b"] = _t(spark, d, "supplier").where("s_nationkey % 5 <> 2").selectExpr("s_nationkey as nation", "s_suppkey", "s_acctbal as bal")
+    return s.run(_MERGE)["out.both"].select("nation", "c_custkey", "s_suppkey", "bal")

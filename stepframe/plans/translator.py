@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..functions.stats import brown, forecast_rows, forecast_states, ols
 from ..operators import procs
-from ..operators.steps import first_of_key, sort
+from ..operators.steps import first_of_key, merge, sort
 from ..sources.library import Libraries
+from ..sources.records import INFORMATS, Field, read_records
 from .lexer import Statement, Token, closing, name_at, statements, tokens
 
 #: Values that INTO may bring to the driver: settings and lists of names.
@@ -153,7 +154,78 @@ class Macros:
 
 _WORDS = {"lt", "le", "gt", "ge", "eq", "ne"}
 _AGGREGATES = {"sum": F.sum, "avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "n": F.count, "std": F.stddev, "nmiss": lambda c: F.count_if(c.isNull())}
-_SIMPLE = {"strip": F.trim, "trim": F.rtrim, "upcase": F.upper, "lowcase": F.lower, "missing": E.is_missing, "length": E.byte_length, "abs": F.abs, "year": F.year, "month": F.month, "sqrt": F.sqrt, "log": F.log, "countw": E.count_words}
+
+
+class Columns:
+    """What an expression is made of where it becomes a Column."""
+
+    lit, flag, compare, coalesce, concat, divide, power = F.lit, E.flag, E.compare, F.coalesce, F.concat, F.try_divide, F.pow
+    largest, smallest, year_month = F.greatest, F.least, E.year_month
+    #: Functions of one argument.
+    SIMPLE = {"strip": F.trim, "trim": F.rtrim, "upcase": F.upper, "lowcase": F.lower, "missing": E.is_missing, "length": E.byte_length, "abs": F.abs, "year": F.year, "month": F.month, "day": F.day, "sqrt": F.sqrt, "log": F.log, "exp": F.exp, "int": lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)), "floor": F.floor, "ceil": F.ceil, "countw": E.count_words}
+
+    @staticmethod
+    def text(value: str) -> Column:
+        return F.lit(value)
+
+    @staticmethod
+    def trimmed(c: Column) -> Column:
+        return F.rtrim(c)
+
+    @staticmethod
+    def same(a: Column, b: Column) -> Column:
+        return a.eqNullSafe(b)
+
+    @staticmethod
+    def known(c: Column) -> Column:
+        return c.isNotNull()
+
+    @staticmethod
+    def truth(c: Column) -> Column:
+        return F.coalesce(c != 0, F.lit(False))
+
+    @staticmethod
+    def missing() -> Column:
+        return F.lit(None).cast("double")
+
+    @staticmethod
+    def day(text: str) -> Column:
+        return F.to_date(F.lit(text), "ddMMMyyyy")
+
+    @staticmethod
+    def case(branches: list, otherwise) -> Column:
+        out = F.when(*branches[0])
+        for b in branches[1:]:
+            out = out.when(*b)
+        return out if otherwise is None else out.otherwise(otherwise)
+
+    @staticmethod
+    def formatted(c: Column, fmt: E.RangeFormat) -> Column:
+        return fmt.apply(c)
+
+    @staticmethod
+    def months(day: Column, shift: Column) -> Column:
+        return F.add_months(E.month_start(day), shift.cast("int"))
+
+    @staticmethod
+    def rounded(c: Column, unit: Column | None) -> Column:
+        return F.round(c) if unit is None else F.round(c / unit) * unit
+
+    @staticmethod
+    def part(c: Column, start: Column, size: Column | None) -> Column:
+        return F.substr(c, start.cast("int"), *([] if size is None else [size.cast("int")]))
+
+    @staticmethod
+    def word(c: Column, n: Column, separators: str) -> Column:
+        return E.nth_word(c, n.cast("int"), separators)
+
+    @staticmethod
+    def remainder(a: Column, b: Column) -> Column:
+        return F.when(b != 0, a % b)
+
+    @staticmethod
+    def date_of(m: Column, d: Column, y: Column) -> Column:
+        return F.try_make_date(y.cast("int"), m.cast("int"), d.cast("int")) if hasattr(F, "try_make_date") else F.make_date(y.cast("int"), m.cast("int"), d.cast("int"))
 
 
 class Expression:
@@ -164,6 +236,8 @@ class Expression:
     With ``plain_equality`` the equality of two names is SQL's, so that a join on it stays an equi-join.
     """
 
+    kit = Columns
+
     def __init__(self, items, formats: dict[str, E.RangeFormat], names=None, query=None, aggregate: bool = False, plain_equality: bool = False):
         self.items = tuple(tokens(items)) if isinstance(items, str) else tuple(items)
         self.formats, self.names, self.query, self.aggregate, self.plain_equality = formats, names or (lambda parts: self._column(parts)), query, aggregate, plain_equality
@@ -202,16 +276,16 @@ class Expression:
         out, boolean = self.either()
         if self.at != len(self.items):
             raise Unsupported("expression", self.text)
-        return E.flag(out) if boolean else out
+        return self.kit.flag(out) if boolean else out
 
     def condition(self) -> Column:
         out, boolean = self.either()
         if self.at != len(self.items):
             raise Unsupported("expression", self.text)
-        return out if boolean else F.coalesce(out != 0, F.lit(False))
+        return out if boolean else self.kit.truth(out)
 
     def _bool(self, x):
-        return x[0] if x[1] else F.coalesce(x[0] != 0, F.lit(False))
+        return x[0] if x[1] else self.kit.truth(x[0])
 
     def either(self):
         left = self.both()
@@ -232,43 +306,66 @@ class Expression:
         left = self.sum()
         op = self.peek().low
         if self.peek().kind != "str" and (op in E.SYMBOLS or op in _WORDS):
-            self.take()
-            second = self.at
-            a, b = self._num(left), self._num(self.sum())
-            if self.plain_equality and E.SYMBOLS.get(op, op) == "eq" and all(t.kind == "name" or t.text == "." for t in (*self.items[first : second - 1], *self.items[second : self.at])):
-                return a == b, True
-            return E.compare(a, op, b), True
+            out = None
+            while self.peek().kind != "str" and ((op := self.peek().low) in E.SYMBOLS or op in _WORDS):
+                self.take()
+                second = self.at
+                right = self.sum()
+                a, b = self._padded(left, right, first, second)
+                if self.plain_equality and E.SYMBOLS.get(op, op) == "eq" and all(t.kind == "name" or t.text == "." for t in (*self.items[first : second - 1], *self.items[second : self.at])):
+                    test = a == b
+                else:
+                    test = self.kit.compare(a, op, b)
+                # 1 < v < 6 holds if both comparisons do.
+                out = test if out is None else out & test
+                left, first = right, second
+            return out, True
         inverted = self.word("not")
         test = None
         if self.word("in"):
             self.take("(")
-            test = F.lit(False)
+            test = self.kit.lit(False)
             while not self.word(")"):
-                test = test | self._num(left).eqNullSafe(self._num(self.sum()))
+                second = self.at
+                a, b = self._padded(left, self.sum(), first, second)
+                test = test | self.kit.same(a, b)
                 self.word(",")
         elif self.word("between"):
             low = self._num(self.sum())
             self.take("and")
-            test = E.compare(self._num(left), "ge", low) & E.compare(self._num(left), "le", self._num(self.sum()))
+            test = self.kit.compare(self._num(left), "ge", low) & self.kit.compare(self._num(left), "le", self._num(self.sum()))
         elif self.word("is", "not", "null") or self.word("is", "not", "missing"):
-            test = self._num(left).isNotNull()
+            test = self.kit.known(self._num(left))
         elif self.word("is", "null") or self.word("is", "missing"):
-            test = self._num(left).isNull()
+            test = ~self.kit.known(self._num(left))
         if test is None:
             if inverted:
                 raise Unsupported("expression", self.text)
             return left
         return (~test if inverted else test), True
 
+    def _padded(self, left, right, first: int, second: int):
+        """Both sides of a comparison. Trailing blanks don't count against a text: they go from the text, and from the other side unless it is
+        a plain name, whose column has none since tables lose them as they are read."""
+        a, b = self._num(left), self._num(right)
+        texts = [len(part) == 1 and part[0].kind == "str" for part in (self.items[first : second - 1], self.items[second : self.at])]
+        if not any(texts):
+            return a, b
+        out = []
+        for side, part, text in zip((a, b), (self.items[first : second - 1], self.items[second : self.at]), texts):
+            plain = all(t.kind == "name" or t.text == "." for t in part)
+            out.append(self.kit.text(part[0].value.rstrip(" ")) if text else side if plain else self.kit.trimmed(side))
+        return tuple(out)
+
     def _num(self, x):
-        return E.flag(x[0]) if x[1] else x[0]
+        return self.kit.flag(x[0]) if x[1] else x[0]
 
     def sum(self):
         left = self.product()
         while self.peek().text in ("+", "-", "||"):
             op = self.take().text
             a, b = self._num(left), self._num(self.product())
-            left = ({"+": lambda: a + b, "-": lambda: a - b, "||": lambda: F.concat(a, b)}[op](), False)
+            left = ({"+": lambda: a + b, "-": lambda: a - b, "||": lambda: self.kit.concat(a, b)}[op](), False)
         return left
 
     def product(self):
@@ -276,7 +373,7 @@ class Expression:
         while self.peek().text in ("*", "/", "**"):
             op = self.take().text
             a, b = self._num(left), self._num(self.unary())
-            left = ({"*": lambda: a * b, "/": lambda: F.try_divide(a, b), "**": lambda: F.pow(a, b)}[op](), False)
+            left = ({"*": lambda: a * b, "/": lambda: self.kit.divide(a, b), "**": lambda: self.kit.power(a, b)}[op](), False)
         return left
 
     def unary(self):
@@ -285,12 +382,12 @@ class Expression:
             return -self._num(self.unary()), False
         t = self.take()
         if t.kind == "num":
-            return F.lit(float(t.text) if "." in t.text or "e" in t.low else int(t.text)), False
+            return self.kit.lit(float(t.text) if "." in t.text or "e" in t.low else int(t.text)), False
         if t.kind == "str":
             if self.peek().low == "d" and self.peek().start == t.end:
                 self.take()
-                return F.to_date(F.lit(t.value), "ddMMMyyyy"), False
-            return F.lit(t.value), False
+                return self.kit.day(t.value), False
+            return self.kit.text(t.value), False
         if t.text == "(":
             if self.peek().low == "select" and self.query:
                 end = closing(self.items, self.at - 1)
@@ -300,11 +397,13 @@ class Expression:
             self.take(")")
             return inside
         if t.text == ".":
-            return F.lit(None).cast("double"), False
+            return self.kit.missing(), False
         if t.kind != "name":
             raise Unsupported("expression", self.text)
         if t.low == "case":
             return self.case(), False
+        if self.peek().text in ("[", "{"):
+            return self.element(t.low), False
         if self.peek().text == "(":
             return self.call(t.low), False
         parts = [t.low]
@@ -316,21 +415,24 @@ class Expression:
             parts = ["calculated", self.take().low]
         return self.names(parts), False
 
+    def element(self, name: str):
+        raise Unsupported("ARRAY", self.text)
+
     def case(self) -> Column:
-        out = None
+        branches, otherwise = [], None
         while self.word("when"):
             test = self._bool(self.either())
             self.take("then")
-            value = self._num(self.either())
-            out = F.when(test, value) if out is None else out.when(test, value)
-        if out is None:
+            branches.append((test, self._num(self.either())))
+        if not branches:
             raise Unsupported("expression", self.text)
         if self.word("else"):
-            out = out.otherwise(self._num(self.either()))
+            otherwise = self._num(self.either())
         self.take("end")
-        return out
+        return self.kit.case(branches, otherwise)
 
     def call(self, name: str) -> Column:
+        kit = self.kit
         self.take("(")
         if name == "put":
             x = self._num(self.either())
@@ -339,10 +441,10 @@ class Expression:
             while not self.word(")"):
                 self.take()
             if fmt in ("yymmn6", "yymmn"):
-                return E.year_month(x)
+                return kit.year_month(x)
             if fmt not in self.formats:
                 raise Unsupported("format", fmt)
-            return self.formats[fmt].apply(x)
+            return kit.formatted(x, self.formats[fmt])
         if self.aggregate and name == "count":
             distinct = self.word("distinct")
             if self.word("*", ")"):
@@ -362,24 +464,40 @@ class Expression:
             if self.word(",") and self.take().value.lower() not in ("b", "beginning"):
                 raise Unsupported("alignment", self.text)
             self.take(")")
-            return F.add_months(E.month_start(day), shift.cast("int"))
-        args = []
+            return kit.months(day, shift)
+        args, last = [], None
         while not self.word(")"):
+            last = self.peek()
             args.append(self._num(self.either()))
             self.word(",")
         if self.aggregate and len(args) == 1 and name in _AGGREGATES:
             self.aggregated = True
             return _AGGREGATES[name](args[0])
-        if name in _SIMPLE and len(args) == 1:
-            return _SIMPLE[name](*args)
+        if name in kit.SIMPLE and len(args) == 1:
+            return kit.SIMPLE[name](*args)
         if name in ("max", "min") and len(args) > 1:
-            return (F.greatest if name == "max" else F.least)(*args)
-        if name == "sum":
-            return sum((F.coalesce(a, F.lit(0)) for a in args[1:]), F.coalesce(args[0], F.lit(0)))
-        if name == "round" and len(args) <= 2:
-            return F.round(args[0]) if len(args) == 1 else F.round(args[0] / args[1]) * args[1]
+            return (kit.largest if name == "max" else kit.smallest)(*args)
+        if name == "sum" and args:
+            out = kit.coalesce(args[0], kit.lit(0))
+            for a in args[1:]:
+                out = out + kit.coalesce(a, kit.lit(0))
+            return out
+        if name == "round" and len(args) in (1, 2):
+            return kit.rounded(args[0], args[1] if len(args) == 2 else None)
         if name == "coalesce" and args:
-            return F.coalesce(*args)
+            return kit.coalesce(*args)
+        if name == "substr" and len(args) in (2, 3):
+            return kit.part(*args, *([None] if len(args) == 2 else []))
+        if name == "scan" and (len(args) == 2 or len(args) == 3 and last.kind == "str"):
+            return kit.word(args[0], args[1], re.escape(last.value) if len(args) == 3 else " ")
+        if name == "mod" and len(args) == 2:
+            return kit.remainder(*args)
+        if name == "mdy" and len(args) == 3:
+            return kit.date_of(*args)
+        if name == "cats" and args:
+            return kit.concat(*[kit.coalesce(kit.SIMPLE["strip"](a), kit.text("")) for a in args])
+        if name in ("lag", "dif"):
+            raise Unsupported("LAG", self.text)
         raise Unsupported("function", name)
 
 
@@ -395,6 +513,7 @@ class Table:
     drop: list[str] = field(default_factory=list)
     rename: dict[str, str] = field(default_factory=dict)
     where: tuple = ()
+    flag: str = ""
 
     def shape(self, df: DataFrame, session: "Session", also: tuple[str, ...] = ()) -> DataFrame:
         """Columns are kept or dropped, then renamed, then rows are filtered. ``also`` stay in any case."""
@@ -436,6 +555,8 @@ def _table_at(items, at: int) -> tuple[Table, int]:
                 out.rename = _pairs(value)
             elif key == "where":
                 out.where = value
+            elif key == "in":
+                out.flag = value[0].low
             else:
                 raise Unsupported("data set option", key)
             at = stop
@@ -464,6 +585,10 @@ def _number(s: Statement, name: str, otherwise: float) -> float:
     return float(found.name) if found else otherwise
 
 
+#: What a DATA step as one plan can't say and one that goes through the rows of a group can.
+ROWWISE = ("RETAIN of another form", "accumulator changed twice", "sum without a start at FIRST.", "accumulator read before its statement", "start at FIRST. after rows were left out", "ARRAY", "LAG", "DO")
+
+
 class _DataStep:
     """Runs the statements of a DATA step in their order on a plan: each sees the values and rows that those before it left.
 
@@ -471,7 +596,7 @@ class _DataStep:
     rows that reach their statement. A condition becomes a column before what it governs runs.
     """
 
-    IGNORED = ("length", "format", "label", "informat", "attrib")
+    IGNORED = ("format", "label", "attrib")
 
     def __init__(self, session: "Session", block: list[Statement]):
         self.session, self.block, self.made, self.hidden = session, block, 0, []
@@ -481,16 +606,40 @@ class _DataStep:
         self.done: set[str] = set()
         self.emitted: dict[str, list[DataFrame]] = {}
         self.filtered = False
-        source, wheres, body = None, [], []
-        for s in block[1:]:
+        self.widths: dict[str, int] = {}
+        self.informats: dict[str, str] = {}
+        self.sources: list[Table] = []
+        self.merging, self.infile, self.input = False, None, None
+        self.body, self.wheres, self.first_widths = [], [], []
+        self._read()
+        self.sums = {w[0].low for s in self.body for w in self._sum_tokens(s)}
+        self.always = any(t.low == "output" for s in self.body for t in s.tokens)
+        self._open()
+        self.go()
+
+    def _read(self) -> None:
+        """Sorts the statements into what the step reads, what it declares and what it does."""
+        for s in self.block[1:]:
             words = [t.low for t in s.tokens]
             if words[1:2] == ["="] or words[1:2] == ["+"]:
-                body.append(s)
-            elif s.head == "set":
+                self.body.append(s)
+            elif s.head in ("set", "merge"):
                 tables = _tables(s.tokens, 1)
-                if source or len(tables) != 1:
-                    raise Unsupported("SET of several tables", s.text)
-                source = tables[0]
+                if self.sources or self.infile or len(tables) != (2 if s.head == "merge" else 1):
+                    raise Unsupported(f"{s.head.upper()} of several tables", s.text)
+                self.sources, self.merging = tables, s.head == "merge"
+                # Widths declared before a table is read hold for its texts too.
+                self.first_widths = list(self.widths)
+            elif s.head == "infile":
+                if self.sources or self.infile:
+                    raise Unsupported("INFILE beside another source", s.text)
+                self.infile = s
+            elif s.head == "input":
+                self.input = s
+            elif s.head == "length":
+                self._lengths(s)
+            elif s.head == "informat":
+                self._informats(s)
             elif s.head in self.IGNORED:
                 continue
             elif s.head == "by":
@@ -499,31 +648,138 @@ class _DataStep:
                     raise Unsupported("BY DESCENDING", s.text)
             elif s.head == "retain":
                 self._retain(s)
+            elif s.head == "array":
+                self._array(s)
             elif s.head in ("keep", "drop"):
                 getattr(self, s.head).extend(words[1:])
             elif s.head == "rename":
                 self.rename |= _pairs(s.tokens[1:])
             elif s.head == "where":
-                wheres.append(s)
-            elif s.head in ("merge", "array", "call", "infile", "input", "link", "goto", "update", "modify", "select", "put", "file", "declare", "dcl"):
+                self.wheres.append(s)
+            elif s.head in ("call", "link", "goto", "update", "modify", "select", "put", "file", "declare", "dcl"):
                 raise Unsupported(s.head.upper(), s.text)
             else:
-                body.append(s)
-        if source is None:
-            raise Unsupported("DATA step without SET", block[0].text)
-        self.sums = {w[0].low for s in body for w in self._sum_tokens(s)}
-        self.name = source.name if "." in source.name else f"work.{source.name}"
-        # What gives rows their order stays, whatever columns are kept.
-        order = list(dict.fromkeys([*session.sorted_by.get(self.name, []), *session.row_order.get(self.name, [])])) if self.by else []
-        self.order = {c: f"_order_{i}" for i, c in enumerate(order)}
-        self.hidden += self.order.values()
-        self.df = source.shape(session.read(source.name).withColumns({h: F.col(c) for c, h in self.order.items()}), session, tuple(self.hidden))
-        for s in wheres:
+                self.body.append(s)
+        if not self.sources and not self.infile:
+            raise Unsupported("DATA step without SET", self.block[0].text)
+        if self.merging and not self.by:
+            raise Unsupported("MERGE without BY", self.block[0].text)
+
+    def _lengths(self, s: Statement) -> None:
+        """LENGTH: texts are cut at so many bytes; numbers keep all eight, and shorter ones are refused."""
+        names, at = [], 1
+        while at < len(s.tokens):
+            t = s.tokens[at]
+            if t.kind == "name":
+                names.append(t.low)
+            else:
+                text = t.text == "$"
+                at += text
+                if at >= len(s.tokens) or not s.tokens[at].text.rstrip(".").isdigit() or not names:
+                    raise Unsupported("LENGTH", s.text)
+                n = int(s.tokens[at].text.rstrip("."))
+                if not text and n != 8:
+                    raise Unsupported("LENGTH of a number", s.text)
+                if text:
+                    self.widths |= {k: n for k in names}
+                names = []
+            at += 1
+        if names:
+            raise Unsupported("LENGTH", s.text)
+
+    def _informats(self, s: Statement) -> None:
+        names, at = [], 1
+        while at < len(s.tokens):
+            if s.tokens[at].kind != "name":
+                raise Unsupported("INFORMAT", s.text)
+            last = at + 1 < len(s.tokens) and s.tokens[at + 1].text == "."
+            if last:
+                self.informats |= {k: self._informat(s.tokens[at].low, s) for k in names}
+                names = []
+            else:
+                names.append(s.tokens[at].low)
+            at += 1 + last
+        if names:
+            raise Unsupported("INFORMAT", s.text)
+
+    @staticmethod
+    def _informat(name: str, s: Statement) -> str:
+        known = name.rstrip("0123456789")
+        if known not in INFORMATS:
+            raise Unsupported("informat", name)
+        return known
+
+    def _fields(self) -> DataFrame:
+        """The rows of INFILE: delimited records (DSD), short ones filled (TRUNCOVER or MISSOVER), columns as INPUT lists them."""
+        s, options = self.infile, {}
+        if self.input is None:
+            raise Unsupported("INFILE without INPUT", s.text)
+        at = 2
+        while at < len(s.tokens):
+            key = s.tokens[at].low
+            if at + 2 < len(s.tokens) and s.tokens[at + 1].text == "=":
+                options[key], at = s.tokens[at + 2].value, at + 3
+            else:
+                options[key], at = "", at + 1
+        if bad := set(options) - {"dsd", "firstobs", "truncover", "missover", "dlm", "delimiter", "encoding", "lrecl"}:
+            raise Unsupported("INFILE option", ", ".join(sorted(bad)))
+        if "dsd" not in options or not {"truncover", "missover"} & set(options) or options.get("firstobs", "1") not in ("1", "2"):
+            raise Unsupported("INFILE of another form", s.text)
+        path, encoding = self.session.file(s.tokens[1])
+        fields, at, items = [], 1, self.input.tokens
+        while at < len(items):
+            name, text, informat = items[at].low, False, None
+            if items[at].kind != "name":
+                raise Unsupported("INPUT of another form", self.input.text)
+            at += 1
+            if at < len(items) and items[at].text == ":":
+                at += 1
+                text = at < len(items) and items[at].text == "$"
+                if not text:
+                    informat = self._informat(items[at].low, self.input)
+                at += 1
+                if at < len(items) and items[at].kind == "num":
+                    self.widths.setdefault(name, int(items[at].text.rstrip("."))) if text else None
+                    at += 1
+                at += at < len(items) and items[at].text == "."
+            elif at < len(items) and items[at].text == "$":
+                text, at = True, at + 1
+            text = text or name in self.widths
+            fields.append(Field(name, text, self.widths.get(name, 8 if text else None), informat or self.informats.get(name, "best")))
+        return read_records(self.session.libraries.spark, path, fields, options.get("encoding") or encoding, options.get("dlm") or options.get("delimiter") or ",", options.get("firstobs") == "2")
+
+    def _open(self) -> None:
+        """The rows that the step reads, with what gives them their order, and marks of BY groups."""
+        session = self.session
+        if self.infile:
+            self.name, self.order, df = "infile", {}, self._fields()
+        elif self.merging:
+            sides, orders = [], []
+            for t in self.sources:
+                name = t.name if "." in t.name else f"work.{t.name}"
+                sides.append(t.shape(session.read(t.name), session))
+                orders.append([c for c in dict.fromkeys([*session.sorted_by.get(name, []), *session.row_order.get(name, [])]) if c in sides[-1].columns and c not in self.by] or None)
+            self.name = self.sources[0].name if "." in self.sources[0].name else f"work.{self.sources[0].name}"
+            df = merge(sides[0], sides[1], self.by, *orders, *[t.flag or None for t in self.sources], place="_order_0")
+            self.order = {"": "_order_0"}
+            self.hidden += ["_order_0", *[t.flag for t in self.sources if t.flag]]
+        else:
+            source = self.sources[0]
+            self.name = source.name if "." in source.name else f"work.{source.name}"
+            # What gives rows their order stays, whatever columns are kept.
+            order = list(dict.fromkeys([*session.sorted_by.get(self.name, []), *session.row_order.get(self.name, [])])) if self.by else []
+            self.order = {c: f"_order_{i}" for i, c in enumerate(order)}
+            self.hidden += self.order.values()
+            df = source.shape(session.read(source.name).withColumns({h: F.col(c) for c, h in self.order.items()}), session, tuple(self.hidden))
+        cut = [c for c in self.first_widths if c in df.columns and dict(df.dtypes)[c] == "string"]
+        self.df = df.withColumns({c: E.cut_bytes(F.col(c), self.widths[c]) for c in cut}) if cut else df
+        for s in self.wheres:
             self.df = self.df.where(session.expression(s.tokens[1:]).condition())
         if self.by:
             self._mark_groups()
-        self.always = any(t.low == "output" for s in body for t in s.tokens)
-        self.execute(body, None)
+
+    def go(self) -> None:
+        self.execute(self.body, None)
         for t in self.targets:
             rows = self.emitted.get(t.name, []) if self.always else [self._row(self.df)]
             if not rows:
@@ -531,7 +787,10 @@ class _DataStep:
             out = rows[0]
             for x in rows[1:]:
                 out = out.unionByName(x, allowMissingColumns=True)
-            session.write(t.name, t.shape(out, session), session.sorted_by.get(self.name))
+            self.session.write(t.name, t.shape(out, self.session), self.session.sorted_by.get(self.name))
+
+    def _array(self, s: Statement) -> None:
+        raise Unsupported("ARRAY", s.text)
 
     def _sum_tokens(self, s: Statement):
         """Sum statements anywhere in a statement: name + expression."""
@@ -614,8 +873,8 @@ class _DataStep:
         while depth:
             if at >= len(body):
                 raise Unsupported("DO without END", body[i].text)
-            last = body[at].tokens[-1].low
-            depth += (last == "do") - (body[at].head == "end" and len(body[at].tokens) == 1)
+            opens = body[at].tokens[-1].low == "do" or body[at].head == "do"
+            depth += opens - (body[at].head == "end" and len(body[at].tokens) == 1)
             at += 1
         return body[i + 1 : at - 1], at
 
@@ -670,7 +929,8 @@ class _DataStep:
         elif len(words) > 2 and words[1] == "=" and items[0].kind == "name":
             self._assign(s, words[0], items[2:], mask, first)
         else:
-            raise Unsupported(words[0].upper() if words and words[0] in ("do", "end", "else", "return", "stop", "abort") else "statement", s.text)
+            counted = len(words) > 2 and words[1] in ("[", "{", "(")
+            raise Unsupported("ARRAY" if counted else words[0].upper() if words and words[0] in ("do", "end", "else", "return", "stop", "abort") else "statement", s.text)
 
     def _output(self, words, items, mask) -> None:
         names = [t.name for t in _tables(items, 1)] if len(words) > 1 else [t.name for t in self.targets]
@@ -721,6 +981,8 @@ class _DataStep:
             return
         self._unread(items, s)
         value = self.session.expression(items).value()
+        if name in self.widths:
+            value = E.cut_bytes(value, self.widths[name])
         if mask:
             value = F.when(F.col(mask), value).otherwise(F.col(f"`{name}`") if name in self.df.columns else F.lit(None))
         self.df = self.df.withColumn(name, value)
@@ -893,6 +1155,7 @@ class Session:
         self.sorted_by: dict[str, list[str]] = {}
         self.order: dict[str, tuple] = {}
         self.formats: dict[str, E.RangeFormat] = {}
+        self.files: dict[str, tuple[str, str]] = {}
         self.macros = Macros(self)
         self.block: list[Statement] = []
 
@@ -937,13 +1200,37 @@ class Session:
             self.proc_sql([self.block[0], s])
         elif starts or self.block:
             self.block.append(s)
-        elif s.head not in ("libname", "filename", "options", "title", "footnote", "ods"):
+        elif s.head == "filename":
+            self._filename(s)
+        elif s.head not in ("libname", "options", "title", "footnote", "ods"):
             raise Unsupported("statement", s.text)
 
+    def _filename(self, s: Statement) -> None:
+        paths = [i for i, t in enumerate(s.tokens) if t.kind == "str" and (i < 1 or s.tokens[i - 1].text != "=")]
+        if len(s.tokens) < 3 or not paths:
+            raise Unsupported("FILENAME", s.text)
+        encoding = next((s.tokens[i + 2].value for i in range(len(s.tokens) - 2) if s.tokens[i].low == "encoding" and s.tokens[i + 1].text == "="), "utf-8")
+        self.files[s.tokens[1].low] = (s.tokens[paths[0]].value, encoding)
+
+    def file(self, t: Token) -> tuple[str, str]:
+        """(path, encoding) of a file that INFILE names by its path or by FILENAME."""
+        if t.kind == "str":
+            return t.value, "utf-8"
+        if t.low not in self.files:
+            raise Unsupported("file without FILENAME", t.text)
+        return self.files[t.low]
+
     def finish(self) -> None:
         block, self.block = self.block, []
         if block[0].head == "data":
-            _DataStep(self, block)
+            try:
+                _DataStep(self, block)
+            except Unsupported as e:
+                if e.construct not in ROWWISE:
+                    raise
+                from .rowstep import RowStep
+
+                RowStep(self, block)
             return None
         kind = block[0].tokens[1].low
         step = getattr(self, f"proc_{kind}", None)
@@ -1009,8 +1296,8 @@ class Session:
         for x in block[1:]:
             if x.head not in ("class", "var", "output", "where"):
                 raise Unsupported(f"MEANS with {x.head.upper()}", x.text)
-        if not var or not output or len(var) != 1:
-            raise Unsupported("MEANS without one VAR and OUTPUT", s.text)
+        if not var or not output:
+            raise Unsupported("MEANS without VAR and OUTPUT", s.text)
         target, at, stats = None, 1, {}
         while at < len(output.tokens):
             if at + 2 >= len(output.tokens) or output.tokens[at + 1].text != "=":
@@ -1018,9 +1305,16 @@ class Session:
             if output.tokens[at].low == "out":
                 target, at = _table_at(output.tokens, at + 2)
             else:
-                stats[output.tokens[at + 2].low] = output.tokens[at].low
-                at += 3
-        if bad := set(stats.values()) - set(procs.STATISTICS):
+                # A name for each variable, in their order; fewer names leave the last ones out.
+                kind, at = output.tokens[at].low, at + 2
+                names = []
+                while at < len(output.tokens) and output.tokens[at].kind == "name" and not (at + 1 < len(output.tokens) and output.tokens[at + 1].text == "="):
+                    names.append(output.tokens[at].low)
+                    at += 1
+                if not names or len(names) > len(var):
+                    raise Unsupported("OUTPUT", output.text)
+                stats |= {n: (kind, v) for n, v in zip(names, var)}
+        if bad := {k for k, _ in stats.values()} - set(procs.STATISTICS):
             raise Unsupported("statistic", ", ".join(sorted(bad)))
         if target is None:
             raise Unsupported("OUTPUT without OUT=", output.text)
@@ -1100,6 +1394,7 @@ class Session:
         s = next((x for x in block[1:] if x.head == "model"), None)
         if s is None or len(s.tokens) < 4 or s.tokens[2].text != "=" or any(t.kind != "name" for t in s.tokens[3:]):
             raise Unsupported("REG", block[0].text)
+        self._only(block, "model", "where")
         self.target(block[0], "outest", ols(self.filtered(self.source(block[0])[1], block), s.tokens[1].low, [t.low for t in s.tokens[3:]]))
 
     def proc_forecast(self, block):
@@ -1107,10 +1402,18 @@ class Session:
         method = _option(s, "method")
         if method is None or method.name != "expo" or _number(s, "trend", 2) != 2:
             raise Unsupported("FORECAST method", s.text)
-        time, var = (self.words(block, w) for w in ("id", "var"))
-        if not time or not var:
-            raise Unsupported("FORECAST without ID and VAR", s.text)
-        fitted = brown(self.source(s)[1], time[0], var[0], weight=_number(s, "weight", 0.2), nstart=int(_number(s, "nstart", 12)), lead=int(_number(s, "lead", 12)))
-        self.target(s, "out", forecast_rows(fitted).withColumnsRenamed({"month": time[0], "y": var[0]}))
+        self._only(block, "id", "var", "by", "where")
+        time, var, by = (self.words(block, w) for w in ("id", "var", "by"))
+        if not time or not var or len(var) != 1:
+            raise Unsupported("FORECAST without ID and one VAR", s.text)
+        fitted = brown(self.filtered(self.source(s)[1], block), time[0], var[0], by, weight=_number(s, "weight", 0.2), nstart=int(_number(s, "nstart", 12)), lead=int(_number(s, "lead", 12)))
+        self.target(s, "out", forecast_rows(fitted, by).withColumnsRenamed({"month": time[0], "y": var[0]}), by)
         if _option(s, "outest"):
-            self.target(s, "outest", forecast_states(fitted))
+            self.target(s, "outest", forecast_states(fitted, by), by)
+
+    @staticmethod
+    def _only(block: list[Statement], *heads: str) -> None:
+        """Refuses a procedure's other statements, which would change its result."""
+        for x in block[1:]:
+            if x.head not in heads:
+                raise Unsupported(f"{block[0].tokens[1].text.upper()} with {x.head.upper()}", x.text)
