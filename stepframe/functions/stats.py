@@ -124,8 +124,8 @@ def forecast_rows(fitted: Forecast, by: list[str] | None = None) -> DataFrame:
 
     both = F.array(row(F.col("t"), "ACTUAL", F.lit(0), F.col("y")), row(F.col("t"), "FORECAST", F.lit(1), F.col("fitted")))
     past = fitted.rows.select(*by, F.explode(both).alias("x")).select(*by, "x.*")
-    ahead = fitted.states.select(*by, "last", "constant", "linear", F.explode(F.sequence(F.lit(1), F.lit(fitted.lead))).alias("k"))
-    ahead = ahead.select(*by, F.add_months(F.col("last"), F.col("k")).alias("month"), F.lit("FORECAST").alias("_type_"), F.col("k").cast("int").alias("_lead_"), (F.col("constant") + F.col("linear") * F.col("k")).alias("y"))
+    ahead = fitted.states.select(*by, "last", "constant", "linear", F.explode(F.sequence(F.lit(1), F.lit(fitted.lead))).alias("_ahead"))
+    ahead = ahead.select(*by, F.add_months(F.col("last"), F.col("_ahead")).alias("month"), F.lit("FORECAST").alias("_type_"), F.col("_ahead").cast("int").alias("_lead_"), (F.col("constant") + F.col("linear") * F.col("_ahead")).alias("y"))
     return past.unionByName(ahead)
 
 

@@ -602,7 +602,11 @@ class RowStep(_DataStep):
 
     def _simple(self, s: Statement, items) -> _Act:
         words = [t.low for t in items]
-        nothing = lambda state: None
+
+        def leaves(state):
+            # A group's first row may end here, and leave what it hasn't set yet as the group before had it.
+            state.read |= state.held
+
         if words[:1] == ["output"]:
             names = [t.name for t in _tables(items, 1)] if len(words) > 1 else [t.name for t in self.targets]
             known, shown = [t.name for t in self.targets], self.shown
@@ -616,10 +620,10 @@ class RowStep(_DataStep):
 
             return _Act(output, lambda state: state.reads(self.retained.keys() | state.stale))
         if words == ["delete"]:
-            return _Act(lambda r: False, nothing)
+            return _Act(lambda r: False, leaves)
         if words[:1] == ["if"]:
             test = RowExpression(items[1:], self).condition()
-            return _Act(test.get, lambda state: state.reads(test.reads))
+            return _Act(test.get, lambda state: (state.reads(test.reads), leaves(state)))
         if len(words) > 2 and words[1] == "+" and items[0].kind == "name":
             value, i = self.value(items[2:]), self.place(words[0])
             self.set_names.add(words[0])

@@ -203,7 +203,7 @@ def test_translator(spark):
     s.tables["stg.a"] = spark.createDataFrame([(1, None, " x;y "), (2, 90000.0, "b")], "k int, v double, t string")
     out = s.run("proc format; value f low-<20000='LOW' 20000-high='HIGH' other='NA'; run; data out.b; set stg.a; if v < 20000 then c = 'L'; else c = 'H;'; d = put(v, f.); e = strip(t); run;")["out.b"].collect()
     assert [(r.c, r.d, r.e) for r in out] == [("L", "NA", "x;y"), ("H;", "HIGH", "b")]
-    for code, construct in (("data b; merge x y; by k; run;", "MERGE"), ("proc tabulate data=x; run;", "procedure"), ("data b; set stg.a; x = foo(k); run;", "function"), ("data b; set stg.a; y = &gone; run;", "unresolved macro variable"), ("proc sort data=stg.a out=b nodupkey; by k; run;", "NODUPKEY without a known input order")):
+    for code, construct in (("data b; update x y; by k; run;", "UPDATE"), ("proc tabulate data=x; run;", "procedure"), ("data b; set stg.a; x = foo(k); run;", "function"), ("data b; set stg.a; y = &gone; run;", "unresolved macro variable"), ("proc sort data=stg.a out=b nodupkey; by k; run;", "NODUPKEY without a known input order")):
         with pytest.raises(Unsupported) as e:
             Session(s.libraries).run(code) if "stg.a" not in code else _with(s, code)
         assert e.value.construct == construct

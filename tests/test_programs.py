@@ -121,7 +121,7 @@ def test_loops_without_groups(spark, rows):
 
 def test_what_groups_would_share_is_refused(spark, rows):
     head = "data out.t; set stg.t; by k; "
-    for body in ("retain c 7; c = c * 0.9 + v;", "p = lag(v); d = v - p;", "retain c; if v > 3 then c = v; else c = c + 1;", "retain c; d = c; if first.k then c = v; else c = c + v;", "retain c; if first.k and v > 0 then c = 0; else c = c * 2;", "retain c; if last.k then c = 0; else c = c * 2;"):
+    for body in ("retain c 7; c = c * 0.9 + v;", "p = lag(v); d = v - p;", "retain c; if v > 3 then c = v; else c = c + 1;", "retain c; d = c; if first.k then c = v; else c = c + v;", "retain c; if first.k and v > 0 then c = 0; else c = c * 2;", "retain c; if last.k then c = 0; else c = c * 2;", "retain c; if v > 1; if first.k then c = 0; c = c * 2;", "retain c; if v > 1 then delete; if first.k then c = 0; c = c * 2;"):
         assert refusal(spark, rows, head + body + " run;") == "value carried over BY groups", body
     assert refusal(spark, rows, "data out.t; set stg.t; retain c; c = c * 2 + v; run;") == "value carried over rows without BY"
     for body, construct in (("array a[2] $ x y; a[1] = 'u';", "ARRAY of another form"), ("do while(v > 1); v = v - 1; end;", "DO of another form"), ("array a[3] x y; a[1] = 2;", "ARRAY of another size"), ("do i = 1 to 2; stop; end;", "STOP")):
