@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .attention import WIDTH, Attention, Symbols, Windows, score_texts
 from .common import discard, documents, key_of_id, saved, tokenizer_path
-from .encoding import encoder, give_back, slices
+from .encoding import encoder, forget, give_back, slices
 
 #: Words counted more often than this part of all tokens go to the tasks; there are at most as many as its inverse.
 HEAVY_SHARE = 1 / 2_000_000
@@ -62,6 +62,13 @@ def _hashes_of(enc) -> _WordHashes:
     return _HASHES.setdefault(id(enc), _WordHashes(enc))
 
 
+def _make_room() -> None:
+    """Workers go from stage to stage: what they remember of pieces isn't needed once texts are encoded, and takes hundreds of MB."""
+    forget()
+    _HASHES.clear()
+    give_back()
+
+
 def _binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * flat.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
 
@@ -189,6 +196,7 @@ def _cut(sent, end_id: int):
     """Cuts texts, sorted by shard, into windows: for each shard and round a row with all of its windows."""
 
     def run(batches):
+        _make_room()
         symbols = sent.value
         end, kind = int(symbols.rank[end_id]), _id_type(symbols.used + 2)
         none, now, number = np.iinfo(kind).max, None, 0
@@ -232,6 +240,7 @@ def _train(sent, part: tuple[int, int], expected: float):
     """Trains on each row's windows, from the parameters that were sent, and adds up the results."""
 
     def run(batches):
+        _make_room()
         symbols, flat = sent.value
         kind = _id_type(symbols.used + 2)
         model, before = Attention(symbols), expected * part[0] / 16
@@ -293,7 +302,7 @@ def fit(texts: DataFrame, symbols: Symbols, end_id: int) -> Attention:
         return model
     count = int(max(1, -(-total // SHARD_IDS)))
     dealt = texts.withColumn("shard", F.pmod(F.xxhash64("key", "th", F.lit(71)), F.lit(count)).cast("int")).withColumn("turn", F.xxhash64("key", "th", F.lit(5)))
-    own = dealt.repartition(count, "shard").sortWithinPartitions("shard", "turn", "key", "th").select("shard", "n", "ids", "goes_on")
+    own = dealt.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "turn", "key", "th").select("shard", "n", "ids", "goes_on")
     shards = saved(own.mapInArrow(_cut(spark.sparkContext.broadcast(symbols), end_id), "shard int, round int, windows binary"), "shards", **ZSTD)
     for k, part in enumerate(ROUNDS):
         flat = model.flat()
@@ -309,6 +318,7 @@ def fit(texts: DataFrame, symbols: Symbols, end_id: int) -> Attention:
 
 def _score(sent, end_id: int):
     def run(batches):
+        _make_room()
         symbols, flat = sent.value
         model, end = Attention(symbols).load(flat), int(symbols.rank[end_id])
         for batch in batches:
@@ -358,6 +368,7 @@ def _base(heavy):
     """For each text a row with what frequent words give, and one for each other word in it, with its hash and count."""
 
     def run(batches):
+        _make_room()
         if heavy.value is not _WORDS.get("sent"):
             _WORDS.update(sent=heavy.value, words=_Words(*heavy.value))
         table = _WORDS["words"]
