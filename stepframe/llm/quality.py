@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, key_of_id, saved, whole_row
@@ -16,6 +16,10 @@ FLOORS = {"f_length": 0.08, "f_symbols": 0.12, "f_lines": 0.15, "f_repeats": 0.1
 FEATURES = tuple(FLOORS)
 PARAMETERS = (*[f"m_{i}" for i in range(len(FEATURES))], *[f"l_{i}_{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
 GROUP_FILES = 4
+#: Statistics lie on a grid of 2^-26 within +-31, so that their sums are whole numbers, exact in any order of rows.
+GRID, BOUND = 2**26, 31.0
+#: Squared distances are ranked to 2^-40, in bins of 2^-6 first; beyond 2^10 bins are one.
+FINE, COARSE, BINS = 40, 34, 2**16
 #: Concentration ends where half the determinant's logarithm falls by less than this, or after so many steps.
 SETTLED, STEPS = 1e-6, 50
 
@@ -50,16 +54,20 @@ def base_failed() -> Column:
 
 
 def features(stats: DataFrame) -> DataFrame:
-    """Adds the transformed vector: log mean word length; square roots of the shares of symbols, lines and words."""
+    """Adds the transformed vector: log mean word length; square roots of the shares of symbols, lines and words; on the grid."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     return stats.withColumns({
-        "f_length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
-        "f_symbols": F.sqrt(F.col("n_symbols") / n),
-        "f_lines": F.sqrt(F.least(F.lit(1.0), 8 * F.col("n_dup_lines") / n)),
-        "f_repeats": F.sqrt(F.col("n_repeat_words") / n),
+        "f_length": _on_grid(F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n)),
+        "f_symbols": _on_grid(F.sqrt(F.col("n_symbols") / n)),
+        "f_lines": _on_grid(F.sqrt(F.least(F.lit(1.0), 8 * F.col("n_dup_lines") / n))),
+        "f_repeats": _on_grid(F.sqrt(F.col("n_repeat_words") / n)),
     })
 
 
+def _on_grid(c: Column) -> Column:
+    return F.round(F.greatest(F.least(c, F.lit(BOUND)), F.lit(-BOUND)) * GRID) / GRID
+
+
 def chi2_cdf(x: float, dof: int) -> float:
     """For an even number of degrees of freedom."""
     return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dof // 2))
@@ -120,56 +128,104 @@ def group_names(stats: DataFrame, min_group: int) -> DataFrame:
     return _by_group(used.select("_lang", "_source", "grp", feeds.alias("feeds")), "feeds")
 
 
-def _moments(rows: DataFrame, keys: tuple[str, ...], values: list[Column]) -> DataFrame:
-    p = len(values)
-    return rows.groupBy(*keys).agg(*[F.avg(v).alias(f"m_{i}") for i, v in enumerate(values)], *[F.avg(values[i] * values[j]).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
+def _totals(values: list[Column]) -> list[Column]:
+    """Number of rows and exact sums of values on the grid and of their products."""
+    whole = [(v * GRID).cast("long") for v in values]
+    return [F.count("*").alias("n"), *[F.sum(k.cast("decimal(20,0)")).alias(f"t_{i}") for i, k in enumerate(whole)], *[F.sum((whole[i] * whole[j]).cast("decimal(20,0)")).alias(f"t_{i}_{j}") for i in range(len(whole)) for j in range(i + 1)]]
+
+
+def _moments(table: DataFrame, *others: str) -> DataFrame:
+    """Means m_i and mean products s_i_j from totals."""
+    p = len(FEATURES)
+    means = [(F.col(f"t_{i}").cast("double") / F.col("n") / GRID).alias(f"m_{i}") for i in range(p)]
+    return table.select(*others, *means, *[(F.col(f"t_{i}_{j}").cast("double") / F.col("n") / GRID / GRID).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
+
+
+#: Columns of ``_totals``.
+TOTALS = ("n", *[f"t_{i}" for i in range(len(FEATURES))], *[f"t_{i}_{j}" for i in range(len(FEATURES)) for j in range(i + 1)])
+
+
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """(grp, feature, q25, q50, q75): exact order statistics, from counts of values in bins, then of the values in the bins that hold them."""
+    long = rows.select("grp", F.posexplode(F.array(*[(F.col(f) * GRID).cast("long") for f in FEATURES])).alias("feature", "v")).withColumn("bin", F.shiftright("v", 16))
+    by = ("grp", "feature")
+    counted = long.groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy(*by).orderBy("bin")
+    counted = counted.select(*by, "bin", "n", F.sum("n").over(so_far).alias("c"), F.sum("n").over(Window.partitionBy(*by)).alias("all"))
+    wanted = counted.withColumn("q", F.explode(F.array(F.lit(25), F.lit(50), F.lit(75)))).withColumn("rank", F.floor((F.col("q") * F.col("all") + 99) / 100)).where((F.col("c") - F.col("n") < F.col("rank")) & (F.col("rank") <= F.col("c")))
+    wanted = _by_group(wanted.select(*by, "bin", "q", (F.col("rank") - F.col("c") + F.col("n")).alias("rest")), "quartiles")
+    inner = long.join(wanted, [*by, "bin"]).groupBy(*by, "q", "rest", "v").agg(F.count("*").alias("n"))
+    inner = inner.withColumn("c", F.sum("n").over(Window.partitionBy(*by, "q").orderBy("v"))).where("c >= rest")
+    return inner.groupBy(*by).agg(*[(F.min(F.when(F.col("q") == q, F.col("v"))) / GRID).alias(f"q{q}") for q in (25, 50, 75)])
 
 
 def _starts(rows: DataFrame, scale: float) -> DataFrame:
     """Three first estimates of each group: medians and quartile ranges; means and covariances of all rows; medians and
     covariances of the hyperbolic tangents of standardised values, which bound what a far row adds."""
     p = len(FEATURES)
-    quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(2000)).alias(f"q_{i}") for i, f in enumerate(FEATURES)])
-    centre = _by_group(quartiles.select("grp", *[F.get(f"q_{i}", F.lit(1)).alias(f"c_{i}") for i in range(p)], *[F.greatest((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / 1.349, F.lit(FLOORS[f])).alias(f"w_{i}") for i, f in enumerate(FEATURES)]), "centres")
+    quartiles = _quartiles(rows).groupBy("grp").agg(*[F.max(F.when(F.col("feature") == i, F.col(f"q{q}"))).alias(f"q{q}_{i}") for i in range(p) for q in (25, 50, 75)])
+    centre = _by_group(quartiles.select("grp", *[F.col(f"q50_{i}").alias(f"c_{i}") for i in range(p)], *[F.greatest((F.col(f"q75_{i}") - F.col(f"q25_{i}")) / 1.349, F.lit(FLOORS[f])).alias(f"w_{i}") for i, f in enumerate(FEATURES)]), "centres")
 
     def around(table: DataFrame, start: int, covariance) -> DataFrame:
         # Moments that give this covariance about the medians once scaled.
         means = [F.col(f"c_{i}").alias(f"m_{i}") for i in range(p)]
         return table.select("grp", F.lit(start).alias("start"), *means, *[(covariance(i, j) / scale + F.col(f"c_{i}") * F.col(f"c_{j}")).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)])
 
-    bounded = _moments(rows.join(centre, "grp"), ("grp",), [F.tanh((F.col(f) - F.col(f"c_{i}")) / F.col(f"w_{i}")) for i, f in enumerate(FEATURES)]).join(centre, "grp")
+    tangents = [_on_grid(F.tanh((F.col(f) - F.col(f"c_{i}")) / F.col(f"w_{i}"))) for i, f in enumerate(FEATURES)]
+    bounded = _moments(rows.join(centre, "grp").groupBy("grp").agg(*_totals(tangents)), "grp").join(centre, "grp")
     spread = around(centre, 0, lambda i, j: F.col(f"w_{i}") * F.col(f"w_{i}") if i == j else F.lit(0.0))
-    whole = _moments(rows, ("grp",), [F.col(f) for f in FEATURES]).withColumn("start", F.lit(1))
-    tangents = around(bounded, 2, lambda i, j: (F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * F.col(f"w_{i}") * F.col(f"w_{j}"))
-    return spread.unionByName(whole).unionByName(tangents)
+    whole = _moments(rows.groupBy("grp").agg(*_totals([F.col(f) for f in FEATURES])), "grp").withColumn("start", F.lit(1))
+    outer = around(bounded, 2, lambda i, j: (F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * F.col(f"w_{i}") * F.col(f"w_{j}"))
+    return spread.unionByName(whole).unionByName(outer)
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, share: float, keys: tuple[str, ...]) -> DataFrame:
+    """Totals of the ``share`` of rows (rounded up) that are nearest to each estimate of ``now``, with all that are as near as the last.
+
+    Rows are counted and summed by bins of their squared distance; bins below the one that holds the last row are taken whole, and only
+    the rows of that bin are ranked by their own distances. Both passes combine in the tasks before the shuffle.
+    """
+    values = [F.col(f) for f in FEATURES]
+    place = F.floor(F.least(_distance(), F.lit(2.0**20)) * 2.0**FINE)
+    far = rows.join(now.drop("log_det"), "grp").select(*keys, *FEATURES, place.alias("v")).withColumn("bin", F.least(F.shiftright("v", COARSE), F.lit(BINS)))
+    bins = far.groupBy(*keys, "bin").agg(*_totals(values))
+    bins = bins.select(*keys, "bin", *TOTALS, F.sum("n").over(Window.partitionBy(*keys).orderBy("bin")).alias("c"), F.sum("n").over(Window.partitionBy(*keys)).alias("all"))
+    rank = F.ceil(F.col("all") * share)
+    below, edge = F.col("c") < rank, (F.col("c") >= rank) & (F.col("c") - F.col("n") < rank)
+    taken = bins.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(below, F.col(t))), F.lit(0)).alias(f"whole_{t}") for t in TOTALS], F.max(F.when(edge, F.col("bin"))).alias("edge"), F.max(F.when(edge, rank - F.col("c") + F.col("n"))).alias("rest"))
+    taken = _by_group(taken, "taken")
+    inner = far.join(taken.select(*keys, "edge", "rest"), list(keys)).where("bin = edge").groupBy(*keys, "rest", "v").agg(*_totals(values))
+    inner = inner.withColumn("c", F.sum("n").over(Window.partitionBy(*keys).orderBy("v"))).where(F.col("c") - F.col("n") < F.col("rest"))
+    inner = inner.groupBy(*keys).agg(*[F.sum(t).alias(t) for t in TOTALS])
+    return inner.join(taken, list(keys)).select(*keys, *[(F.col(t) + F.col(f"whole_{t}")).alias(t) for t in TOTALS])
 
 
 def minimum_covariance(rows: DataFrame, share: float = 0.75) -> DataFrame:
     """Minimum-covariance-determinant estimates of each ``grp``, by concentration from three starts.
 
-    Each step takes the ``share`` of rows nearest by distance (by an approximate percentile, which merges partial sketches,
-    so a hot group costs no large task; exact for groups of under 2,000 rows) and estimates mean and covariance from them, the
+    Each step takes the ``share`` of rows nearest by distance and estimates mean and covariance from them, the
     covariance scaled to be consistent for normal data and with ``FLOORS`` on its diagonal. A start is left once its
-    determinant no longer falls; of all estimates on the way, a group takes that of least determinant.
+    determinant no longer falls; of all estimates on the way, a group takes that of least determinant. Ranks are exact and sums are
+    of whole numbers, so the result doesn't depend on how rows are parted.
     Tables with a row for each group and start are written first, so that Spark knows their size: while they are under its
     broadcast threshold no row of ``rows`` is shuffled. Above it, from thousands of groups, rows meet them by sort-merge
     joins, whose skewed keys Spark splits.
     """
     keys = ("grp", "start")
+    rows = saved(rows.select("grp", *[_on_grid(F.col(f)).alias(f) for f in FEATURES]), "features")
     scale = share / chi2_cdf(chi2_quantile(share, len(FEATURES)), len(FEATURES) + 2)
     # The first determinant isn't of a subset, so it is never the least.
     now = _by_group(_cholesky(_starts(rows, scale), scale, keys).withColumn("log_det", F.lit(float("inf"))), "mcd")
     tried = None
     for _ in range(STEPS):
-        far = rows.join(now.drop("log_det"), "grp").select(*keys, *FEATURES, _distance().alias("d2"))
-        near = _by_group(far.groupBy(*keys).agg(F.percentile_approx("d2", F.lit(share), F.lit(2000)).alias("limit")), "limits")
-        inside = far.join(near, list(keys)).where("d2 <= limit")
-        found = _cholesky(_moments(inside, keys, [F.col(f) for f in FEATURES]), scale, keys)
-        step = _by_group(found.join(now.select(*keys, F.col("log_det").alias("_before")), list(keys)), "mcd")
+        found = _cholesky(_moments(_concentrated(rows, now, share, keys), *keys), scale, keys)
+        falls, seen = F.col("log_det") < F.col("_before") - SETTLED, Observation()
+        step = found.join(now.select(*keys, F.col("log_det").alias("_before")), list(keys))
+        step = _by_group(step.observe(seen, F.count_if(falls).alias("n")), "mcd")
         tried = step.drop("_before") if tried is None else tried.unionByName(step.drop("_before"))
-        now = step.where(F.col("log_det") < F.col("_before") - SETTLED).drop("_before")
-        if now.isEmpty():
+        if not seen.get["n"]:
             break
+        now = step.where(falls).drop("_before")
     # Equal determinants of two starts: the first.
     best = tried.groupBy("grp").agg(F.min_by(F.struct(*PARAMETERS), F.struct(F.round("log_det", 9), "start")).alias("best"))
     return _by_group(best.select("grp", "best.*"), "best")

@@ -542,3 +542,16 @@ def test_near_dedup_of_one_large_group(spark):
 
     alone = {x.fp: x.alone for x in simhash.set_bounds(spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 9, 11]), (3, [3])], "fp long, own array<long>")).collect()}
     assert alone == {1: 1, 2: 2, 3: 0}
+
+
+def test_quality_does_not_depend_on_partitions(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(600):
+        words = ["".join(r.choice("abcdefgh#") for _ in range(r.randint(1, 9))) for _ in range(r.randint(25, 90))]
+        if i % 9 == 0:
+            words[10:20] = words[:10]
+        rows.append((i, " ".join(words), r.choice(["en", "fr"]), r.choice(["s", "s", "t", None])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = [{x.doc_id: (x.kept, x.distance) for x in quality.judged(docs.repartition(n)).collect()} for n in (1, 3, 17)]
+    assert got[0] == got[1] == got[2] and any(not kept for kept, _ in got[0].values())
