@@ -40,9 +40,10 @@ class WordEncoder:
     then independent. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered, self.kept = remembered, remembered * KEPT // REMEMBERED
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.ending = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -59,9 +60,9 @@ class WordEncoder:
 
     def _shrink(self) -> None:
         keep = _Index()
-        keep.update((w, i) for w, i in self.index.items() if i < KEPT)
+        keep.update((w, i) for w, i in self.index.items() if i < self.kept)
         self.index = keep
-        self.starts, self.lengths = self.starts[:KEPT], self.lengths[:KEPT]
+        self.starts, self.lengths = self.starts[: self.kept], self.lengths[: self.kept]
         self.pool = self.pool[: int((self.starts + self.lengths).max(initial=0))]
 
     def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +127,7 @@ class WordEncoder:
 
         None is empty. With ``lower``, A-Z are lowered first, which the tokenizer does anyway.
         """
-        if len(self.index) > REMEMBERED:
+        if len(self.index) > self.remembered:
             self._shrink()
         look = self.index.__getitem__
         parts = []
@@ -154,14 +155,14 @@ class WordEncoder:
         return np.insert(flat, bounds[1:], np.int32(end_id)), bounds + np.arange(len(bounds))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> WordEncoder:
+    """The worker's encoder for a file, which remembers so many pieces."""
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = WordEncoder(path, remembered)
+    return _ENCODERS[path, remembered]
 
 
 def forget() -> None:

@@ -53,7 +53,7 @@ class _Buckets:
 def measured(docs: DataFrame, tokenizer: str | None = None, topics: int = 4, buckets: int = 4096, seed: int = 5) -> DataFrame:
     """(doc_id, th, source, lang, topic, tokens, u): hash of the text, token counts with an end id, a hashed topic, a hash in [0, 1).
 
-    Row by row. u depends on the doc_id only, so a document is drawn alike in any order and partitioning. Null source or
+    Row by row; repeated rows each get theirs; an empty table gives no rows. u depends on the doc_id only, so a document is drawn alike in any order and partitioning. Null source or
     lang is the empty string; null texts have one token and topic 0; a null doc_id has the hash of null.
     """
     path = tokenizer or tokenizer_path()
@@ -85,15 +85,16 @@ def tempered(shares: dict, power: float) -> dict:
     return {k: v / sum(raised.values()) for k, v in raised.items()}
 
 
-def rake(cells: pd.DataFrame, targets: dict[str, dict], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Weights of ``cells`` (margin columns, tokens) that sum to 1 and have the target marginals as nearly as they can.
+def rake(cells: pd.DataFrame, targets: dict[str, dict], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, bool]:
+    """Weights of ``cells`` (margin columns, tokens) that sum to 1 and have the target marginals as nearly as they can, and whether all
+    marginals were met to the tolerance; targets that no weights meet end after ``rounds`` with the last margin met.
 
     Each pass scales the weights of a margin's values to its targets. Values without a target get weight 0; targets
     without cells are left out and the rest scaled to 1.
     """
     w = cells["tokens"].to_numpy(float)
     w = w / max(w.sum(), 1e-300)
-    codes = {m: pd.factorize(cells[m]) for m in targets}
+    codes, met = {m: pd.factorize(cells[m]) for m in targets}, False
     for _ in range(rounds):
         moved = 0.0
         for m, target in targets.items():
@@ -104,16 +105,18 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict], rounds: int = ROUNDS, to
             factor = np.divide(want, now, out=np.zeros(len(now)), where=now > 0)
             moved = max(moved, float(np.abs(now - np.where(now > 0, want, 0)).max(initial=0)))
             w = w * factor[code]
-        if moved < tolerance:
+        if met := moved < tolerance:
             break
-    return w / max(w.sum(), 1e-300)
+    return w / max(w.sum(), 1e-300), met
 
 
 def rake_table(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The same on a table of any size, with the same end: adds ``weight``. ``targets``: for each margin, a table (margin, share)."""
+    """The same on a table of any size, with the same end: adds ``weight`` and ``converged``. ``targets``: for each margin, a table
+    (margin, share)."""
     total = F.greatest(F.col("_all"), F.lit(1e-300))
     first = cells.crossJoin(F.broadcast(cells.agg(F.sum("tokens").cast("double").alias("_all"))))
     now = saved(first.select(*cells.columns, (F.col("tokens") / total).alias("weight"), F.lit(0.0).alias("_moved")), "raked")
+    met = False
     for _ in range(rounds):
         out, used = now.withColumn("_moved", F.lit(0.0)), [now]
         for m, target in targets.items():
@@ -126,13 +129,14 @@ def rake_table(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = RO
         now = saved(out, "raked")
         for table in used:
             discard(table)
-        if (now.agg(F.max("_moved")).first()[0] or 0.0) < tolerance:
+        if met := (now.agg(F.max("_moved")).first()[0] or 0.0) < tolerance:
             break
-    return now.drop("_moved")
+    return now.drop("_moved").withColumn("converged", F.lit(met))
 
 
 def inclusion(cells: DataFrame, targets: dict[str, dict] | None, power: float, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """Adds ``weight`` (share of the mixture) and ``probability`` of drawing a document of the cell.
+    """Adds ``weight`` (share of the mixture), ``converged`` (whether all marginals were met) and ``probability`` of drawing a document of
+    the cell.
 
     The mixture is as large as it can be without repeating documents: the probability is weight over tokens, scaled so
     that the largest is 1. Marginal targets not given are the present shares raised to ``power``.
@@ -142,9 +146,9 @@ def inclusion(cells: DataFrame, targets: dict[str, dict] | None, power: float, d
         pdf = cells.toPandas().sort_values(list(MARGINS), ignore_index=True)
         total = max(float(pdf["tokens"].sum()), 1.0)
         full = {m: (targets or {}).get(m) or tempered((pdf.groupby(m)["tokens"].sum() / total).to_dict(), power) for m in MARGINS}
-        pdf["weight"] = rake(pdf, full)
+        pdf["weight"], met = rake(pdf, full)
         rows = [(*map(str, r[:3]), int(r[3]), float(r[4])) for r in pdf[[*MARGINS, "tokens", "weight"]].itertuples(index=False)]
-        out = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, weight double")
+        out = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, weight double").withColumn("converged", F.lit(met))
     else:
         want = {}
         for m in MARGINS:
@@ -161,7 +165,7 @@ def inclusion(cells: DataFrame, targets: dict[str, dict] | None, power: float, d
 
 
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None, power: float = 0.9, tokenizer: str | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """Per document: source, lang, topic, tokens, its cell's weight and probability, and whether it is drawn.
+    """Per document: source, lang, topic, tokens, its cell's weight and probability, whether raking converged, and whether it is drawn.
 
     A document is drawn if the hash of its doc_id is under its probability, so expected tokens have the raked
     proportions. Cells are summed before the shuffle, so a source with most rows costs one row for each task. The join
@@ -174,8 +178,8 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, power: float =
 def _mixed(docs: DataFrame, targets: dict[str, dict] | None, power: float, tokenizer: str | None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     rows = saved(measured(docs, tokenizer), "measured")
     cells = rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
-    odds = inclusion(cells, targets, power, driver_cells).select(*MARGINS, "weight", "probability")
-    return rows.join(odds, list(MARGINS)).select("doc_id", "th", *MARGINS, "tokens", "weight", "probability", (F.col("u") < F.col("probability")).alias("drawn"))
+    odds = inclusion(cells, targets, power, driver_cells).select(*MARGINS, "weight", "probability", "converged")
+    return rows.join(odds, list(MARGINS)).select("doc_id", "th", *MARGINS, "tokens", "weight", "probability", "converged", (F.col("u") < F.col("probability")).alias("drawn"))
 
 
 def draw(docs: DataFrame, targets: dict[str, dict] | None = None, power: float = 0.9, tokenizer: str | None = None) -> DataFrame:

@@ -26,8 +26,8 @@ RATE, LEAST, MOST, SEEN = 0.15, 64, 512, 128
 BLOCK, AT_ONCE, LARGEST = 32_768, 1_000_000, 2_000_000
 #: Parts of the parameters that are summed apart from each other, and their fixed point.
 PARTS, POINT = 16, 1 << 20
-#: Words between white space that a worker remembers.
-REMEMBERED = 400_000
+#: Words between white space that a worker remembers, and pieces while it encodes.
+REMEMBERED, PIECES = 400_000, 600_000
 #: How ids and windows are written.
 ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 #: Word counts travel in so many parts by hash; distinct words that are added up at a time.
@@ -91,7 +91,8 @@ def _gather(path: str):
     each text's ids, and whether each one's piece goes on after it though it could end there (2)."""
 
     def run(batches):
-        enc = encoder(path)
+        # Hashes and counts of all remembered pieces stand beside them here.
+        enc = encoder(path, PIECES)
         hashes = _hashes_of(enc)
         symbols = np.zeros(2 * enc.tokenizer.get_vocab_size(), np.int64)
         texts_seen, index, totals = 0, enc.index, np.zeros(0, np.int64)

@@ -282,13 +282,13 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
     Near-duplicates: word shingles with Jaccard similarity 0.8 or more, through any chain. Equal sets are first reduced
     to one. Null and empty texts are alike. A null doc_id counts as the least id; rows of null or equal doc_id with texts
-    of other groups stay.
+    of other groups stay; of rows that repeat id and text one stays. An empty table gives no rows.
     """
     prints = saved(add_shingles(docs, words).groupBy("fp").agg(F.min(F.struct("key", "hash")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "prints")
 
     def sets_of(fps):
         # Texts are read again: sets of all documents would take more room than the texts.
-        wanted = saved(prints.join(fps, "fp", "left_semi").select("fp", F.col("first.key").alias("key"), F.col("first.hash").alias("hash")).repartition(4), "wanted")
+        wanted = saved(prints.join(fps, "fp", "left_semi").select("fp", F.col("first.key").alias("key"), F.col("first.hash").alias("hash")).hint("rebalance"), "wanted")
         texts = docs.select(key_of_id().alias("key"), F.xxhash64("text").alias("hash"), "text").join(wanted, ["key", "hash"])
         return shingle_sets(texts.groupBy("fp").agg(F.first("text").alias("text")), words)
 

@@ -122,24 +122,44 @@ def _bucket(key, bounds: list[int]):
     return (group * step + F.when(group < len(groups), rest).otherwise(0)).cast("int")
 
 
+#: Bytes of text of a partition, about, and the most partitions that are asked for.
+PART_BYTES, MOST_PARTS = 64 << 20, 20_000
+
+
 def with_following(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Deals rows so that each partition is a run of descending doc_ids that ends with the row after its last one.
+    """Deals rows so that each partition is a run in the order of descending doc_id, text hash and text that ends with the row after its
+    last one.
 
     Columns: ``key`` (doc_id, null as least), ``doc_id``, ``text``, ``bucket``, ``ghost`` (the extra row). One shuffle of
-    texts by ranges of ids; the ranges come from quantiles of the ids. The extra rows are the largest id of each range,
-    so the broadcast that marks them has a row for each range.
+    texts by ranges of ids, as many as the bytes of all texts ask for; the ranges come from quantiles of the ids. An id that several
+    quantiles fall on, as it has many rows, is split into as many ranges of text hashes. The extra row is the first of the
+    next range, so the broadcast that marks them has a row for each range.
     """
     spark = docs.sparkSession
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(key_of_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marks = rows.agg(F.percentile_approx("key", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(20 * n))).first()[0] if n > 1 else []
-    bounds = sorted(set(marks or []))
-    rows = rows.withColumn("bucket", _bucket(F.col("key"), bounds))
-    tops = rows.groupBy("bucket").agg(F.max("key").alias("key")).orderBy("bucket").collect()
-    above = [(tops[i].key, tops[(i + 1) % len(tops)].bucket) for i in range(len(tops))]
-    ghosts = F.broadcast(spark.createDataFrame(above, "key long, to int"))
-    out = rows.join(ghosts, "key", "left").withColumn("at", F.explode(F.when(F.col("to").isNull(), F.array(F.struct(F.col("bucket"), F.lit(0).alias("ghost")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(0).alias("ghost")), F.struct(F.col("to").alias("bucket"), F.lit(1).alias("ghost"))))))
-    return out.select("key", "doc_id", "text", "at.bucket", "at.ghost").repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "ghost", F.desc("key"), "text")
+    if partitions is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        partitions = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)), MOST_PARTS)
+    n = max(1, partitions)
+    marks = (rows.agg(F.percentile_approx("key", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(20 * n))).first()[0] if n > 1 else None) or []
+    bounds = sorted(set(marks))
+    # In the order of the run: for each range from the last, first the parts of its largest id, if that is split, then its other ids.
+    times = [*[t if (t := marks.count(b)) > 1 else 0 for b in bounds], 0]
+    before, total = [0] * len(times), 0
+    for b in reversed(range(len(times))):
+        before[b] = total
+        total += times[b] + 1
+    below = _bucket(F.col("key"), bounds)
+    own = F.get(F.lit(times), below)
+    split = (own > 0) & (F.col("key") == F.get(F.lit([*bounds, 0]).cast("array<bigint>"), below))
+    part = F.floor((F.col("th") / F.lit(2.0**64) + 0.5) * own).cast("int")
+    rows = rows.withColumn("th", F.xxhash64("text")).withColumn("bucket", F.get(F.lit(before), below) + F.when(split, F.least(part, own - 1)).otherwise(own)).withColumn("nth", F.bitwise_not("th"))
+    tops = sorted((r.bucket, *r.top) for r in rows.groupBy("bucket").agg(F.max(F.struct("key", "nth")).alias("top")).collect())
+    above = [(*tops[(i + 1) % len(tops)][1:], t[0]) for i, t in enumerate(tops)]
+    ghosts = F.broadcast(spark.createDataFrame(above, "key long, nth long, to int"))
+    here = F.struct(F.col("bucket"), F.lit(0).alias("ghost"))
+    out = rows.join(ghosts, ["key", "nth"], "left").withColumn("at", F.explode(F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("to").alias("bucket"), F.lit(1).alias("ghost"))))))
+    return out.select("key", "th", "doc_id", "text", "at.bucket", "at.ghost").repartitionById(total, F.col("bucket")).sortWithinPartitions("bucket", "ghost", F.desc("key"), "th", "text").drop("th")
 
 
 def _compare(k: int, w: int):
@@ -181,7 +201,8 @@ def _compare(k: int, w: int):
 def compare_with_edits(docs: DataFrame, k: int = 24, w: int = 64) -> DataFrame:
     """Per document: its winnowing fingerprint, that of its edited text, and its likeness to that and to the next one's.
 
-    The next document is that of the next smaller doc_id (null counts as least; rows of equal doc_id follow by text);
+    The next document is that of the next smaller doc_id (null counts as least; rows of equal doc_id follow by
+    text hash, then text);
     after the least comes the greatest; a single document follows itself. Fingerprints are the chosen hashes in order of
     position, 8 hexadecimal digits each. Null texts are empty; repeated rows stay; an empty table gives no rows.
     """

@@ -555,3 +555,58 @@ def test_quality_does_not_depend_on_partitions(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = [{x.doc_id: (x.kept, x.distance) for x in quality.judged(docs.repartition(n)).collect()} for n in (1, 3, 17)]
     assert got[0] == got[1] == got[2] and any(not kept for kept, _ in got[0].values())
+
+
+def test_following_rows_of_a_hot_id(spark):
+    """Half of all rows share an id, a few are equal in all: each partition is a run of one order, and ends with the row after it."""
+    r = random.Random(8)
+    rows = [(7 if i % 2 else None if i % 10 == 0 else r.randint(0, 300), "same" if i % 7 == 0 else f"text {i}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    key = lambda x: (-(x[0] if x[0] is not None else -(2**63)), x[1], x[2])
+    hashes = {(x.doc_id, x.text): x.h for x in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((i, hashes[i, t], t) for i, t in rows), key=key)
+    got = winnowing.with_following(docs, 12).withColumn("p", F.spark_partition_id()).collect()
+    runs = defaultdict(list)
+    for x in got:
+        runs[x.bucket].append((x.doc_id, x.text, x.ghost))
+    own = [(i, t) for b in sorted(runs) for i, t, ghost in runs[b] if not ghost]
+    assert own == [(i, t) for i, _, t in order]
+    first = [next((i, t) for i, t, ghost in runs[b] if not ghost) for b in sorted(runs)]
+    for n, b in enumerate(sorted(runs)):
+        assert {(i, t) for i, t, ghost in runs[b] if ghost} == {first[(n + 1) % len(first)]}
+    hot = [b for b in runs if any(i == 7 for i, _, ghost in runs[b] if not ghost)]
+    assert len(hot) > 3 and max(map(len, runs.values())) < 300
+    texts = [r.text for r in spark.createDataFrame(rows, "doc_id long, text string").collect()]
+    assert Counter(x.edited_sha256 for x in winnowing.compare_with_edits(docs).collect()) == Counter(hashlib.sha256((t[: len(t) - len(t) // 3] + order[(n + 1) % len(order)][2][: len(t) // 3]).encode()).hexdigest() for n, (_, _, t) in enumerate(order)) and len(texts) == 800
+
+
+def brute_rake(cells, targets, rounds=5000):
+    """Scales margin after margin on plain dictionaries."""
+    w = {c: float(n) for c, n in cells.items()}
+    for _ in range(rounds):
+        for place, target in enumerate(targets):
+            now = Counter()
+            for c, v in w.items():
+                now[c[place]] += v
+            there = sum(target.get(k, 0) for k in now)
+            w = {c: v * target.get(c[place], 0) / there / now[c[place]] if now[c[place]] else 0.0 for c, v in w.items()}
+    return {c: v / sum(w.values()) for c, v in w.items()}
+
+
+def test_raked_weights_brute(spark):
+    r = random.Random(14)
+    cells = {(s, x, t): r.randint(1, 5000) for s in "abcd" for x in "xyz" for t in ("t0", "t1") if r.random() < 0.8}
+    targets = {"source": {"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}, "lang": {"x": 0.5, "y": 0.25, "z": 0.25}, "topic": {"t0": 0.7, "t1": 0.3}}
+    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
+    want = brute_rake(cells, list(targets.values()))
+    top = max(want[c] / n for c, n in cells.items())
+    for most in (1000, 0):
+        got = {(x.source, x.lang, x.topic): x for x in mixing.inclusion(df, targets, 0.9, most).collect()}
+        assert {c: x.weight for c, x in got.items()} == pytest.approx(want, abs=1e-7) and all(x.converged for x in got.values())
+        assert {c: x.probability for c, x in got.items()} == pytest.approx({c: want[c] / n / top for c, n in cells.items()}, abs=1e-5)
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    df = spark.createDataFrame([("a", "x", "t0", 10), ("b", "y", "t0", 10)], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.2, "y": 0.8}, "topic": {"t0": 1.0}}
+    assert not any(x.converged for x in mixing.inclusion(df, targets, 0.9).collect())
