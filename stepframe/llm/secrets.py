@@ -18,8 +18,11 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: What the network looks at besides base findings: long runs of key characters with a letter and a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What the network looks at besides base findings: long runs of key characters with a letter and a digit, and what a word
+#: announces, with or without them.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+ANNOUNCED = re.compile(r"""(?ai)(?:key|pwd|pass|auth|credentials?|bearer)["']?(?:\x20*[:=]\x20*|(?<=bearer)\x20+)["']?([A-Za-z0-9+/_=.-]{8,})""")
+ANNOUNCERS = ("key", "pwd", "pass", "auth", "credential", "bearer")
 
 LEFT, BODY, RIGHT = 32, 64, 16
 LENGTH = LEFT + BODY + RIGHT
@@ -42,25 +45,45 @@ def ordered(spans: list) -> list:
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def candidates(text: str, base: list) -> list[tuple[int, int]]:
-    """Runs of key characters that hold a letter and a digit and touch no base span."""
-    out = []
+def candidates(text: str, base: list) -> list[tuple[int, int, bool]]:
+    """(start, end, announced) of the values that the network judges, by start: those that a word announces, and other runs of key
+    characters that hold a letter and a digit. None touches a base span; dots at an end don't belong to a value."""
+    runs = []
+    low = text.lower()
+    if any(w in low for w in ANNOUNCERS):
+        runs += [(m.start(1), m.start(1) + len(m[1].rstrip(".")), True) for m in ANNOUNCED.finditer(text)]
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(a < m.end() and m.start() < b for _, a, b in base):
-            out.append((m.start(), m.end()))
+        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+            runs.append((m.start(), m.start() + len(s.rstrip(".")), False))
+    # A run that holds an announced value is that value.
+    out, spans, at, last, far = [], sorted((a, b) for _, a, b in base), 0, 0, 0
+    for start, end, announced in sorted(runs, key=lambda r: (r[0], not r[2])):
+        # Base spans that begin before the run's end; the farthest end among them says if one reaches into it.
+        while at < len(spans) and spans[at][0] < end:
+            far = max(far, spans[at][1])
+            at += 1
+        if start >= last and end - start >= (8 if announced else 16) and far <= start:
+            out.append((start, end, announced))
+            last = end
     return out
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """Character ids of a candidate (its first and last characters if it is long) and of what surrounds it."""
-    body = text[start:end]
-    body = body if len(body) <= BODY else body[: BODY // 2] + body[-BODY // 2 :]
+    """Character ids of a value (its first ``BODY`` characters if it is longer, see ``windows``) and of what surrounds it."""
+    body = text[start : min(end, start + BODY)]
     s = text[max(0, start - LEFT) : start].rjust(LEFT, "\x00") + body.ljust(BODY, "\x00") + text[end : end + RIGHT].ljust(RIGHT, "\x00")
     codes = np.frombuffer(s.encode("utf-32-le"), np.uint32)
     return np.where(codes == 0, 0, np.where((codes >= 32) & (codes < 127), codes - 30, 1)).astype(np.uint8)
 
 
+def windows(text: str, start: int, end: int) -> list[np.ndarray]:
+    """Windows that cover a value whole: one, or for a long value one for each ``BODY`` characters, the last up to its end."""
+    if end - start <= BODY:
+        return [window(text, start, end)]
+    return [window(text, a, min(a + BODY, end)) for a in [*range(start, end - BODY, BODY), end - BODY]]
+
+
 class CharCnn:
     """Embedding, one convolution, maximum and mean over positions inside and outside the candidate, logistic output."""
 
@@ -73,6 +96,8 @@ class CharCnn:
         self.bias = np.zeros(self.FILTERS, np.float32)
         self.out = np.zeros(4 * self.FILTERS + 1, np.float32)
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        #: Thresholds of announced and of other values.
+        self.thresholds = {True: 0.5, False: 0.5}
 
     def _parts(self):
         return [self.embed, self.conv, self.bias, self.out]
@@ -141,8 +166,19 @@ class CharCnn:
             step = np.linalg.solve(h, [((y - p) * z).sum() - 1e-3 * a, (y - p).sum()])
             a, b = a + step[0], b + step[1]
         self.scale, self.shift = float(a), float(b)
-        scores = np.sort(self.probability(x[y == 1]))
-        self.threshold = float(scores[int((1 - recall) * len(scores))]) if len(scores) else 1.0
+        self.threshold = self._lowest(x[y == 1], recall)
+        self.thresholds = {True: self.threshold, False: self.threshold}
+
+    def _lowest(self, x: np.ndarray, recall: float) -> float:
+        scores = np.sort(self.probability(x))
+        return float(scores[int((1 - recall) * len(scores))]) if len(scores) else 1.0
+
+    def calibrate_kinds(self, x: np.ndarray, y: np.ndarray, recall: float, announced: np.ndarray) -> None:
+        """The threshold that keeps the recall, of announced values and of others by themselves, where held-out ones are there."""
+        for kind in (True, False):
+            own = x[(y == 1) & (announced == kind)]
+            if len(own):
+                self.thresholds[kind] = self._lowest(own, recall)
 
 
 def text_findings(text: str) -> list[tuple[np.ndarray, int]]:
@@ -177,17 +213,27 @@ def corpus_findings(docs: DataFrame, sample_docs: int, per_doc: int = 500) -> tu
     return [(np.frombuffer(bytes(r.window), np.uint8), r.label) for r in rows if r.window is not None], [r.passage for r in rows if r.passage]
 
 
-def made_findings(passages: list[str], count: int = 3000, seed: int = 7) -> list[tuple[np.ndarray, int]]:
+#: Kinds of made secrets; announced ones may also be short or without digits.
+SECRETS = ("mixed", "lower", "prefixed", "dashed", "encoded", "dotted", "letters", "short")
+
+
+def made_findings(passages: list[str], count: int = 3000, seed: int = 7, without: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> list[tuple[np.ndarray, int]]:
     """Labelled windows of made findings between words of ``passages``; a label follows from what was made.
 
-    Positive: keys, bearer tokens, prefixed tokens, encoded secrets, most after words that announce one. Negative:
-    numbered words, time stamps, UUIDs, paths, long identifiers.
+    Positive, of the ``SECRETS`` that ``without`` and ``only`` leave: keys, prefixed and dotted tokens, encoded secrets, most after words
+    that announce one. Negative: numbered words, time stamps, UUIDs, paths, host names, versions, long identifiers, and
+    plain words, some after the same announcing words.
     """
-    return [(x, y) for x, y, _ in _made(passages, count, seed)]
+    return [(x, y) for x, y, _, _ in _made_kinds(passages, count, seed, without, only)]
 
 
 def _made(passages: list[str], count: int = 3000, seed: int = 7) -> list[tuple[np.ndarray, int, bool]]:
     """Made findings, and whether base patterns find them anyway."""
+    return [m[:3] for m in _made_kinds(passages, count, seed)]
+
+
+def _made_kinds(passages: list[str], count: int = 3000, seed: int = 7, without: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> list[tuple[np.ndarray, int, bool, bool]]:
+    """The same, and whether a word announces them."""
     r, out = np.random.default_rng(seed), []
     words = [w.strip(".,") for t in passages for w in t.split()] or ["some", "text"]
     low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -202,19 +248,33 @@ def _made(passages: list[str], count: int = 3000, seed: int = 7) -> list[tuple[n
         text = f"{some(6)} {before}"
         whole = f"{text}{value} {some(4)}"
         start, end = len(text), len(text) + len(value)
-        out.append((window(whole, start, end), label, any(a < end and start < b for _, a, b in base_spans(whole))))
-
-    secret = (lambda: chars(low + up + digit, int(r.integers(20, 48))), lambda: chars(low + digit, int(r.integers(20, 48))), lambda: "ghp_" + chars(low + up + digit, 36), lambda: "sk-" + chars(low + up + digit, 40), lambda: chars(low + up + digit + "+/", 40) + "==")
-    lead = ("key = ", "auth: ", "credential=", "Authorization: Bearer ", "private_key: ", "access_token=", "pwd: ", "client_secret: ", "--token ", "https://user:")
-    plain = (lambda: some(3).replace(" ", "") + chars(digit, 2), lambda: f"{chars(digit, 4)}-{chars(digit, 2)}-{chars(digit, 2)}T{chars(digit, 6)}Z", lambda: "-".join(chars("abcdef" + digit, n) for n in (8, 4, 4, 4, 12)), lambda: "/" + "/".join(some(1) for _ in range(4)) + chars(digit, 1), lambda: f"chapter_{some(1)}_{some(1)}_{chars(digit, 2)}")
+        base = base_spans(whole)
+        told = any(a == start and announced for a, _, announced in candidates(whole, []))
+        out.append((window(whole, start, end), label, any(a < end and start < b for _, a, b in base), told))
+
+    every = low + up + digit
+    secret = {
+        "mixed": lambda: chars(every, int(r.integers(20, 48))), "lower": lambda: chars(low + digit, int(r.integers(20, 48))), "prefixed": lambda: "ghp_" + chars(every, 36), "dashed": lambda: "sk-" + chars(every, 40),
+        "encoded": lambda: chars(every + "+/", 40) + "==", "dotted": lambda: ".".join(chars(every + "-_", int(n)) for n in r.integers(12, 28, 2 + int(r.integers(0, 2)))),
+        "letters": lambda: chars(low if r.random() < 0.5 else low + up, int(r.integers(18, 32))), "short": lambda: chars(every + "+/", int(r.integers(10, 16))),
+    }
+    kinds = [k for k in SECRETS if k not in without and (not only or k in only)]
+    lead = ("key = ", "auth: ", "credential=", "Authorization: Bearer ", "private_key: ", "key=", "pwd: ", "credentials: ", "pass=", "Bearer ")
+    open_lead = ("", "see ", "page ", "id: ", "the ", "on ")
+    plain = (lambda: some(3).replace(" ", "") + chars(digit, 2), lambda: f"{chars(digit, 4)}-{chars(digit, 2)}-{chars(digit, 2)}T{chars(digit, 6)}Z", lambda: "-".join(chars("abcdef" + digit, n) for n in (8, 4, 4, 4, 12)), lambda: "/" + "/".join(some(1) for _ in range(4)) + chars(digit, 1), lambda: f"chapter_{some(1)}_{some(1)}_{chars(digit, 2)}", lambda: f"www.{some(1)}.{some(1)}.example{chars(digit, 1)}.org/{some(1)}", lambda: f"v{chars(digit, 1)}.{chars(digit, 2)}.{chars(digit, 1)}-{some(1)}.{chars(digit, 4)}")
     for i in range(count // 2):
-        emit(lead[i % len(lead)] if i % 4 else "", secret[i % len(secret)](), 1)
-        emit(("", "see ", "page ", "id: ", "the ", "on ")[i % 6], plain[i % len(plain)]().ljust(16, "x"), 0)
+        kind = kinds[i % len(kinds)]
+        emit(lead[int(r.integers(0, len(lead)))] if kind in ("letters", "short") or i % 4 else "", secret[kind](), 1)
+        # Plain words, a few joined, stand after announcing words as often as secrets do.
+        if i % 3 == 0:
+            emit(lead[int(r.integers(0, len(lead)))], some(1 + int(r.integers(0, 3))).replace(" ", "_-."[int(r.integers(0, 3))]).ljust(8, "e"), 0)
+        else:
+            emit(open_lead[i % len(open_lead)], plain[i % len(plain)]().ljust(16, "x"), 0)
     return out
 
 
-def train(findings: list[tuple[np.ndarray, int]], recall: float = 0.95, seed: int = 0, base: list[tuple[np.ndarray, int]] | None = None) -> CharCnn:
-    """Fit on two thirds of labelled findings, calibrate and set the threshold on the rest. Findings of ``base``, which
+def train(findings: list[tuple[np.ndarray, int]], recall: float = 0.95, seed: int = 0, base: list[tuple[np.ndarray, int]] | None = None, announced: list[bool] | None = None) -> CharCnn:
+    """Fit on two thirds of labelled findings, calibrate and set the thresholds on the rest. Findings of ``base``, which
     stay whatever their score, are only fitted."""
     x, y = np.stack([f[0] for f in findings]), np.array([f[1] for f in findings])
     held = np.random.default_rng(3).random(len(x)) < 1 / 3
@@ -222,14 +282,16 @@ def train(findings: list[tuple[np.ndarray, int]], recall: float = 0.95, seed: in
     more = [f[0] for f in base or []], [f[1] for f in base or []]
     model.fit(np.stack([*x[~held], *more[0]]), np.concatenate([y[~held], np.array(more[1], y.dtype)]))
     model.calibrate(x[held], y[held], recall)
+    if announced is not None:
+        model.calibrate_kinds(x[held], y[held], recall, np.array(announced)[held])
     return model
 
 
 def trained_on(docs: DataFrame, sample_docs: int = 2000, recall: float = 0.95, per_doc: int = 500) -> CharCnn:
     """A model from labelled findings of at most ``sample_docs`` documents, ``per_doc`` of each, and made ones."""
     found, passages = corpus_findings(docs, sample_docs, per_doc)
-    made = _made(passages)
-    return train([(x, y) for x, y, known in made if not known], recall, base=found + [(x, y) for x, y, known in made if known])
+    made = _made_kinds(passages)
+    return train([(x, y) for x, y, known, _ in made if not known], recall, base=found + [(x, y) for x, y, known, _ in made if known], announced=[told for _, _, known, told in made if not known])
 
 
 def scan_text(text: str, model: CharCnn) -> list[tuple[str, int, int, float]]:
@@ -245,13 +307,20 @@ def scan_texts(texts: list, model: CharCnn) -> list[list[tuple[str, int, int, fl
         for kind, a, b in base:
             x.append(window(text, a + (ASSIGN.match(text, a).start(2) - a if kind == "assign" else 0), b))
             at.append((i, kind, a, b))
-        for a, b in candidates(text, base):
-            x.append(window(text, a, b))
-            at.append((i, "model", a, b))
+        for a, b, announced in candidates(text, base):
+            parts = windows(text, a, b)
+            x += parts
+            at += [(i, ("model", announced), a, b)] * len(parts)
         out.append([])
-    for (i, kind, a, b), p in zip(at, model.probability(np.stack(x)) if x else []):
-        if kind != "model" or p >= model.threshold:
-            out[i].append((kind, a, b, float(p)))
+    best: dict[tuple, float] = {}
+    for found, p in zip(at, model.probability(np.stack(x)) if x else []):
+        # A long value is as likely as its likeliest part.
+        best[found] = max(best.get(found, 0.0), float(p))
+    for (i, kind, a, b), p in best.items():
+        if isinstance(kind, str):
+            out[i].append((kind, a, b, p))
+        elif p >= model.thresholds[kind[1]]:
+            out[i].append((kind[0], a, b, p))
     return [ordered(f) for f in out]
 
 
@@ -262,8 +331,8 @@ def scan(docs: DataFrame, model: CharCnn) -> DataFrame:
     """Adds ``findings`` to each row: (kind, start, end, probability), code points, end exclusive, by start and kind.
 
     Base findings always stay; the network adds candidates whose calibrated probability reaches its threshold, as kind
-    ``model``. Row by row, no shuffle. Null texts are empty and have no findings; an existing column ``findings`` is
-    replaced; other columns pass through.
+    ``model``. Row by row, no shuffle. Null texts are empty and have no findings; repeated rows each get theirs; an
+    existing column ``findings`` is replaced; other columns pass through; an empty table gives no rows.
     """
     docs = docs.drop("findings")
     names = docs.columns
@@ -284,7 +353,7 @@ def scan(docs: DataFrame, model: CharCnn) -> DataFrame:
 def redact(docs: DataFrame, model: CharCnn, mark: str = "[REDACTED]") -> DataFrame:
     """The documents with each finding's characters replaced by ``mark`` (overlapping findings by one); same columns.
 
-    ``n_chars``, where present, is the new length. Null texts stay null.
+    ``n_chars``, where present, is the new length. Null texts stay null, repeated rows repeated; an empty table stays empty.
     """
     from pyspark.sql.pandas.functions import pandas_udf
 

@@ -149,7 +149,7 @@ def with_following(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     for b in reversed(range(len(times))):
         before[b] = total
         total += times[b] + 1
-    below = _bucket(F.col("key"), bounds)
+    below = F.least(_bucket(F.col("key"), bounds), F.lit(len(bounds)))
     own = F.get(F.lit(times), below)
     split = (own > 0) & (F.col("key") == F.get(F.lit([*bounds, 0]).cast("array<bigint>"), below))
     part = F.floor((F.col("th") / F.lit(2.0**64) + 0.5) * own).cast("int")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -610,3 +611,60 @@ def test_targets_that_cannot_be_met_are_reported(spark):
     df = spark.createDataFrame([("a", "x", "t0", 10), ("b", "y", "t0", 10)], "source string, lang string, topic string, tokens long")
     targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.2, "y": 0.8}, "topic": {"t0": 1.0}}
     assert not any(x.converged for x in mixing.inclusion(df, targets, 0.9).collect())
+
+
+def passages_of(texts):
+    return [t[:200] for t in texts if len(t) > 200]
+
+
+def test_kinds_that_the_network_never_saw(texts):
+    """Trained without a kind of secret, measured on that kind alone, and on plain values of other passages."""
+    rates = {}
+    for kind in secrets.SECRETS:
+        made = secrets._made_kinds(passages_of(texts), 2400, seed=1, without=(kind,))
+        model = secrets.train([(x, y) for x, y, known, _ in made if not known], announced=[told for _, _, known, told in made if not known])
+        fresh = [f for f in secrets._made_kinds(passages_of(texts), 400, seed=2, only=(kind,)) if not f[2]]
+        p = model.probability(np.stack([f[0] for f in fresh]))
+        hit = np.array([v >= model.thresholds[f[3]] for v, f in zip(p, fresh)])
+        label = np.array([f[1] for f in fresh])
+        rates[kind] = hit[label == 1].mean()
+        assert hit[label == 0].mean() < 0.06, kind
+    assert np.mean(list(rates.values())) > 0.7 and min(rates.values()) > 0.2, rates
+
+
+def test_values_that_words_announce(texts):
+    made = secrets._made_kinds(passages_of(texts), seed=1)
+    model = secrets.train([(x, y) for x, y, known, _ in made if not known], announced=[told for _, _, known, told in made if not known])
+    r = random.Random(9)
+    chars = lambda s, n: "".join(r.choice(s) for _ in range(n))
+    low, every = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    values = [f"{chars(every, 20)}.{chars(every, 30)}.{chars(every, 43)}", chars(low, 26), chars(every, 14), chars(every, 500)]
+    leads = ["Authorization: Bearer ", "key = ", "pwd: ", "credential="]
+    for lead, value in zip(leads, values):
+        text = f"some words before {lead}{value} and after."
+        at = text.index(value)
+        assert [(a, b) for k, a, b, _ in secrets.scan_text(text, model) if k == "model"] == [(at, at + len(value))], value
+    assert secrets.scan_text("the key: introduction. And pass = chapters, see www.some.place.example2.org/a1", model) == []
+    assert len(secrets.windows("x" * 1000, 3, 990)) == 16 and all((w[secrets.LEFT : secrets.LEFT + secrets.BODY] == ord("x") - 30).all() for w in secrets.windows("x" * 1000, 3, 990))
+
+
+def test_candidates_touch_no_base_span_and_take_linear_time():
+    r = random.Random(10)
+    words = ["token: ab12cd34ef56", "zz99yy88xx77ww66vv", "plain", "key = abcdefghij", "AKIA" + "Z9" * 10, "ab12.cd34.ef56.gh78...", "x" * 40]
+    for _ in range(50):
+        text = " ".join(r.choice(words) for _ in range(60))
+        base = secrets.base_spans(text)
+        found = secrets.candidates(text, base)
+        assert all(not (a < d and c < b) for a, b, _ in found for _, c, d in base) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+        assert all(not text[b - 1] == "." for _, b, _ in found)
+        plain = [(m.start(), m.start() + len(m[0].rstrip("."))) for m in secrets.CANDIDATE.finditer(text) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0], re.I)]
+        clear = {(a, b) for a, b in plain if b - a >= 16 and not any(a < d and c < b for _, c, d in base)}
+        assert clear == {(a, b) for a, b, announced in found if not announced}
+    seconds = []
+    for n in (4000, 16_000):
+        text = " ".join(f"token: {'ab12' * 5} {'zz99' * 5}" for _ in range(n))
+        base = secrets.base_spans(text)
+        began = time.perf_counter()
+        assert len(secrets.candidates(text, base)) == n
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 10 * max(seconds[0], 0.005)
