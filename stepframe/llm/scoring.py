@@ -91,7 +91,9 @@ def _gather(path: str):
     each text's ids, and whether each one's piece goes on after it though it could end there (2)."""
 
     def run(batches):
-        # Hashes and counts of all remembered pieces stand beside them here.
+        # Hashes and counts of all remembered pieces stand beside them here; words of a run before are of no use.
+        _WORDS.clear()
+        give_back()
         enc = encoder(path, PIECES)
         hashes = _hashes_of(enc)
         symbols = np.zeros(2 * enc.tokenizer.get_vocab_size(), np.int64)

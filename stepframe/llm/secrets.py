@@ -45,30 +45,34 @@ def ordered(spans: list) -> list:
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def candidates(text: str, base: list) -> list[tuple[int, int, bool]]:
-    """(start, end, announced) of the values that the network judges, by start: those that a word announces, and other runs of key
-    characters that hold a letter and a digit. None touches a base span; dots at an end don't belong to a value."""
-    runs = []
-    low = text.lower()
-    if any(w in low for w in ANNOUNCERS):
-        runs += [(m.start(1), m.start(1) + len(m[1].rstrip(".")), True) for m in ANNOUNCED.finditer(text)]
-    for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
-            runs.append((m.start(), m.start() + len(s.rstrip(".")), False))
-    # A run that holds an announced value is that value.
-    out, spans, at, last, far = [], sorted((a, b) for _, a, b in base), 0, 0, 0
-    for start, end, announced in sorted(runs, key=lambda r: (r[0], not r[2])):
-        # Base spans that begin before the run's end; the farthest end among them says if one reaches into it.
+def _clear(runs: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs that overlap no span and no run before them; in one pass over both in order."""
+    out, spans, at, far, last = [], sorted(spans), 0, 0, 0
+    for start, end in sorted(runs):
+        # The farthest end of the spans that begin before the run's end says if one reaches into it.
         while at < len(spans) and spans[at][0] < end:
             far = max(far, spans[at][1])
             at += 1
-        if start >= last and end - start >= (8 if announced else 16) and far <= start:
-            out.append((start, end, announced))
+        if start >= last and far <= start:
+            out.append((start, end))
             last = end
     return out
 
 
+def candidates(text: str, base: list) -> list[tuple[int, int, bool]]:
+    """(start, end, announced) of the values that the network judges, by start: those that a word announces, and other runs of key
+    characters that hold a letter and a digit. None touches a base span; dots at an end don't belong to a value."""
+    low, spans, told = text.lower(), [(a, b) for _, a, b in base], []
+    if any(w in low for w in ANNOUNCERS):
+        told = _clear([(a, b) for m in ANNOUNCED.finditer(text) if (b := (a := m.start(1)) + len(m[1].rstrip("."))) - a >= 8], spans)
+    runs = []
+    for m in CANDIDATE.finditer(text):
+        s = m[0].rstrip(".")
+        if len(s) >= 16 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+            runs.append((m.start(), m.start() + len(s)))
+    return sorted([(a, b, True) for a, b in told] + [(a, b, False) for a, b in _clear(runs, spans + told)])
+
+
 def window(text: str, start: int, end: int) -> np.ndarray:
     """Character ids of a value (its first ``BODY`` characters if it is longer, see ``windows``) and of what surrounds it."""
     body = text[start : min(end, start + BODY)]
