@@ -81,11 +81,16 @@ class RangeFormat:
 
 
 def range_lookup(df: DataFrame, value: str, bands: DataFrame, low: str = "low", high: str = "high", max_bands: int = 10_000) -> DataFrame:
-    """Left join to the band with low <= value < high. Bands are broadcast; more than ``max_bands`` are refused."""
+    """Left join to each band with low <= value < high. Up to ``max_bands`` bands are counted and broadcast; more are looked up by
+    ``band_lookup``, with the same rows."""
     n = bands.limit(max_bands + 1).count()
     if n > max_bands:
-        raise ValueError(f"more than {max_bands} bands")
-    return df.join(F.broadcast(bands), (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)), "left")
+        from ..operators.intervals import band_lookup
+
+        return band_lookup(df, value, bands, low, high)
+    above = F.col(low).isNull() | (F.col(value) >= F.col(low))
+    below = F.col(high).isNull() | (F.col(value) < F.col(high))
+    return df.join(F.broadcast(bands), F.col(value).isNotNull() & above & below, "left")
 
 
 def cut_bytes(c: Column, n: int) -> Column:

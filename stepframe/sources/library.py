@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import clean_text, cut_bytes
+from ..functions.expr import annuity, clean_text, cut_bytes
 
 
 @dataclass
@@ -95,20 +95,43 @@ def listed(df: DataFrame, column: str, order: str | None = None, most: int = 10_
 
 
 def make_loans(spark: SparkSession, customers: int = 50, months: int = 24, seed: int = 42) -> dict[str, DataFrame]:
-    """Small made tables of customers, loans, payments and settings, with the usual traps planted.
+    """The seven made tables of a small lender, with the usual traps planted; values follow from ids and the seed by hash, so they are
+    alike in any partitioning and grow with ``customers`` and ``months``.
 
-    Missing incomes, an orphan loan, one repeated payment key whose copies differ, refunds, accented and long names.
-    Values follow from ids and the seed by hash, so they are alike in any partitioning.
+    Traps: accented and long names, a city with an apostrophe, provinces in lower case, missing incomes (each 33rd customer), an orphan
+    loan (7), one repeated payment key whose copies differ (loan 3, the fifth month), late payments, negative and zero
+    amounts of cards (each 200th and each 1000th), settings held as text, and periods of which the last four are active.
     """
 
     def h(c, n, salt):
         return F.pmod(F.xxhash64(F.col(c), F.lit(salt + seed)), F.lit(n))
 
+    def pick(c, salt, values):
+        return F.element_at(F.array(*map(F.lit, values)), (1 + h(c, len(values), salt)).cast("int"))
+
+    first = F.lit("2022-01-01").cast("date")
+    codes = ["BASE", "PLUS", "YOUNG", "SENIOR", "FIRM"]
     c = spark.range(1, customers + 1).withColumnRenamed("id", "customer_id")
-    c = c.select("customer_id", F.concat(F.lit("Ève-Béatrice O'Neill "), F.col("customer_id").cast("string")).alias("customer_name"), F.lit("qc").alias("province"), F.when(F.col("customer_id") % 33 == 0, None).otherwise((8000 + h("customer_id", 200_000, 1)).cast("double")).alias("annual_income"))
+    c = c.select(
+        "customer_id", F.concat(F.lit("Ève-Béatrice O'Neill "), F.col("customer_id").cast("string")).alias("customer_name"), pick("customer_id", 6, ["Orford", "L'Avenir", "Saint-Élie", "Val-d'Or"]).alias("city"), F.lit("qc").alias("province"), pick("customer_id", 7, codes).alias("segment_code"),
+        F.when(F.col("customer_id") % 33 == 0, None).otherwise((8000 + h("customer_id", 200_000, 1)).cast("double")).alias("annual_income"), F.date_add(F.lit("2010-01-01").cast("date"), h("customer_id", 4000, 8).cast("int")).alias("customer_since"),
+    )
     n = spark.range(1, 2 * customers + 1).withColumnRenamed("id", "loan_id")
-    n = n.select("loan_id", F.when(F.col("loan_id") == 7, 10**6).otherwise(1 + h("loan_id", customers, 2)).cast("long").alias("customer_id"), (5000 + h("loan_id", 90_000, 3)).cast("double").alias("principal"), ((2 + h("loan_id", 5, 4)) / 100).alias("interest_rate"), (12 * (1 + h("loan_id", 5, 5))).cast("double").alias("term_months"))
-    p = n.crossJoin(spark.range(months).withColumnRenamed("id", "m")).select("loan_id", F.add_months(F.lit("2022-01-01").cast("date"), F.col("m").cast("int")).alias("payment_date"), F.round(F.col("principal") * F.col("interest_rate") / 12 + 100, 2).alias("payment_amount"), F.element_at(F.array(F.lit(0.0), F.lit(0.0), F.lit(15.0), F.lit(45.0)), (1 + F.pmod(F.xxhash64("loan_id", "m", F.lit(seed)), F.lit(4))).cast("int")).alias("days_past_due"))
+    n = n.select(
+        "loan_id", F.when(F.col("loan_id") == 7, 10**6).otherwise(1 + h("loan_id", customers, 2)).cast("long").alias("customer_id"), pick("loan_id", 9, ["home", "car", "study"]).alias("loan_type"), F.add_months(first, -h("loan_id", 36, 10).cast("int")).alias("origination_date"),
+        (5000 + h("loan_id", 90_000, 3)).cast("double").alias("principal"), ((2 + h("loan_id", 5, 4)) / 100).alias("interest_rate"), (12 * (1 + h("loan_id", 5, 5))).cast("double").alias("term_months"), pick("loan_id", 11, ["open", "closed", "frozen"]).alias("status"),
+    ).withColumn("monthly_payment", F.round(annuity(F.col("principal"), F.col("interest_rate") / 12, F.col("term_months")), 2))
+    p = n.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(months - 1)))).withColumn("interest_paid", F.round(F.col("principal") * F.col("interest_rate") / 12, 2))
+    p = p.select("loan_id", F.add_months(first, F.col("m")).alias("payment_date"), F.round(F.col("interest_paid") + 100, 2).alias("payment_amount"), F.lit(100.0).alias("principal_paid"), "interest_paid", F.element_at(F.array(F.lit(0.0), F.lit(0.0), F.lit(15.0), F.lit(45.0)), (1 + F.pmod(F.xxhash64("loan_id", "m", F.lit(seed)), F.lit(4))).cast("int")).alias("days_past_due"))
     p = p.unionByName(p.where("loan_id = 3 and payment_date = date'2022-05-01'").withColumn("payment_amount", F.lit(1.0)))
-    settings = spark.createDataFrame([("DPD_THRESHOLD", "30"), ("HIGH_PRINCIPAL", "60000")], "param_name string, param_value string")
-    return {"customers": c, "loans": n, "loan_payments": p, "macro_parameters": settings}
+    t = spark.range(1, 10 * customers + 1).withColumnRenamed("id", "transaction_id")
+    amount = F.when(F.col("transaction_id") % 1000 == 0, 0.0).when(F.col("transaction_id") % 200 == 0, -(1 + h("transaction_id", 20_000, 12)) / 100).otherwise((1 + h("transaction_id", 60_000, 12)) / 100)
+    t = t.select("transaction_id", (1 + h("transaction_id", customers, 13)).alias("customer_id"), F.date_add(F.lit("2025-01-01").cast("date"), h("transaction_id", 365, 14).cast("int")).alias("transaction_date"), pick("transaction_id", 15, ["food", "fuel", "travel", "health", "home", "other"]).alias("merchant_category"), amount.alias("amount"), (h("transaction_id", 100, 16) == 0).cast("double").alias("fraud_flag"))
+    segments = [(code, f"Clientèle {code.lower()}", band, low, low + 40_000.0) for code, band, low in zip(codes, ["B", "A", "C", "A", "D"], [0.0, 40_000.0, 0.0, 20_000.0, 60_000.0])]
+    last = spark.range(max(0, months - 12), months).select(F.add_months(first, F.col("id").cast("int")).alias("period_start"), (F.col("id") >= months - 4).cast("double").alias("active_flag"))
+    return {
+        "customers": c, "loans": n, "loan_payments": p, "card_transactions": t,
+        "client_segments": spark.createDataFrame(segments, "segment_code string, segment_name string, risk_band string, min_income double, max_income double"),
+        "reporting_periods": last.select(F.date_format("period_start", "yyyyMM").alias("period_id"), "period_start", F.date_format("period_start", "yyyy-MM").alias("period_label"), "active_flag"),
+        "macro_parameters": spark.createDataFrame([("DPD_THRESHOLD", "30"), ("FRAUD_MIN_AMOUNT", "400"), ("HIGH_PRINCIPAL", "60000")], "param_name string, param_value string"),
+    }

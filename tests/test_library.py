@@ -193,11 +193,54 @@ def test_sources(spark, tmp_path):
     (tmp_path / "status_rule_based_run2.csv").write_text("program\nx\n")
     assert tuple(read_runs(spark, f"{tmp_path}/status_*.csv", "status", "program string").first()) == ("x", "rule_based", 2)
     t = make_loans(spark)
-    assert listed(t["macro_parameters"], "param_name") == ["DPD_THRESHOLD", "HIGH_PRINCIPAL"]
+    assert listed(t["macro_parameters"], "param_name") == ["DPD_THRESHOLD", "FRAUD_MIN_AMOUNT", "HIGH_PRINCIPAL"]
+    with pytest.raises(ValueError):
+        listed(t["macro_parameters"], "param_name", most=2)
     assert steps.extra_rows(t["loan_payments"], ["loan_id", "payment_date"]).count() == 1
     assert t["loan_payments"].where(F.col("days_past_due") > parameter(t["macro_parameters"], "DPD_THRESHOLD")).count() > 0
 
 
+def test_made_tables(spark):
+    t = make_loans(spark, customers=200)
+    assert set(t) == {"customers", "loans", "loan_payments", "card_transactions", "client_segments", "reporting_periods", "macro_parameters"}
+    rows = {k: v.count() for k, v in t.items()}
+    assert rows == {"customers": 200, "loans": 400, "loan_payments": 400 * 24 + 1, "card_transactions": 2000, "client_segments": 5, "reporting_periods": 12, "macro_parameters": 3}
+    c, n, p, x = (t[k] for k in ("customers", "loans", "loan_payments", "card_transactions"))
+    assert c.where("annual_income is null").count() == 6 and c.where("province = 'qc'").count() == 200 and c.where("city like \"%'%\"").count() > 0
+    assert c.where("octet_length(customer_name) > length(customer_name)").count() == 200
+    assert [r.loan_id for r in n.join(c, "customer_id", "left_anti").collect()] == [7] and n.where("monthly_payment <= 0 or monthly_payment is null").count() == 0
+    copies = p.where("loan_id = 3 and payment_date = date'2022-05-01'").select("payment_amount").distinct().count()
+    assert copies == 2 and p.where("days_past_due > 30").count() > 0 and p.where("abs(payment_amount - principal_paid - interest_paid) > 0.005").count() == 1
+    assert x.where("amount < 0").count() == 8 and x.where("amount = 0").count() == 2 and 0 < x.agg(F.sum("fraud_flag")).first()[0] < 60
+    assert c.join(t["client_segments"], "segment_code", "left_anti").count() == 0
+    assert [r.period_id for r in t["reporting_periods"].where("active_flag = 1").orderBy("period_id").collect()] == ["202309", "202310", "202311", "202312"]
+    again = make_loans(spark, customers=200)
+    assert all(steps.multiset_difference(t[k], again[k].repartition(3)).count() == 0 for k in t)
+
+
+def test_range_lookup_is_the_same_beyond_its_bound(spark):
+    bands = spark.createDataFrame([(0.0, 5.0, "a"), (3.0, 9.0, "b"), (None, 1.0, "c"), (8.0, None, "d"), (4.0, 4.0, "e")], "low double, high double, label string")
+    df = spark.createDataFrame([(i, float(i)) for i in range(-2, 12)] + [(99, None)], "id int, v double")
+    near, far = (sorted(((r.id, r.label) for r in E.range_lookup(df, "v", bands, max_bands=n).collect()), key=str) for n in (10, 2))
+    assert near == far and (99, None) in near and (4, "a") in near and (4, "b") in near and (-2, "c") in near
+
+
+def test_shared_folder(spark, monkeypatch):
+    from stepframe.sources import shared
+
+    assert shared.new_folder(spark, "x") != shared.new_folder(spark, "x") and shared.new_folder(spark, "x").startswith(shared.shared_folder(spark))
+
+    class Session:
+        def __init__(self, master, named=None):
+            self.conf = type("C", (), {"get": staticmethod(lambda key, other=None: named)})
+            self.sparkContext = type("S", (), {"master": master, "applicationId": "app"})
+
+    assert shared.shared_folder(Session("spark://far", "hdfs://a/b/")) == "hdfs://a/b"
+    with pytest.raises(ValueError):
+        shared.shared_folder(Session("spark://far"))
+    assert shared.shared_folder(Session("local[2]")) == shared.shared_folder(Session("local[2]"))
+
+
 def test_translator(spark):
     s = Session(Libraries(spark, {}))
     s.tables["stg.a"] = spark.createDataFrame([(1, None, " x;y "), (2, 90000.0, "b")], "k int, v double, t string")
