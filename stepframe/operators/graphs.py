@@ -49,6 +49,7 @@ def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
         now, jumps = work.keep(twice)
         work.drop(jump)
         jump, k = now, k + 1
+    work.drop(jump)
     return known
 
 
@@ -96,6 +97,7 @@ def cycles(edges: DataFrame) -> DataFrame:
         now, n = work.keep(core.join(gone.withColumnRenamed("node", "u"), "u", "left_anti").join(gone.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
         work.drop(core, colour, inside)
         core = now
+    work.drop(core)
     if not found:
         return edges.select(F.col("u").alias("node"), F.col("u").alias("root")).limit(0)
     out = found[0]
@@ -126,4 +128,5 @@ def longest_chains(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         now, _ = work.keep(now.observe(seen, F.count_if("moved").alias("moved")).drop("moved"))
         work.drop(length)
         length, moved = now, seen.get["moved"]
+    work.drop(links)
     return both.select("node", "root").join(length, "root").select("node", "length", "root", "size")

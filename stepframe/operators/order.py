@@ -27,7 +27,8 @@ def placed(df: DataFrame, keys: list[str], order: list[str], name: str = "_at")
 
     A group of any size is spread over tasks: rows are dealt out by ranges of (keys, order) and written; ranges are counted, and a
     row's place is its place in the range and what its group has in the ranges before. Rows that are equal in all of
-    ``order`` lie in one range, in any order among themselves. A missing key is a group.
+    ``order`` lie in one range, in any order among themselves. A missing key is a group. What was written stays in the shared folder, as
+    the result reads it.
     """
     spark = df.sparkSession
     path = new_folder(spark, "placed")

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import brown, forecast_states
-from ..operators import classify, graphs, lineage, marts, profile, steps
+from ..operators import classify, graphs, lineage, marts, procs, profile, steps
 from ..operators.differences import differences
 from ..operators.intervals import band_lookup
 from ..operators.keywords import keyword_hits
 from ..operators.order import placed
-from ..sources.library import Libraries
+from ..sources.library import Libraries, write_delimited
 from ..sources.records import Field, read_records, write_records
 from ..sources.shared import new_folder
 from .registry import ORACLE_SQL, query
@@ -83,6 +83,16 @@ def lineage_trees(spark, d):
     return lineage.tree(near, near.where("target_id like 'out.c%'").select("target_id").distinct()).select("target_id", "line", "place")
 
 
+@query(f"""WITH {_EDGE_SQL}, x AS (SELECT DISTINCT source_id, target_id, relationship FROM e WHERE relationship IN ('DEFINES', 'CALLS')),
+n AS (SELECT node, row_number() OVER (ORDER BY encode(node)) - 1 AS k FROM (SELECT source_id AS node FROM x UNION SELECT target_id FROM x))
+SELECT CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS place, 'flowchart LR' AS line UNION ALL SELECT 1, k, '  n' || k || '["' || node || '"]' FROM n
+UNION ALL SELECT 2, row_number() OVER (ORDER BY encode(source_id), encode(target_id), relationship) - 1, '  n' || a.k || ' -->|' || relationship || '| n' || b.k FROM x JOIN n a ON a.node = source_id JOIN n b ON b.node = target_id""")
+def lineage_diagram(spark, d):
+    """A flow chart of which program defines and calls which macro."""
+    lines = lineage.mermaid(_edges(spark, d).where("relationship in ('DEFINES', 'CALLS')"))
+    return lines.select(F.get("place", F.lit(0)).alias("part"), F.get("place", F.lit(1)).alias("place"), "line")
+
+
 # ---------------------------------------------------------------- graphs of orders
 
 
@@ -232,9 +242,24 @@ def wrong_encoding_checks(spark, d):
     return checks.where("(column = 'name' and check = 'max_chars') or check in ('row_count', 'rows only in expected', 'rows only in actual')").drop("table")
 
 
+@query("SELECT CAST(doc_id AS DOUBLE) AS doc_id, nullif(rtrim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' '), '') AS text FROM documents")
+def scrubbed_csv(spark, d):
+    """Whole texts written as delimited lines, without line breaks, and read back."""
+    path = new_folder(spark, "documents-csv")
+    write_delimited(_t(spark, d, "documents").select("doc_id", "text"), path)
+    return read_records(spark, path, [Field("doc_id"), Field("text", True)])
+
+
 # ---------------------------------------------------------------- marts
 
 
+@query("SELECT band, o_orderstatus, CAST(3 AS INT) AS _type_, count(*) AS _freq_, count(v) AS n, CAST(sum(v) AS DOUBLE) AS total FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_totalprice < 100000 THEN 'LOW' ELSE 'HIGH' END AS band, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS v FROM orders) WHERE band IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY ALL")
+def means_missing_classes(spark, d):
+    """Classes and values that are missing: rows of a missing class are left out, n counts values."""
+    o = _t(spark, d, "orders").selectExpr("case when o_orderkey % 7 = 0 then null when o_totalprice < 100000 then 'LOW' else 'HIGH' end as band", "if(o_custkey % 11 = 0, null, o_orderstatus) as o_orderstatus", "if(o_orderkey % 5 = 0, null, cast(o_totalprice as decimal(18,2))) as v")
+    return procs.means(o, ["band", "o_orderstatus"], "v", {"n": "n", "total": "sum"}).withColumn("total", F.col("total").cast("double"))
+
+
 @query("SELECT CAST(d AS DATE) AS date, CAST(year(d) AS INT) AS year, CAST(month(d) AS INT) AS month, CAST(date_trunc('month', d) AS DATE) AS month_start, strftime(d, '%Y-%m') AS label FROM (SELECT unnest(generate_series(date_trunc('day', min(o_orderdate)), date_trunc('day', max(o_orderdate)), INTERVAL 1 DAY)) AS d FROM orders)")
 def calendar_dim(spark, d):
     """The days that the orders span."""

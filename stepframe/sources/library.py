@@ -67,9 +67,9 @@ def read_delimited(spark: SparkSession, path: str, schema: str, delimiter: str =
 
 
 def write_delimited(df: DataFrame, path: str) -> None:
-    """UTF-8 with a header; line breaks in texts become a space."""
+    """UTF-8 with a header; line breaks in texts become a space, quotes in them are doubled, blanks at their ends stay."""
     texts = {c: F.regexp_replace(c, "[\\r\\n]+", " ") for c, t in df.dtypes if t == "string"}
-    (df.withColumns(texts) if texts else df).write.mode("overwrite").option("header", True).csv(path)
+    (df.withColumns(texts) if texts else df).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_runs(spark: SparkSession, glob: str, kind: str, schema: str) -> DataFrame:
