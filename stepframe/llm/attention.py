@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH, STRIDE = 16, 14
-DIM = 16
+#: Ids of a window; windows of a text that is scored overlap by half.
+WIDTH, STRIDE = 16, 8
+DIM = 32
 #: Windows scored together.
 SCORED = 512
 #: Logarithms of unnormalised probabilities stay within these bounds, in training and in scoring.

@@ -18,6 +18,9 @@ from .encoding import encoder, forget, give_back, slices
 HEAVY_SHARE = 1 / 2_000_000
 #: Training ids of a shard, about.
 SHARD_IDS = 8_000_000
+#: A shard of fewer ids, as there is in a small corpus, goes over them more than once, until it has trained on as many, about; at most so
+#: many times.
+PASSES = 10
 #: Of each 16 windows of a shard, those that train between two averagings.
 ROUNDS = ((0, 1), (1, 4), (4, 16))
 #: Adagrad's first rate; it falls to a tenth. Windows of a step: least, most, and those seen before for each one more.
@@ -239,28 +242,28 @@ def _cut(sent, end_id: int):
 _SUMS = "part int, sums binary"
 
 
-def _train(sent, part: tuple[int, int], expected: float):
-    """Trains on each row's windows, from the parameters that were sent, and adds up the results."""
+def _train(sent, part: tuple[int, int], expected: float, passes: int = 1):
+    """Trains on each row's windows, so many times, from the parameters that were sent, and adds up the results."""
 
     def run(batches):
         _make_room()
         symbols, flat = sent.value
         kind = _id_type(symbols.used + 2)
-        model, before = Attention(symbols), expected * part[0] / 16
+        model, before = Attention(symbols), passes * expected * part[0] / 16
         rows_of = model.rows_of()
         totals, trained = np.zeros(len(flat), np.int64), np.zeros(symbols.used + 2, np.int64)
         for batch in batches:
             for shard, windows in zip(batch.column("shard").to_pylist(), batch.column("windows")):
                 own = np.frombuffer(windows.as_buffer(), kind).reshape(-1, WIDTH + 1).astype(np.int32)
                 own[own == np.iinfo(kind).max] = -1
-                own = own[np.random.default_rng(shard).permutation(len(own))]
                 model.load(flat)
-                first = 0
-                while first < len(own):
-                    done = before + first
-                    size = int(min(max(done // SEEN, LEAST), MOST))
-                    model.step(own[first : first + size], RATE * (1 - 0.9 * min(done / max(expected, 1), 1)))
-                    first += size
+                order, done = np.random.default_rng(shard), before
+                for _ in range(passes):
+                    own, first = own[order.permutation(len(own))], 0
+                    while first < len(own):
+                        size = int(min(max(done // SEEN, LEAST), MOST))
+                        model.step(own[first : first + size], RATE * (1 - 0.9 * min(done / max(passes * expected, 1), 1)))
+                        first, done = first + size, done + size
                 seen = np.zeros(symbols.used + 1, bool)
                 seen[np.maximum(own.ravel(), 0)] = True
                 totals += np.where((rows_of < 0) | seen[rows_of], np.rint(model.flat().astype(np.float64) * POINT).astype(np.int64), 0)
@@ -289,7 +292,7 @@ def _add(batches):
 
 
 def fit(texts: DataFrame, symbols: Symbols, end_id: int) -> Attention:
-    """The model after one pass over all windows of ``texts`` (key, n, th, ids, goes_on).
+    """The model after a pass over all windows of ``texts`` (key, n, th, ids, goes_on), or ``PASSES`` at most in a small corpus.
 
     Texts are dealt to shards of about ``SHARD_IDS`` ids by a hash of id and text and stand there in the order of another,
     so shards don't depend on partitions. In each round every shard trains on its part of its windows from the same
@@ -304,12 +307,13 @@ def fit(texts: DataFrame, symbols: Symbols, end_id: int) -> Attention:
     if total is None:
         return model
     count = int(max(1, -(-total // SHARD_IDS)))
+    passes = int(min(max(round(SHARD_IDS * count / max(total, 1)), 1), PASSES))
     dealt = texts.withColumn("shard", F.pmod(F.xxhash64("key", "th", F.lit(71)), F.lit(count)).cast("int")).withColumn("turn", F.xxhash64("key", "th", F.lit(5)))
     own = dealt.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "turn", "key", "th").select("shard", "n", "ids", "goes_on")
     shards = saved(own.mapInArrow(_cut(spark.sparkContext.broadcast(symbols), end_id), "shard int, round int, windows binary"), "shards", **ZSTD)
     for k, part in enumerate(ROUNDS):
         flat = model.flat()
-        sums = shards.where(F.col("round") == k).mapInArrow(_train(spark.sparkContext.broadcast((symbols, flat)), part, total / WIDTH / count), _SUMS)
+        sums = shards.where(F.col("round") == k).mapInArrow(_train(spark.sparkContext.broadcast((symbols, flat)), part, total / WIDTH / count, passes), _SUMS)
         got = {r.part: np.frombuffer(bytes(r.sums), np.int64) for r in sums.repartition(PARTS + 1, "part").mapInArrow(_add, _SUMS).collect()}
         if got:
             trained, rows_of = got[PARTS], model.rows_of()
