@@ -80,3 +80,25 @@ def test_near_dedup_keeps_unrelated_rows_of_one_id(spark):
     rows = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[0]), (5, texts[2]), (6, texts[1] + " x")], "doc_id long, text string")
     got = simhash.keep_one(rows).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, texts[0]), (0, texts[1]), (5, texts[2])]
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    """What each stage of the pipeline says of nulls, repeated rows, clashing names and empty tables."""
+    import corpus_pipeline as P
+
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, "en", "a"), (1, words, "en", "a"), (2, words + " end", "en", "a"), (None, words.replace("word", "other"), None, None), (3, None, "en", "a"), (4, "", "en", "a")]
+    docs = spark.createDataFrame([(*r, 0, *["x"] * 14) for r in rows], SCHEMA)
+    good = P.quality_rules(spark, docs, "")
+    assert sorted((r.doc_id or 0) for r in good.collect()) == [0, 1, 1, 2] and good.columns == docs.columns
+    one = P.simhash_near_dedup(spark, docs, "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in one.collect()) == [(0, words.replace("word", "other")), (1, words), (3, "")]
+    clean = P.secret_scans(spark, docs.withColumn("text", F.concat("text", F.lit(" password=hunter22"))), "")
+    assert clean.count() == 6 and clean.where("text like '%[REDACTED]' and n_chars = length(text)").count() == 5 and clean.where("text is null").count() == 1
+    drawn = P.mix_sources(spark, docs, "")
+    assert drawn.columns == docs.columns and drawn.where("doc_id = 1").count() in (0, 2)
+    packed = P.packing(spark, docs, "")
+    twice = packed.where("doc_id = 1").collect()
+    assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens and packed.where("doc_id in (3, 4) and length = 1").count() == 2
+    for _, stage in P.STAGES:
+        assert stage(spark, none, "").collect() == []
