@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import brown, forecast_states
+from ..functions.stats import brown
 from ..operators import classify, graphs, lineage, marts, procs, profile, steps
 from ..operators.differences import differences
 from ..operators.intervals import band_lookup
