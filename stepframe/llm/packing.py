@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, saved, tokenizer_path
-from .encoding import encoder, forget, slices
+from .encoding import encoder, forget, give_back, slices
 from .token_files import crc32_of_ids
 
+#: Distinct words that a worker remembers beside its open windows.
+REMEMBERED = 900_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, part int, local_id long, offset long, ids array<int>"
 
 
@@ -85,7 +87,7 @@ class SumOfSquaresPacker:
 def _pack(tokenizer: str, end_id: int, capacity: int):
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        enc, packer = encoder(tokenizer), SumOfSquaresPacker(capacity)
+        enc, packer = encoder(tokenizer, REMEMBERED), SumOfSquaresPacker(capacity)
 
         def rows(windows):
             nonlocal seq
@@ -104,6 +106,7 @@ def _pack(tokenizer: str, end_id: int, capacity: int):
             return pa.RecordBatch.from_arrays([doc, start, length, n, pa.array(np.full(len(doc), part, np.int32)), local, offset, ids], names=["doc_id", "start", "length", "doc_tokens", "part", "local_id", "offset", "ids"])
 
         for batch in batches:
+            give_back()
             keys = batch.column("doc_id").to_pylist()
             for first, texts in slices(batch):
                 ids, bounds = enc.encode(texts, end_id)
