@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import cell_text, row_hash
+from ..functions.expr import cell_text
 from .order import join_same
 
 #: Nodes of the two levels of the tree, by their number of bits.
 BITS = (8, 8)
 
 
-def _prints(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    kinds = dict(df.dtypes)
-    key = F.xxhash64(*[cell_text(F.col(f"`{c}`"), kinds[c]) for c in keys])
-    # 60 bits of the row's SHA-256, summed without order; equal rows count as often as they occur.
-    return df.withColumns({"__key": key, "__print": F.conv(F.substring(row_hash(df, columns), 1, 15), 16, 10).cast("decimal(38,0)")})
+def _cell(df: DataFrame, c: str, other: DataFrame) -> Column:
+    """A cell as it is where both tables have one type for it, else as text; 0 has no sign."""
+    kind = dict(df.dtypes)[c]
+    if kind != dict(other.dtypes)[c]:
+        return cell_text(F.col(f"`{c}`"), kind)
+    return F.when(F.col(f"`{c}`") == 0, F.lit(0).cast(kind)).otherwise(F.col(f"`{c}`")) if kind in ("float", "double") else F.col(f"`{c}`")
+
+
+def _prints(df: DataFrame, other: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Adds a hash of the key and, twice, of the row; missing cells count with their place."""
+
+    def both(names):
+        return [x for c in names for x in (F.col(f"`{c}`").isNull(), _cell(df, c, other))]
+
+    return df.withColumns({"__key": F.xxhash64(*both(keys)), "__p": F.xxhash64(F.lit(1), *both(columns)), "__q": F.xxhash64(F.lit(2), *both(columns))})
+
+
+def _sum(c: str) -> Column:
+    """Without order, and without limit; equal rows count as often as they occur."""
+    return F.sum(F.col(c).cast("decimal(38,0)"))
 
 
 def _node(depth: int) -> Column:
@@ -30,14 +45,14 @@ def unequal_parts(left: DataFrame, right: DataFrame, keys: list[str], columns: l
     hashes, which combine before the shuffle; only nodes that differ are looked into at the next level, and only rows in the lowest
     unequal nodes are given. There are at most 2^16 nodes, so their lists are broadcast.
     """
-    a, b = _prints(left, keys, columns), _prints(right, keys, columns)
+    a, b = _prints(left, right, keys, columns), _prints(right, left, keys, columns)
     nodes = None
     for depth in range(1, len(BITS) + 1):
         sides = [x if nodes is None else x.join(F.broadcast(nodes), _node(depth - 1) == F.col("__node"), "left_semi") for x in (a, b)]
-        sums = [x.groupBy(_node(depth).alias("__node")).agg(F.count("*").alias("n"), F.sum("__print").alias("s")) for x in sides]
-        other = sums[1].toDF("__other", "m", "t")
+        sums = [x.groupBy(_node(depth).alias("__node")).agg(F.count("*").alias("n"), _sum("__p").alias("s"), _sum("__q").alias("u")) for x in sides]
+        other = sums[1].toDF("__other", "m", "t", "v")
         both = sums[0].join(other, F.col("__node") == F.col("__other"), "full_outer")
-        nodes = both.where(~(F.col("n").eqNullSafe(F.col("m")) & F.col("s").eqNullSafe(F.col("t")))).select(F.coalesce("__node", "__other").alias("__node"))
+        nodes = both.where(~(F.col("n").eqNullSafe(F.col("m")) & F.col("s").eqNullSafe(F.col("t")) & F.col("u").eqNullSafe(F.col("v")))).select(F.coalesce("__node", "__other").alias("__node"))
     return nodes, *[x.join(F.broadcast(nodes), _node(len(BITS)) == F.col("__node"), "left_semi").drop("__key") for x in (a, b)]
 
 
@@ -45,21 +60,21 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     """Each key whose rows differ: keys, ``kind`` and ``columns``.
 
     kind is "left only" or "right only" where one table has no row of the key, "changed" where both have one row, and ``columns`` then lists those that
-    differ (texts, numbers to 9 places, missing equals missing), "repeated" where a table has more than one and the
-    multisets differ. Compares the columns that both tables have. A missing key is a key.
+    differ (missing equals missing; columns of other types in the two tables compare as text, numbers to 9 places), "repeated" where
+    a table has more than one and the multisets differ. Compares the columns that both tables have. A missing key is a key.
     """
     columns = [c for c in left.columns if c in right.columns]
     values = [c for c in columns if c not in keys]
-    kinds = dict(left.dtypes), dict(right.dtypes)
     _, a, b = unequal_parts(left, right, keys, columns)
 
-    def one(rows: DataFrame, kind: dict, side: str) -> DataFrame:
-        cells = F.struct(*[cell_text(F.col(f"`{c}`"), kind[c]).alias(c) for c in values]) if values else F.struct(F.lit(0).alias("_"))
-        return rows.groupBy(*keys).agg(F.count("*").alias(f"__n{side}"), F.sum("__print").alias(f"__s{side}"), F.min(cells).alias(f"__c{side}"))
+    def one(rows: DataFrame, own: DataFrame, other: DataFrame, side: str) -> DataFrame:
+        cells = F.struct(F.lit(0).alias("_"), *[_cell(own, c, other).alias(c) for c in values])
+        return rows.groupBy(*keys).agg(F.count("*").alias(f"__n{side}"), _sum("__p").alias(f"__s{side}"), _sum("__q").alias(f"__t{side}"), F.first(cells).alias(f"__c{side}"))
 
-    both = join_same(one(a, kinds[0], "a"), one(b, kinds[1], "b"), keys, "full_outer")
-    both = both.where(~(F.col("__na").eqNullSafe(F.col("__nb")) & F.col("__sa").eqNullSafe(F.col("__sb"))))
+    both = join_same(one(a, left, right, "a"), one(b, right, left, "b"), keys, "full_outer")
+    same = F.col("__na").eqNullSafe(F.col("__nb")) & F.col("__sa").eqNullSafe(F.col("__sb")) & F.col("__ta").eqNullSafe(F.col("__tb"))
+    both = both.where(~same)
     kind = F.when(F.col("__nb").isNull(), "left only").when(F.col("__na").isNull(), "right only").when((F.col("__na") == 1) & (F.col("__nb") == 1), "changed").otherwise("repeated")
-    changed = [F.when(F.col("__ca").getField(c) != F.col("__cb").getField(c), F.lit(c)) for c in values]
+    changed = [F.when(~F.col("__ca").getField(c).eqNullSafe(F.col("__cb").getField(c)), F.lit(c)) for c in values]
     listed = F.array_join(F.filter(F.array(*changed), lambda x: x.isNotNull()), ",") if changed else F.lit("")
     return both.select(*keys, kind.alias("kind"), F.when(kind == "changed", listed).otherwise(F.lit("")).alias("columns"))

@@ -18,23 +18,26 @@ from .registry import ORACLE_SQL, query
 from .registry import table as _t
 from .translator import Session
 
-# ---------------------------------------------------------------- programs, one for each customer
+# ---------------------------------------------------------------- programs, one for each supplier
 
-#: An even customer's program joins, an odd one's calls a macro; each reads what the program of half its number makes.
+#: An even supplier's program joins, an odd one's calls a macro; each reads what the program of half its number makes.
 _EVEN = "concat('data out.c', i, '; set ', if(i = 0, 'stg.raw', concat('out.c', h)), ' ctrl.par; if bal < 10 then f = 1; run;\nproc sql; create table out.s', i, ' as select a.k from out.c', i, ' a left join stg.n', n, ' b on a.k = b.k; quit;')"
 _ODD = "concat('%macro m', i, '(ds=, out=);\n%if &ds ne %then %do; data &out; set &ds; by k; retain top; if first.k then n = 0; n + 1; run; %end;\n%mend;\n%m', i, '(ds=out.c', h, ', out=out.c', i, ');')"
 
 
 def _programs(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "customer").selectExpr("cast(c_custkey as string) as i", "cast(c_custkey div 2 as string) as h", "cast(c_nationkey as string) as n", "c_custkey % 2 as odd")
+    rows = _t(spark, d, "supplier").selectExpr("cast(s_suppkey as string) as i", "cast(s_suppkey div 2 as string) as h", "cast(s_nationkey as string) as n", "s_suppkey % 2 as odd")
     return rows.selectExpr("concat('p', i) as program", f"if(odd = 1, {_ODD}, {_EVEN}) as text")
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return lineage.edges(lineage.facts_of(_programs(spark, d)))
+    """Facts and edges are written, as each is read many times: programs are parsed once."""
+    work = graphs.Scratch(spark, "lineage")
+    found, _ = work.keep(lineage.facts_of(_programs(spark, d)))
+    return work.keep(lineage.edges(found))[0]
 
 
-_P = "p AS (SELECT c_custkey AS i, c_custkey // 2 AS h, c_nationkey AS n, 'p' || c_custkey AS program, c_custkey % 2 = 1 AS odd FROM customer)"
+_P = "p AS (SELECT s_suppkey AS i, s_suppkey // 2 AS h, s_nationkey AS n, 'p' || s_suppkey AS program, s_suppkey % 2 = 1 AS odd FROM supplier)"
 
 
 @query(f"""WITH {_P} SELECT program, CAST(CASE WHEN odd THEN 4 ELSE 2 END AS INT) AS lines, CAST(CASE WHEN odd THEN 1 ELSE 4 END AS BIGINT) AS reads, CAST(CASE WHEN odd THEN 1 ELSE 2 END AS BIGINT) AS writes, CAST(CASE WHEN odd THEN 0 ELSE 1 END AS BIGINT) AS joins,
