@@ -32,6 +32,21 @@ def test_band_lookup(spark):
     assert intervals.band_lookup(df.limit(0), "v", b).count() == 0 and intervals.band_lookup(df, "v", b.limit(0)).where("band is null").count() == 400
 
 
+def test_band_summary(spark):
+    """Numbers and least bands without a row for each match: 4,000 values in 4,000 bands that all hold them are 16 million."""
+    r = random.Random(2)
+    bands = [(None if i % 17 == 0 else i, r.choice([None, r.randint(-20, 60)]), None if i % 11 == 0 else r.randint(-20, 70)) for i in range(150)]
+    values = [(i, r.choice([None, float(r.randint(-25, 75)), r.random() * 50])) for i in range(300)]
+    got = {x.id: (x.n_bands, x.first_band) for x in intervals.band_summary(spark.createDataFrame(values, "id int, v double"), "v", spark.createDataFrame(bands, "band int, low int, high int"), "band").collect()}
+    for i, v in values:
+        hit = [k for k, lo, hi in bands if k is not None and v is not None and (lo is None or lo <= v) and (hi is None or v < hi) and (lo is None or hi is None or lo < hi)]
+        assert got[i] == (len(hit), min(hit, default=None))
+    many = intervals.band_summary(spark.range(4000).selectExpr("id % 7 + 0.5 as v"), "v", spark.range(4000).selectExpr("id as band", "-id as low", "id + 8 as high"), "band")
+    assert [tuple(x) for x in many.select("n_bands", "first_band").distinct().collect()] == [(4000, 0)]
+    none = spark.createDataFrame([], "band int, low int, high int")
+    assert [tuple(x) for x in intervals.band_summary(spark.range(3).selectExpr("id as v"), "v", none, "band").select("n_bands", "first_band").distinct().collect()] == [(0, None)]
+
+
 def test_differences(spark):
     cols = "a int, b string, v double, w string"
     left = [(i, f"k{i % 7}", i / 3, None if i % 5 == 0 else "w") for i in range(300)] + [(None, "n", 1.0, "w"), (500, "r", 1.0, "w"), (500, "r", 1.0, "w"), (501, "r", 1.0, "w"), (501, "r", 2.0, "w")]
