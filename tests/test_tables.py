@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from stepframe.operators import classify, differences, graphs, intervals, marts, steps
+from stepframe.operators import classify, differences, graphs, intervals, lineage, marts, steps
 from stepframe.operators import keywords as keywords_
 from stepframe.sources import records
 from stepframe.sources.library import Libraries
@@ -62,6 +62,16 @@ def test_differences(spark):
     assert differences.differences(l.limit(0), l.limit(0), ["a", "b"]).count() == 0 and differences.differences(l.limit(0), l, ["a", "b"]).where("kind = 'right only'").count() == 303
 
 
+def test_upstream_of_a_hub(spark):
+    """All targets read one table: no join pairs what reaches a hub with all that the hub leads to."""
+    rows = [x for i in range(300) for x in (("hub", f"p{i}", "READS", "HIGH", "text"), (f"p{i}", f"t{i}", "WRITES", "HIGH", "text"))]
+    edges = spark.createDataFrame(rows, "source_id string, target_id string, relationship string, confidence string, evidence string")
+    out = lineage.upstream(edges, edges.where("relationship = 'WRITES'").select("target_id"))
+    assert sorted((x.target_id, x.upstream_id, x.depth) for x in out.collect()) == sorted(x for i in range(300) for x in ((f"t{i}", f"p{i}", 1), (f"t{i}", "hub", 2)))
+    joins = re.findall(r"Join Inner, (.*)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert joins and all("target_id" in x for x in joins if "upstream_id" in x)
+
+
 def plain_reach(edges, start):
     depth, front, d = {start: 0}, [start], 0
     while front:
