@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Keywords that one automaton holds; it is sent to each worker whole.
 MOST = 1_000_000
+#: Hits that are given out at a time, about.
+ROWS = 50_000
 WORD = re.compile("[a-z0-9]+")
 
 
@@ -52,14 +54,23 @@ def keyword_hits(df: DataFrame, text: str, keywords: DataFrame, keyword: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(sent.value) if sent.value else None
         for batch in batches:
-            place, keys, hits = [], [], []
-            for i, t in enumerate(batch.column("__text").to_pylist() if found else ()):
+            own_columns, place, keys, hits = batch.select(kept), [], [], []
+
+            def made() -> pa.RecordBatch:
+                # Only what is given out is repeated for each hit; the text is not.
+                some = [c.take(pa.array(place, pa.int64())) for c in own_columns.columns]
+                return pa.RecordBatch.from_arrays([*some, pa.array(keys, pa.string()), pa.array(hits, pa.int64())], names=names)
+
+            for i, t in enumerate(batch.column("__text") if found else ()):
+                t = t.as_py()
                 # A blank ends one word and begins the next.
                 counts = Counter(k for _, own in found.iter(f" {' '.join(WORD.findall(t))} ") for k in own) if t else {}
                 place += [i] * len(counts)
                 keys += counts.keys()
                 hits += counts.values()
-            some = batch.take(pa.array(place, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[some.column(c) for c in kept], pa.array(keys, pa.string()), pa.array(hits, pa.int64())], names=names)
+                if len(hits) >= ROWS:
+                    yield made()
+                    place, keys, hits = [], [], []
+            yield made()
 
     return rows.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], T.StructField("keyword", T.StringType()), T.StructField("hits", T.LongType())]))

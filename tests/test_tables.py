@@ -162,6 +162,14 @@ def plain_hits(text, keywords):
     return {k: n for k in keywords if (n := sum(w.startswith(k) if len(k) >= 5 else w in (k, k + "s") for w in words))}
 
 
+def test_keyword_hits_do_not_repeat_texts(spark):
+    """200 texts of 80 kB that have 150 keywords each: repeated for each hit they would take 2.4 GB in one batch."""
+    keys = spark.range(150).selectExpr("concat('keyword', id + 100) as keyword")
+    text = F.concat(F.lit(" ".join(f"keyword{i + 100}" for i in range(150))), F.repeat(F.lit(" other"), 13_000))
+    out = keywords_.keyword_hits(spark.range(0, 200, 1, 1).select("id", text.alias("text")), "text", keys)
+    assert [tuple(x) for x in out.groupBy("hits").agg(F.count("*"), F.countDistinct("id", "keyword")).collect()] == [(1, 30_000, 30_000)]
+
+
 def test_keyword_hits(spark):
     r = random.Random(3)
     keywords = ["card", "cards", "loan", "payment", "pay", "pd", "delinq", "a1b2c", "loans"]
