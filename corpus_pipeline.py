@@ -30,6 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of least doc_id, of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays.
 
+    SimHash links those within 2 of 64 bits, each link checked exactly; MinHash bands then complete what is alike but farther apart.
+
     Of ties the one of least text hash stays, and of rows that repeat id and text one. A null doc_id counts as the least; rows
     of null or equal doc_id in other groups stay. Null and empty texts are one group; an empty table stays empty.
     """

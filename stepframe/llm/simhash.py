@@ -36,8 +36,12 @@ def simhash(text: str | None, words: int = 3) -> int:
     n = max(1, len(parts) - words + 1)
     ends = (starts + lengths)[-n:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends.tolist())), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
+    return folded(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends.tolist())), np.uint64, n))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The SimHash of hashes: a bit is 1 if it is set in over half of them."""
+    n, ones = len(hashes), np.zeros(BITS, np.int64)
     for at in range(0, n, 65536):
         ones += np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
@@ -151,7 +155,7 @@ def _sketch(least: np.ndarray) -> np.ndarray:
 
 
 def add_shingles(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(key, hash, fp, n, bands, sketch): hash of the text, hash of its set of shingles, the set's size, band keys and MinHash bits."""
+    """(key, hash, fp, n, simhash, bands, sketch): hash of the text, hash of its set of shingles, the set's size, SimHash, band keys and MinHash bits."""
     r = np.random.default_rng(17)
     odd = r.integers(0, 2**64, BANDS * BAND_HASHES, np.uint64) | np.uint64(1)
     add = r.integers(0, 2**64, BANDS * BAND_HASHES, np.uint64)
@@ -162,18 +166,19 @@ def add_shingles(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fp, n, bands, bits = [], [], [], []
+            fp, n, prints, bands, bits = [], [], [], [], []
             for text in batch.column("text"):
                 own = shingles(text.as_py(), words)
                 least = _least_hashes(own, odd, add)
                 fp.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                 n.append(len(own))
+                prints.append(folded(own))
                 bands.append(_band_keys(least))
                 bits.append(_sketch(least))
-            columns = [batch.column("key"), batch.column("hash"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists(bands, BANDS), lists(bits, BANDS * BAND_HASHES * KEPT_BITS // 64)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "hash", "fp", "n", "bands", "sketch"])
+            columns = [batch.column("key"), batch.column("hash"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists(bands, BANDS), lists(bits, BANDS * BAND_HASHES * KEPT_BITS // 64)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "hash", "fp", "n", "simhash", "bands", "sketch"])
 
-    return docs.select(key_of_id().alias("key"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "key long, hash long, fp long, n long, bands array<long>, sketch array<long>")
+    return docs.select(key_of_id().alias("key"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "key long, hash long, fp long, n long, simhash long, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -209,11 +214,25 @@ def set_bounds(sets: DataFrame) -> DataFrame:
     return sets.join(single, "fp", "left").select("fp", "own", "single").mapInArrow(run, "fp long, alone long, " + ", ".join(f"{c} long" for c in names))
 
 
+def simhash_pairs(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (u_fp, v_fp) of ``prints`` (fp, distinct; simhash) whose SimHashes lie within the radius, enough to join all of them but for the exact check.
+
+    Sets of one SimHash go with the least of them, and these by the links of the covering tables, so a large group makes no pairs of all its members.
+    """
+    least = saved(prints.groupBy("simhash").agg(F.min("fp").alias("first")), "simhashes")
+    same = prints.join(least, "simhash").where("fp <> first").select(F.col("first").alias("u_fp"), F.col("fp").alias("v_fp"))
+    links = near_links(least.select(F.col("simhash").alias("fp")), radius)
+    links = links.join(least.select(F.col("simhash").alias("u"), F.col("first").alias("a")), "u").join(least.select(F.col("simhash").alias("v"), F.col("first").alias("b")), "v")
+    return same.unionByName(links.select(F.least("a", "b").alias("u_fp"), F.greatest("a", "b").alias("v_fp")))
+
+
 def similar_components(prints: DataFrame, sets_of) -> DataFrame:
-    """(node, root) of the components of all pairs of ``prints`` (fp, distinct; n, bands, sketch) with similarity 0.8 or more.
+    """(node, root) of the components of all pairs of ``prints`` (fp, distinct; n, simhash, bands, sketch) with similarity 0.8 or more.
     ``sets_of`` gives (fp, own), the sets of a table of fp.
 
-    Candidates share a band. In each round some members of a bucket, by a hash, meet all its members that aren't yet in
+    SimHash goes first: the pairs within its radius are compared exactly, and those that are similar make the components that all else starts from.
+    A pair at 0.8 differs in about 10 of 64 bits, though, and tables that hold all such pairs would hold nearly all others, so what
+    SimHash can't reach is completed by MinHash bands, in rounds. In each round some members of a bucket, by a hash, meet all its members that aren't yet in
     their component, and are compared exactly unless sizes, sketches or bounds on what they share rule them out; ``MORE``
     times as many in the next, until every pair that shares a band has met or lies in one component. So a large group of
     near copies costs a few rows for each member, and no pair is left out. A set of which over a fifth of the shingles are
@@ -226,9 +245,10 @@ def similar_components(prints: DataFrame, sets_of) -> DataFrame:
     odds = F.shiftrightunsigned(F.xxhash64("fp", F.lit(29)), 11) / F.lit(float(1 << 53))
     now = saved(all_members.join(shared, ["band", "bucket"]).withColumn("turn", odds * F.col("size")), "members")
     largest = now.agg(F.max("size")).first()[0]
+    near = saved(simhash_pairs(prints.select("fp", "simhash")), "near")
     facts = prints.select("fp", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(BANDS * BAND_HASHES * KEPT_BITS // 64)])
     sketch = [c for c in facts.columns if c not in ("fp", "n")]
-    facts = facts.join(now.select("fp").distinct(), "fp", "left_semi")
+    facts = facts.join(now.select("fp").union(near.select("u_fp")).union(near.select("v_fp")).distinct(), "fp", "left_semi")
     candidates = saved(sets_of(facts.select("fp")), "sets")
     # A pair shares at most what either has besides shingles that are in no other set, or whose bit the other lacks.
     facts = saved(facts.join(set_bounds(candidates), "fp").where(den * (F.col("n") - F.col("alone")) >= num * F.col("n")), "facts")
@@ -237,6 +257,25 @@ def similar_components(prints: DataFrame, sets_of) -> DataFrame:
     at_most = F.least(F.col("u_n") - lacking("u", "v"), F.col("v_n") - lacking("v", "u"))
     may_share = (num + den) * at_most >= num * (F.col("u_n") + F.col("v_n"))
     roots = saved(facts.select(F.col("fp").alias("node"), F.col("fp").alias("root")), "roots")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """Roots after the pairs (u_fp, u_n, u_root, v_fp, v_n, v_root) that are similar join theirs."""
+        met = pairs.join(candidates.select(F.col("fp").alias("u_fp"), F.col("own").alias("own_u")), "u_fp")
+        met = met.join(candidates.select(F.col("fp").alias("v_fp"), F.col("own").alias("own_v")), "v_fp")
+        common = F.size(F.array_intersect("own_u", "own_v"))
+        new = met.where((num + den) * common >= num * (F.col("u_n") + F.col("v_n"))).select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
+        new, out = saved(new.distinct(), "similar"), roots
+        if not new.isEmpty():
+            merged = components(new).select(F.col("node").alias("root"), F.col("root").alias("least"))
+            out = saved(roots.join(merged, "root", "left").select("node", F.coalesce("least", "root").alias("root")), "roots")
+            discard(roots)
+        discard(new)
+        return out
+
+    side = lambda x: facts.select(*[F.col(c).alias(f"{x}_{c}") for c in facts.columns])
+    alike = near.join(side("u"), "u_fp").join(side("v"), "v_fp").where((den * F.least("u_n", "v_n") >= num * F.greatest("u_n", "v_n")) & may_share)
+    roots = joined(alike.select("u_fp", "u_n", F.col("u_fp").alias("u_root"), "v_fp", "v_n", F.col("v_fp").alias("v_root")))
+    discard(near)
     probes, before = PROBES, 0
     while largest:
         # Buckets within one component are done with.
@@ -259,18 +298,8 @@ def similar_components(prints: DataFrame, sets_of) -> DataFrame:
         sides = [F.when(least, F.col(f"u_{c}")).otherwise(F.col(f"v_{c}")).alias(f"u_{c}") for c in ("fp", "n", "root")]
         sides += [F.when(least, F.col(f"v_{c}")).otherwise(F.col(f"u_{c}")).alias(f"v_{c}") for c in ("fp", "n", "root")]
         pairs = saved(pairs.select(*sides).distinct(), "pairs")
-        met = pairs.join(candidates.select(F.col("fp").alias("u_fp"), F.col("own").alias("own_u")), "u_fp")
-        met = met.join(candidates.select(F.col("fp").alias("v_fp"), F.col("own").alias("own_v")), "v_fp")
-        common = F.size(F.array_intersect("own_u", "own_v"))
-        new = met.where((num + den) * common >= num * (F.col("u_n") + F.col("v_n"))).select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
-        new = saved(new.distinct(), "similar")
+        roots = joined(pairs)
         discard(pairs)
-        if not new.isEmpty():
-            merged = components(new).select(F.col("node").alias("root"), F.col("root").alias("least"))
-            joined = saved(roots.join(merged, "root", "left").select("node", F.coalesce("least", "root").alias("root")), "roots")
-            discard(roots)
-            roots = joined
-        discard(new)
         if probes >= largest:
             break
         before, probes = probes, probes * MORE
@@ -280,11 +309,11 @@ def similar_components(prints: DataFrame, sets_of) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """One document of each group of near-duplicates, all columns: that of least doc_id, of these the one of least text hash.
 
-    Near-duplicates: word shingles with Jaccard similarity 0.8 or more, through any chain. Equal sets are first reduced
+    Near-duplicates: word shingles with Jaccard similarity 0.8 or more, through any chain; SimHash links them first, see ``similar_components``. Equal sets are first reduced
     to one. Null and empty texts are alike. A null doc_id counts as the least id; rows of null or equal doc_id with texts
     of other groups stay; of rows that repeat id and text one stays. An empty table gives no rows.
     """
-    prints = saved(add_shingles(docs, words).groupBy("fp").agg(F.min(F.struct("key", "hash")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "prints")
+    prints = saved(add_shingles(docs, words).groupBy("fp").agg(F.min(F.struct("key", "hash")).alias("first"), F.first("n").alias("n"), F.first("simhash").alias("simhash"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "prints")
 
     def sets_of(fps):
         # Texts are read again: sets of all documents would take more room than the texts.
@@ -292,7 +321,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
         texts = docs.select(key_of_id().alias("key"), F.xxhash64("text").alias("hash"), "text").join(wanted, ["key", "hash"])
         return shingle_sets(texts.groupBy("fp").agg(F.first("text").alias("text")), words)
 
-    found = similar_components(prints.select("fp", "n", "bands", "sketch"), sets_of)
+    found = similar_components(prints.select("fp", "n", "simhash", "bands", "sketch"), sets_of)
     rooted = prints.join(found, prints["fp"] == found["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"), F.col("first.hash").alias("_hash"))
     kept = docs.select(whole_row(docs), key_of_id().alias("_key"), F.xxhash64("text").alias("_hash")).join(chosen, ["_key", "_hash"], "left_semi")

@@ -545,6 +545,23 @@ def test_near_dedup_of_one_large_group(spark):
     assert alone == {1: 1, 2: 2, 3: 0}
 
 
+def test_near_dedup_links_by_simhash(spark):
+    """Without any shared MinHash band, copies whose SimHashes are near are linked, and only if they are similar."""
+    from stepframe.llm import simhash
+
+    r = random.Random(7)
+    base = [f"w{r.randint(0, 9000)}" for _ in range(900)]
+    texts = [" ".join([*base[:at], "other", *base[at + 1 :]]) for at in range(50, 850, 80)] + [" ".join(f"v{r.randint(0, 9000)}" for _ in range(900))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = simhash.add_shingles(rows).withColumn("bands", F.array(F.col("fp")))
+    fps = {x.key: (x.fp, x.simhash) for x in found.collect()}
+    assert all(fps[i][1] % 2**64 == simhash.folded(simhash.shingles(t)) for i, t in enumerate(texts))
+    texts_of = found.join(rows.withColumnRenamed("doc_id", "key"), "key").select("fp", "text")
+    got = {x.node: x.root for x in simhash.similar_components(found, lambda wanted: simhash.shingle_sets(texts_of.join(wanted, "fp"))).collect()}
+    near = [(a, b) for a in range(11) for b in range(a) if ((fps[a][1] ^ fps[b][1]) % 2**64).bit_count() <= 2]
+    assert 3 < len(near) and any(fps[a][1] != fps[b][1] for a, b in near) and all(got[fps[a][0]] == got[fps[b][0]] for a, b in near) and got.get(fps[10][0], fps[10][0]) == fps[10][0]
+
+
 def test_quality_does_not_depend_on_partitions(spark):
     r = random.Random(12)
     rows = []
