@@ -62,6 +62,13 @@ def test_differences(spark):
     assert differences.differences(l.limit(0), l.limit(0), ["a", "b"]).count() == 0 and differences.differences(l.limit(0), l, ["a", "b"]).where("kind = 'right only'").count() == 303
 
 
+def test_programs_of_one_file_are_read_by_many_tasks(spark):
+    rows = spark.range(0, 400, 1, 1).selectExpr("concat('p', id) as program", "concat('data out.t', id, '; set stg.a; run;') as text")
+    found = lineage.facts_of(rows)
+    assert found.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
+    assert found.where("fact in ('READ', 'WRITE')").count() == 800
+
+
 def test_upstream_of_a_hub(spark):
     """All targets read one table: no join pairs what reaches a hub with all that the hub leads to."""
     rows = [x for i in range(300) for x in (("hub", f"p{i}", "READS", "HIGH", "text"), (f"p{i}", f"t{i}", "WRITES", "HIGH", "text"))]
