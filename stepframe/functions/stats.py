@@ -45,6 +45,8 @@ class Forecast:
 
 #: Steps of a series that are gone through in one expression.
 FAN = 256
+#: Steps of a series that meet its end together.
+STRETCH = 65536
 
 
 def _scan(items: DataFrame, by: list[str], start: DataFrame, longest: int, weight: float) -> DataFrame:
@@ -107,10 +109,19 @@ def brown(df: DataFrame, time: str, value: str, by: list[str] | None = None, wei
     longest = rows.agg(F.max("i")).first()[0]
     seen = _scan(items, by, start, (longest or 0) + 1, weight)
     trend = w / b * (F.col("s1") - F.col("s2"))
-    after1 = w * F.col("data.y") + b * F.col("s1")
     back = [F.col(k).alias(c) for c, k in zip(named, by, strict=True)]
     fitted = seen.select(*back, F.col("data.t").alias("t"), F.col("data.y").alias("y"), (2 * F.col("s1") - F.col("s2") + trend).alias("fitted"))
-    last = seen.groupBy(*by).agg(F.max(F.struct("i", F.col("data.t").alias("last"), after1.alias("s1"), (w * after1 + b * F.col("s2")).alias("s2"))).alias("e")).where("e is not null")
+    # The state after all N points needs no state on the way: it is A^N s + the sum of A^(N - 1 - i) times what point i adds.
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("t").alias("last"))
+    # A long series meets its end in stretches, so no task has it whole.
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STRETCH))).alias("k")
+    whole = join_same(rows.withColumn("k", F.floor(F.col("i") / STRETCH)), ends.select("*", stretch), [*by, "k"]).withColumn("left", F.col("n") - 1 - F.col("i"))
+    power = F.pow(F.lit(b), F.col("left"))
+    parts = whole.groupBy(*by, "k").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.sum(w * power * F.col("y")).alias("v1"), F.sum(w * w * (F.col("left") + 1) * power * F.col("y")).alias("v2"))
+    added = parts.groupBy(*by).agg(F.first("n").alias("n"), F.first("last").alias("last"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"))
+    both = join_same(added, start, by) if by else added.crossJoin(F.broadcast(start))
+    power = F.pow(F.lit(b), F.col("n"))
+    last = both.where("n > 0").select(*by, F.struct("last", (power * F.col("s1") + F.col("v1")).alias("s1"), (power * F.col("s2") + F.col("n") * w * power * F.col("s1") + F.col("v2")).alias("s2")).alias("e"))
     states = last.select(*back, "e.last", "e.s1", "e.s2").withColumns({"constant": 2 * F.col("s1") - F.col("s2"), "linear": trend})
     return Forecast(fitted, states, lead)
 

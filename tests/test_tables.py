@@ -275,3 +275,26 @@ def test_input_order_and_tables_by_key(spark, tmp_path):
     lib = Libraries(spark, {"out": str(tmp_path)})
     lib.save_by("out.parts", rows.drop("_row"), "k")
     assert spark.read.parquet(f"{tmp_path}/parts/k=2").count() == 10 and lib.read("out.parts").count() == 30
+
+
+def test_states_of_a_long_series_need_no_stretches(spark):
+    """Last states come from sums, whatever the order of rows: no array grows row by row on the way."""
+    from stepframe.functions import stats
+
+    r = random.Random(5)
+    ys = {"a": [r.random() * 50 for _ in range(3000)], "b": [7.5], None: [r.random() for _ in range(40)]}
+    rows = spark.createDataFrame([(k, t, y) for k, v in ys.items() for t, y in enumerate(v)], "k string, t int, y double").repartition(5)
+    states = stats.brown(rows, "t", "y", ["k"]).states
+    got = {x.k: x for x in states.collect()}
+    for k, v in ys.items():
+        first = v[:12]
+        mt, my = (len(first) + 1) / 2, sum(first) / len(first)
+        stt = sum((t + 1 - mt) ** 2 for t in range(len(first)))
+        slope = sum((t + 1 - mt) * (y - my) for t, y in enumerate(first)) / stt if stt else 0
+        level = my - slope * mt
+        s1, s2 = level - 4 * slope, level - 8 * slope
+        for y in v:
+            s1 = 0.2 * y + 0.8 * s1
+            s2 = 0.2 * s1 + 0.8 * s2
+        assert got[k].last == len(v) - 1 and got[k].s1 == pytest.approx(s1) and got[k].s2 == pytest.approx(s2) and got[k].constant == pytest.approx(2 * s1 - s2)
+    assert "array_append" not in states._jdf.queryExecution().optimizedPlan().toString()
