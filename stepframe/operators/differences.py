@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import cell_text
+from .graphs import Scratch
 from .order import join_same
 
 #: Nodes of the two levels of the tree, by their number of bits.
 BITS = (8, 8)
+#: Keys that differ are sent to all tasks up to this number; more are joined.
+MOST_SENT = 1_000_000
 
 
 def _cell(df: DataFrame, c: str, other: DataFrame) -> Column:
@@ -43,7 +46,8 @@ def unequal_parts(left: DataFrame, right: DataFrame, keys: list[str], columns: l
 
     Keys are spread over a tree by their hash. For each node of a level both tables give a count and an order-free sum of row
     hashes, which combine before the shuffle; only nodes that differ are looked into at the next level, and only rows in the lowest
-    unequal nodes are given. There are at most 2^16 nodes, so their lists are broadcast.
+    unequal nodes are given. There are at most 2^16 nodes, so their lists are broadcast. Among the rows of the lowest unequal nodes, which in
+    large tables are most, only hashes of keys and rows are shuffled, to find the keys that differ; the rows of other keys are left where they are.
     """
     a, b = _prints(left, right, keys, columns), _prints(right, left, keys, columns)
     nodes = None
@@ -53,7 +57,15 @@ def unequal_parts(left: DataFrame, right: DataFrame, keys: list[str], columns: l
         other = sums[1].toDF("__other", "m", "t", "v")
         both = sums[0].join(other, F.col("__node") == F.col("__other"), "full_outer")
         nodes = both.where(~(F.col("n").eqNullSafe(F.col("m")) & F.col("s").eqNullSafe(F.col("t")) & F.col("u").eqNullSafe(F.col("v")))).select(F.coalesce("__node", "__other").alias("__node"))
-    return nodes, *[x.join(F.broadcast(nodes), _node(len(BITS)) == F.col("__node"), "left_semi").drop("__key") for x in (a, b)]
+    inside = [x.join(F.broadcast(nodes), _node(len(BITS)) == F.col("__node"), "left_semi") for x in (a, b)]
+    # Sums of halves can't overflow; they are compared, not shown.
+    halves = [F.shiftright(c, 32) if high else F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("__p", "__q") for high in (True, False)]
+    signed = [x.select("__key", F.lit(sign).cast("long").alias("d"), *[(h * sign).alias(f"h{i}") for i, h in enumerate(halves)]) for x, sign in zip(inside, (1, -1), strict=True)]
+    odd = signed[0].unionByName(signed[1]).groupBy("__key").agg(F.sum("d").alias("d"), *[F.sum(f"h{i}").alias(f"h{i}") for i in range(4)]).where("d <> 0 or h0 <> 0 or h1 <> 0 or h2 <> 0 or h3 <> 0").select("__key")
+    odd, n = Scratch(left.sparkSession, "unequal").keep(odd)
+    if n <= MOST_SENT:
+        odd = F.broadcast(odd)
+    return nodes, *[x.join(odd, "__key", "left_semi").drop("__key") for x in inside]
 
 
 def differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,6 +32,18 @@ def test_band_lookup(spark):
     assert intervals.band_lookup(df.limit(0), "v", b).count() == 0 and intervals.band_lookup(df, "v", b.limit(0)).where("band is null").count() == 400
 
 
+def test_differences_where_most_nodes_differ(spark, monkeypatch):
+    """Two nodes, both unequal: still only rows of the keys that differ are given, sent or joined."""
+    monkeypatch.setattr(differences, "BITS", (1,))
+    l = spark.range(3000).selectExpr("id as a", "id % 7 as v")
+    r = l.where("a <> 9").withColumn("v", F.when(F.col("a") % 500 == 1, -1).otherwise(F.col("v")))
+    for most in (1_000_000, 2):
+        monkeypatch.setattr(differences, "MOST_SENT", most, raising=False)
+        _, a, b = differences.unequal_parts(l, r, ["a"], ["a", "v"])
+        assert (a.count(), b.count()) == (7, 6)
+        assert sorted(tuple(x) for x in differences.differences(l, r, ["a"]).collect()) == [(1, "changed", "v"), (9, "left only", ""), *[(k, "changed", "v") for k in range(501, 3000, 500)]]
+
+
 def test_band_summary(spark):
     """Numbers and least bands without a row for each match: 4,000 values in 4,000 bands that all hold them are 16 million."""
     r = random.Random(2)
