@@ -44,6 +44,17 @@ def test_differences_where_most_nodes_differ(spark, monkeypatch):
         assert sorted(tuple(x) for x in differences.differences(l, r, ["a"]).collect()) == [(1, "changed", "v"), (9, "left only", ""), *[(k, "changed", "v") for k in range(501, 3000, 500)]]
 
 
+def test_reconcile_counts_one_partition_in_many_tasks(spark):
+    """Profiles of a table of one partition are summed in as many tasks as a shuffle has."""
+    from stepframe.operators import profile
+
+    one = spark.range(0, 500, 1, 1).selectExpr("id as a", "concat('t', id) as b")
+    checks = profile.reconcile("t", one, one)
+    assert checks.where("not passed").count() == 0
+    plan = checks._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Repartition(?:ByExpression)? .*", plan)) >= 2
+
+
 def test_band_summary(spark):
     """Numbers and least bands without a row for each match: 4,000 values in 4,000 bands that all hold them are 16 million."""
     r = random.Random(2)
