@@ -162,6 +162,56 @@ def test_cycles_and_chains(spark, n, m):
     assert {x.node: (x.length, x.root, x["size"]) for x in got} == {u: (length(root[u]), root[u], size[u]) for u in nodes} | {"alone": (1, "alone", 1)}
 
 
+def test_contraction_changes_no_result(spark, monkeypatch):
+    """Long paths, closed and open, with random edges among some of their nodes."""
+    edges = sorted({*random_edges(12, 12, 13), *((f"p{i:02}", f"p{i + 1:02}") for i in range(25)), *((f"c{i}", f"c{(i + 1) % 7}") for i in range(7)), ("p03", "n1"), ("n2", "p09"), ("c2", "p20")})
+    df = spark.createDataFrame(edges, "u string, v string")
+    nodes = df.select(F.col("u").alias("node")).union(df.select("v"))
+    starts = spark.createDataFrame([("p00",), ("n1",), ("c4",), ("none",)], "start string")
+
+    def results():
+        return [sorted(tuple(x) for x in t.collect()) for t in (graphs.reach(df, starts), graphs.cycles(df), graphs.longest_chains(df, nodes))]
+
+    plain = results()
+    monkeypatch.setattr(graphs, "FEW", 0)
+    assert results() == plain
+
+
+def kept_rows(monkeypatch, work):
+    total, keep = [0], graphs.Scratch.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        total[0] += out[1]
+        return out
+
+    monkeypatch.setattr(graphs.Scratch, "keep", counted)
+    work()
+    monkeypatch.setattr(graphs.Scratch, "keep", keep)
+    return total[0]
+
+
+def test_rows_written_for_a_long_chain_follow_its_links(spark, monkeypatch):
+    """Doubling alone writes each link again for each of log2 n rounds: over 17 rows a node."""
+    monkeypatch.setattr(graphs, "FEW", 500, raising=False)
+    n = 6_000
+    chain = spark.range(n).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    got = []
+    rows = kept_rows(monkeypatch, lambda: got.append(graphs.reach(chain, spark.range(1).select(F.col("id").alias("start"))).where("depth = node").count()))
+    assert got == [n + 1] and rows < 10 * n
+
+
+def test_rows_written_for_chains_and_cycles_follow_their_links(spark, monkeypatch):
+    """40 nodes each, a third closed: a round for each link wrote over 50 rows a node."""
+    monkeypatch.setattr(graphs, "FEW", 500, raising=False)
+    n = 6_000
+    at = spark.range(n).where("id % 40 < 39 or id % 120 < 40")
+    chains = at.selectExpr("id as u", "if(id % 40 = 39, id - 39, id + 1) as v")
+    got = []
+    rows = kept_rows(monkeypatch, lambda: got.append(graphs.longest_chains(chains, spark.range(n).toDF("node")).where("if(node % 120 < 40, length = 40 and size = 40 and root = node - node % 40, length = node % 40 + 1 and size = 1 and root = node)").count()))
+    assert got == [n] and rows < 25 * n
+
+
 def plain_merge(left, right):
     out = []
     for k in sorted({r[0] for r in left + right}, key=str):
