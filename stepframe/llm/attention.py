@@ -66,6 +66,8 @@ class Attention:
         self.top = np.concatenate([small(0.1, DIM, len(share)), np.log(share)[None].astype(np.float32)])
         self.leaf = np.concatenate([small(0.1, n, DIM), np.log(symbols.share / share[symbols.cls])[:, None].astype(np.float32)], 1)
         self.sums = {k: np.full_like(getattr(self, k), 1e-3) for k in self.NAMES}
+        #: Made when texts are scored, as parameters don't change then.
+        self._projected = None
 
     NAMES = ("embed", "leaf", "place", "qkv", "top")
 
@@ -73,7 +75,7 @@ class Attention:
         return np.concatenate([x.ravel() for k in self.NAMES for x in (getattr(self, k), self.sums[k])])
 
     def load(self, flat: np.ndarray) -> "Attention":
-        at = 0
+        at, self._projected = 0, None
         for k in self.NAMES:
             own = getattr(self, k)
             for put in (lambda x, k=k: setattr(self, k, x), lambda x, k=k: self.sums.__setitem__(k, x)):
@@ -90,18 +92,28 @@ class Attention:
             out += [of, of]
         return np.concatenate(out)
 
-    def _states(self, inputs: np.ndarray):
-        """inputs: ranks, (windows, WIDTH)."""
-        shape = (len(inputs), WIDTH, DIM)
-        x = np.take(self.embed, inputs, axis=0)
-        x += self.place
-        flat = x.reshape(-1, DIM)
-        q, k, v = ((flat @ np.ascontiguousarray(self.qkv[:, i : i + DIM])).reshape(shape) for i in range(0, 3 * DIM, DIM))
+    def _project(self, embed: np.ndarray) -> list[np.ndarray]:
+        """Queries, keys and values of some symbols without their places, each in one piece."""
+        return [embed @ np.ascontiguousarray(self.qkv[:, i : i + DIM]) for i in range(0, 3 * DIM, DIM)]
+
+    def _states(self, embed: np.ndarray, projected: list[np.ndarray], rows: np.ndarray, first: int = 0):
+        """rows: of ``embed`` and ``projected``, (windows, WIDTH); states are made from place ``first`` of each window on.
+
+        A symbol's part of queries, keys and values is the same at all places, so it is made once for each symbol and a place's
+        part is added.
+        """
+        n, own = len(rows), rows[:, first:]
+        x = np.take(embed, own, axis=0)
+        x += self.place[first:]
+        q, k, v = (np.take(e, own if i == 0 else rows, axis=0) for i, e in enumerate(projected))
+        for part, place in zip((q, k, v), self._project(self.place)):
+            part += place[WIDTH - part.shape[1] :]
         a = np.matmul(q, k.transpose(0, 2, 1))
         np.clip(a, -CAP, CAP, out=a)
         np.exp(a, out=a)
-        a *= _LOW
-        a /= (a.reshape(-1, WIDTH) @ _ONES).reshape(len(inputs), WIDTH, 1)
+        a *= _LOW[first:]
+        a /= (a.reshape(-1, WIDTH) @ _ONES).reshape(n, WIDTH - first, 1)
+        flat = x.reshape(-1, DIM)
         state = np.empty((len(flat), DIM + 1), np.float32)
         state[:, DIM] = 1
         np.add(np.matmul(a, v).reshape(-1, DIM), flat, out=state[:, :DIM])
@@ -140,9 +152,16 @@ class Attention:
 
     def step(self, windows: np.ndarray, rate: float) -> None:
         """One step of Adagrad over windows of WIDTH + 1 ranks, -1 where a text has ended."""
-        s, rate = self.symbols, np.float32(rate)
-        inputs, goals = np.maximum(windows[:, :-1], 0), windows[:, 1:].ravel()
-        flat, q, k, v, a, state = self._states(inputs)
+        s, rate, self._projected = self.symbols, np.float32(rate), None
+        inputs, goals = np.maximum(windows[:, :-1], 0).ravel(), windows[:, 1:].ravel()
+        order = self._order(inputs)
+        ranks = inputs[order]
+        new = np.concatenate([[True], ranks[1:] != ranks[:-1]])
+        begins = np.flatnonzero(new)
+        ranks, number = ranks[begins], np.empty(len(inputs), np.intp)
+        number[order] = np.cumsum(new) - 1
+        embed = np.take(self.embed, ranks, axis=0)
+        flat, q, k, v, a, state = self._states(embed, self._project(embed), number.reshape(-1, WIDTH))
         live = np.flatnonzero(goals >= 0)
         live = live[self._order(goals[live])]
         goals = goals[live]
@@ -179,11 +198,7 @@ class Attention:
         dense["place"] = dx.reshape(-1, WIDTH, DIM).sum(0)
         for name, g in dense.items():
             self._adapt(name, g, rate)
-        ranks = inputs.ravel()
-        order = self._order(ranks)
-        ranks = ranks[order]
-        first = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
-        ranks, g = ranks[first], np.add.reduceat(np.take(dx, order, axis=0), first, axis=0)
+        g = np.add.reduceat(np.take(dx, order, axis=0), begins, axis=0)
         total = np.take(self.sums["embed"], ranks, axis=0)
         total += g * g
         self.sums["embed"][ranks] = total
@@ -195,15 +210,23 @@ class Attention:
         """Log probabilities of each window's goals, (windows, WIDTH); 0 for the first ``skip`` of a window and where its text has
         ended."""
         s = self.symbols
-        goals = windows[:, 1:]
-        live = np.flatnonzero(((goals >= 0) & (np.arange(WIDTH) >= skip[:, None])).ravel())
-        out = np.zeros(goals.size)
+        out = np.zeros((len(windows), WIDTH))
+        if self._projected is None:
+            self._projected = self._project(self.embed)
+        # Goals that the window before has need no states here.
+        states, goals, places = [], [], []
+        for first in np.unique(skip).tolist():
+            which = np.flatnonzero(skip == first)
+            own = np.take(windows, which, axis=0)
+            states.append(self._states(self.embed, self._projected, np.maximum(own[:, :-1], 0), first)[-1])
+            goals.append(own[:, first + 1 :].ravel())
+            places.append((which[:, None] * WIDTH + np.arange(first, WIDTH)).ravel())
+        state, goals, places = (np.concatenate(x) if len(x) > 1 else x[0] for x in (states, goals, places))
+        live = np.flatnonzero(goals >= 0)
         if not len(live):
-            return out.reshape(goals.shape)
-        state = self._states(np.maximum(windows[:, :-1], 0))[-1]
-        goals = goals.ravel()
+            return out
         live = live[self._order(goals[live])]
-        goals = goals[live]
+        goals, places = goals[live], places[live]
         cls = s.cls[goals]
         own = np.take(state, live, axis=0)
         z = own @ self.top
@@ -212,8 +235,8 @@ class Attention:
         picked = z[np.arange(len(z)), cls] / (z @ np.ones(z.shape[1], np.float32))
         y, _, starts, at, _ = self._leaves(own, goals, cls)
         picked *= y[at] / np.add.reduceat(y, starts)
-        out[live] = np.log(picked.astype(np.float64)) + np.where(goals == s.used, s.rest, 0.0)
-        return out.reshape(windows.shape[0], WIDTH)
+        out.ravel()[places] = np.log(picked.astype(np.float64)) + np.where(goals == s.used, s.rest, 0.0)
+        return out
 
 
 class Windows:

@@ -287,6 +287,21 @@ def test_attention_probabilities_and_gradient():
     assert all(np.array_equal(getattr(m, k), getattr(again, k)) and np.array_equal(m.sums[k], again.sums[k]) for k in m.NAMES) and len(m.rows_of()) == len(m.flat())
 
 
+def test_states_only_for_goals_that_are_scored(monkeypatch):
+    """Windows that overlap the one before get states for their last half only, equal to those of the whole window."""
+    from stepframe.llm import attention as A
+
+    ranks = np.random.default_rng(3).integers(0, 50, 400).astype(np.int32)
+    m = A.Attention(A.Symbols(np.bincount(ranks, minlength=60)))
+    every = np.concatenate([ranks, ranks]).reshape(-1, A.WIDTH)
+    whole, made = m._states(m.embed, m._project(m.embed), every)[-1].reshape(len(every), A.WIDTH, -1), []
+    assert np.allclose(m._states(m.embed, m._project(m.embed), every, A.STRIDE)[-1].reshape(len(every), A.WIDTH - A.STRIDE, -1), whole[:, A.STRIDE :], atol=1e-5)
+    states = A.Attention._states
+    monkeypatch.setattr(A.Attention, "_states", lambda *a: (made.append(len((out := states(*a))[-1])), out)[1])
+    A.score_texts(m, ranks, np.array([0, 400]), 0)
+    assert sum(made) < 400 + 2 * A.WIDTH
+
+
 def brute_score(m, seq, end):
     from stepframe.llm import attention as A
 
