@@ -1,6 +1,6 @@
 """DATA steps whose values depend on the row before in any way: the rows of a BY group are gone through in order.
 
-The statements become one function of a record of values. Rows are dealt out by BY group and sorted; each task runs the function over
+The statements become one Python function of a record of values, as source text. Rows are dealt out by BY group and sorted; each task runs the function over
 its rows, batch by batch, and keeps the record from one batch to the next, so a group may be larger than a batch or memory.
 Groups are independent only if nothing is carried from one into the next: each retained value must have been set in a group's first
 row before it is read, which is checked beforehand; a step that doesn't is refused.
@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -25,46 +26,77 @@ from .lexer import Statement
 from .translator import Expression, Unsupported, _DataStep, _tables
 
 
+class Source:
+    """What the source text of a step's function refers to: objects by name, and names of its own."""
+
+    def __init__(self):
+        self.objects: dict[str, object] = {}
+        self.n = 0
+
+    def of(self, value) -> str:
+        name = f"_g{len(self.objects)}"
+        self.objects[name] = value
+        return name
+
+    def name(self) -> str:
+        self.n += 1
+        return f"_v{self.n}"
+
+
 class Cell:
-    """A value of the record: how it is got, and whether it is a number, a text or a date. ``reads``: the names it depends on."""
+    """A value of the record: how it is got, and whether it is a number, a text or a date. ``reads``: the names it depends on.
+
+    ``code``: the same as an expression in source text; without one, the text calls ``get``.
+    """
 
-    def __init__(self, get: Callable, kind: str = "number", reads: frozenset = frozenset()):
+    def __init__(self, get: Callable, kind: str = "number", reads: frozenset = frozenset(), code: Callable | None = None):
         self.get, self.kind, self.reads = get, kind, reads
+        self.code = code or (lambda s: f"{s.of(get)}(r)")
 
-    def _two(self, other: Cell, f: Callable, kind: str | None = None) -> Cell:
+    def _two(self, other: Cell, f: Callable, kind: str | None = None, code: str = "") -> Cell:
         a, b = self.get, other.get
 
         def get(r):
             x, y = a(r), b(r)
             return None if x is None or y is None else f(x, y)
 
-        return Cell(get, kind or self.kind, self.reads | other.reads)
+        def text(s):
+            x, y = s.name(), s.name()
+            both = code.format(x=x, y=y, f=s.of(f)) if code else f"{s.of(f)}({x}, {y})"
+            return f"(None if (({x} := {self.code(s)}) is None) | (({y} := {other.code(s)}) is None) else {both})"
+
+        return Cell(get, kind or self.kind, self.reads | other.reads, text)
 
     def __add__(self, other):
-        return self._two(other, _plus)
+        return self._two(other, _plus, None, "{x} + {y} if {x}.__class__ is float else {f}({x}, {y})")
 
     def __sub__(self, other):
         days = self.kind == "date" and other.kind == "date"
-        return self._two(other, _minus, "number" if days else None)
+        return self._two(other, _minus, "number" if days else None, "{x} - {y} if {x}.__class__ is float else {f}({x}, {y})")
 
     def __mul__(self, other):
-        return self._two(other, lambda x, y: x * y)
+        return self._two(other, lambda x, y: x * y, None, "{x} * {y}")
 
     def __neg__(self):
         get = self.get
-        return Cell(lambda r: None if (x := get(r)) is None else -x, self.kind, self.reads)
+
+        def text(s):
+            x = s.name()
+            return f"(None if ({x} := {self.code(s)}) is None else -{x})"
+
+        return Cell(lambda r: None if (x := get(r)) is None else -x, self.kind, self.reads, text)
 
     def __invert__(self):
         get = self.get
-        return Cell(lambda r: not get(r), "boolean", self.reads)
+        return Cell(lambda r: not get(r), "boolean", self.reads, lambda s: f"(not {self.code(s)})")
 
     def __and__(self, other):
         a, b = self.get, other.get
-        return Cell(lambda r: a(r) and b(r), "boolean", self.reads | other.reads)
+        return Cell(lambda r: a(r) and b(r), "boolean", self.reads | other.reads, lambda s: f"({self.code(s)} and {other.code(s)})")
 
     def __or__(self, other):
         a, b = self.get, other.get
-        return Cell(lambda r: a(r) or b(r), "boolean", self.reads | other.reads)
+        return Cell(lambda r: a(r) or b(r), "boolean", self.reads | other.reads, lambda s: f"({self.code(s)} or {other.code(s)})")
 
 
 def _plus(x, y):
@@ -82,6 +114,10 @@ def _less(x, y) -> bool:
 
 
 _TESTS = {"lt": _less, "gt": lambda x, y: _less(y, x), "le": lambda x, y: not _less(y, x), "ge": lambda x, y: not _less(x, y), "eq": lambda x, y: x == y, "ne": lambda x, y: x != y}
+#: The same as text: where one of the two is missing, and where none is.
+_TEXTS = {
+    "lt": ("{y} is not None", "{x} < {y}"), "gt": ("{x} is not None", "{y} < {x}"), "le": ("{x} is None", "not {y} < {x}"), "ge": ("{y} is None", "not {x} < {y}"),
+}
 _SIGNS = {"<": "lt", "<=": "le", ">": "gt", ">=": "ge", "=": "eq", "^=": "ne", "~=": "ne", "<>": "ne"}
 
 
@@ -96,12 +132,15 @@ def _one(f: Callable, kind: str = "number") -> Callable:
     def make(c: Cell) -> Cell:
         def get(r):
             x = c.get(r)
+            return of(x)
+
+        def of(x):
             try:
                 return None if x is None else f(x)
             except (ValueError, OverflowError):
                 return None
 
-        return Cell(get, kind, c.reads)
+        return Cell(get, kind, c.reads, lambda s: f"{s.of(of)}({c.code(s)})")
 
     return make
 
@@ -111,17 +150,18 @@ class Cells:
 
     SIMPLE = {
         "strip": _one(lambda x: x.strip(" "), "text"), "trim": _one(lambda x: x.rstrip(" "), "text"), "upcase": _one(str.upper, "text"), "lowcase": _one(str.lower, "text"),
-        "missing": lambda c: Cell(lambda r: int(c.get(r) is None), "number", c.reads), "length": _one(lambda x: len(x.rstrip(" ").encode())), "abs": _one(abs), "year": _one(lambda x: x.year), "month": _one(lambda x: x.month), "day": _one(lambda x: x.day),
+        "missing": lambda c: Cell(lambda r: int(c.get(r) is None), "number", c.reads, lambda s: f"(1 if {c.code(s)} is None else 0)"), "length": _one(lambda x: len(x.rstrip(" ").encode())), "abs": _one(abs), "year": _one(lambda x: x.year), "month": _one(lambda x: x.month), "day": _one(lambda x: x.day),
         "sqrt": _one(math.sqrt), "log": _one(lambda x: math.log(x)), "exp": _one(math.exp), "int": _one(math.trunc), "floor": _one(math.floor), "ceil": _one(math.ceil), "countw": _one(lambda x: len(x.split())),
     }
 
     @staticmethod
     def lit(value) -> Cell:
-        return Cell(lambda r: value, "boolean" if isinstance(value, bool) else "number")
+        plain = value is None or isinstance(value, (bool, int, str)) or isinstance(value, float) and math.isfinite(value)
+        return Cell(lambda r: value, "boolean" if isinstance(value, bool) else "number", code=(lambda s: f"({value!r})") if plain else None)
 
     @staticmethod
     def text(value: str) -> Cell:
-        return Cell(lambda r: value, "text")
+        return Cell(lambda r: value, "text", code=lambda s: repr(str(value)))
 
     @staticmethod
     def trimmed(c: Cell) -> Cell:
@@ -129,29 +169,42 @@ class Cells:
 
     @staticmethod
     def missing() -> Cell:
-        return Cell(lambda r: None, "number")
+        return Cell(lambda r: None, "number", code=lambda s: "None")
 
     @staticmethod
     def day(text: str) -> Cell:
         value = dt.datetime.strptime(text, "%d%b%Y").date()
-        return Cell(lambda r: value, "date")
+        return Cell(lambda r: value, "date", code=lambda s: s.of(value))
 
     @staticmethod
     def flag(c: Cell) -> Cell:
-        return Cell(lambda r: int(c.get(r)), "number", c.reads)
+        return Cell(lambda r: int(c.get(r)), "number", c.reads, lambda s: f"int({c.code(s)})")
 
     @staticmethod
     def truth(c: Cell) -> Cell:
-        return Cell(lambda r: bool(c.get(r)), "boolean", c.reads)
+        return Cell(lambda r: bool(c.get(r)), "boolean", c.reads, lambda s: f"bool({c.code(s)})")
 
     @staticmethod
     def known(c: Cell) -> Cell:
-        return Cell(lambda r: c.get(r) is not None, "boolean", c.reads)
+        return Cell(lambda r: c.get(r) is not None, "boolean", c.reads, lambda s: f"({c.code(s)} is not None)")
 
     @staticmethod
     def compare(a: Cell, op: str, b: Cell) -> Cell:
-        test = _TESTS[_SIGNS.get(op, op)]
-        return Cell(lambda r: test(a.get(r), b.get(r)), "boolean", a.reads | b.reads)
+        op = _SIGNS.get(op, op)
+        test = _TESTS[op]
+
+        def text(s):
+            if op not in _TEXTS:
+                return f"({a.code(s)} {'==' if op == 'eq' else '!='} {b.code(s)})"
+            x, y = s.name(), s.name()
+            one, none = (t.format(x=x, y=y) for t in _TEXTS[op])
+            if op in ("lt", "gt"):
+                one = f"{one} and {x if op == 'lt' else y} is None"
+            else:
+                one = f"{one} or {y if op == 'le' else x} is not None"
+            return f"(({one}) if (({x} := {a.code(s)}) is None) | (({y} := {b.code(s)}) is None) else {none})"
+
+        return Cell(lambda r: test(a.get(r), b.get(r)), "boolean", a.reads | b.reads, text)
 
     @staticmethod
     def same(a: Cell, b: Cell) -> Cell:
@@ -159,7 +212,11 @@ class Cells:
 
     @staticmethod
     def coalesce(*cells: Cell) -> Cell:
-        return Cell(lambda r: next((x for c in cells if (x := c.get(r)) is not None), None), cells[0].kind, frozenset().union(*[c.reads for c in cells]))
+        def text(s):
+            parts = [(s.name(), c) for c in cells]
+            return f"({' '.join(f'{x} if ({x} := {c.code(s)}) is not None else' for x, c in parts)} None)"
+
+        return Cell(lambda r: next((x for c in cells if (x := c.get(r)) is not None), None), cells[0].kind, frozenset().union(*[c.reads for c in cells]), text)
 
     @staticmethod
     def concat(*cells: Cell) -> Cell:
@@ -171,7 +228,7 @@ class Cells:
 
     @staticmethod
     def divide(a: Cell, b: Cell) -> Cell:
-        return a._two(b, lambda x, y: x / y if y else None, "number")
+        return a._two(b, lambda x, y: x / y if y else None, "number", "{x} / {y} if {y} else None")
 
     @staticmethod
     def power(a: Cell, b: Cell) -> Cell:
@@ -181,10 +238,13 @@ class Cells:
     def _among(pick: Callable) -> Callable:
         def make(*cells: Cell) -> Cell:
             def get(r):
-                known = [x for c in cells if (x := c.get(r)) is not None]
+                return of(*[c.get(r) for c in cells])
+
+            def of(*values):
+                known = [x for x in values if x is not None]
                 return pick(known) if known else None
 
-            return Cell(get, cells[0].kind, frozenset().union(*[c.reads for c in cells]))
+            return Cell(get, cells[0].kind, frozenset().union(*[c.reads for c in cells]), lambda s: f"{s.of(of)}({', '.join(c.code(s) for c in cells)})")
 
         return make
 
@@ -196,7 +256,10 @@ class Cells:
                     return value.get(r)
             return otherwise.get(r) if otherwise else None
 
-        return Cell(get, branches[0][1].kind, frozenset().union(*[x.reads for b in branches for x in b], otherwise.reads if otherwise else ()))
+        def text(s):
+            return f"({' '.join(f'{value.code(s)} if {test.code(s)} else' for test, value in branches)} {otherwise.code(s) if otherwise else None})"
+
+        return Cell(get, branches[0][1].kind, frozenset().union(*[x.reads for b in branches for x in b], otherwise.reads if otherwise else ()), text)
 
     @staticmethod
     def formatted(c: Cell, fmt: RangeFormat) -> Cell:
@@ -310,10 +373,25 @@ class _Carry:
 
 @dataclass
 class _Act:
-    """A statement: a function of the record, true if the row goes on, and how it changes what is carried."""
+    """A statement: a function of the record, true if the row goes on, how it changes what is carried, and lines of source text
+    that do the same and return False where the row ends; without these the function is called."""
 
     run: Callable
     carry: Callable
+    code: Callable | None = None
+
+    def lines(self, s: Source) -> list[str]:
+        return self.code(s) if self.code else [f"if not {s.of(self.run)}(r):", "    return False"]
+
+
+def _inside(lines: list[str]) -> list[str]:
+    return [f"    {x}" for x in lines or ["pass"]]
+
+
+def _compiled(source: str, objects: dict) -> Callable:
+    names = dict(objects)
+    exec(source, names)
+    return names["run"]
 
 
 class RowStep(_DataStep):
@@ -325,6 +403,7 @@ class RowStep(_DataStep):
         self.places: dict[str, int] = {}
         self.lags = 0
         self.set_names: set[str] = set()
+        self.touched: set[str] = set()
         self.typed: set[str] = set()
         self.shown: list[int] = []
         super().__init__(session, block)
@@ -372,6 +451,7 @@ class RowStep(_DataStep):
 
     def place(self, name: str, kind: str | None = None) -> int:
         """Where the record has a name; a name seen for the first time is a column of this step."""
+        self.touched.add(name)
         if name not in self.places:
             self.places[name] = len(self.places)
             self.kinds[name] = kind or "number"
@@ -385,7 +465,7 @@ class RowStep(_DataStep):
         if len(parts) > 1:
             raise Unsupported("name", ".".join(parts))
         i = self.place(parts[0])
-        return Cell(lambda r: r[i], self.kinds[parts[0]], frozenset([parts[0]]))
+        return Cell(lambda r: r[i], self.kinds[parts[0]], frozenset([parts[0]]), lambda s: f"r[{i}]")
 
     def element(self, name: str, index: Cell) -> Cell:
         own = [self.place(c) for c in self.arrays[name]]
@@ -396,7 +476,14 @@ class RowStep(_DataStep):
                 raise IndexError(f"{name}[{k}]")
             return r[own[int(k) - 1]]
 
-        return Cell(get, self.kinds[self.arrays[name][0]], index.reads | frozenset(self.arrays[name]))
+        def bad(k):
+            raise IndexError(f"{name}[{k}]")
+
+        def text(s):
+            k = s.name()
+            return f"(r[{s.of(tuple(own))}[int({k}) - 1]] if ({k} := {index.code(s)}) is not None and 1 <= {k} <= {len(own)} else {s.of(bad)}({k}))"
+
+        return Cell(get, self.kinds[self.arrays[name][0]], index.reads | frozenset(self.arrays[name]), text)
 
     def lag(self, inside: Cell, difference: bool) -> Cell:
         """The value of the row before; it belongs to the group before in a group's first row, so nothing may read it there."""
@@ -410,7 +497,16 @@ class RowStep(_DataStep):
             before, r[i] = r[i], inside.get(r)
             return before if not difference else None if before is None or r[i] is None else _minus(r[i], before)
 
-        return Cell(get, "number" if difference else inside.kind, inside.reads | {name})
+        def of(before, now):
+            return None if before is None or now is None else _minus(now, before)
+
+        def text(s):
+            # The value of the row before is read, then the record takes this row's.
+            before, keep = s.name(), s.of(lambda r, x: r.__setitem__(i, x))
+            put = f"({before} := r[{i}], {keep}(r, {inside.code(s)}))"
+            return f"({s.of(of)}({put}[0], r[{i}]))" if difference else f"({put}[0])"
+
+        return Cell(get, "number" if difference else inside.kind, inside.reads | {name}, text)
 
     def value(self, items) -> Cell:
         return RowExpression(items, self).value()
@@ -426,6 +522,8 @@ class RowStep(_DataStep):
                 kind = "other"
             self.place(f.name, kind)
         self.given = len(self.places)
+        # From here on it holds the names that statements use.
+        self.touched.clear()
         for name, start in self.retained.items():
             self.place(name, "text" if isinstance(start, str) else "number")
         for name in self.sums:
@@ -481,7 +579,7 @@ class RowStep(_DataStep):
             for a in acts:
                 a.carry(state)
 
-        return _Act(run, carry)
+        return _Act(run, carry, lambda s: [x for a in acts for x in a.lines(s)])
 
     def _branches(self, body, i: int) -> tuple[_Act, int]:
         sides, otherwise = [], None
@@ -536,7 +634,13 @@ class RowStep(_DataStep):
             state.stale = set().union(*[e.stale for e in ends])
             state.elements = set.intersection(*[e.elements for e in ends])
 
-        return _Act(run, carry), i
+        def code(s):
+            out = []
+            for k, (test, act, _) in enumerate(sides):
+                out += [f"{'elif' if k else 'if'} {test.code(s)}:", *_inside(act.lines(s))]
+            return out + (["else:", *_inside(otherwise.lines(s))] if otherwise else [])
+
+        return _Act(run, carry, code), i
 
     def _loop(self, items, inner: list[Statement]) -> _Act:
         """DO i = a TO b (BY c): counted, from a by c while it hasn't passed b; both are read once."""
@@ -576,7 +680,15 @@ class RowStep(_DataStep):
                     if (name, words[1]) in mine.elements and low.get([]) == 1 and high.get([]) == len(names):
                         state.held -= set(names)
 
-        return _Act(run, carry)
+        def bad(*bounds):
+            raise ValueError(f"bounds of DO: {' '.join(map(str, bounds))}")
+
+        def code(s):
+            k, end, n = s.name(), s.name(), s.name()
+            out = [f"{k}, {end}, {n} = {low.code(s)}, {high.code(s)}, {step.code(s)}", f"if not {n} or {k} is None or {end} is None:", f"    {s.of(bad)}({k}, {end}, {n})"]
+            return [*out, f"while {k} <= {end} if {n} > 0 else {k} >= {end}:", *_inside([f"r[{i}] = {k}", *inside.lines(s), f"{k} = r[{i}] + {n}"]), f"r[{i}] = {k}"]
+
+        return _Act(run, carry, code)
 
     def _assigned(self, name: str, value: Cell) -> _Act:
         self.set_names.add(name)
@@ -598,7 +710,7 @@ class RowStep(_DataStep):
             if any(n.startswith("_lag_") for n in value.reads):
                 state.stale.add(name)
 
-        return _Act(run, carry)
+        return _Act(run, carry, None if width is not None else lambda s: [f"r[{i}] = {value.code(s)}"])
 
     def _simple(self, s: Statement, items) -> _Act:
         words = [t.low for t in items]
@@ -620,10 +732,10 @@ class RowStep(_DataStep):
 
             return _Act(output, lambda state: state.reads(self.retained.keys() | state.stale))
         if words == ["delete"]:
-            return _Act(lambda r: False, leaves)
+            return _Act(lambda r: False, leaves, lambda s: ["return False"])
         if words[:1] == ["if"]:
             test = RowExpression(items[1:], self).condition()
-            return _Act(test.get, lambda state: (state.reads(test.reads), leaves(state)))
+            return _Act(test.get, lambda state: (state.reads(test.reads), leaves(state)), lambda s: [f"if not {test.code(s)}:", "    return False"])
         if len(words) > 2 and words[1] == "+" and items[0].kind == "name":
             value, i = self.value(items[2:]), self.place(words[0])
             self.set_names.add(words[0])
@@ -632,7 +744,7 @@ class RowStep(_DataStep):
                 r[i] = (r[i] or 0) + (value.get(r) or 0)
                 return True
 
-            return _Act(add, lambda state: state.reads(value.reads | {words[0]}))
+            return _Act(add, lambda state: state.reads(value.reads | {words[0]}), lambda s: [f"r[{i}] = (r[{i}] or 0) + ({value.code(s)} or 0)"])
         if len(words) > 2 and words[1] == "=" and items[0].kind == "name":
             return self._assigned(words[0], self.value(items[2:]))
         if len(words) > 5 and words[0] in self.arrays and words[1] in ("[", "{", "("):
@@ -663,16 +775,45 @@ class RowStep(_DataStep):
             if any(n.startswith("_lag_") for n in value.reads):
                 state.stale |= set(names)
 
-        return _Act(run, carry)
+        def bad(k):
+            raise IndexError(f"{name}[{k}]")
+
+        def code(s):
+            k = s.name()
+            return [f"{k} = {index.code(s)}", f"if {k} is None or not 1 <= {k} <= {len(own)}:", f"    {s.of(bad)}({k})", f"r[{s.of(tuple(own))}[int({k}) - 1]] = {value.code(s)}"]
+
+        return _Act(run, carry, code)
 
     # -- rows
 
+    def _mark_groups(self) -> None:
+        """FIRST. and LAST. of the first key need its rows in one task, which then goes through them: they are dealt out once."""
+        self.df = self.df.repartition(self.by[0])
+        super()._mark_groups()
+
+    def _wanted(self) -> list[str]:
+        """Columns that a target keeps."""
+        own = {c: c for c in self.places if c not in self.hidden}
+        own = {c: self.rename.get(c.lower(), c) for c in own if (c.lower() in self.keep if self.keep else c.lower() not in self.drop)}
+        return [c for c, n in own.items() if any((not t.keep or n.lower() in t.keep) and n.lower() not in t.drop for t in self.targets)]
+
     def _run(self, acts: list[_Act], group: list[str]) -> None:
-        run = self._sequence(acts).run
-        columns = [c for c in self.places if c not in self.hidden]
-        self.shown += [self.places[c] for c in columns]
+        whole = self._sequence(acts)
+        plain, refers = whole.run, Source()
+        source: str | None = None
+        try:
+            source = "\n".join(["def run(r):", *_inside(whole.lines(refers)), "    return True"])
+            compile(source, "step", "exec")
+        except (SyntaxError, RecursionError, MemoryError):
+            # Nested too deeply for the language.
+            source = None
+        objects = refers.objects
+        columns = self._wanted()
         given = self.df.drop(*self.order.values()).schema
         changed = self.set_names
+        # What the table has and no statement sets stays in Arrow; only the rest of a written row comes from the record.
+        same = {c for c in columns if c in given.names and c not in changed}
+        self.shown += [self.places[c] for c in columns if c not in same]
 
         def kind(c: str):
             if c in given.names and c not in changed:
@@ -681,12 +822,14 @@ class RowStep(_DataStep):
 
         schema = T.StructType([T.StructField("_to", T.IntegerType()), *[T.StructField(c, kind(c)) for c in columns]])
         arrow = pa.schema([("_to", pa.int32()), *[(c, _arrow(kind(c))) for c in columns]])
-        floats = [k + 1 for k, c in enumerate(columns) if isinstance(kind(c), T.DoubleType)]
+        floats = [k for k, c in enumerate(c for c in columns if c not in same) if isinstance(kind(c), T.DoubleType)]
         # A retained name that the table has too is read anew in each row.
         starts = [(self.places[n], v) for n, v in self.retained.items() if self.places[n] >= self.given]
+        marks = [f"_first_{group[-1]}"] if group else []
+        used = self.touched | set(marks)
         size, names, always, everywhere = len(self.places), given.names, self.always, list(range(len(self.targets)))
         numbers = [n for n in names if isinstance(given[n].dataType, T.DecimalType)]
-        first = self.places[f"_first_{group[-1]}"] if group else None
+        first = self.places[marks[0]] if group else None
         kept = [i for i, _ in starts]
         shown = self.shown
 
@@ -695,31 +838,36 @@ class RowStep(_DataStep):
                 r[-1].append((t, [r[i] for i in shown]))
 
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            record = [None] * size + [[]]
+            run = _compiled(source, objects) if source else plain
+            record, rest = [None] * size + [[]], [None] * (size - len(names))
             for batch in batches:
-                cells = [batch.column(n).to_pylist() for n in names]
-                cells = [[None if x is None else float(x) for x in c] if n in numbers else c for n, c in zip(names, cells)]
-                made: list[list] = [[] for _ in range(len(arrow))]
-                for row in zip(*cells):
+                cells = [batch.column(n).to_pylist() if n in used else repeat(None, len(batch)) for n in names]
+                cells = [[None if x is None else float(x) for x in c] if n in numbers and n in used else c for n, c in zip(names, cells)]
+                out, to_, at = [], [], []
+                for k, row in enumerate(zip(*cells)):
                     held = [record[i] for i in kept]
-                    record = [*row, *[None] * (size - len(row)), []]
+                    record = [*row, *rest, []]
                     for i, v in starts if first is None or row[first] == 1 else zip(kept, held):
                         record[i] = v
                     if run(record) and not always:
                         emit(record, everywhere)
                     for to, values in record[-1]:
-                        made[0].append(to)
-                        for c, v in zip(made[1:], values):
-                            c.append(v)
+                        to_.append(to)
+                        at.append(k)
+                        out.append(values)
+                made = [list(c) for c in zip(*out)] if out else [[] for _ in shown]
                 for k in floats:
                     made[k] = [None if v is None else float(v) for v in made[k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, arrow.types)], schema=arrow)
+                own, at = iter(made), pa.array(at, pa.int64())
+                out = [batch.column(c).take(at).cast(t) if c in same else pa.array(next(own), t) for c, t in zip(columns, arrow.types[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(to_, pa.int32()), *out], schema=arrow)
 
         rows = self.df
         if group:
-            rows = rows.repartition(*[F.col(c) for c in group])
+            # Rows of equal first keys are in one partition since their groups were marked.
             rows = rows.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in [*self.by, *self.order.values()]])
-        made = rows.select(*given.names).mapInArrow(go, schema)
+        read = [n for n in names if n in used or n in same]
+        made = rows.select(*(read or names[:1])).mapInArrow(go, schema)
         if len(self.targets) > 1:
             # Several tables from one pass over the rows.
             path = new_folder(self.session.libraries.spark, "step")

@@ -173,3 +173,14 @@ def test_means_of_several_variables_and_forecasts_by_group(spark):
     for code in ("proc forecast data=stg.m method=expo out=out.f; id month; var v; output out=x; run;", "proc reg data=stg.t outest=out.r; model v = o; by k; run;"):
         with pytest.raises(Unsupported):
             s.run(code)
+
+
+def test_a_row_step_deals_rows_once_and_takes_only_what_it_uses(spark, rows):
+    code = "data out.t(keep=k o d); set stg.t; by k; retain d; if first.k then d = 0; else do; if v >= 2 or missing(v) then d = d - 1; else d = max(d, 3); end; run;"
+    made = session(spark, rows).run(code)["out.t"]
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    full = made._jdf.queryExecution().executedPlan().toString()
+    assert full.count("Exchange hashpartitioning") == 1
+    step = next(x for x in plan.splitlines() if "MapInArrow" in x)
+    given = step[step.index("[_to") :]
+    assert all(f"{c}#" in given for c in "kod") and "v#" not in given
