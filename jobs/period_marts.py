@@ -1,7 +1,7 @@
 """Period marts: the status of each order, summaries by period, segment and balance band, and a forecast by segment.
 
-The steps that such programs take by hand, as one plan: repeated lines go (first of each key), running quantities of each
-order end in its status, customers get a band in which a missing balance counts as low, months are summed up, and
+The steps that such programs take by hand, as one plan: repeated lines go (first of each key), quantities of each
+order add up to its status, customers get a band in which a missing balance counts as low, months are summed up, and
 their totals are carried forward. Tables are partitioned by period; a run for some periods replaces these and leaves the others.
 """
 
@@ -30,10 +30,10 @@ def order_status(orders: DataFrame, lines: DataFrame, customers: DataFrame, conf
     a date are in period 000000.
     """
     keys = ["l_orderkey", "l_linenumber"]
-    first = steps.first_of_key(lines.select(*keys, "l_shipdate", "l_partkey", "l_suppkey", "l_quantity"), keys, ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity"])
-    first = first.withColumns({"l_quantity": F.col("l_quantity").cast("decimal(18,2)"), "_one": F.lit(1).cast("long")})
-    held = steps.by_group(first, ["l_orderkey"], ["l_linenumber"], {"quantity": "l_quantity", "n_lines": "_one"}, {"largest": ("l_quantity", 0)})
-    status = held.where("_last = 1").select(F.col("l_orderkey").alias("o_orderkey"), "n_lines", "quantity", "largest")
+    # Dealt by order, lines need no other shuffle to lose their repetitions, to be added up and to meet their orders.
+    dealt = lines.select(*keys, "l_shipdate", "l_partkey", "l_suppkey", "l_quantity").repartition("l_orderkey")
+    first = steps.first_of_key(dealt, keys, ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity"]).withColumn("l_quantity", F.col("l_quantity").cast("decimal(18,2)"))
+    status = first.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"), F.sum(F.coalesce("l_quantity", F.lit(0))).alias("quantity"), F.greatest(F.max("l_quantity"), F.lit(0)).alias("largest"))
     band = E.chain([(E.compare(F.col("c_acctbal"), op, F.lit(v)), F.lit(label)) for op, v, label in config["bands"]], F.lit(config["top_band"]))
     known = steps.lookup(orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_totalprice"), customers.select("c_custkey", "c_mktsegment", "c_acctbal"), ["c_custkey"])
     rows = known.join(status, "o_orderkey", "left")
@@ -52,10 +52,11 @@ def summaries(status: DataFrame) -> DataFrame:
 def _write(df: DataFrame, path: str, periods: list[str]) -> int:
     """Replace the periods (all, if none are named) of a partitioned table; gives the rows written.
 
-    Partitions are overwritten as the write commits; a named period that has no rows any more is removed after that.
+    Partitions are overwritten as the write commits; a named period that has no rows any more is removed after that. Rows of a
+    period are brought together, so files are as many as the rows need and not one for each task and period; a large period has several tasks.
     """
     spark, seen = df.sparkSession, Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("period_id").isin(periods), F.col("period_id"))).alias("periods")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if periods else "static").partitionBy("period_id").parquet(path)
+    df.hint("rebalance", "period_id").observe(seen, F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("period_id").isin(periods), F.col("period_id"))).alias("periods")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if periods else "static").partitionBy("period_id").parquet(path)
     for gone in sorted(set(periods) - set(seen.get["periods"])):
         remove(spark, f"{path}/period_id={gone}")
     return seen.get["n"]

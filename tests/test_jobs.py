@@ -144,3 +144,21 @@ def test_period_marts_sql(spark, tmp_path):
     for t in ("orders", "lineitem", "customer"):
         db.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, db.sql(f"SELECT {', '.join(df.columns)} FROM ({period_marts.JOB2_SQL})").fetchall()))
+
+
+def test_period_marts_deals_lines_once_and_writes_a_period_together(spark, tmp_path):
+    source, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    tables(spark, source, [(i, 1, DAY(2020, 1 + i % 3, 3), 5.0) for i in range(90)], [(i % 90, i % 4, DAY(2020, 1, 6), i, 1, float(i)) for i in range(600)])
+    read = [spark.read.parquet(f"{source}/{t}.parquet") for t in ("orders", "lineitem", "customer")]
+    plan = period_marts.order_status(*read, period_marts.default_settings("period_marts"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(l_orderkey#") == 1
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        period_marts.run(spark, source, target)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    files = spark.read.parquet(f"{target}/status").select("period_id", F.input_file_name().alias("file")).groupBy("period_id").agg(F.countDistinct("file").alias("n"), F.count("*").alias("rows")).collect()
+    assert [(r.n, r.rows) for r in files] == [(1, 30)] * 3
