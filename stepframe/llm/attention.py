@@ -191,7 +191,10 @@ class Attention:
         da = np.matmul(wide, v.transpose(0, 2, 1))
         da *= a
         da -= a * (da.reshape(-1, WIDTH) @ _ONES).reshape(len(a), WIDTH, 1)
-        g = np.concatenate([x.reshape(-1, DIM) for x in (np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), wide))], 1)
+        g = np.empty((len(a), WIDTH, 3 * DIM), np.float32)
+        for i, (of, by) in enumerate(((da, k), (da.transpose(0, 2, 1), q), (a.transpose(0, 2, 1), wide))):
+            np.matmul(of, by, out=g[..., i * DIM : (i + 1) * DIM])
+        g = g.reshape(-1, 3 * DIM)
         dense["qkv"] = flat.T @ g
         dx = g @ self.qkv.T
         dx += d

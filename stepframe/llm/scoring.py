@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .attention import WIDTH, Attention, Symbols, Windows, score_texts
 from .common import discard, documents, key_of_id, saved, tokenizer_path
-from .encoding import encoder, forget, give_back, slices
+from .encoding import encoder, forget, give_back, hold, slices
 
 #: Words counted more often than this part of all tokens go to the tasks; there are at most as many as its inverse.
 HEAVY_SHARE = 1 / 2_000_000
@@ -66,10 +66,12 @@ def _hashes_of(enc) -> _WordHashes:
 
 
 def _make_room() -> None:
-    """Workers go from stage to stage: what they remember of pieces isn't needed once texts are encoded, and takes hundreds of MB."""
+    """Workers go from stage to stage: what they remember of pieces isn't needed once texts are encoded, and takes hundreds of MB.
+    What a later stage frees and soon takes again stays."""
     forget()
     _HASHES.clear()
     give_back()
+    hold()
 
 
 def _binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
